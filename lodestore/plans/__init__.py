@@ -1,0 +1 @@
+"""plans of the engine; see the README for the map."""

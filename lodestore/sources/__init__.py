@@ -1,0 +1 @@
+"""sources of the engine; see the README for the map."""

@@ -1,0 +1 @@
+"""streaming of the engine; see the README for the map."""
