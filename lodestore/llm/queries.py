@@ -8,21 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .decontamination import contaminated
+from .licenses import license_scan
 from .line_dedup import drop_frequent_lines
 from .mixing import mixed
+from .near_dedup import near_groups
+from .quality import quality_scores
 from .sharding import hilbert_shards
 from .simhash import edited_fingerprints
+from .token_counts import routine_edits, token_counts
+from .toxicity import toxicity_scores
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(routine_edits(documents(spark, sf_dir)))
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(documents(spark, sf_dir), 40)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_frequent_lines(documents(spark, sf_dir), 10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -31,9 +53,20 @@ def op8_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), words=4, threshold=0.8)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    named = [op2_hilbert_shards, op4_line_dedup, op7_simhash, op8_entropy_balanced_mix]
+    named = [
+        op1_token_counts, op2_hilbert_shards, op3_license_scan, op4_line_dedup, op5_decontamination, op6_quality, op7_simhash,
+        op8_entropy_balanced_mix, op9_near_dedup, op10_toxicity,
+    ]
     return {f.__name__: f for f in named}
 
 
