@@ -7,8 +7,8 @@ with a probability below 1e-5, one at 0.9 below 1e-13.
 
 Texts with equal sets are one class from the start. In each bucket of a band the least document is the hub: it
 is compared with all others, in as many pairs as rows. After linking, only buckets that still hold two or
-more components are looked at pair by pair: in blocks, on sketches, across components. So a
-group of thousands of near copies costs links, not squares, and no link between components is lost.
+more components are looked at pair by pair: in blocks, across components, on sketches and then on full sets. So a
+group of thousands of near copies yields links, not squares of rows, and no link between components is lost.
 
 Null, empty and white-space texts have an empty set and link with nothing. Rows with one doc_id are one
 document: their texts' links are shared. A row with a null doc_id links with nothing and is kept. An empty table gives an
@@ -157,34 +157,90 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInPandas(_likely(_most_odd(threshold)), "a long, b long")
 
 
-def _across(threshold: float):
+def _candidates(pdf: pd.DataFrame, threshold: float, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows of likely partners) in a block: other labels, sizes and sketches that allow the threshold.
+
+    A pair that shares several buckets is looked at in the bucket of the first band that it shares, and nowhere else.
+    """
+    ids, label, n, side, band = (pdf[c].to_numpy() for c in ("doc_id", "label", "n", "side", "band"))
+    words = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+    bands = np.stack(pdf["bands"].to_numpy())
+    # side 0: a block against itself; sides 1 and 2: one block against another
+    rows = np.flatnonzero(side < 2)
+    cols = rows if (side == 0).all() else np.flatnonzero(side == 2)
+    for i in rows:
+        js = cols[(label[cols] != label[i]) & ((ids[cols] > ids[i]) | (side[i] == 1))]
+        js = js[np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-6]
+        js = js[np.bitwise_count(words[js] ^ words[i]).sum(axis=1) <= most]
+        js = js[(bands[js] == bands[i]).argmax(axis=1) == band[i]]
+        if len(js):
+            yield i, js
+
+
+def _open_members(threshold: float):
+    most = _most_odd(threshold)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken = np.zeros(len(pdf), bool)
+        for i, js in _candidates(pdf, threshold, most):
+            taken[i] = True
+            taken[js] = True
+        return pdf.loc[taken, ["key", "doc_id"]]
+
+    return run
+
+
+def _open_links(words: int, threshold: float):
     most = _most_odd(threshold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, label, n, side = (pdf[c].to_numpy() for c in ("doc_id", "label", "n", "side"))
-        words = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+        ids, label, text = (pdf[c].to_numpy() for c in ("doc_id", "label", "text"))
+        up = {x: x for x in label}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_hashes(text[i], words)
+            return sets[i]
+
         out = []
-        # side 0: a block against itself; sides 1 and 2: one block against another
-        rows = np.flatnonzero(side < 2)
-        cols = rows if (side == 0).all() else np.flatnonzero(side == 2)
-        for i in rows:
-            js = cols[(label[cols] != label[i]) & ((ids[cols] > ids[i]) | (side[i] == 1))]
-            js = js[np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-6]
-            js = js[np.bitwise_count(words[js] ^ words[i]).sum(axis=1) <= most]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
+        for i, js in _candidates(pdf, threshold, most):
+            for j in js:
+                if root(label[i]) == root(label[j]):
+                    continue  # linked already, in this block or before
+                both = len(np.intersect1d(own(i), own(j), assume_unique=True))
+                if both and both >= threshold * (len(own(i)) + len(own(j)) - both) - 1e-9:
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    up[root(label[i])] = root(label[j])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def across(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different labels inside buckets (key, doc_id, label, n, sketch), in blocks of bounded size."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("_size"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
-    active = buckets.join(sizes.select("key", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_parts")), "key")
-    active = active.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
+def _blocks(active: DataFrame) -> DataFrame:
+    """Rows of buckets dealt into pairs of blocks (x, y), so that no task holds more than two blocks."""
+    parts = active.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
+    active = active.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
     places = F.expr("transform(sequence(0, _parts - 1), p -> struct(least(p, _part) as x, greatest(p, _part) as y, case when p = _part then 0 when _part < p then 1 else 2 end as side))")
-    spread = active.select("key", "doc_id", "label", "n", "sketch", F.explode(places).alias("_at")).select("key", "doc_id", "label", "n", "sketch", "_at.x", "_at.y", "_at.side")
-    return spread.groupBy("key", "x", "y").applyInPandas(_across(threshold), "a long, b long").distinct()
+    return active.withColumn("_at", F.explode(places)).select("*", "_at.x", "_at.y", "_at.side").drop("_at", "_part", "_parts")
+
+
+def links_across(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links between rows of different labels that share a bucket (key, band, doc_id, label).
+
+    A first pass over sketches finds the rows with a likely partner of another label; only their texts are sent to the
+    second, which compares full sets and returns links that join labels, not all pairs.
+    """
+    mixed = buckets.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
+    active = saved(buckets.join(mixed, "key", "left_semi").join(nodes, "doc_id"), "near-active")
+    taken = _blocks(active).groupBy("key", "x", "y").applyInPandas(_open_members(threshold), "key long, doc_id long").distinct()
+    held = active.join(saved(taken, "near-open"), ["key", "doc_id"], "left_semi").join(texts, "doc_id")
+    return _blocks(held).groupBy("key", "x", "y").applyInPandas(_open_links(words, threshold), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -197,7 +253,7 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     nodes = placed.where("rep is null or doc_id = rep").select("doc_id", "n", "sketch", "bands")
     nodes = saved(nodes, "near-nodes")
     copies = saved(placed.where("rep is not null").select("doc_id", "rep").distinct(), "near-copies")
-    bands = nodes.select(F.explode("bands").alias("key"), "doc_id")
+    bands = nodes.select(F.posexplode("bands").alias("band", "key"), "doc_id")
     shared = saved(bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("_m")).where("_m > 1").select("key", "hub"), "near-shared")
     buckets = saved(joined_small(bands, shared, ["key"]), "near-buckets")
     pairs = buckets.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -208,10 +264,9 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     tested = saved(likely(pairs, slim, threshold), "near-tested")
     links = saved(confirmed(tested, texts, words, threshold), "near-links")
     first = components(links)
-    members = buckets.select("key", "doc_id").join(slim, "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    members = members.select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n", "sketch")
-    more = saved(across(members, threshold).join(tested, ["a", "b"], "left_anti"), "near-more")
-    extra = saved(confirmed(more, texts, words, threshold), "near-links")
+    members = buckets.select("key", "band", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members = members.select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    extra = saved(links_across(members, nodes.select("doc_id", "n", "sketch", "bands"), texts, words, threshold), "near-links")
     # The texts of rows that share a doc_id belong together: so do the representatives of their classes.
     shared_ids = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("_far"))
     apart = copies.join(shared_ids.where("rep < _far").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
