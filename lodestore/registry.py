@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, with the SQL that gives the same rows if there is one."""
+
+    def put(run: Query) -> Query:
+        _queries[name] = run
+        if sql is not None:
+            _sql[name] = sql
+        return run
+
+    return put
+
+
+def _load() -> None:
+    from .plans import aggregates, evaluation, extraction, filters, graphs, ingest, lifecycle, retrieval, scalars, sources, streams  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
     """Queries by name."""
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    _load()
+    return dict(_sql)
