@@ -31,9 +31,10 @@ FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 #: Labelled rows that the model is fitted on at most (those with the least hash of doc_id), and characters of each
 #: that are read for fitting. Scores read whole texts.
-MAX_ROWS = 5_000
-MAX_CHARS = 8_000
+MAX_ROWS = 3_000
+MAX_CHARS = 5_000
 SEQUENCE = 64
+BATCH = 2048  # sequences that go through the chain at once
 HASHES = 1 << 18
 CACHE = 1_000_000
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -128,16 +129,11 @@ class Chain:
 
     def fit(self, texts: list[str], marked: list[np.ndarray], words: list[list[str]], epochs: int = 30, rate: float = 0.3, l2: float = 1e-6) -> None:
         """Full-batch adaptive gradient steps on the log likelihood of the token labels."""
-        feature_lists = {}
-        flat = [w for own in words for w in own]
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        for w in vocabulary:
-            feature_lists[w] = word_features(w)
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for own in words for w in own))}
         width = 2 + len(PREFIXES)
-        table = np.zeros((len(vocabulary), width), np.int64)
-        used = np.zeros((len(vocabulary), width))
+        table, used = np.zeros((len(vocabulary), width), np.int32), np.zeros((len(vocabulary), width), np.float32)
         for w, i in vocabulary.items():
-            own = feature_lists[w]
+            own = word_features(w)
             table[i, : len(own)], used[i, : len(own)] = own, 1
         rows_w, rows_y = [], []
         for own, y in zip(words, marked, strict=True):
@@ -149,7 +145,7 @@ class Chain:
             return
         ids, y = np.concatenate(rows_w), np.concatenate(rows_y)
         real = np.isfinite(ids)
-        ids, y = np.where(real, ids, 0).astype(np.int64), np.where(real, y, 0)
+        ids, y = np.where(real, ids, 0).astype(np.int32), np.where(real, y, 0).astype(np.int8)
         n = real.sum()
         observed = np.zeros((2, 2))
         both = real[:, 1:]
@@ -157,13 +153,18 @@ class Chain:
         g_w, g_b, g_m = np.full(HASHES, 1e-8), 1e-8, np.full((2, 2), 1e-8)
         for _ in range(epochs):
             by_word = (self.weights[table] * used).sum(axis=1) + self.bias
-            p, expected = self.marginals(np.where(real, by_word[ids], -np.inf), edges=True)
-            gap = np.where(real, y - p, 0)
-            each = np.bincount(ids.ravel(), gap.ravel(), len(vocabulary))
+            expected, each, total = np.zeros((2, 2)), np.zeros(len(vocabulary)), 0.0
+            for at in range(0, len(ids), BATCH):  # rows of a few MB at a time
+                part = slice(at, at + BATCH)
+                p, moved = self.marginals(np.where(real[part], by_word[ids[part]], -np.inf), edges=True)
+                gap = np.where(real[part], y[part] - p, 0)
+                each += np.bincount(ids[part].ravel(), gap.ravel(), len(vocabulary))
+                expected += moved
+                total += gap.sum()
             grad = np.bincount(table.ravel(), (used * each[:, None]).ravel(), HASHES) / n * 1000 - l2 * self.weights
             g_w += grad**2
             self.weights += rate * grad / np.sqrt(g_w)
-            g = gap.sum() / n * 1000
+            g = total / n * 1000
             g_b += g * g
             self.bias += rate * g / math.sqrt(g_b)
             g = (observed - expected) / n * 1000
@@ -216,6 +217,7 @@ class ToxicityModel:
                 x[i] = evidence(self._marginals(chain, texts[i])[0])
         self.top = fit_logistic(x, y)
         self.chain = self._chain(texts, y)
+        self.chain.kept = {}
 
     @staticmethod
     def _chain(texts: list[str], y: np.ndarray) -> Chain:
@@ -255,7 +257,7 @@ class ToxicityModel:
         if not rows:
             return [np.empty(0) for _ in texts]
         stacked = np.concatenate(rows)
-        p = np.concatenate([self.chain.marginals(stacked[i : i + 2048]) for i in range(0, len(stacked), 2048)]).reshape(-1)
+        p = np.concatenate([self.chain.marginals(stacked[i : i + BATCH]) for i in range(0, len(stacked), BATCH)]).reshape(-1)
         out, at = [], 0
         for n in counts:
             out.append(p[at : at + n])
