@@ -44,6 +44,8 @@ ANTONYMS = (
     ("扩张", "收缩"), ("买入", "卖出"), ("应该", "不应该"), ("必须", "禁止"), ("快", "慢"), ("多", "少"), ("高", "低"), ("大", "小"),
     ("好", "坏"), ("安全", "危险"), ("涨", "跌"), ("开", "关"), ("新", "旧"), ("强", "弱"),
 )
+# Units; numbers clash only if both texts count in one of them.
+UNITS = ("万", "元", "人", "日", "年", "月", "天", "小时", "分钟", "秒", "%", "％", "倍", "次", "个", "台", "家", "公里", "米", "斤", "吨", "度", "层", "版", "期", "号", "点")
 DEDUP_NEGATION_CHARS = "不没非勿无别禁否停拒免莫未休"
 DEDUP_NEGATION_TOKENS = ("取消", "删除", "撤销", "关闭", "停止", "禁止", "拒绝", "无法", "不能", "不会", "不要", "无需", "不得", "不可", "不准", "尚未")
 # Router words.

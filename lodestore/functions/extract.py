@@ -17,7 +17,7 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 NAMED_DATE = r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+([12]?\d|3[01])(?:st|nd|rd|th)?(?:,?\s*((?:19|20)\d{2}))?\b"
 RELATIVE = {"yesterday": -1, "today": 0, "tomorrow": 1, "昨天": -1, "今天": 0, "明天": 1, "前天": -2}
 SPANS = {"day": 1, "week": 7, "month": 30, "year": 365, "天": 1, "周": 7, "月": 30, "年": 365}
-SIGNAL = r"(?i)\b(19|20)\d{2}\b|yesterday|today|tomorrow|\bago\b|昨|今|前天|明天|天前|天后|周前|月前|年前"
+SIGNAL = r"(?i)\b(19|20)\d{2}\b|(19|20)\d{2}\s*[/\-年]|yesterday|today|tomorrow|\bago\b|昨|今|前天|明天|天前|天后|周前|月前|年前"
 KEY_DATA = (
     ("percent", r"\d+(?:\.\d+)?\s*%"),
     ("money", r"\d+(?:\.\d+)?\s*(?:万|亿|元|块|k|K)"),

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ANTONYMS, DEDUP_NEGATION_CHARS, DEDUP_NEGATION_TOKENS, NEGATIONS, RULE_WORDS, STOP_WORDS, VALID_TYPES
+from ..config import ANTONYMS, DEDUP_NEGATION_CHARS, DEDUP_NEGATION_TOKENS, NEGATIONS, RULE_WORDS, STOP_WORDS, UNITS, VALID_TYPES
 from ..functions import text as X
 
 
@@ -81,8 +81,10 @@ def conflict_class(a: Column, b: Column, similarity: Column) -> Column:
     for x, y in ANTONYMS:
         opposed = opposed | (a.contains(x) & ~a.contains(y) & b.contains(y) & ~b.contains(x)) | (a.contains(y) & ~a.contains(x) & b.contains(x) & ~b.contains(y))
     turned = ((na > 0) != (nb > 0)) & (similarity >= 0.5)
-    digits_a, digits_b = F.regexp_extract_all(a, F.lit(r"(\d+)"), 1), F.regexp_extract_all(b, F.lit(r"(\d+)"), 1)
-    numbers = (F.size(digits_a) > 0) & (F.size(digits_b) > 0) & (F.size(F.array_intersect(digits_a, digits_b)) == 0) & (similarity >= 0.42)
+    unit = f"({'|'.join(UNITS)})"
+    units = [F.regexp_extract_all(x, F.lit(rf"\d+\s*{unit}"), 1) for x in (a, b)]
+    amounts = [F.regexp_extract_all(x, F.lit(rf"(\d+\s*{unit})"), 1) for x in (a, b)]
+    numbers = F.arrays_overlap(*units) & ~F.arrays_overlap(*amounts) & (similarity >= 0.42)
     apart = (similarity < 0.3) & (topics < 0.16)
     clash = turned | (opposed & (similarity >= 0.3))
     return F.when(apart, "independent").when(clash & rules, "conflict_rule_semantic").when(clash, "conflict_summary_conclusion").when(numbers, "conflict_event_fact").otherwise("extension")
