@@ -5,7 +5,7 @@ each whose expected words meet the target of the document's source. The convex d
 a source; its solution is a tilted rate ``max_copies * sigmoid(base + multiplier * size / mean size)``, found by
 Newton steps kept inside a bracket. Rates depend on (source, size) only, so the iterations run over the
 distributed table of those pairs and their counts, never over documents. Rates become whole copies by
-running rounding from the longest sizes to the shortest, then two single-size corrections a source.
+running rounding from the longest sizes to the shortest, then three single-size corrections a source.
 
 Null and empty texts have size 0 and take no words. A null source is a source (last in order). Repeated rows
 are documents of their own. An empty table gives an empty result. Only doc_id, text, source are read.
@@ -82,12 +82,11 @@ def rounded_copies(rates: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     run = F.sum(F.col("rate") * F.col("_n")).over(down)
     whole = rates.withColumn("_run", F.floor(run + 0.5)).withColumn("_k", (F.col("_run") - F.coalesce(F.lag("_run").over(down), F.lit(0))).cast("long"))
     whole = saved(whole.withColumn("_k", F.greatest(F.lit(0), F.least(F.col("_n") * max_copies, F.col("_k")))), "mix-copies")
-    for _ in range(2):  # one size a source takes one copy more or less, so as to leave less than the next size
-        left = F.col("target") - F.col("_t")
-        off = whole.groupBy("_s", "_sn", "target").agg(F.sum(F.col("_k") * F.col("size")).alias("_t")).select("_s", "_sn", left.alias("_left"))
-        with_off = whole.join(off, ["_s", "_sn"])
-        fits = (F.col("size") <= F.abs("_left")) & F.when(F.col("_left") > 0, F.col("_k") < F.col("_n") * max_copies).otherwise(F.col("_k") > 0)
-        best = with_off.where(fits).groupBy("_s", "_sn").agg(F.max("size").alias("_pick"), F.first(F.signum("_left")).alias("_sign"))
+    for _ in range(3):  # one size a source takes one copy more or less: the size that leaves least
+        off = whole.groupBy("_s", "_sn", "target").agg(F.sum(F.col("_k") * F.col("size")).alias("_t")).select("_s", "_sn", (F.col("target") - F.col("_t")).alias("_left"))
+        with_off = whole.join(off, ["_s", "_sn"]).withColumn("_rest", F.abs(F.abs("_left") - F.col("size")))
+        room = F.when(F.col("_left") > 0, F.col("_k") < F.col("_n") * max_copies).otherwise(F.col("_k") > 0)
+        best = with_off.where(room & (F.col("_rest") < F.abs("_left"))).groupBy("_s", "_sn").agg(F.min_by("size", F.struct("_rest", "size")).alias("_pick"), F.first(F.signum("_left")).alias("_sign"))
         whole = saved(whole.join(best, ["_s", "_sn"], "left").withColumn("_k", F.when(F.col("size") == F.col("_pick"), F.col("_k") + F.col("_sign").cast("long")).otherwise(F.col("_k"))).drop("_pick", "_sign"), "mix-copies")
     return whole.select("_s", "_sn", "size", "_n", "_k")
 

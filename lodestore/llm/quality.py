@@ -139,14 +139,19 @@ class AdditiveModel:
         return self
 
     def _two_way(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """A cut of the first feature, then a cut of the second on either side."""
-        gs, hs = g.sum(axis=1), h.sum(axis=1)
-        left_g, left_h = np.cumsum(gs)[:-1], np.cumsum(hs)[:-1]
+        """The cut of the first feature, and one of the second on either side of it, that together gain most."""
         out = np.zeros(g.shape)
-        if len(left_g) == 0:
+        if min(g.shape) < 2:
             return out
-        gain = left_g**2 / (left_h + self.l2) + (gs.sum() - left_g) ** 2 / (hs.sum() - left_h + self.l2)
-        at = int(np.argmax(gain)) + 1
+
+        def best(part_g: np.ndarray, part_h: np.ndarray) -> np.ndarray:
+            """Gain of the best second cut, for each row of sums over one side of a first cut."""
+            left_g, left_h = np.cumsum(part_g, axis=1)[:, :-1], np.cumsum(part_h, axis=1)[:, :-1]
+            all_g, all_h = part_g.sum(axis=1, keepdims=True), part_h.sum(axis=1, keepdims=True)
+            return (left_g**2 / (left_h + self.l2) + (all_g - left_g) ** 2 / (all_h - left_h + self.l2)).max(axis=1)
+
+        low_g, low_h = np.cumsum(g, axis=0)[:-1], np.cumsum(h, axis=0)[:-1]
+        at = int(np.argmax(best(low_g, low_h) + best(g.sum(axis=0) - low_g, h.sum(axis=0) - low_h))) + 1
         for part in (slice(0, at), slice(at, None)):
             line = np.zeros(g.shape[1])
             _step(g[part].sum(axis=0), h[part].sum(axis=0), 0, g.shape[1], 1, self.l2, line)
