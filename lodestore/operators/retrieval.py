@@ -6,6 +6,10 @@ ranking and ties go by id: results do not depend on the order of sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from ..functions.text import tokens
 
 #: A batch of queries is broadcast only up to so many rows; beyond, the plain join is left to the optimiser.
 BROADCAST_QUERIES = 50_000
+#: Query vectors sent to the executors at once; more are taken in blocks, each a pass over the entries.
+QUERY_BLOCK = 4096
 
 
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
@@ -26,9 +32,10 @@ def postings(store: DataFrame) -> DataFrame:
     """(id, term, tf_note, tf_full, dl): counts in the summary, and in summary and content together."""
     note, body = tokens(F.col("summary")), tokens(F.col("content"))
     both = F.concat(F.transform("_note", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))), F.transform("_body", lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))))
-    # lengths are settled before the explode, so that no text is carried along with each term
+    # lengths are settled before the explode, so that no text is carried along with each term; the outer form keeps the
+    # optimiser from putting a filter on the array's size below it, which would cut every text into terms twice
     flat = store.select("id", note.alias("_note"), body.alias("_body")).select("id", (F.size("_note") + F.size("_body")).alias("dl"), both.alias("_terms"))
-    flat = flat.select("id", "dl", F.explode("_terms").alias("t")).select("id", "dl", "t.term", "t.n")
+    flat = flat.select("id", "dl", F.explode_outer("_terms").alias("t")).select("id", "dl", "t.term", "t.n")
     return flat.groupBy("id", "term", "dl").agg(F.sum("n").alias("tf_note"), F.count("*").alias("tf_full"))
 
 
@@ -59,8 +66,9 @@ def bm25(queries: DataFrame, store: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, *order: Column, limit: int | None = None, by: str = "qid", name: str = "rank0") -> DataFrame:
     """0-based rank within a query, rows beyond the limit cut (a window group limit, before the full sort)."""
-    out = df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
-    return out if limit is None else out.where(F.col(name) < limit)
+    out = df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    out = out if limit is None else out.where(F.col("_rn") <= limit)
+    return out.withColumn(name, F.col("_rn") - 1).drop("_rn")
 
 
 def cascade(scores: DataFrame, cfg: Search) -> DataFrame:
@@ -84,13 +92,51 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _query_blocks(query_vectors: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """(qids, matrix) of a stated query set in blocks small enough to send to every executor."""
+    ids, rows = [], []
+    for r in query_vectors.select("qid", "qvec").where("qid is not null and qvec is not null").toLocalIterator():
+        ids.append(r["qid"])
+        rows.append(r["qvec"])
+        if len(ids) == QUERY_BLOCK:
+            yield ids, np.array(rows, np.float64)
+            ids, rows = [], []
+    if ids:
+        yield ids, np.array(rows, np.float64)
+
+
+def _best_of_batch(scores: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each column's k largest, and all that tie with the last of them."""
+    if len(scores) <= k:
+        return np.ones(scores.shape, bool)
+    return scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+
+
 def vectors(query_vectors: DataFrame, entry_vectors: DataFrame, cfg: Search) -> DataFrame:
     """Vector channel (qid, id, score, rank0): exact inner products of a stated query set against all rows.
 
-    Entries are scanned once; the queries are sent along (their count is checked first).
+    Entries stream past a block of queries as matrix products; of each batch only what can still be among a query's
+    candidates is passed on, so the shuffle holds candidates, not pairs.
     """
-    pairs = entry_vectors.crossJoin(checked_broadcast(query_vectors, 20_000))
-    scored = pairs.select("qid", "id", F.round(dot(F.col("qvec"), F.col("vec")), 9).alias("score"))
+    spark, kinds = entry_vectors.sparkSession, dict(query_vectors.dtypes) | dict(entry_vectors.dtypes)
+    schema, scored = f"qid {kinds['qid']}, id {kinds['id']}, score double", None
+    for ids, matrix in _query_blocks(query_vectors):
+        held = spark.sparkContext.broadcast((np.array(ids), matrix))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            qids, queries = held.value
+            for pdf in batches:
+                pdf = pdf[pdf["vec"].notna()]
+                if not len(pdf):
+                    continue
+                scores = np.round(np.stack(pdf["vec"].to_numpy()).astype(np.float64) @ queries.T, 9) + 0.0
+                row, col = np.nonzero(_best_of_batch(scores, cfg.candidates))
+                yield pd.DataFrame({"qid": qids[col], "id": pdf["id"].to_numpy()[row], "score": scores[row, col]})
+
+        part = entry_vectors.select("id", "vec").mapInPandas(run, schema)
+        scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        scored = spark.createDataFrame([], schema)
     return ranked(scored, F.desc("score"), F.col("id"), limit=cfg.candidates)
 
 
