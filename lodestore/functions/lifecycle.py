@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import TYPE_COMPLEXITY, Search
+from .text import let
 
 
 def instant(col: Column) -> Column:
@@ -62,12 +63,19 @@ def type_half_life(kind: Column) -> Column:
 def entropy(col: Column) -> Column:
     """Shannon entropy of the first 500 characters over its largest possible value."""
     text = F.substring(F.coalesce(col, F.lit("")), 1, 500)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    counts = F.transform(F.array_distinct(chars), lambda c: n - F.size(F.array_remove(chars, c)))
-    bits = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - (k / n) * F.log2(k / n))
-    most = F.log2(F.least(n, F.size(counts)).cast("double"))
-    return F.when(n == 0, 0.0).when(most > 0, bits / most).otherwise(0.0)
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars)
+        counts = F.transform(F.array_distinct(chars), lambda c: n - F.size(F.array_remove(chars, c)))
+
+        def bits(k: Column) -> Column:
+            total = F.aggregate(k, F.lit(0.0), lambda acc, x: acc - (x / n) * F.log2(x / n))
+            most = F.log2(F.least(n, F.size(k)).cast("double"))
+            return F.when(n == 0, 0.0).when(most > 0, total / most).otherwise(0.0)
+
+        return let(counts, bits)
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), of)
 
 
 def length_axis(col: Column) -> Column:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, even where body's own lambdas use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
@@ -59,10 +64,12 @@ def normal_name(col: Column) -> Column:
 
 def ngrams(col: Column, n: int) -> Column:
     """Distinct character n-grams; the distinct characters of shorter texts."""
-    text = or_empty(col)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.array_distinct(F.when(F.length(text) >= n, grams).otherwise(chars))
+    def cut(text: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+        chars = F.filter(F.split(text, ""), lambda c: c != "")
+        return F.array_distinct(F.when(F.length(text) >= n, grams).otherwise(chars))
+
+    return let(or_empty(col), cut)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -49,20 +49,21 @@ def negation_differs(a: Column, b: Column) -> Column:
     return F.exists(only, lambda t: X.contains_any(t, tuple(marks)))
 
 
-def similar_pairs(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(a, b, dice) of texts whose character-pair Dice reaches the threshold: exact, through an inverted index.
+def similar_pairs(texts: DataFrame, threshold: float = 0.9, lead: int = 5) -> DataFrame:
+    """(a, b, ga, gb, dice) of texts whose character-pair Dice reaches the threshold: exact, through an inverted index.
 
-    A pair that reaches it shares one of the rarest pairs of the smaller set: if all but that share of a set's pairs are common, at least
-    one of its rarest (1 - t / (2 - t)) + 1 is. Only those are indexed, so frequent pairs join nothing.
+    A set of n pairs meets a partner in at least o = t * n / (2 - t) of them. So the n - o + k rarest pairs of both sets hold k common
+    ones (k: lead, or o if that is less): only those are indexed, and only partners with so many go on to the full sets.
     """
     grams = texts.select("id", X.ngrams(X.normal_text(F.col("text")), 2).alias("g")).where("size(g) > 0")
     flat = grams.select("id", F.size("g").alias("n"), F.explode("g").alias("t"))
     rare = flat.join(flat.groupBy("t").agg(F.count("*").alias("df")), "t")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    keep = F.floor(F.col("n") - F.col("n") * threshold / (2 - threshold) + 1e-9) + 1
-    prefix = rare.withColumn("p", place).where(F.col("p") <= keep).select("id", "t", "n")
-    near = prefix.select(F.col("id").alias("a"), "t", F.col("n").alias("na")).join(prefix.select(F.col("id").alias("b"), "t", F.col("n").alias("nb")), "t")
-    near = near.where((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= threshold * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b").distinct()
+    least = F.ceil(F.col("n") * threshold / (2 - threshold) - 1e-9)
+    rare = rare.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))).withColumn("k", F.least(F.lit(lead), least))
+    prefix = rare.where(F.col("p") <= F.col("n") - least + F.col("k")).select("id", F.xxhash64("t").alias("t"), "n", "k")
+    near = prefix.select(F.col("id").alias("a"), "t", F.col("n").alias("na"), F.col("k").alias("ka")).join(prefix.select(F.col("id").alias("b"), "t", F.col("n").alias("nb"), F.col("k").alias("kb")), "t")
+    near = near.where((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= threshold * (F.col("na") + F.col("nb")) - 1e-9))
+    near = near.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("ka", "kb")).alias("k")).where("m >= k").select("a", "b")
     pairs = near.join(grams.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     return pairs.withColumn("dice", F.round(X.dice(F.col("ga"), F.col("gb")), 9)).where(F.col("dice") >= threshold)
 

@@ -68,7 +68,7 @@ def ranked(df: DataFrame, *order: Column, limit: int | None = None, by: str = "q
     """0-based rank within a query, rows beyond the limit cut (a window group limit, before the full sort)."""
     out = df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     out = out if limit is None else out.where(F.col("_rn") <= limit)
-    return out.withColumn(name, F.col("_rn") - 1).drop("_rn")
+    return out.withColumn(name, (F.col("_rn") - 1).cast("long")).drop("_rn")
 
 
 def cascade(scores: DataFrame, cfg: Search) -> DataFrame:
@@ -186,18 +186,18 @@ def is_valid(now: str) -> Column:
     return (F.coalesce("deprecated", F.lit(0)) == 0) & ((F.coalesce("expires_at", F.lit("")) == "") | (F.col("expires_at") >= now))
 
 
-def latest_versions(hits: DataFrame, cfg: Search) -> DataFrame:
-    """Of valid rows with one summary_hash the latest stays, at the group's best rank; rows without a hash all stay."""
-    own = F.when(F.coalesce("summary_hash", F.lit("")) == "", F.concat(F.lit("#"), F.col("id"))).otherwise(F.col("summary_hash"))
-    w = Window.partitionBy("qid", own)
-    best = hits.where(is_valid(cfg.now)).withColumn("_first", F.min("rank0").over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.desc("timestamp"), "id")))
-    return ranked(best.where("_n = 1").drop("rank0"), F.col("_first"), F.col("id")).drop("_first", "_n")
-
+def or_unfiltered(hits: DataFrame, cfg: Search) -> DataFrame:
+    """Of valid rows with one summary_hash the latest stays, at the group's best rank; rows without a hash all stay.
 
-def or_unfiltered(before: DataFrame, after: DataFrame) -> DataFrame:
-    """after, and the best row of queries that lost all their rows."""
-    lost = before.where("rank0 = 0").join(after.select("qid").distinct(), "qid", "left_anti")
-    return after.unionByName(lost.select(*after.columns))
+    A query that would lose all its rows keeps its best one. One pass, no join back.
+    """
+    own = F.when(F.coalesce("summary_hash", F.lit("")) == "", F.concat(F.lit("#"), F.col("id"))).otherwise(F.col("summary_hash"))
+    valid, w, q = is_valid(cfg.now), Window.partitionBy("qid", own), Window.partitionBy("qid")
+    flagged = hits.withColumn("_ok", valid).withColumn("_first", F.min(F.when(F.col("_ok"), F.col("rank0"))).over(w))
+    newest = Window.partitionBy("qid", own, "_ok").orderBy(F.desc("timestamp"), "id")
+    flagged = flagged.withColumn("_n", F.row_number().over(newest)).withColumn("_some", F.bool_or("_ok").over(q))
+    kept = flagged.where((F.col("_ok") & (F.col("_n") == 1)) | (~F.col("_some") & (F.col("rank0") == 0)))
+    return ranked(kept.drop("rank0"), F.coalesce("_first", F.lit(0)), F.col("id")).drop("_ok", "_first", "_n", "_some")
 
 
 def search(queries: DataFrame, store: DataFrame, access: DataFrame, query_vectors: DataFrame | None, entry_vectors: DataFrame | None, cfg: Search) -> DataFrame:
@@ -215,12 +215,14 @@ def search(queries: DataFrame, store: DataFrame, access: DataFrame, query_vector
     hits = hits.withColumn("mode", F.when(single_fts, "fts_only").when(F.col("n_channels") == 1, "embed_only").otherwise("dual_rrf")).drop("n_channels", "only")
     hits = forgotten(hits, store, access, cfg)
     wide = hits.join(store.select("id", "summary", "summary_hash", "timestamp", "deprecated", "expires_at", "type"), "id")
-    kept = or_unfiltered(wide, latest_versions(wide, cfg))
-    none = queries.select("qid").join(kept.select("qid").distinct(), "qid", "left_anti")
-    latest = store.orderBy(F.desc("timestamp"), "id").limit(cfg.top_k)
-    latest = latest.select("id", F.lit(0.0).alias("score"), F.lit("time_desc").alias("mode"), "summary", "summary_hash", "timestamp", "deprecated", "expires_at", "type")
-    latest = latest.withColumn("rank0", F.row_number().over(Window.orderBy(F.desc("timestamp"), "id")) - 1)  # top_k rows
-    kept = kept.unionByName(none.crossJoin(F.broadcast(latest)).select(*kept.columns))
+    kept = or_unfiltered(wide, cfg)
+    fields = ["id", "score", "mode", "summary", "type", "rank0"]
+    row = F.struct(*fields)
+    latest = store.orderBy(F.desc("timestamp"), "id").limit(cfg.top_k)  # top_k rows come to one task
+    latest = latest.withColumn("rank0", F.row_number().over(Window.orderBy(F.desc("timestamp"), "id")).cast("long") - 1)
+    latest = latest.select("id", F.lit(0.0).alias("score"), F.lit("time_desc").alias("mode"), "summary", "type", "rank0").agg(F.collect_list(row).alias("_latest"))
+    every = queries.select("qid").join(kept.select("qid", *fields), "qid", "left").crossJoin(F.broadcast(latest))
+    kept = every.select("qid", F.explode(F.when(F.col("id").isNull(), F.col("_latest")).otherwise(F.array(row))).alias("r")).select("qid", "r.*")
     return graded(kept, cfg).select("qid", F.col("rank0").alias("rank"), "id", "score", "mode", "type", compact(F.col("summary")).alias("summary"), "quality", "grade", "weak_match")
 
 

@@ -41,7 +41,7 @@ def a3(spark, d):
     return miss_rate(log, "2024-01-23 00:00:00")
 
 
-@query("a4_concerns", "WITH w AS (SELECT user_id % 20 AS concern, count(*) FILTER (ts >= TIMESTAMP '2024-01-23 00:00:00' AND event_type = 'signup') AS recent, count(*) AS ever FROM events GROUP BY 1), t AS (SELECT *, max(recent) OVER () AS any_recent FROM w) SELECT concern, CASE WHEN any_recent > 0 THEN CASE WHEN recent >= 3 THEN 1.0 WHEN recent >= 1 THEN 0.7 ELSE 0.5 END ELSE CASE WHEN ever >= 3 THEN 1.0 WHEN ever >= 1 THEN 0.7 ELSE 0.5 END END AS activity FROM t")
+@query("a4_concerns", "WITH w AS (SELECT user_id % 20 AS concern, count(*) FILTER (ts >= TIMESTAMP '2024-01-23 00:00:00' AND event_type = 'signup') AS recent, count(*) AS ever FROM events GROUP BY 1), t AS (SELECT *, max(recent) OVER () AS any_recent FROM w) SELECT concern, CASE WHEN any_recent > 0 THEN CASE WHEN recent >= 3 THEN 1.0::DOUBLE WHEN recent >= 1 THEN 0.7 ELSE 0.5 END ELSE CASE WHEN ever >= 3 THEN 1.0::DOUBLE WHEN ever >= 1 THEN 0.7 ELSE 0.5 END END AS activity FROM t")
 def a4(spark, d):
     e = table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("concern")).agg(F.count_if((F.col("ts") >= F.lit("2024-01-23").cast("timestamp")) & (F.col("event_type") == "signup")).alias("recent"), F.count("*").alias("ever"))
     any_recent = e.agg(F.max("recent").alias("m"))
@@ -55,10 +55,10 @@ def a5(spark, d):
     return table(spark, d, "lineitem").groupBy(F.least(a, b).alias("id1"), F.greatest(a, b).alias("id2")).agg(F.count("*").alias("n")).where("n >= 5")
 
 
-@query("a6_clusters", f"WITH {STORE}, t AS (SELECT * FROM store WHERE confidence > 0.6 ORDER BY confidence DESC, id LIMIT 500) SELECT source_agent, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, arg_max(id, (confidence, length(summary), id)) AS representative, list_slice(list_sort(list(id)), 1, 5) AS refs FROM t GROUP BY source_agent HAVING count(*) >= 3")
+@query("a6_clusters", f"WITH {STORE}, t AS (SELECT * FROM store WHERE confidence > 0.6 ORDER BY confidence DESC, id LIMIT 500) SELECT source_agent, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, arg_max(id, (confidence, length(summary), id)) AS representative, array_to_string(list_slice(list_sort(list(id)), 1, 5), ',') AS refs FROM t GROUP BY source_agent HAVING count(*) >= 3")
 def a6(spark, d):
     t = store(spark, d).where("confidence > 0.6").orderBy(F.desc("confidence"), "id").limit(500)
-    g = t.groupBy("source_agent").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.max_by("id", F.struct("confidence", F.length("summary"), "id")).alias("representative"), F.slice(F.sort_array(F.collect_list("id")), 1, 5).alias("refs"))
+    g = t.groupBy("source_agent").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.max_by("id", F.struct("confidence", F.length("summary"), "id")).alias("representative"), F.array_join(F.slice(F.sort_array(F.collect_list("id")), 1, 5), ",").alias("refs"))
     return g.where("n >= 3")
 
 
@@ -89,7 +89,7 @@ def a10(spark, d):
     return g.withColumn("write_storm", F.col("writes") > 1).withColumn("read_storm", F.col("reads") > 3).where("write_storm or read_storm")
 
 
-@query("a11_z4_snapshot", f"WITH {STORE} SELECT type, count(*) AS n, count(*) FILTER (g1_check_passed = 0) AS g0, count(*) FILTER (g1_check_passed = 1) AS g1, count(*) FILTER (g1_check_passed = 2) AS g2, sum(train_eligible) AS eligible, max(updated_at) AS updated, max(timestamp) AS latest FROM store GROUP BY type")
+@query("a11_z4_snapshot", f"WITH {STORE} SELECT type, count(*) AS n, count(*) FILTER (g1_check_passed = 0) AS g0, count(*) FILTER (g1_check_passed = 1) AS g1, count(*) FILTER (g1_check_passed = 2) AS g2, sum(train_eligible)::BIGINT AS eligible, max(updated_at) AS updated, max(timestamp) AS latest FROM store GROUP BY type")
 def a11(spark, d):
     return store(spark, d).groupBy("type").agg(F.count("*").alias("n"), *[F.count_if(F.col("g1_check_passed") == i).alias(f"g{i}") for i in range(3)], F.sum("train_eligible").alias("eligible"), F.max("updated_at").alias("updated"), F.max("timestamp").alias("latest"))
 
@@ -124,7 +124,7 @@ def a15(spark, d):
 
     j = top("importance", "ra").join(top("confidence", "rb"), "id", "full")
     state = F.when(F.col("ra").isNull(), "added").when(F.col("rb").isNull(), "removed").otherwise("kept")
-    return j.select("id", state.alias("state"), (F.col("ra") - F.col("rb")).alias("delta"))
+    return j.select("id", state.alias("state"), (F.col("ra") - F.col("rb")).cast("long").alias("delta"))
 
 
 @query("a16_z2_integrity", "SELECT (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)) AS dangling_parts, (SELECT count(*) FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey) AS orders_without_lines, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS suppliers_used, (SELECT count(*) FROM (SELECT l_partkey FROM lineitem UNION SELECT l_suppkey + 100000 FROM lineitem)) AS endpoints")

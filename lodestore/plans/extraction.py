@@ -10,7 +10,7 @@ from ..functions.text import unescape
 from ..registry import query
 from .common import STORE, store, table
 
-@query("x33_x34_p16_event_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN DATE '2026-09-01' - CAST(7 * (o_orderkey % 9) AS INT) ELSE CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 4 = 3 THEN 0.85 ELSE 0.95 END AS confidence FROM orders")
+@query("x33_x34_p16_event_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN DATE '2026-09-01' - CAST(7 * (o_orderkey % 9) AS INT) ELSE CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 4 = 3 THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM orders")
 def x33(spark, d):
     k = F.col("o_orderkey") % 4
     at = F.col("o_orderdate").cast("date")
@@ -19,9 +19,9 @@ def x33(spark, d):
     return table(spark, d, "orders").select("o_orderkey", found.alias("f")).select("o_orderkey", "f.day", "f.confidence")
 
 
-@query("x35_p15_entities", "SELECT page_id, list_sort(list_distinct(list_filter(regexp_extract_all(html, '\"([A-Za-z0-9_\\-]{2,40})\"', 1), lambda n: length(n) BETWEEN 2 AND 60))) AS names FROM pages")
+@query("x35_p15_entities", "SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '\"([A-Za-z0-9_\\-]{2,40})\"', 1), lambda n: length(n) BETWEEN 2 AND 60))), ',') AS names FROM pages")
 def x35(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sort_array(X.entities(F.col("html"))).alias("names"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.sort_array(X.entities(F.col("html"))), ",").alias("names"))
 
 
 @query("x36_p17_triples")
@@ -57,7 +57,7 @@ def web_entries(pages):
     return out.withColumn("summary_hash", summary_hash(F.col("summary")))
 
 
-@query("z1_normal_relations", f"WITH {STORE}, r AS (SELECT source_agent AS a, lang AS b, count(*) AS n FROM store GROUP BY ALL) SELECT least(a, b) AS id1, greatest(a, b) AS id2, sum(n) AS n FROM r WHERE a <> b GROUP BY ALL")
+@query("z1_normal_relations", f"WITH {STORE}, r AS (SELECT source_agent AS a, lang AS b, count(*) AS n FROM store GROUP BY ALL) SELECT least(a, b) AS id1, greatest(a, b) AS id2, sum(n)::BIGINT AS n FROM r WHERE a <> b GROUP BY ALL")
 def z1(spark, d):
     r = store(spark, d).groupBy(F.col("source_agent").alias("a"), F.col("lang").alias("b")).agg(F.count("*").alias("n")).where("a <> b")
     return r.groupBy(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2")).agg(F.sum("n").alias("n"))

@@ -15,7 +15,7 @@ from .common import NOW, STORE, store, table
 
 @query("s2_f13_expand", f"WITH {STORE} SELECT id, summary, content, confidence, importance, length(content) AS chars, 'expand' AS tier FROM store WHERE id = 'm00000042'")
 def s2(spark, d):
-    return store(spark, d).where(F.col("id") == "m00000042").select("id", "summary", "content", "confidence", "importance", F.length("content").alias("chars"), F.lit("expand").alias("tier"))
+    return store(spark, d).where(F.col("id") == "m00000042").select("id", "summary", "content", "confidence", "importance", F.length("content").cast("long").alias("chars"), F.lit("expand").alias("tier"))
 
 
 @query("s3_j11_batch_lookup", f"WITH {STORE} SELECT id, summary, timestamp FROM store SEMI JOIN (SELECT DISTINCT concat('m', lpad(CAST(user_id AS VARCHAR), 8, '0')) AS id FROM events) USING (id)")
@@ -29,7 +29,7 @@ def s4(spark, d):
     return store(spark, d).where(F.col("timestamp").between("2026-02-01T00:00:00Z", "2026-03-01T00:00:00Z")).orderBy(F.desc("timestamp"), "id").limit(50).select("id", "timestamp", "type")
 
 
-@query("s5_recent", f"WITH {STORE} SELECT id, timestamp, 0.0 AS score FROM store ORDER BY timestamp DESC, id LIMIT 5")
+@query("s5_recent", f"WITH {STORE} SELECT id, timestamp, 0.0::DOUBLE AS score FROM store ORDER BY timestamp DESC, id LIMIT 5")
 def s5(spark, d):
     return store(spark, d).orderBy(F.desc("timestamp"), "id").limit(5).select("id", "timestamp", F.lit(0.0).alias("score"))
 
@@ -92,10 +92,10 @@ def write_problems(summary, content, confidence):
     )
 
 
-@query("f7_write_filter", f"WITH {STORE}, r AS (SELECT id, list_filter([CASE WHEN length(trim(summary)) < 4 THEN 'short' END, CASE WHEN length(content) > 10000 THEN 'long_content' END, CASE WHEN length(summary) > 2000 THEN 'long_summary' END, CASE WHEN confidence < 0.3 THEN 'confidence' END, CASE WHEN regexp_matches(trim(summary), '(?i)^(test|delete|remove)\\s*$|system prompt|^#+\\s*$') THEN 'banned' END], lambda x: x IS NOT NULL) AS reasons FROM store) SELECT id, reasons, CASE WHEN len(reasons) = 0 THEN 1 ELSE 0 END AS train_eligible FROM r")
+@query("f7_write_filter", f"WITH {STORE}, r AS (SELECT id, list_filter([CASE WHEN length(trim(summary)) < 4 THEN 'short' END, CASE WHEN length(content) > 10000 THEN 'long_content' END, CASE WHEN length(summary) > 2000 THEN 'long_summary' END, CASE WHEN confidence < 0.3 THEN 'confidence' END, CASE WHEN regexp_matches(trim(summary), '(?i)^(test|delete|remove)\\s*$|system prompt|^#+\\s*$') THEN 'banned' END], lambda x: x IS NOT NULL) AS reasons FROM store) SELECT id, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 1 ELSE 0 END AS train_eligible FROM r")
 def f7(spark, d):
     reasons = write_problems(F.col("summary"), F.col("content"), F.col("confidence"))
-    return store(spark, d).select("id", reasons.alias("reasons")).withColumn("train_eligible", F.when(F.size("reasons") == 0, 1).otherwise(0))
+    return store(spark, d).select("id", reasons.alias("reasons")).select("id", F.array_join("reasons", ",").alias("reasons"), F.when(F.size("reasons") == 0, 1).otherwise(0).alias("train_eligible"))
 
 
 @query("f8_ingest_filter")

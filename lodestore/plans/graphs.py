@@ -70,7 +70,7 @@ def j12(spark, d):
     o = table(spark, d, "orders")
     g = o.where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("qid")).agg(F.collect_list("o_orderkey").alias("expected5"))
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    r = o.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("expected"), "rank")
+    r = o.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("expected"), "rank")
     return g.select("qid", F.explode("expected5").alias("expected")).join(r, ["qid", "expected"], "left")
 
 

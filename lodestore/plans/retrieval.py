@@ -158,7 +158,7 @@ def route(text):
     return mode, sure
 
 
-@query("r25_router", "WITH q AS (SELECT page_id, trim(url) AS q FROM pages), p AS (SELECT *, regexp_extract(q, '([A-Za-z]{2,}[-_][A-Za-z0-9]+|\\d{4,}|[\\w.-]+\\.(?:py|json|yaml|yml|sh|db|md|log|conf|plist|toml|bak)\\b)', 1) AS f, list_min(list_filter(list_transform([" + ", ".join(f"'{w}'" for w in ROUTER_FAST) + "], lambda w: strpos(q, w)), lambda x: x > 0)) AS s FROM q) SELECT page_id, CASE WHEN f <> '' OR s IS NOT NULL THEN 'fts' ELSE 'dual' END AS mode, CASE WHEN f <> '' OR s IS NOT NULL THEN 0.9 ELSE 0.5 END AS sure FROM p")
+@query("r25_router", "WITH q AS (SELECT page_id, trim(url) AS q FROM pages), p AS (SELECT *, regexp_extract(q, '([A-Za-z]{2,}[-_][A-Za-z0-9]+|\\d{4,}|[\\w.-]+\\.(?:py|json|yaml|yml|sh|db|md|log|conf|plist|toml|bak)\\b)', 1) AS f, list_min(list_filter(list_transform([" + ", ".join(f"'{w}'" for w in ROUTER_FAST) + "], lambda w: strpos(q, w)), lambda x: x > 0)) AS s FROM q) SELECT page_id, CASE WHEN f <> '' OR s IS NOT NULL THEN 'fts' ELSE 'dual' END AS mode, CASE WHEN f <> '' OR s IS NOT NULL THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS sure FROM p")
 def r25(spark, d):
     mode, sure = route(F.col("url"))
     return table(spark, d, "pages").select("page_id", mode.alias("mode"), sure.alias("sure"))
@@ -177,7 +177,7 @@ def r27(spark, d):
 def federated(parts, limit):
     """Interleave (source, item, s) tables by rank: no summing across sources."""
     w = Window.partitionBy("source").orderBy(F.desc("s"), "item")
-    each = [p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit) for p in parts]
+    each = [p.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit) for p in parts]
     out = each[0]
     for p in each[1:]:
         out = out.unionByName(p)

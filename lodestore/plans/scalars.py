@@ -79,7 +79,7 @@ def _pairs(spark, d):
 def x13(spark, d):
     g = _pairs(spark, d).select("i", "j", X.ngrams(F.col("a"), 3).alias("ta"), X.ngrams(F.col("b"), 3).alias("tb"), X.ngrams(F.col("a"), 2).alias("da"), X.ngrams(F.col("b"), 2).alias("db"))
     differ = F.array_union(F.array_except("da", "db"), F.array_except("db", "da"))
-    return g.select("i", "j", F.round(X.jaccard(F.col("ta"), F.col("tb")), 8).alias("jaccard3"), F.round(X.dice(F.col("da"), F.col("db")), 8).alias("dice2"), F.size(differ).alias("differ"))
+    return g.select("i", "j", F.round(X.jaccard(F.col("ta"), F.col("tb")), 8).alias("jaccard3"), F.round(X.dice(F.col("da"), F.col("db")), 8).alias("dice2"), F.size(differ).cast("long").alias("differ"))
 
 
 @query("x10_x14_ratio")
@@ -94,7 +94,7 @@ STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) +
 @query("x15_x16_x20_topics", f"WITH {PAIRS}, g AS (SELECT i, j, list_distinct(list_filter(regexp_extract_all(lower(a), '([a-z0-9]+)', 1), lambda w: length(w) > 1 AND w NOT IN {STOPS})) AS ka, list_distinct(list_filter(regexp_extract_all(lower(b), '([a-z0-9]+)', 1), lambda w: length(w) > 1 AND w NOT IN {STOPS})) AS kb FROM pairs) SELECT i, j, len(list_intersect(ka, kb)) AS shared, round(CASE WHEN len(ka) = 0 OR len(kb) = 0 THEN 0.0 ELSE len(list_intersect(ka, kb)) / greatest(len(ka), len(kb))::DOUBLE END, 8) AS topic FROM g")
 def x15(spark, d):
     g = _pairs(spark, d).select("i", "j", X.keywords(F.col("a"), STOP_WORDS).alias("ka"), X.keywords(F.col("b"), STOP_WORDS).alias("kb"))
-    return g.select("i", "j", F.size(F.array_intersect("ka", "kb")).alias("shared"), F.round(X.overlap(F.col("ka"), F.col("kb")), 8).alias("topic"))
+    return g.select("i", "j", F.size(F.array_intersect("ka", "kb")).cast("long").alias("shared"), F.round(X.overlap(F.col("ka"), F.col("kb")), 8).alias("topic"))
 
 
 @query("x21_x22_x23_decay", f"WITH {STORE}, t AS (SELECT *, (1788220800 - ts) // 86400 AS days, CASE half_life WHEN '30d' THEN 30 WHEN '90d' THEN 90 WHEN '8w' THEN 56 WHEN '6m' THEN 180 WHEN '2y' THEN 730 END AS hl FROM store) SELECT id, days, hl, round(greatest(0.1::DOUBLE, trust_score * pow(0.95::DOUBLE, days)), 2) AS trust, round(greatest(0.05::DOUBLE, confidence * pow(0.5::DOUBLE, days / hl::DOUBLE)), 2) AS confidence FROM t")
@@ -152,7 +152,7 @@ def private_host(host):
 def x40(spark, d):
     ws = F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z]{3,})"), 1), lambda x: ~F.lower(x).isin("the", "and", "for", "with", "that", "this", "are", "was"))
     names = F.filter(ws, lambda x: x.rlike("^[A-Z]"))
-    return table(spark, d, "benchmark").select("item_id", F.size(ws).alias("n_words"), F.size(names).alias("entities"), (F.size(names) >= 3).alias("complex"))
+    return table(spark, d, "benchmark").select("item_id", F.size(ws).cast("long").alias("n_words"), F.size(names).cast("long").alias("entities"), (F.size(names) >= 3).alias("complex"))
 
 
 @query("x42_split", "WITH h AS (SELECT item_id, sha256('42:' || item_id) AS k FROM benchmark), r AS (SELECT item_id, k, row_number() OVER (ORDER BY k) AS n, count(*) OVER () AS total FROM h) SELECT item_id, CASE WHEN n <= round(total * 0.8) THEN 'train' ELSE 'val' END AS part FROM r")

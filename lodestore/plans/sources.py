@@ -11,7 +11,7 @@ from ..sources import files
 from .common import STORE, store, table
 
 
-@query("s8_jsonl", "SELECT user_id, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS INT)) AS k FROM events WHERE event_id % 10 <> 0 GROUP BY user_id")
+@query("s8_jsonl", "SELECT user_id, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS INT))::BIGINT AS k FROM events WHERE event_id % 10 <> 0 GROUP BY user_id")
 def s8(spark, d):
     line = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.col("props"))
     rows = table(spark, d, "events").select("user_id", F.from_json(line, "k int", {"mode": "PERMISSIVE"}).alias("j")).where("j.k is not null")
