@@ -27,6 +27,8 @@ Q = 10
 MIN_ITEM = 60
 #: Edits allowed for each byte of an item.
 EDIT_RATE = 0.08
+#: Longer items are also looked for in windows of so many bytes, half overlapping: a passage of 1.5 windows holds a whole one.
+WINDOW = 100
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 16 << 20
 _MUL, _BITS = np.uint64(0x9E3779B97F4A7C15), 22
@@ -52,13 +54,18 @@ def budget(m: int) -> int:
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items and of the windows of long ones. Parts are (item number, offset, bytes)."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items = [(i, t) for i, t in items if len(t) >= Q]
-        own = [grams(t) for _, t in self.items]
-        self.size = np.array([len(t) for _, t in self.items], np.int64)
-        self.edits = np.array([budget(len(t)) for _, t in self.items], np.int64)
+        self.parts = [(k, 0, t) for k, (_, t) in enumerate(self.items)]
+        for k, (_, t) in enumerate(self.items):
+            if len(t) >= WINDOW * 3 // 2:
+                last = len(t) - WINDOW
+                self.parts += [(k, a, t[a : a + WINDOW]) for a in sorted({*range(0, last, WINDOW // 2), last})]
+        own = [grams(t) for *_, t in self.parts]
+        self.size = np.array([len(t) for *_, t in self.parts], np.int64)
+        self.edits = np.array([budget(len(t)) for *_, t in self.parts], np.int64)
         self.bound = np.maximum(self.size - Q + 1 - self.edits * Q, 1)
         self.least = 1 if own else 1 << 62  # hits that a text needs at all
         gram = np.concatenate(own) if own else np.empty(0, np.uint64)
@@ -70,7 +77,7 @@ class Index:
         self.bits[(self.gram * _MUL) >> np.uint64(64 - _BITS)] = True
 
     def regions(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(item, lowest start, highest start) of bands that reach the bound."""
+        """(part, lowest start, highest start) of bands that reach the bound."""
         g = grams(text)
         at = np.flatnonzero(self.bits[(g * _MUL) >> np.uint64(64 - _BITS)])
         if len(at) < self.least:
@@ -141,20 +148,28 @@ def banded_alignment(item: bytes, text: bytes, edits: int) -> tuple[int, int, in
     return (int(cost[end]), int(start[end]), end) if cost[end] <= edits else None
 
 
-def find_items(text: bytes, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item number, start, end, edits) of every item found, its best place only."""
+def find_items(text: bytes, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(item number, start, end, edits, whole) of every item found: its best whole place, else what its windows cover."""
     best: dict[int, tuple[int, int, int]] = {}
     for i, first, last in index.regions(text):
-        if best.get(i, (1,))[0] == 0:
-            continue
+        item, offset, part = index.parts[i]
+        if best.get(i, (1,))[0] == 0 or (offset or len(part) < len(index.items[item][1])) and item in best:
+            continue  # found without an edit, or a window of an item that stands here whole (whole items come first)
         k = int(index.edits[i])
-        a, b = max(0, first - k), min(len(text), last + int(index.size[i]) + k)
-        same = text.find(index.items[i][1], a, b)
-        found = (0, same - a, same - a + len(index.items[i][1])) if same >= 0 else banded_alignment(index.items[i][1], text[a:b], k)
+        a, b = max(0, first - k), min(len(text), last + len(part) + k)
+        same = text.find(part, a, b)
+        found = (0, same - a, same - a + len(part)) if same >= 0 else banded_alignment(part, text[a:b], k)
         if found:
             hit = (found[0], a + found[1], a + found[2])
             best[i] = min(best.get(i, hit), hit)
-    return [(i, a, b, e) for i, (e, a, b) in sorted(best.items())]
+    whole = {i: hit for i, hit in best.items() if i < len(index.items)}
+    out = [(i, a, b, e, 1) for i, (e, a, b) in whole.items()]
+    pieces: dict[int, list[tuple[int, int, int]]] = {}
+    for i, hit in best.items():
+        if i >= len(index.items) and index.parts[i][0] not in whole:
+            pieces.setdefault(index.parts[i][0], []).append(hit)
+    out += [(k, min(h[1] for h in own), max(h[2] for h in own), sum(h[0] for h in own), 0) for k, own in pieces.items()]
+    return sorted(out)
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -171,12 +186,12 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "item_id", "start_byte", "end_byte", "edits", "item_bytes")])
+FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "item_id", "start_byte", "end_byte", "edits", "whole", "item_bytes")])
 _indexes: dict[str, Index] = {}  # the last block's index, kept by a worker between tasks
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_byte, end_byte, edits, item_bytes) of every item found in every document.
+    """(doc_id, item_id, start_byte, end_byte, edits, whole, item_bytes) of every item, or passage of one, found in every document.
 
     Offsets count bytes of the text in lower case with single spaces.
     """
@@ -194,8 +209,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for pdf in batches:
                 rows = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    for i, a, b, e in find_items(plain_bytes(text), index):
-                        rows.append((doc_id, index.items[i][0], a, b, e, len(index.items[i][1])))
+                    for i, a, b, e, whole in find_items(plain_bytes(text), index):
+                        rows.append((doc_id, index.items[i][0], a, b, e, whole, len(index.items[i][1])))
                 yield pd.DataFrame(rows, columns=FOUND.names, dtype="int64")
 
         part = narrow.mapInPandas(run, FOUND)

@@ -208,8 +208,12 @@ def test_planted_items_are_found(spark, small, odd_docs, no_docs):
             x[at] = ord("z") if x[at] < 128 else x[at]
         rows.append((i, ("Leading words. " * 30) + bytes(x).decode("utf-8", "ignore") + " trailing words" * 30))
     rows.append((10_000, "clean words only " * 50))
+    long = {i: t for i, t in items.items() if len(t) >= 200}
+    for i, t in long.items():
+        cut = t[len(t) // 5 : len(t) // 5 + 155].decode("utf-8", "ignore")
+        rows.append((20_000 + i, "Other words before. " * 9 + cut + " and after" * 9))
     found = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert found >= {(i, i) for i in items} and not any(d == 10_000 for d, _ in found)
+    assert long and found >= {(i, i) for i in items} | {(20_000 + i, i) for i in long} and not any(d == 10_000 for d, _ in found)
     exact = {(r["doc_id"], i) for r in small.collect() for i, t in items.items() if t in D.plain_bytes(r["text"])}
     assert exact <= {(r["doc_id"], r["item_id"]) for r in D.contaminated(small, bench).collect()}
     assert D.contaminated(odd_docs, bench.unionByName(spark.createDataFrame([(None, "x"), (900, None), (901, "short")], "item_id long, text string"))).count() == 0
