@@ -162,9 +162,13 @@ def fused(channels: dict[str, DataFrame], store: DataFrame, cfg: Search, top_k:
             continue
         part = channel.select("qid", "id", "score", "rank0", F.lit(name).alias("channel"), (1.0 / (cfg.rrf_k + F.col("rank0") / w + 1)).alias("part"))
         parts = part if parts is None else parts.unionByName(part)
-    answered = parts.groupBy("qid").agg(F.countDistinct("channel").alias("n_channels"), F.min("channel").alias("only"))
-    sums = parts.groupBy("qid", "id").agg(F.sum("part").alias("rrf"), F.max("score").alias("raw"), F.min("rank0").alias("own_rank"))
-    sums = sums.join(answered, "qid").join(store.select("id", "confidence"), "id")
+    names = [n for n in channels if cfg.weights.get(n, 1.0) > 0]
+    flags = [F.max(F.when(F.col("channel") == n, 1).otherwise(0)).alias(f"_is{i}") for i, n in enumerate(names)]
+    sums = parts.groupBy("qid", "id").agg(F.sum("part").alias("rrf"), F.max("score").alias("raw"), F.min("rank0").alias("own_rank"), *flags)
+    by = Window.partitionBy("qid")
+    used = [F.max(f"_is{i}").over(by) for i in range(len(names))]
+    sums = sums.withColumn("n_channels", sum(used[1:], used[0]).cast("long")).withColumn("only", F.coalesce(*[F.when(u == 1, F.lit(n)) for u, n in sorted(zip(used, names, strict=True), key=lambda x: x[1])]))
+    sums = sums.join(store.select("id", "confidence"), "id")
     boosted = F.round(F.col("rrf") * (1 + cfg.confidence_boost * F.coalesce(F.when(F.col("confidence") != 0, F.col("confidence")), F.lit(cfg.default_confidence))), 9)
     single = F.col("n_channels") == 1
     scored = sums.select("qid", "id", F.when(single, F.col("raw")).otherwise(boosted).alias("score"), F.when(single, F.col("own_rank")).otherwise(0).alias("_o"), "n_channels", "only")
