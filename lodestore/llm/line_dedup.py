@@ -42,7 +42,7 @@ def row_key(docs: DataFrame) -> DataFrame:
 
 def line_hashes(docs: DataFrame) -> DataFrame:
     """(_d, _t, _pos, _a, _b) of every line with a key; numbers only, so texts are not carried along."""
-    lines = row_key(docs).select("_d", "_t", F.posexplode(text_lines(F.col("text"))).alias("_pos", "_line"))
+    lines = row_key(docs).select("_d", "_t", F.posexplode_outer(text_lines(F.col("text"))).alias("_pos", "_line"))
     keyed = lines.select("_d", "_t", "_pos", line_key(F.col("_line")).alias("_key")).where(F.length("_key") > 0)
     return keyed.select("_d", "_t", "_pos", F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(1), F.col("_key")).alias("_b"))
 
