@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestore import on_workers
+
 #: Rows of a narrow table (a few numbers a row) that may be broadcast; a count is taken before.
 BROADCAST_ROWS = 100_000
 
@@ -48,6 +50,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     The table stays until the driver ends, or until :func:`dropped` is called on it.
     """
     spark = df.sparkSession
+    on_workers(spark)
     path = f"{shared_dir(spark)}/lodestore-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _made[path] = spark
