@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import on_workers
 from .config import CONFLICT_SUBTYPES, CONFLICT_TYPES, SEMANTIC_RELATIONS, VALID_TYPES, Search
 from .functions.extract import entities, key_data, verified
 from .operators import retrieval as R
@@ -28,6 +29,9 @@ class Engine:
     edges: DataFrame | None = None
     concepts: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        on_workers(self.spark)
+
     def search_memories(self, texts: list[str] | DataFrame, mode: str = "auto", top_k: int = 5, track: str | None = None, types: str | None = None) -> DataFrame:
         """Results of one or many query texts. The track is applied before scoring, the types after the cut."""
         queries = texts if isinstance(texts, DataFrame) else self.spark.createDataFrame(list(enumerate(texts)), "qid long, text string")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import on_workers
 from ..config import Search
 from ..functions.lifecycle import grade_of, instant, quality_of
 from ..functions.text import tokens
@@ -118,6 +119,7 @@ def vectors(query_vectors: DataFrame, entry_vectors: DataFrame, cfg: Search) ->
     Entries stream past a block of queries as matrix products; of each batch only what can still be among a query's
     candidates is passed on, so the shuffle holds candidates, not pairs.
     """
+    on_workers(entry_vectors.sparkSession)
     spark, kinds = entry_vectors.sparkSession, dict(query_vectors.dtypes) | dict(entry_vectors.dtypes)
     schema, scored = f"qid {kinds['qid']}, id {kinds['id']}, score double", None
     for ids, matrix in _query_blocks(query_vectors):
