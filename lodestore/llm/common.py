@@ -14,9 +14,20 @@ from lodestore import on_workers
 #: Rows of a narrow table (a few numbers a row) that may be broadcast; a count is taken before.
 BROADCAST_ROWS = 100_000
 
+#: Rows of one Arrow batch of texts: a batch of long texts, as Python objects, must fit beside the JVM in an executor.
+BATCH_ROWS = 512
+
 _made: dict[str, SparkSession] = {}
 
 
+def ready(spark: SparkSession) -> None:
+    """Prepare the session for Python over whole texts: the package can be imported, and batches are small."""
+    on_workers(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or in local mode a temporary one set here."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -50,7 +61,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     The table stays until the driver ends, or until :func:`dropped` is called on it.
     """
     spark = df.sparkSession
-    on_workers(spark)
+    ready(spark)
     path = f"{shared_dir(spark)}/lodestore-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _made[path] = spark

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestore import on_workers
+from .common import ready
 
 Q = 10
 MIN_ITEM = 60
@@ -198,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Offsets count bytes of the text in lower case with single spaces.
     """
     spark = docs.sparkSession
-    on_workers(spark)
+    ready(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     out = None
     for block in item_blocks(benchmark):

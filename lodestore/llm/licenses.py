@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 # Base phrases and labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -128,6 +130,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row a document: counts, first and last base place, labels, score, and spans (label, start word, end word, edits)."""
+    ready(docs.sparkSession)
     spans = "array<struct<label:string,start_word:long,end_word:long,edits:int>>"
     narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     out = narrow.mapInPandas(_scan, f"doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {spans}")

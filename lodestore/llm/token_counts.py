@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -174,6 +176,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     docs needs doc_id, text, edits (array<struct<start long, stop long, insert string>>, in order; null: none). Returns doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_reencoded. The
     vocabulary (tens of thousands of entries, a fixed file) is sent to the executors once.
     """
+    ready(docs.sparkSession)
     held, name = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary)), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
