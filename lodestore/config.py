@@ -28,6 +28,7 @@ TYPE_COMPLEXITY = {
 BANNED_SUMMARIES = (r"^(test|测试|忽略|delete|remove)\s*$", r"^你是一个AI(助手|助理|模型)", r"system prompt", r"^#+\s*$")
 DENIED_URLS = ("login", "signin", "sign-in", "paywall", "subscribe", "登录", "付费", "会员", "个人数据", "隐私", "账号")
 STOCK_PHRASES = ("你好", "好的", "收到", "明白了", "嗯", "ok", "好的收到", "了解", "知道了", "没问题", "谢谢", "再见", "好的好的")
+STOP_CHARS = "的了是在与和及或就都也很于这那之而以对其为因由被把"
 STOP_WORDS = (
     "一个", "这个", "那个", "可以", "需要", "应该", "必须", "进行", "通过", "我们", "你们", "他们", "相关", "以及", "并且", "因为", "所以",
     "如果", "但是", "还是", "或者", "对于", "关于", "同时", "目前", "已经", "正在", "the", "a", "an", "of", "to", "in", "on", "for", "and",

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ANTONYMS, DEDUP_NEGATION_CHARS, DEDUP_NEGATION_TOKENS, NEGATIONS, RULE_WORDS, STOP_WORDS, UNITS, VALID_TYPES
+from ..config import ANTONYMS, DEDUP_NEGATION_CHARS, DEDUP_NEGATION_TOKENS, NEGATIONS, RULE_WORDS, STOP_CHARS, STOP_WORDS, UNITS, VALID_TYPES
 from ..functions import text as X
 
 
@@ -73,6 +73,36 @@ def duplicates(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     return similar_pairs(texts, threshold).where(~negation_differs(F.col("ga"), F.col("gb"))).select("a", "b", "dice")
 
 
+def conflict_keywords(col: Column) -> Column:
+    """Up to three pairs of CJK characters and the two longest words of Latin letters, none of them stop words: what a conflict is looked for by.
+
+    The survey's words are taken before white space goes: its own normal form would make all of an English summary one word.
+    """
+    text = F.lower(X.half_width(col))
+    pairs = F.filter(X.ngrams(F.regexp_replace(text, r"[^\x{4e00}-\x{9fff}]", ""), 2), lambda g: (F.length(g) == 2) & ~F.rlike(g, F.lit(f"[{STOP_CHARS}]")))
+    words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([a-z][a-z0-9]+)"), 1)), lambda w: ~w.isin(*STOP_WORDS))
+    longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2), lambda x: x["w"])
+    return F.concat(F.slice(F.array_sort(pairs), 1, 3), longest)
+
+
+def conflict_candidates(notes: DataFrame, limit: int = 5) -> DataFrame:
+    """(id, other): for each note the newest others whose summary holds any of its keywords, inside a longer word too.
+
+    A note's newest few are among the newest limit + 1 of each keyword (it may be one of them itself), so no keyword makes more pairs.
+    """
+    words = notes.select("id", F.explode(F.array_distinct(conflict_keywords(F.col("summary")))).alias("k"))
+    runs = F.regexp_extract_all(F.lower(X.half_width(F.col("summary"))), F.lit(r"([\x{4e00}-\x{9fff}]{2,}|[a-z0-9]{2,})"), 1)
+    run = notes.select("id", "timestamp", F.explode(F.array_distinct(runs)).alias("r"))
+    at = run.select("id", "timestamp", "r", F.explode(F.sequence(F.lit(1), F.length("r") - 1)).alias("i"))
+    most = F.when(F.col("r").rlike("[a-z0-9]"), F.length("r") - F.col("i") + 1).otherwise(F.lit(2))
+    held = at.select("id", "timestamp", F.explode(F.transform(F.sequence(F.lit(2), most), lambda n: F.substring("r", F.col("i"), n))).alias("k")).distinct()
+    w = Window.partitionBy("k").orderBy(F.desc("timestamp"), "id")
+    newest = held.join(words.select("k").distinct(), "k", "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit + 1)
+    pairs = words.join(newest.select("k", F.col("id").alias("other"), F.col("timestamp").alias("t2")), "k").where("id <> other").select("id", "other", "t2").distinct()
+    own = Window.partitionBy("id").orderBy(F.desc("t2"), "other")
+    return pairs.withColumn("n", F.row_number().over(own)).where(F.col("n") <= limit).select("id", "other")
+
+
 def conflict_class(a: Column, b: Column, similarity: Column) -> Column:
     """independent, extension, or one of the three conflict classes of two summaries."""
     topics = X.jaccard(X.topic_grams(a, STOP_WORDS), X.topic_grams(b, STOP_WORDS))
@@ -131,4 +161,4 @@ def frontmatter(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))["v"].alias("v")))).alias("meta"), body.alias("body"))
 
 
-__all__ = ["conflict_class", "duplicates", "first_layer", "frontmatter", "greedy_contradictions", "insertable", "merged", "negation_differs", "promoted", "similar_pairs"]
+__all__ = ["conflict_candidates", "conflict_class", "conflict_keywords", "duplicates", "first_layer", "frontmatter", "greedy_contradictions", "insertable", "merged", "negation_differs", "promoted", "similar_pairs"]

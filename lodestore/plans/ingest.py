@@ -66,11 +66,10 @@ def p6b(spark, d):
 
 @query("p7_x17_conflicts")
 def p7(spark, d):
-    """Each note against the notes that share its first word, newest five: class of the pair."""
-    s = store(spark, d).select("id", "summary", "timestamp", F.get(X.keywords(F.col("summary")), F.lit(0)).alias("k"), "doc_id").where("k is not null and length(k) >= 6")
-    other = s.select("k", F.col("id").alias("other"), F.col("summary").alias("b"), F.col("timestamp").alias("t2"))
-    w = Window.partitionBy("id").orderBy(F.desc("t2"), "other")
-    pairs = s.join(other, "k").where("id <> other").withColumn("n", F.row_number().over(w)).where("n <= 5")
+    """Each note against the newest five notes that hold any of its keywords: class of the pair."""
+    s = store(spark, d).select("id", "summary", "timestamp")
+    other = s.select(F.col("id").alias("other"), F.col("summary").alias("b"))
+    pairs = I.conflict_candidates(s).join(s, "id").join(other, "other")
     sim = F.greatest(X.ratio("summary", "b"), X.jaccard(X.ngrams(X.normal_text(F.col("summary")), 3), X.ngrams(X.normal_text(F.col("b")), 3)))
     scored = pairs.withColumn("similarity", F.round(sim, 6))
     return scored.select("id", "other", "similarity", I.conflict_class(F.col("summary"), F.col("b"), F.col("similarity")).alias("class"))

@@ -59,6 +59,20 @@ def test_conflict_classes(spark, a, b, want):
     assert got == want
 
 
+def test_conflict_candidates_hold_any_keyword(spark):
+    texts = ["a cat database", "old databases stay", "so on: a CAT", "数据库备份策略", "每日备份", "冲突 is on", "no tie", "", None, *[f"x{i} vector index" for i in range(9)], "an index, vectorised"]
+    rows = [(f"m{i:02}", t, f"2026-01-{1 + i * 7 % 20:02}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, summary string, timestamp string")
+    keys = {r["id"]: r["k"] for r in df.select("id", I.conflict_keywords(F.col("summary")).alias("k")).collect()}
+    assert keys["m00"] == ["database", "cat"] and keys["m03"] == sorted(["数据", "据库", "库备", "备份", "份策", "策略"])[:3] and keys["m05"] == ["冲突"]
+    newest = sorted(rows, key=lambda r: r[0])
+    newest.sort(key=lambda r: r[2], reverse=True)
+    want = {i: [o for o, t, _ in newest if o != i and any(k in (t or "").lower() for k in keys[i])][:5] for i, *_ in rows}
+    got = {(r["id"], r["other"]) for r in I.conflict_candidates(df).collect()}
+    assert got == {(i, o) for i, others in want.items() for o in others}
+    assert ("m00", "m01") in got and ("m00", "m02") in got and ("m02", "m00") in got and ("m01", "m00") not in got
+
+
 def test_similarity_dedup(spark):
     texts = [("a", "看板任务状态的查看方法"), ("b", "看板任务状态查看方法"), ("c", "系统每周六上午10点自动执行备份任务"), ("d", "系统每周六上午10点不自动执行备份任务"), ("e", "服务器机柜温度监控方案")]
     found = {(r["a"], r["b"]) for r in I.duplicates(spark.createDataFrame(texts, "id string, text string"), 0.8).collect()}
