@@ -74,9 +74,17 @@ class LineRuns:
     def frequent(self) -> DataFrame:
         return self.totals().where(F.col("_n") >= self.min_docs).select("_a", "_b")
 
-    def add(self, hashes: DataFrame) -> None:
-        """Add a batch: (_d, _t, _a, _b), any number of rows a line; no document may be in two batches."""
-        own = hashes.select("_d", "_t", "_a", "_b").distinct().groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+    def add(self, hashes: DataFrame, repeats: DataFrame | None = None) -> None:
+        """Add a batch: (_d, _t, _a, _b), any number of rows a line; no document may be in two batches.
+
+        repeats (_d, _t, _more) says how many further rows there are of a document that stands in more than one.
+        """
+        own = hashes.select("_d", "_t", "_a", "_b").distinct()
+        if repeats is None:
+            own = own.groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+        else:
+            more = joined_small(own, repeats, ["_d", "_t"], "left")
+            own = more.groupBy("_a", "_b").agg((F.count("*") + F.coalesce(F.sum("_more"), F.lit(0))).alias("_n"))
         if self.runs():
             own = own.join(self.frequent(), ["_a", "_b"], "left_anti")
         run = saved(own.sortWithinPartitions("_a", "_b"), "line-run")
@@ -108,9 +116,10 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
     a 64-bit word for every 64 lines that hold any.
     """
     hashes = saved(line_hashes(docs), "line-hashes")
+    repeats = saved(row_key(docs).groupBy("_d", "_t").agg((F.count("*") - 1).alias("_more")).where("_more > 0"), "line-repeats")
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for batch in range(batches):
-        runs.add(hashes.where(F.pmod(F.xxhash64("_d"), F.lit(batches)) == batch))
+        runs.add(hashes.where(F.pmod(F.xxhash64("_d"), F.lit(batches)) == batch), repeats)
     frequent = saved(runs.frequent(), "line-frequent")
     words = (
         joined_small(hashes, frequent, ["_a", "_b"], "left_semi")

@@ -162,6 +162,13 @@ def test_line_dedup(odd_docs, no_docs, odd_rows, batches, fanout):
     assert LD.drop_frequent_lines(no_docs).count() == 0
 
 
+def test_repeated_rows_count_each(spark):
+    rows = [(1, "often\nonce")] * 10 + [(None, "nameless")] * 6 + [(2, "nameless\nhere")] * 4 + [(3, "nine\nNINE")] * 9 + [(4, "own")]
+    out = LD.drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 10)
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect())
+    assert got == {(1, 2, 2, ""): 10, (None, 1, 1, ""): 6, (2, 2, 1, "here"): 4, (3, 2, 0, "nine\nNINE"): 9, (4, 1, 0, "own"): 1}
+
+
 def test_runs_are_levelled(spark):
     runs = LD.LineRuns(spark, min_docs=3, fanout=2)
     for i in range(5):
