@@ -50,13 +50,19 @@ def k3(spark, d):
     return I.insertable(s.where("doc_id % 4 <> 0"), s.where("doc_id % 4 = 0")).select("id", "summary_hash", "type", "source_ref")
 
 
-def _notes(spark, d):
+def _openings(spark, d):
+    """The first 60 characters of each summary, as the query's SQL has them."""
     return store(spark, d).select("id", F.substring("summary", 1, 60).alias("text"))
 
 
+def _notes(spark, d):
+    """Each note's summary and content, whole."""
+    return store(spark, d).select("id", F.concat(X.or_empty(F.col("summary")), F.lit("\n"), X.or_empty(F.col("content"))).alias("text"))
+
+
 @query("p6_x18_similar_pairs", f"WITH {STORE}, n AS (SELECT id, regexp_replace(lower(substr(summary, 1, 60)), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS t FROM store), g AS (SELECT id, CASE WHEN length(t) >= 2 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) ELSE list_distinct(string_split(t, '')) END AS g FROM n WHERE t <> ''), p AS (SELECT a.id AS a, b.id AS b, round(2 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g))::DOUBLE, 9) AS dice FROM g a JOIN g b ON a.id < b.id AND abs(len(a.g) - len(b.g)) <= 12) SELECT a, b, dice FROM p WHERE dice >= 0.9")
 def p6(spark, d):
-    return I.similar_pairs(_notes(spark, d)).select("a", "b", "dice")
+    return I.similar_pairs(_openings(spark, d)).select("a", "b", "dice")
 
 
 @query("p6_x19_duplicates")

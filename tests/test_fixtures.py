@@ -1,5 +1,7 @@
 """Literal fixtures and invariants of the engine's functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,18 @@ def test_similarity_dedup(spark):
     assert ("a", "b") in found and ("c", "d") not in found and not any("e" in p for p in found)
 
 
+def test_duplicates_are_judged_on_whole_notes(spark, tmp_path):
+    opening = "The quarterly report on warehouse automation was published today by"
+    r = random.Random(1)
+    body = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(400))
+    texts = [f"{opening} zebra jumping quickly over vexed gnomes 123", f"{opening} {body}", f"Once edited, this begins anew: {body}", f"My altered copy of it goes so: {body}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    import __spark_entry__
+
+    got = {(int(r["a"][1:]), int(r["b"][1:])) for r in __spark_entry__.queries()["p6_x19_duplicates"](spark, str(tmp_path)).collect()}
+    assert (2, 3) in got and not any(0 in p for p in got)
+
+
 def test_similar_pairs_are_complete(spark):
     words = ["alpha beta gamma", "alpha beta gamme", "alpha bета", "delta", "alphabeta gamma", "zzz", "", "delta!"]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, text string")
