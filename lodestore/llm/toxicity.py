@@ -29,10 +29,8 @@ from .quality import is_held_out, training_rows
 
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
-#: Labelled rows that the model is fitted on at most (those with the least hash of doc_id), and characters of each
-#: that are read for fitting. Scores read whole texts.
+#: Labelled rows that the model is fitted on at most (those with the least hash of doc_id). Fitting and scores read whole texts.
 MAX_ROWS = 3_000
-MAX_CHARS = 5_000
 SEQUENCE = 64
 BATCH = 2048  # sequences that go through the chain at once
 HASHES = 1 << 18
@@ -222,7 +220,8 @@ class ToxicityModel:
     @staticmethod
     def _chain(texts: list[str], y: np.ndarray) -> Chain:
         marks = marking_parts(texts, y)
-        words = [_TOKEN.findall(t) for t in texts]
+        one: dict[str, str] = {}  # each word is held once, however often the texts repeat it
+        words = [[one.setdefault(m[0], m[0]) for m in _TOKEN.finditer(t)] for t in texts]
         known: dict[str, bool] = {}
         marked = []
         for own, toxic in zip(words, y, strict=True):
@@ -287,7 +286,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     """doc_id, held_out, score, predicted, spans (start, end, probability) of every row of docs."""
     held = is_held_out(F.col("doc_id"), FOLDS, HELD)
     rows = training_rows(docs, labels, "toxic", held, max_rows)
-    rows = rows.select("doc_id", "y", F.substring(F.coalesce("text", F.lit("")), 1, MAX_CHARS).alias("text")).toPandas().sort_values(["doc_id", "text"])
+    rows = rows.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).toPandas().sort_values(["doc_id", "text"])
     model = ToxicityModel(rows["text"].tolist(), rows["y"].to_numpy(float))
     held_model = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -282,6 +282,20 @@ def test_toxic_spans(spark):
     assert {"idiot", "moron", "scum"} & set(found)
 
 
+def test_fitting_reads_whole_texts(spark, monkeypatch):
+    read = []
+
+    def seen(texts, y):
+        read.extend(t[-4:] for t in texts)
+        raise InterruptedError
+
+    monkeypatch.setattr(TX, "ToxicityModel", seen)
+    docs = spark.createDataFrame([(i, "plain words " * 1000 + "tail") for i in range(12)], "doc_id long, text string")
+    with pytest.raises(InterruptedError):
+        TX.toxicity_scores(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int"))
+    assert read and set(read) == {"tail"}
+
+
 # 7: SimHash
 
 
