@@ -93,6 +93,14 @@ def test_duplicates_are_judged_on_whole_notes(spark, tmp_path):
     assert (2, 3) in got and not any(0 in p for p in got)
 
 
+def test_key_data_of_whole_contents(spark, tmp_path):
+    spark.createDataFrame([(0, "plain words " * 200 + "on 2026-08-26 some 37% of it")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    import __spark_entry__
+
+    row = __spark_entry__.queries()["x7_x9_r21_verify"](spark, str(tmp_path)).first()
+    assert row["n_keys"] == row["passed"] == row["total"] == 2
+
+
 def test_similar_pairs_are_complete(spark):
     words = ["alpha beta gamma", "alpha beta gamme", "alpha bета", "delta", "alphabeta gamma", "zzz", "", "delta!"]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, text string")
