@@ -29,8 +29,9 @@ Q = 10
 MIN_ITEM = 60
 #: Edits allowed for each byte of an item.
 EDIT_RATE = 0.08
-#: Longer items are also looked for in windows of so many bytes, half overlapping: a passage of 1.5 windows holds a whole one.
-WINDOW = 100
+#: Items of MIN_ITEM bytes or more are also looked for in windows of so many bytes, or of this share of the item if that is less. Windows
+#: start an edit budget apart, so a passage of a window's size lacks no more than the budget of some window, at any offset.
+WINDOW, SHARE = 100, 0.75
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 16 << 20
 _MUL, _BITS = np.uint64(0x9E3779B97F4A7C15), 22
@@ -56,19 +57,23 @@ def budget(m: int) -> int:
 
 
 class Index:
-    """The q-grams of a block of items and of the windows of long ones. Parts are (item number, offset, bytes)."""
+    """The q-grams of a block of items. Parts are numbered: the items first, then the windows of each, which share its q-grams."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items = [(i, t) for i, t in items if len(t) >= Q]
-        self.parts = [(k, 0, t) for k, (_, t) in enumerate(self.items)]
-        for k, (_, t) in enumerate(self.items):
-            if len(t) >= WINDOW * 3 // 2:
-                last = len(t) - WINDOW
-                self.parts += [(k, a, t[a : a + WINDOW]) for a in sorted({*range(0, last, WINDOW // 2), last})]
-        own = [grams(t) for *_, t in self.parts]
-        self.size = np.array([len(t) for *_, t in self.parts], np.int64)
-        self.edits = np.array([budget(len(t)) for *_, t in self.parts], np.int64)
+        own = [grams(t) for _, t in self.items]
+        whole = np.array([len(t) for _, t in self.items], np.int64)
+        self.window = np.where(whole >= MIN_ITEM, np.minimum(WINDOW, (whole * SHARE).astype(np.int64)), 0)
+        self.stride = np.maximum((self.window * EDIT_RATE).astype(np.int64), 1)
+        self.last = np.where(self.window > 0, whole - self.window, 0)
+        self.count = np.where(self.window > 0, -(-self.last // self.stride) + 1, 0)
+        self.first = len(whole) + np.cumsum(self.count) - self.count
+        self.size = np.concatenate((whole, np.repeat(self.window, self.count)))
+        self.edits = np.concatenate((np.array([budget(len(t)) for _, t in self.items], np.int64), np.repeat((self.window * EDIT_RATE).astype(np.int64), self.count)))
         self.bound = np.maximum(self.size - Q + 1 - self.edits * Q, 1)
+        self.owner = np.concatenate((np.arange(len(whole)), np.repeat(np.arange(len(whole)), self.count)))
+        # hits that an item needs for itself or for any of its windows
+        self.need = np.minimum(self.bound[: len(whole)], np.where(self.window > 0, np.maximum(self.window - Q + 1 - (self.window * EDIT_RATE).astype(np.int64) * Q, 1), 1 << 62))
         self.least = 1 if own else 1 << 62  # hits that a text needs at all
         gram = np.concatenate(own) if own else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(own)), [len(g) for g in own])
@@ -78,6 +83,15 @@ class Index:
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.gram * _MUL) >> np.uint64(64 - _BITS)] = True
 
+    def part(self, i: int) -> tuple[int, int, bytes]:
+        """(item number, offset, bytes) of a part."""
+        k = int(self.owner[i])
+        text = self.items[k][1]
+        if i < len(self.items):
+            return k, 0, text
+        at = int(min((i - self.first[k]) * self.stride[k], self.last[k]))
+        return k, at, text[at : at + int(self.window[k])]
+
     def regions(self, text: bytes) -> list[tuple[int, int, int]]:
         """(part, lowest start, highest start) of bands that reach the bound."""
         g = grams(text)
@@ -90,11 +104,23 @@ class Index:
         if times.sum() < self.least:
             return []
         entry = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-        enough = np.bincount(self.item[entry], minlength=len(self.bound)) >= self.bound
+        enough = np.bincount(self.item[entry], minlength=len(self.need)) >= self.need
         entry, where = (x[enough[self.item[entry]]] for x in (entry, np.repeat(at, times)))
         if len(entry) == 0:
             return []
         item, place = self.item[entry], self.place[entry]
+        # each hit also counts in the windows that hold its q-gram
+        span, stride, last, count = self.window[item], self.stride[item], self.last[item], self.count[item]
+        low = np.minimum(np.maximum(-(-(place - span + Q) // stride), 0), count - 1)
+        high = np.where(place >= last, count - 1, place // stride)
+        times = np.where(count > 0, high - low + 1, 0)
+        k = np.repeat(np.arange(len(item)), times)
+        n = low[k] + np.arange(len(k)) - (np.cumsum(times) - times)[k]
+        item, place, where = (np.concatenate(x) for x in ((item, self.first[item[k]] + n), (place, place[k] - np.minimum(n * stride[k], last[k])), (where, where[k])))
+        many = np.flatnonzero(np.bincount(item, minlength=len(self.bound))[item] >= self.bound[item])
+        item, place, where = item[many], place[many], where[many]
+        if len(item) == 0:
+            return []
         width = np.maximum(self.edits[item], 1)
         band = (where - place + self.size[item]) // width
         # each hit counts in its own band and the one below: a band of number b spans diagonals of b and b + 1
@@ -151,26 +177,38 @@ def banded_alignment(item: bytes, text: bytes, edits: int) -> tuple[int, int, in
 
 
 def find_items(text: bytes, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(item number, start, end, edits, whole) of every item found: its best whole place, else what its windows cover."""
+    """(item number, start, end, edits, whole) of every item found: its best whole place, else what its windows cover.
+
+    Edits are settled only for windows that overlap no window of the item found before them.
+    """
     best: dict[int, tuple[int, int, int]] = {}
+    pieces: dict[int, list[tuple[int, tuple[int, int, int]]]] = {}
+    later = []
     for i, first, last in index.regions(text):
-        item, offset, part = index.parts[i]
-        if best.get(i, (1,))[0] == 0 or (offset or len(part) < len(index.items[item][1])) and item in best:
+        k, offset, part = index.part(i)
+        if best.get(i, (1,))[0] == 0 or i >= len(index.items) and k in best:
             continue  # found without an edit, or a window of an item that stands here whole (whole items come first)
-        k = int(index.edits[i])
-        a, b = max(0, first - k), min(len(text), last + len(part) + k)
+        edits = int(index.edits[i])
+        a, b = max(0, first - edits), min(len(text), last + len(part) + edits)
         same = text.find(part, a, b)
-        found = (0, same - a, same - a + len(part)) if same >= 0 else banded_alignment(part, text[a:b], k)
+        if i >= len(index.items):
+            if same >= 0:
+                pieces.setdefault(k, []).append((offset, (0, same, same + len(part))))
+            else:
+                later.append((k, offset, part, a, b, edits))
+            continue
+        found = (0, same - a, same - a + len(part)) if same >= 0 else banded_alignment(part, text[a:b], edits)
         if found:
             hit = (found[0], a + found[1], a + found[2])
             best[i] = min(best.get(i, hit), hit)
-    whole = {i: hit for i, hit in best.items() if i < len(index.items)}
-    out = [(i, a, b, e, 1) for i, (e, a, b) in whole.items()]
-    pieces: dict[int, list[tuple[int, int, int]]] = {}
-    for i, hit in best.items():
-        if i >= len(index.items) and index.parts[i][0] not in whole:
-            pieces.setdefault(index.parts[i][0], []).append(hit)
-    out += [(k, min(h[1] for h in own), max(h[2] for h in own), sum(h[0] for h in own), 0) for k, own in pieces.items()]
+    for k, offset, part, a, b, edits in later:
+        if any(abs(offset - o) < len(part) for o, _ in pieces.get(k, ())):
+            continue  # overlaps a window that was found
+        found = banded_alignment(part, text[a:b], edits)
+        if found:
+            pieces.setdefault(k, []).append((offset, (found[0], a + found[1], a + found[2])))
+    out = [(i, a, b, e, 1) for i, (e, a, b) in best.items()]
+    out += [(k, min(h[1] for _, h in own), max(h[2] for _, h in own), sum(h[0] for _, h in own), 0) for k, own in pieces.items()]
     return sorted(out)
 
 

@@ -228,6 +228,18 @@ def test_planted_items_are_found(spark, small, odd_docs, no_docs):
     assert D.clean_documents(odd_docs, bench).count() == odd_docs.count()
 
 
+def test_passages_are_found_at_any_offset():
+    rng = np.random.default_rng(6)
+    for m in (60, 67, 80, 100, 149, 150, 333):
+        item = bytes(rng.choice(list(b"abcdefghijklmnop "), m).astype(np.uint8))
+        index = D.Index([(7, item)])
+        w = min(D.WINDOW, int(m * D.SHARE))
+        for at in range(m - w + 1):
+            text = b"other words 0123 " * 5 + item[at : at + w] + b" 4567 and after" * 5
+            assert [x[0] for x in D.find_items(text, index)] == [0], (m, at)
+        assert D.find_items(b"other words 0123 " * 30, index) == []
+
+
 # 6 and 10: classifiers
 
 
