@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestore import on_workers
@@ -17,15 +20,23 @@ BROADCAST_ROWS = 100_000
 #: Rows of one Arrow batch of texts: a batch of long texts, as Python objects, must fit beside the JVM in an executor.
 BATCH_ROWS = 512
 
-_made: dict[str, SparkSession] = {}
+_made: set[str] = set()
 
 
-def ready(spark: SparkSession) -> None:
-    """Prepare the session for Python over whole texts: the package can be imported, and batches are small."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python over whole texts can import the package, and takes small Arrow batches while the block runs: the session's own setting comes back."""
     on_workers(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
-        spark.conf.set(rows, BATCH_ROWS)
+    own = spark.conf.get(rows)
+    if 0 < int(own) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(rows, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(rows, own)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,31 +51,46 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+def _folder(path: str):
+    jvm, active = SparkContext._jvm, SparkContext._active_spark_context
+    conf = active._jsc.hadoopConfiguration() if active is not None else jvm.org.apache.hadoop.conf.Configuration()
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(conf), where
+
+
+def delete(path: str) -> None:
+    """Delete a folder of the shared file system."""
+    system, where = _folder(path)
+    system.delete(where, True)
+
+
+def listed(path: str) -> list[str]:
+    """Names in a folder of the shared file system."""
+    system, where = _folder(path)
+    return [x.getPath().getName() for x in system.listStatus(where)]
 
 
 @atexit.register
 def _tidy() -> None:
-    for path, spark in list(_made.items()):
+    for path in list(_made):
         try:
-            _delete(spark, path)
-        except Exception:  # the session has ended: nothing can be deleted through it
+            delete(path)
+        except Exception:  # the JVM has ended: nothing can be deleted through it
             break
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet under the shared folder and read again: cuts lineage, survives lost executors.
 
-    The table stays until the driver ends, or until :func:`dropped` is called on it.
+    The table stays until the driver ends, or until :func:`dropped` is called on it. A table made here is returned as it is.
     """
+    if getattr(df, "_lodestore_path", None) in _made:
+        return df
     spark = df.sparkSession
-    ready(spark)
     path = f"{shared_dir(spark)}/lodestore-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    _made[path] = spark
+    with small_batches(spark):
+        df.write.parquet(path)
+    _made.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestore_path = path
     return out
@@ -74,8 +100,22 @@ def dropped(*tables: DataFrame) -> None:
     """Delete tables made by :func:`saved` that no later step reads."""
     for t in tables:
         path = getattr(t, "_lodestore_path", None)
-        if path and _made.pop(path, None) is not None:
-            _delete(t.sparkSession, path)
+        if path in _made:
+            _made.discard(path)
+            delete(path)
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a scratch table with a number for each row, and that column's name, which no column of docs has: repeated rows can be told apart."""
+    name, known = "_row", {c.lower() for c in docs.columns}
+    while name in known:
+        name = "_" + name
+    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def tasks(spark: SparkSession, rows: int, each: int) -> int:
+    """How many tasks rows are dealt to where Python takes long for few bytes: joining small tasks by their bytes would leave cores idle."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
@@ -102,6 +142,19 @@ def ranked(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     )
 
 
+def cumulated(pairs: DataFrame) -> DataFrame:
+    """Add _first, the number of documents in all pairs before, for pairs with a global _place.
+
+    Sums of blocks of 1024 pairs are added up by one task: a thousandth of the distinct (source, size).
+    """
+    blocks = pairs.withColumn("_block", F.shiftright("_place", 10))
+    inside = Window.partitionBy("_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy("_block").agg(F.sum("_n").alias("_sum"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    return blocks.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sums, "_block").withColumn("_first", F.col("_base") + F.col("_in")).drop("_block", "_base", "_in", "_place")
+
+
 def joined_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a narrow table: broadcast if a count proves it small, else a shuffle join whose hot keys AQE splits."""
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

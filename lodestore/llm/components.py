@@ -15,17 +15,20 @@ def components(edges: DataFrame) -> DataFrame:
     at least half of the nodes with edges vanish a round. All tables stay distributed; counts alone are looked at.
     """
     left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "cc-edges")
-    labels = None
+    labels, scratch = None, []
     while left.limit(1).count():
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
         hook = saved(ends.groupBy("node").agg(F.least(F.min("to"), F.min("node")).alias("up")), "cc-hook")
         for _ in range(2):
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+            scratch.append(hook)
             hook = saved(hook.join(above, "up").select("node", F.col("upper").alias("up")), "cc-hook")
+        scratch.append(hook)
         if labels is None:
             labels = hook.select("node", F.col("up").alias("label"))
         else:
             moved = hook.select(F.col("node").alias("label"), "up")
+            scratch.append(labels)
             labels = saved(labels.join(moved, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "cc-labels")
         to = hook.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
         old = left
@@ -36,4 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
     # Pointers end at local minima of older rounds; a last look-up resolves none further, as each round's labels were moved.
-    return labels
+    out = saved(labels, "cc-components")
+    dropped(*[t for t in scratch if t is not labels])
+    return out
