@@ -1,9 +1,13 @@
-"""Edit-aware token counts: pre-token segment trees.
+"""Edit-aware token counts: pre-token segment trees that are kept with their documents.
 
 A text is cut into pre-tokens by the tokenizer's pattern; byte-pair merges never cross them, so the
-count of a text is the sum over its pre-tokens. A :class:`TokenTree` keeps them in leaves of bounded size with
-a tree of sums (characters, tokens) above. An edit re-reads only the pre-tokens it touches, three characters of
-context before, and what follows until the new cuts meet the old ones; sums change along one path a leaf.
+count of a text is the sum over its pre-tokens. A :class:`TokenTree` sums characters, pre-tokens and tokens over leaves of about ``LEAF``
+pre-tokens, and over pairs of pairs above. An edit re-encodes only the leaves it touches, three characters of
+context before, and what follows until the new cuts meet the end of an old leaf; sums change along one path a leaf.
+
+:func:`kept_trees` cuts and encodes every text once; its table holds the texts with their trees. :func:`edited` applies a batch of
+edits to such a table and returns the next one, in which only touched leaves were encoded anew: rows without edits do not
+reach Python.
 
 Null and empty texts have 0 tokens. Edits beyond the end of a text act at its end, edits apply in the order of
 seq to the text as edited so far; a null or negative start is 0, a null stop its start. Documents without edits keep
@@ -19,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import dropped, saved
 
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LEAF = 64  # pre-tokens of a fresh leaf
+LEAF = 16  # pre-tokens of a fresh leaf
 CONTEXT = 3  # characters before an edit that a cut can depend on
 CACHE = 300_000  # counts of pre-tokens that a worker keeps
 
@@ -57,108 +61,99 @@ class Counter:
 
 
 class TokenTree:
-    """The pre-tokens of a text under a tree of sums."""
-
-    def __init__(self, text: str, counter: Counter):
-        self.counter = counter
-        self.reencoded = 0
-        self._build(counter.cut(text), None)
-
-    def _build(self, tokens: list[str], counts: list[int] | None) -> None:
-        counts = self.counter.counts(tokens) if counts is None else counts
-        self.leaves = [(tokens[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(tokens), LEAF)] or [([], [])]
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = np.zeros(2 * self.width, np.int64), np.zeros(2 * self.width, np.int64)
-        for i, (t, c) in enumerate(self.leaves):
-            self.chars[self.width + i], self.tokens[self.width + i] = sum(map(len, t)), sum(c)
-        for level in (self.chars, self.tokens):
-            at = self.width
-            while at > 1:
-                level[at // 2 : at] = level[at : 2 * at].reshape(-1, 2).sum(axis=1)
-                at //= 2
+    """A text under a tree of sums. Node 1 is the root, nodes 2n and 2n + 1 are below n; leaves are the last half, unused ones hold zeros."""
+
+    def __init__(self, text: str, counter: Counter, sums: np.ndarray | None = None):
+        self.text, self.counter, self.reencoded = text, counter, 0
+        if sums is None:
+            self._build(self._leaves(counter.cut(text)))
+        else:
+            self.sums = sums
+
+    def _leaves(self, tokens: list[str]) -> np.ndarray:
+        """Characters, pre-tokens and tokens of leaves of LEAF pre-tokens each: three rows."""
+        each = np.array([list(map(len, tokens)), [1] * len(tokens), self.counter.counts(tokens)], np.int64).reshape(3, -1)
+        return np.add.reduceat(each, np.arange(0, len(tokens), LEAF), axis=1) if tokens else np.zeros((3, 1), np.int64)
+
+    def _build(self, leaves: np.ndarray) -> None:
+        width = 1 << (leaves.shape[1] - 1).bit_length()
+        self.sums = np.zeros((3, 2 * width), np.int64)
+        self.sums[:, width : width + leaves.shape[1]] = leaves
+        while width > 1:
+            self.sums[:, width // 2 : width] = self.sums[:, width : 2 * width].reshape(3, -1, 2).sum(axis=2)
+            width //= 2
+
+    @property
+    def width(self) -> int:
+        return self.sums.shape[1] // 2
 
     @property
     def total(self) -> int:
-        return int(self.tokens[1])
+        return int(self.sums[2, 1])
 
     @property
-    def length(self) -> int:
-        return int(self.chars[1])
+    def pieces(self) -> int:
+        return int(self.sums[1, 1])
 
     @property
-    def text(self) -> str:
-        return "".join(t for leaf, _ in self.leaves for t in leaf)
+    def length(self) -> int:
+        return int(self.sums[0, 1])
 
-    def _find(self, at: int) -> tuple[int, int, int]:
-        """(leaf, pre-token in it, its first character) of the pre-token that holds a character; the last if beyond."""
-        node, before = 1, 0
+    def _find(self, at: int) -> tuple[int, int]:
+        """(leaf, its first character) of the leaf that holds a character; the last one with any if beyond."""
+        chars, node, before = self.sums[0], 1, 0
         while node < self.width:
             node *= 2
-            if at - before >= self.chars[node] and self.chars[node + 1]:
-                before += int(self.chars[node])
+            if at - before >= chars[node] and chars[node + 1]:
+                before += int(chars[node])
                 node += 1
-        leaf, i = node - self.width, 0
-        tokens = self.leaves[leaf][0]
-        while i + 1 < len(tokens) and before + len(tokens[i]) <= at:
-            before += len(tokens[i])
-            i += 1
-        return leaf, i, before
-
-    def _after(self, leaf: int, i: int) -> Iterator[tuple[int, int, str]]:
-        while leaf < len(self.leaves):
-            tokens = self.leaves[leaf][0]
-            for k in range(i, len(tokens)):
-                yield leaf, k, tokens[k]
-            leaf, i = leaf + 1, 0
+        return node - self.width, before
 
     def edit(self, start: int, stop: int, insert: str) -> None:
         """Replace the characters [start, stop) by insert."""
         start = min(max(0, start), self.length)
         stop = min(max(start, stop), self.length)
-        leaf, i, first = self._find(max(0, start - CONTEXT))
-        old, ends, at, more, known = [], {}, first, 8, self._after(leaf, i)
-        done = False
+        chars, size, more = self.sums[0, self.width :], self.length, 1
+        first, begin = self._find(max(0, start - CONTEXT))
+        last, end = first + 1, begin + int(chars[first])
+        while end < stop:
+            end += int(chars[last])
+            last += 1
         while True:
+            # a cut stands or falls with the characters up to CONTEXT behind it, and all cuts behind an old one stand
+            fresh = self.counter.cut(self.text[begin:start] + insert + self.text[stop : end + CONTEXT])
+            goal, pos, n = end - begin + len(insert) - (stop - start), 0, 0
+            while pos < goal and n < len(fresh):
+                pos += len(fresh[n])
+                n += 1
+            if pos == goal or end == size:
+                break
             for _ in range(more):
-                x = next(known, None)
-                if x is None:
-                    done = True
-                    break
-                at += len(x[2])
-                old.append(x)
-                ends[at] = len(old)
-            if at < stop and not done:
-                continue
-            own = "".join(x[2] for x in old)
-            fresh = self.counter.cut(own[: start - first] + insert + own[stop - first :])
-            shift, pos, used, safe = len(insert) - (stop - start), first, None, at if done else at - len(old[-1][2]) - CONTEXT
-            for n, t in enumerate(fresh, 1):
-                pos += len(t)
-                if pos >= start + len(insert) and pos - shift in ends and pos - shift <= safe:
-                    used = (n, ends[pos - shift])
-                    break
-            if used or done:
-                n, k = used or (len(fresh), len(old))
-                self._splice(leaf, i, old[:k], fresh[:n])
-                return
+                if last < self.width:
+                    end += int(chars[last])
+                    last += 1
             more *= 2
+        self._splice(first, last, fresh[:n])
+        self.text = self.text[:start] + insert + self.text[stop:]
 
-    def _splice(self, leaf: int, i: int, old: list[tuple[int, int, str]], fresh: list[str]) -> None:
-        last, end = (old[-1][0], old[-1][1] + 1) if old else (leaf, i)
+    def _splice(self, first: int, last: int, fresh: list[str]) -> None:
+        """Put new pre-tokens in the place of the leaves [first, last)."""
         self.reencoded += len(fresh)
-        counts = self.counter.counts(fresh)
-        for k in range(leaf, last + 1):
-            t, c = self.leaves[k]
-            low, high = (i if k == leaf else 0), (end if k == last else len(t))
-            self.leaves[k] = (t[:low] + (fresh if k == leaf else []) + t[high:], c[:low] + (counts if k == leaf else []) + c[high:])
-            node = self.width + k
-            self.chars[node], self.tokens[node] = sum(map(len, self.leaves[k][0])), sum(self.leaves[k][1])
-            while node > 1:
-                node //= 2
-                self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-                self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-        if len(self.leaves[leaf][0]) > 8 * LEAF:  # so much was put into one leaf: deal the leaves anew
-            self._build([t for x, _ in self.leaves for t in x], [n for _, x in self.leaves for n in x])
+        leaves, width = self._leaves(fresh), self.width
+        many = leaves.shape[1]
+        if many > 2 * (last - first):  # so much was put in: deal the leaves anew, none of them encoded again
+            own = self.sums[:, width:]
+            kept = np.concatenate((own[:, :first], leaves, own[:, last:]), axis=1)
+            self._build(kept[:, kept[0] > 0] if kept[0].any() else np.zeros((3, 1), np.int64))
+            return
+        # old leaves take one or two new ones each; those left over stay empty
+        at = self.sums[:, width + first : width + last]
+        at[:] = 0
+        np.add.at(at.T, np.arange(many) * (last - first) // max(many, last - first), leaves.T)
+        low, high = width + first, width + last - 1
+        while low > 1:
+            low, high = low // 2, high // 2
+            self.sums[:, low : high + 1] = self.sums[:, 2 * low : 2 * high + 2].reshape(3, -1, 2).sum(axis=2)
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -168,41 +163,82 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 _counters: dict[str, Counter] = {}  # kept by a worker between tasks
+_TREE = ("chars", "pieces", "tokens")
+_SUMS = ", ".join(f"{c} array<int>" for c in _TREE)
+_EDITS = "array<struct<start:long,stop:long,insert:string>>"
+_CHANGED = f"doc_id string, text string, {_SUMS}, n_tokens long, n_pretokens long, n_edits long, n_reencoded long"
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Token counts of every text before and after its edits.
+def _counter(docs: DataFrame, vocabulary: str):
+    """A function that gives a worker its counter; the vocabulary (tens of thousands of entries, a fixed file) is sent to the executors once."""
+    held, name = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary)), uuid.uuid4().hex
+    return lambda: _counters.get(name) or _counters.setdefault(name, Counter(held.value))
+
+
+def total(column: str) -> Column:
+    """The sum at the root of a kept tree."""
+    return F.get(column, F.lit(1)).cast("long")
+
+
+def kept_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """docs with the sums of each text's tree (chars, pieces, tokens): a table to be kept, for :func:`edited` to act on later."""
+    counter = _counter(docs, vocabulary)
 
-    docs needs doc_id, text, edits (array<struct<start long, stop long, insert string>>, in order; null: none). Returns doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_reencoded. The
-    vocabulary (tens of thousands of entries, a fixed file) is sent to the executors once.
+    @F.pandas_udf(_SUMS)
+    def trees(text: pd.Series) -> pd.DataFrame:
+        known = counter()
+        sums = [TokenTree(t or "", known).sums.astype(np.int32) for t in text]
+        return pd.DataFrame({c: [x[i] for x in sums] for i, c in enumerate(_TREE)})
+
+    known = [c for c in docs.columns if c not in _TREE]
+    return docs.select(*[F.col(f"`{c}`") for c in known], trees("text").alias("_tree")).select(*[F.col(f"`{c}`") for c in known], "_tree.*")
+
+
+def edited(kept: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The next state (doc_id, text, chars, pieces, tokens) of a kept table with a column edits (array<struct<start long, stop long, insert string>>, in order; null: none).
+
+    Also n_tokens and n_pretokens before the edits, n_edits, and n_reencoded: pre-tokens that were encoded anew.
     """
-    ready(docs.sparkSession)
-    held, name = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary)), uuid.uuid4().hex
+    counter = _counter(kept, vocabulary)
+    none = F.coalesce(F.size("edits"), F.lit(0)) <= 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _counters.get(name) or _counters.setdefault(name, Counter(held.value))
+        known = counter()
         for pdf in batches:
             out = []
-            for doc_id, text, changes in zip(pdf["doc_id"], pdf["text"], pdf["edits"], strict=True):
-                tree = TokenTree(text or "", counter)
-                n, pieces = tree.total, sum(len(t) for t, _ in tree.leaves)
-                changes = [] if changes is None else changes
+            for doc_id, text, *sums, changes in pdf[["doc_id", "text", *_TREE, "edits"]].itertuples(index=False, name=None):
+                tree = TokenTree(text or "", known, np.array(sums, np.int64))
+                before = tree.total, tree.pieces
                 for e in changes:
                     start = max(0, int(e["start"] or 0))
                     tree.edit(start, start if e["stop"] is None else int(e["stop"]), e["insert"] or "")
-                out.append((doc_id, n, pieces, len(changes), tree.total, tree.reencoded))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_reencoded"])
+                out.append((doc_id, tree.text, *tree.sums.astype(np.int32), *before, len(changes), tree.reencoded))
+            yield pd.DataFrame(out, columns=["doc_id", "text", *_TREE, "n_tokens", "n_pretokens", "n_edits", "n_reencoded"])
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "edits")
-    out = rows.mapInPandas(run, "doc_id string, n_tokens long, n_pretokens long, n_edits long, n_tokens_edited long, n_reencoded long")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    state = kept.where(~none).select(F.col("doc_id").cast("string").alias("doc_id"), "text", *_TREE, F.col("edits").cast(_EDITS).alias("edits"))
+    changed = state.mapInPandas(run, _CHANGED).withColumn("doc_id", F.col("doc_id").cast("long"))
+    zero = F.lit(0).cast("long")
+    same = kept.where(none).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_TREE, total("tokens").alias("n_tokens"), total("pieces").alias("n_pretokens"), zero.alias("n_edits"), zero.alias("n_reencoded"))
+    return changed.unionByName(same)
+
+
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Token counts of every text before and after its edits: doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_reencoded.
+
+    docs needs doc_id, text, and edits as :func:`edited` does. The trees are made and kept first; the edits act on what was kept.
+    """
+    kept = saved(kept_trees(docs.select("doc_id", "text", "edits"), vocabulary), "token-trees")
+    out = edited(kept, vocabulary).select("doc_id", "n_tokens", "n_pretokens", "n_edits", total("tokens").alias("n_tokens_edited"), "n_reencoded")
+    out = saved(out, "token-counts")
+    dropped(kept)
+    return out
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """doc_id, text and the edits of each document, from rows (doc_id, seq, start, stop, insert)."""
+    """doc_id, text, the tree if docs is a kept table, and the edits of each document, from rows (doc_id, seq, start, stop, insert)."""
     listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "stop", "insert"))).alias("_e"))
     plain = F.transform("_e", lambda e: F.struct(e["start"].cast("long").alias("start"), e["stop"].cast("long").alias("stop"), e["insert"].alias("insert")))
-    return docs.select("doc_id", "text").join(listed.select("doc_id", plain.alias("edits")), "doc_id", "left")
+    return docs.select("doc_id", "text", *[c for c in _TREE if c in docs.columns]).join(listed.select("doc_id", plain.alias("edits")), "doc_id", "left")
 
 
 def routine_edits(docs: DataFrame) -> DataFrame:
