@@ -3,21 +3,22 @@
 Documents are placed in a small cube of metadata (language, source, size), every dimension in
 ``2**bits`` bins, and sorted by the Hilbert index of their cell. Each shard is a run of that order,
 so a file covers a compact box of all dimensions and its min/max statistics prune on each of them.
+Values of a dimension are laid along it by row counts, so a few values spread over the whole of it.
 
-Null dimensions sort first in their own bin, a null or empty text has the size of its framing only,
-equal texts with equal metadata lie side by side, repeated rows get slots of their own, and an empty table
-gives no rows. Extra columns, whatever their names, are not read.
+Null dimensions sort first, a null or empty text has the size of its framing only,
+equal texts with equal metadata lie side by side, repeated rows and rows with a null doc_id get slots of their own, and an empty table
+gives no rows. Placing does not read extra columns, whatever their names; writing keeps them all, and the shard's folder takes
+another name if a column has its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import joined_small, ranked, saved
+from .common import cumulated, dropped, joined_small, ranked, saved
 
 #: Bytes of framing that every record has besides its text.
 FRAME_BYTES = 16
@@ -53,31 +54,43 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.LongType())
-def _cell_index(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series(hilbert_index(np.column_stack([a, b, c]), BITS))
+def value_bins(counts: DataFrame, column: str, bin_name: str, bits: int = BITS) -> DataFrame:
+    """Bin of each distinct value of counts (column, _n) by the middle of its rows in code point order (null first): bins hold about equal row counts where values allow."""
+    order = cumulated(ranked(counts, [F.col(column).asc_nulls_first()], "_place"))
+    total = max(1, order.agg(F.sum("_n")).first()[0] or 0)
+    return order.select(column, F.expr(f"int((2 * _first + _n) * {1 << bits} div {2 * total})").alias(bin_name))
 
 
-def value_bins(df: DataFrame, column: str, bin_name: str, bits: int = BITS) -> DataFrame:
-    """Bin of each distinct value so that bins hold about equal row counts, ordered by code point (null first)."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    order = ranked(counts, [F.col(column).asc_nulls_first()], "_rank")
-    n = order.count()
-    if n <= 1 << bits:
-        return order.select(F.col(column), F.col("_rank").cast("int").alias(bin_name))
-    return order.select(F.col(column), F.floor(F.col("_rank") * (1 << bits) / n).cast("int").alias(bin_name))
+def curve_cells(spark) -> DataFrame:
+    """(_cell, curve) of every cell of the cube: a fixed table of 2**(BITS * DIMENSIONS) rows."""
+    side = np.arange(1 << BITS)
+    points = np.stack(np.meshgrid(side, side, side, indexing="ij"), axis=-1).reshape(-1, DIMENSIONS)
+    return spark.createDataFrame(pd.DataFrame({"_cell": np.arange(len(points)), "curve": hilbert_index(points, BITS)}))
 
 
-def hilbert_shards(docs: DataFrame, shards: int) -> DataFrame:
-    """Shard and slot of every document (law ``rows``: counts differ by one at most).
+def _name(dimension: str) -> list[Column]:
+    """A dimension's value as two columns that join without nulls."""
+    return [F.coalesce(dimension, F.lit("")).alias(f"{dimension}_v"), F.col(dimension).isNull().alias(f"{dimension}_null")]
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), curve.
-    The range sort uses (curve, text checksum, doc_id), so a group of copies that
-    holds a third of all rows is cut into runs like any other rows.
-    """
+
+def _on_curve(keys: DataFrame) -> DataFrame:
+    """keys (_lang, _source, _c, ...; a saved table) with the curve index of each row's cell and a number of each row, _nth."""
+    pairs = saved(keys.groupBy("_lang", "_source").agg(F.count("*").alias("_n")), "shard-pairs")
+    named = pairs.select(*_name("_lang"), *_name("_source"), "_lang", "_source")
+    flat = keys.select("*", F.monotonically_increasing_id().alias("_nth"), *_name("_lang"), *_name("_source"))
+    for dimension, bin_name in (("_lang", "_a"), ("_source", "_b")):
+        bins = value_bins(pairs.groupBy(dimension).agg(F.sum("_n").alias("_n")), dimension, bin_name)
+        named = named.join(bins.select(*_name(dimension), bin_name), [f"{dimension}_v", f"{dimension}_null"])
+    on = ["_lang_v", "_lang_null", "_source_v", "_source_null"]
+    cells = named.select(*on, (F.shiftleft("_a", 2 * BITS) + F.shiftleft("_b", BITS)).alias("_ab"))
+    binned = joined_small(flat, saved(cells, "shard-bins"), on).withColumn("_cell", (F.col("_ab") + F.col("_c")).cast("long"))
+    return binned.join(F.broadcast(curve_cells(keys.sparkSession)), "_cell").drop(*on, "_ab", "_cell", "_lang", "_source", "_c")
+
+
+def _keys(docs: DataFrame, *carried: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + FRAME_BYTES
-    keys = docs.select(
+    return docs.select(
         F.col("doc_id"),
         F.col("lang").alias("_lang"),
         F.col("source").alias("_source"),
@@ -85,26 +98,41 @@ def hilbert_shards(docs: DataFrame, shards: int) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_tie"),
         F.least(F.lit((1 << BITS) - 1), F.greatest(F.lit(0), F.floor(F.log2(size.cast("double")) * 2 - 8))).cast("int").alias("_c"),
+        *carried,
     )
-    keys = saved(keys, "shard-keys")  # numbers only: the texts are read once
-    cells = keys.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
-    for col, name in (("_lang", "_a"), ("_source", "_b")):
-        cells = cells.join(value_bins(keys, col, name).withColumnRenamed(col, "_v"), F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
-    pairs = cells.select(F.coalesce("_lang", F.lit("")).alias("_l"), F.col("_lang").isNull().alias("_ln"), F.coalesce("_source", F.lit("")).alias("_s"), F.col("_source").isNull().alias("_sn"), "_a", "_b")
-    flat = keys.select("*", F.coalesce("_lang", F.lit("")).alias("_l"), F.col("_lang").isNull().alias("_ln"), F.coalesce("_source", F.lit("")).alias("_s"), F.col("_source").isNull().alias("_sn"))
-    binned = joined_small(flat, saved(pairs, "shard-bins"), ["_l", "_ln", "_s", "_sn"])
-    curve = binned.select("doc_id", "size", "text_crc32", "_tie", _cell_index("_a", "_b", "_c").alias("curve"))
-    order = ranked(curve, [F.col("curve"), F.col("_tie"), F.col("doc_id")], "_rank")
-    n = max(1, keys.count())
-    shard = F.expr(f"_rank * {shards} div {n}")
+
+
+def _placed(keys: DataFrame, shards: int) -> DataFrame:
+    """keys on the curve with shard and slot. Rows that are alike in all else go by their number, so none of a third of all rows is hot."""
+    order = ranked(_on_curve(keys), [F.col("curve"), F.col("_tie"), F.col("doc_id"), F.col("_nth")], "_rank")
+    n = max(1, order.count())
     first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
-    return order.withColumn("shard", shard.cast("int")).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"
-    )
+    return order.withColumn("shard", F.expr(f"_rank * {shards} div {n}").cast("int")).withColumn("slot", (F.col("_rank") - first).cast("long"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int) -> None:
-    """Write the documents themselves, a folder a shard, rows in curve order."""
-    place = hilbert_shards(docs, shards).select("doc_id", "shard", "slot")
-    out = docs.drop("shard", "slot").join(place, "doc_id")
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def hilbert_shards(docs: DataFrame, shards: int) -> DataFrame:
+    """Shard and slot of every document (law ``rows``: counts differ by one at most).
+
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), curve.
+    The range sort uses (curve, text checksum, doc_id), so a group of copies that
+    holds a third of all rows is cut into runs like any other rows.
+    """
+    keys = saved(_keys(docs), "shard-keys")  # numbers and names only: the texts are read once
+    return _placed(keys, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int) -> str:
+    """Write every row of docs with all its columns, a folder a shard, rows in curve order; returns the name of the folders' column.
+
+    Rows travel with their place in one range sort, so no join can lose or repeat any: null and shared doc_ids, repeated rows.
+    """
+    rows = saved(_keys(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "shard-rows")
+    folder, known = "shard", {c.lower() for c in docs.columns}
+    while folder in known or "_" + folder in known:
+        folder = "_" + folder
+    # the ranges of the sort are runs of the curve: they are written as they lie, without a second shuffle
+    placed = _placed(rows, shards).select("_doc.*", F.col("shard").alias(folder), F.col("slot").alias("_" + folder))
+    order = [F.col(folder), F.col("_" + folder)]
+    placed.sortWithinPartitions(*order).drop("_" + folder).write.partitionBy(folder).parquet(path)
+    dropped(rows)
+    return folder
