@@ -3,7 +3,8 @@
 Words are runs of ASCII digits, letters (A-Z lower-cased) and any code point above 0x7F; they are joined by one
 space, so punctuation and line breaks inside a notice do not matter. A notice with a budget of k edits is
 split into k + 1 seeds: a place within k edits holds one of them unchanged. All seeds are looked for at once by an
-automaton; only around a seed does the regex library's bounded-error match run, and its spans are reported.
+automaton; the regex library's bounded-error match runs at the few word starts that a seed allows, so no place within the
+budget is missed, and the spans of a notice that do not overlap are reported, those with the fewest edits first.
 
 Base places are exact word sequences. Null and empty texts have no words, a count of 0, empty labels, null
 places and a score of 0. Repeated rows are scored alike, an empty table gives an empty result. Only doc_id and text are read.
@@ -12,6 +13,7 @@ places and a score of 0. Repeated rows are scored alike, an empty table gives an
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import saved
 
 # Base phrases and labels.
 BASE = {
@@ -66,7 +68,7 @@ def _searcher():
     by_seed: dict[str, list] = {}
     for phrase, label in (BASE | NOTICES).items():
         k = edit_budget(phrase)
-        pattern = regex.compile(rf"(?be)(?<!\S)(?:{regex.escape(phrase)}){{e<={k}}}(?!\S)")
+        pattern = regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={k}}}(?!\S)")
         for at, piece in seeds(phrase, k):
             by_seed.setdefault(piece, []).append((phrase, label, k, at, pattern))
     for piece, uses in by_seed.items():
@@ -75,21 +77,34 @@ def _searcher():
     return found
 
 
+def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end), the fewest edits first, those that overlap none taken before."""
+    taken: list[tuple[int, int, int]] = []  # (start, end, edits), in order
+    for edits, a, b in sorted(found):
+        i = bisect_left(taken, (a, b, edits))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b, edits))
+    return [(edits, a, b) for a, b, edits in taken]
+
+
 def fuzzy_spans(words: str) -> list[tuple[str, int, int, int, float]]:
     """(label, first character, end, edits, score) of notices in a text of words joined by one space."""
-    windows: dict[tuple[str, str], list] = {}
+    starts: dict[tuple[str, str], dict[int, tuple]] = {}
     for end, (piece, uses) in _searcher().iter(words):
         for phrase, label, k, at, pattern in uses:
-            low = max(0, end + 1 - len(piece) - at - k)
-            high = min(len(words), low + len(phrase) + 2 * k + 1)
-            windows.setdefault((phrase, label), []).append((low, high, k, pattern))
+            seed = end + 1 - len(piece) - at
+            for start in range(max(0, seed - k), min(seed + k, end) + 1):
+                if start == 0 or words[start - 1] == " ":
+                    starts.setdefault((phrase, label), {})[start] = (k, pattern)
     out = set()
-    for (phrase, label), spans in windows.items():
-        for low, high, k, pattern in spans:
-            for m in pattern.finditer(words, low, min(len(words), high + 1)):
-                edits = sum(m.fuzzy_counts)
-                if [c for c in m[0] if c.isdigit()] == [c for c in phrase if c.isdigit()]:
-                    out.add((label, m.start(), m.end(), edits, 1 - edits / len(phrase)))
+    for (phrase, label), own in starts.items():
+        digits, found = [c for c in phrase if c.isdigit()], []
+        for start, (k, pattern) in own.items():
+            # one character more than the longest match, for the look ahead
+            m = pattern.match(words, start, min(len(words), start + len(phrase) + k + 1))
+            if m and [c for c in m[0] if c.isdigit()] == digits:
+                found.append((sum(m.fuzzy_counts), start, m.end()))
+        out.update((label, a, b, edits, 1 - edits / len(phrase)) for edits, a, b in apart(found))
     return sorted(out)
 
 
@@ -130,8 +145,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row a document: counts, first and last base place, labels, score, and spans (label, start word, end word, edits)."""
-    ready(docs.sparkSession)
     spans = "array<struct<label:string,start_word:long,end_word:long,edits:int>>"
     narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     out = narrow.mapInPandas(_scan, f"doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {spans}")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return saved(out.withColumn("doc_id", F.col("doc_id").cast("long")), "licenses")
