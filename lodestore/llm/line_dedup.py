@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A :class:`LineRuns` index holds runs: tables of (128-bit line hash, number of documents), each sorted by
-hash. A new batch of documents is counted per hash, anti-joined with the hashes that the runs
-already hold as frequent, and what remains becomes a run of level 0. When ``fanout`` runs of a level
-stand, they are merged into one run of the next level, so each hash is rewritten once a level.
+A :class:`LineRuns` index holds runs: tables of (128-bit line hash, documents counted so far), bucketed and sorted by
+hash under a folder with a manifest, so a later job can open them again. A new batch is counted per hash and merged with each run
+bucket by bucket: the runs are neither shuffled nor aggregated again. Hashes that a run holds as frequent are anti-joined away;
+the others become a run of level 0 with their counts so far added, so a hash is frequent if any run says so.
+When ``fanout`` runs of a level stand, they are merged into one run of the next level, so each hash is rewritten once a level.
 
 A null or empty text is one empty line; empty keys (white space only) never count. Every row counts
 as a document of its own, repeated rows too, a line twice in one document counts once. An empty table
@@ -12,10 +13,13 @@ gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, joined_small, let, lower_ascii, saved
+from .common import delete, dropped, joined_small, let, listed, lower_ascii, saved, shared_dir
 
 #: White space that is stripped from both ends of a line: space and 0x09-0x0D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -48,31 +52,73 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs of line hashes with document counts."""
+    """Levelled runs of line hashes with document counts, kept under a folder.
+
+    ``levels`` names the runs, the newest last. Each run is a table of ``buckets`` sorted buckets; the manifest, a new version after every
+    change, says which runs stand.
+    """
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = 4):
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = 4, root: str | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.root = root or f"{shared_dir(spark)}/lodestore-runs-{uuid.uuid4().hex[:12]}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version, self.levels = 0, []
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> LineRuns:
+        """The runs that stand under a folder, as the last complete version of the manifest has them."""
+        versions = sorted(v for v in listed(f"{root}/manifest") if "_SUCCESS" in listed(f"{root}/manifest/{v}"))
+        told = json.loads(spark.read.text(f"{root}/manifest/{versions[-1]}").first()["value"])
+        out = cls(spark, told["min_docs"], told["fanout"], root)
+        out.version, out.buckets, out.levels = int(versions[-1]), told["buckets"], told["levels"]
+        for name in out.names():
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} (_a BIGINT, _b BIGINT, _n BIGINT) USING parquet CLUSTERED BY (_a, _b) SORTED BY (_a, _b) INTO {out.buckets} BUCKETS LOCATION '{root}/{name}'"
+            )
+        return out
+
+    def close(self, delete_files: bool = False) -> None:
+        """Forget the tables; with delete_files, the folder too."""
+        for name in self.names():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if delete_files:
+            delete(self.root)
+
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
-
-    def totals(self) -> DataFrame:
-        """Document count of every hash over all runs."""
-        runs = self.runs()
-        if not runs:
-            return self.spark.createDataFrame([], "_a long, _b long, _n long")
-        return self._merged(runs)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out if len(runs) == 1 else out.groupBy("_a", "_b").agg(F.sum("_n").alias("_n"))
+        """The runs as bucketed tables: to be joined bucket by bucket."""
+        return [self.spark.table(name) for name in self.names()]
+
+    def rows(self, names: list[str]) -> DataFrame:
+        """The rows of some runs as plain files. A union of bucketed tables may claim a partitioning that it has not, so it must not be aggregated."""
+        return self.spark.read.schema("_a long, _b long, _n long").parquet(*[f"{self.root}/{name}" for name in names])
+
+    def _write(self, run: DataFrame) -> str:
+        name = f"lodestore_run_{uuid.uuid4().hex[:12]}"
+        run.select("_a", "_b", "_n").write.format("parquet").bucketBy(self.buckets, "_a", "_b").sortBy("_a", "_b").option("path", f"{self.root}/{name}").saveAsTable(name)
+        return name
+
+    def _tell(self) -> None:
+        self.version += 1
+        told = json.dumps({"min_docs": self.min_docs, "fanout": self.fanout, "buckets": self.buckets, "levels": self.levels})
+        self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{self.root}/manifest/{self.version:08d}")
 
     def frequent(self) -> DataFrame:
-        return self.totals().where(F.col("_n") >= self.min_docs).select("_a", "_b")
+        """Hashes of lines in min_docs documents or more; each stands in one run with its full count at the time, and in no later one."""
+        if not self.names():
+            return self.spark.createDataFrame([], "_a long, _b long")
+        return self.rows(self.names()).where(F.col("_n") >= self.min_docs).select("_a", "_b")
+
+    def merged(self, own: DataFrame) -> DataFrame:
+        """A batch's counts (_a, _b, _n) with those of the runs added; hashes that a run holds as frequent are gone."""
+        for run in self.runs():
+            before = run.select("_a", "_b", F.col("_n").alias("_run"))
+            own = own.join(before, ["_a", "_b"], "left").withColumn("_before", F.greatest(F.coalesce("_run", F.lit(0)), F.coalesce(*(["_before"] if "_before" in own.columns else []), F.lit(0)))).drop("_run")
+        if "_before" not in own.columns:
+            return own
+        return own.where(F.col("_before") < self.min_docs).select("_a", "_b", (F.col("_n") + F.col("_before")).alias("_n"))
 
     def add(self, hashes: DataFrame, repeats: DataFrame | None = None) -> None:
         """Add a batch: (_d, _t, _a, _b), any number of rows a line; no document may be in two batches.
@@ -85,27 +131,33 @@ class LineRuns:
         else:
             more = joined_small(own, repeats, ["_d", "_t"], "left")
             own = more.groupBy("_a", "_b").agg((F.count("*") + F.coalesce(F.sum("_more"), F.lit(0))).alias("_n"))
-        if self.runs():
-            own = own.join(self.frequent(), ["_a", "_b"], "left_anti")
-        run = saved(own.sortWithinPartitions("_a", "_b"), "line-run")
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(run)
-        self._compact()
-
-    def _compact(self) -> None:
+        self.levels[0].append(self._write(self.merged(own)))
+        old = self._compact()
+        self._tell()
+        for name in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(f"{self.root}/{name}")
+
+    def _compact(self) -> list[str]:
+        """Merge full levels; the runs that no longer stand."""
+        old: list[str] = []
         for depth in range(len(self.levels)):
             full = self.levels[depth]
             if len(full) >= self.fanout:
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[depth + 1].append(saved(self._merged(full).sortWithinPartitions("_a", "_b"), "line-run"))
+                self.levels[depth + 1].append(self._write(self.rows(full).groupBy("_a", "_b").agg(F.max("_n").alias("_n"))))
                 self.levels[depth] = []
-                dropped(*full)
+                old += full
+        return old
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """Lines of a batch whose hash no run holds."""
-        return hashes.join(self.totals().select("_a", "_b"), ["_a", "_b"], "left_anti")
+        for run in self.runs():
+            hashes = hashes.join(run.select("_a", "_b"), ["_a", "_b"], "left_anti")
+        return hashes
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 2, fanout: int = 2) -> DataFrame:
@@ -121,6 +173,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
     for batch in range(batches):
         runs.add(hashes.where(F.pmod(F.xxhash64("_d"), F.lit(batches)) == batch), repeats)
     frequent = saved(runs.frequent(), "line-frequent")
+    runs.close(delete_files=True)
     words = (
         joined_small(hashes, frequent, ["_a", "_b"], "left_semi")
         .groupBy("_d", "_t", F.shiftright("_pos", 6).alias("_w"))
