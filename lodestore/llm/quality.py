@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, small_batches
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of doc_id.
 MAX_ROWS = 20_000
@@ -176,7 +176,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, held_out, max
     """Documents with a label y that are not held out: of at most max_rows labels, those with the least hash of doc_id."""
     own = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(target) > 0).cast("int").alias("y"))
     picks = saved(own.where(~held_out).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_rows), "training-labels")
-    return docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")  # max_rows pairs of numbers at most
+    found = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")  # max_rows pairs of numbers at most
+    # one text for each label, so that repeated rows of a doc_id can't make more than max_rows
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -187,7 +189,8 @@ def _features(text: pd.Series) -> pd.Series:
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AdditiveModel:
     """A model of the quality labels that are not held out; only the sample's numbers come to the driver."""
     rows = training_rows(docs, labels, "quality", is_held_out(F.col("doc_id"), FOLDS, 0), max_rows)
-    sample = rows.select("doc_id", "y", _features("text").alias("x")).toPandas()
+    with small_batches(docs.sparkSession):
+        sample = rows.select("doc_id", "y", _features("text").alias("x")).toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
     order = np.lexsort((*x.T, sample["doc_id"].to_numpy()))
     return AdditiveModel().fit(x[order], sample["y"].to_numpy(float)[order])
@@ -207,9 +210,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     """doc_id, held_out, score, predicted of every row of docs."""
     score = scorer(fitted(docs, labels, max_rows))
     out = docs.select("doc_id", is_held_out(F.col("doc_id"), FOLDS, 0).alias("held_out"), score("text").alias("score"))
-    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return saved(out.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")), "quality")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    return docs.where(scorer(fitted(docs, labels, max_rows))("text") >= THRESHOLD)
+    return saved(docs.where(scorer(fitted(docs, labels, max_rows))("text") >= THRESHOLD), "good")
