@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_small, ranked, saved, words_pattern
+from .common import cumulated, dropped, joined_small, ranked, saved, with_row, words_pattern
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -91,14 +91,16 @@ def rounded_copies(rates: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     return whole.select("_s", "_sn", "size", "_n", "_k")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """Copies of every document: doc_id, size, source_size, target, taken, copies.
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, row: str | None = None) -> DataFrame:
+    """Copies of every document: doc_id, size, source_size, target, taken, copies, and the column ``row`` if one is named.
 
-    Which documents of one (source, size) get the odd copies is settled by a hash of doc_id, so reruns agree.
+    Which documents of one (source, size) get the odd copies is settled by a hash of doc_id and text, so reruns agree.
     """
+    carried = [] if row is None else [row]
     sized = docs.select(
-        "doc_id", word_count(F.col("text")).alias("size"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().cast("int").alias("_sn")
-    )
+        "doc_id", word_count(F.col("text")).alias("size"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().cast("int").alias("_sn"),
+        F.xxhash64("doc_id", "text").alias("_tie"), *carried,
+    )
     sized = saved(sized, "mix-sizes")
     pairs = sized.groupBy("_s", "_sn", "size").agg(F.count("*").alias("_n"))
     pairs = saved(pairs, "mix-counts")
@@ -106,7 +108,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     targets = source_targets(sizes.drop("_docs"), weights, max_copies)
     targets = saved(targets.join(sizes.drop("source_size"), ["_s", "_sn"]), "mix-targets")
     copies = rounded_copies(balanced_rates(pairs, targets, max_copies), max_copies)
-    order = ranked(sized, [F.col("_sn"), F.col("_s"), F.col("size"), F.xxhash64("doc_id"), F.col("doc_id")], "_rank")
+    order = ranked(sized, [F.col("_sn"), F.col("_s"), F.col("size"), F.col("_tie"), *map(F.col, carried)], "_rank")
     starts = ranked(pairs, [F.col("_sn"), F.col("_s"), F.col("size")], "_place")
     starts = cumulated(starts)
     plan = starts.join(copies.select("_s", "_sn", "size", "_k"), ["_s", "_sn", "size"], "left").join(targets.drop("_docs"), ["_s", "_sn"])
@@ -114,17 +116,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     each = joined_small(order, plan, ["_s", "_sn", "size"])
     place = F.col("_rank") - F.col("_first")
     copy = (F.expr("_k div _n") + F.when(place < F.expr("_k % _n"), F.lit(1)).otherwise(F.lit(0))).cast("long")
-    return each.select("doc_id", "size", "source_size", "target", (copy * F.col("size")).cast("long").alias("taken"), copy.alias("copies"))
-
-
-def cumulated(pairs: DataFrame) -> DataFrame:
-    """Add _first, the number of documents in all pairs before, for pairs with a global _place.
-
-    Sums of blocks of 1024 pairs are added up by one task: a thousandth of the distinct (source, size).
-    """
-    blocks = pairs.withColumn("_block", F.shiftright("_place", 10))
-    inside = Window.partitionBy("_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocks.groupBy("_block").agg(F.sum("_n").alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    return blocks.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sums, "_block").withColumn("_first", F.col("_base") + F.col("_in")).drop("_block", "_base", "_in", "_place")
+    return each.select("doc_id", *carried, "size", "source_size", "target", (copy * F.col("size")).cast("long").alias("taken"), copy.alias("copies"))
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+    """The rows of docs, each as many times as the mix takes it: every row for itself, rows that share a doc_id and repeated rows too."""
+    rows, row = with_row(docs)
+    copies = mixed(rows, weights, max_copies, row).where("copies > 0").select(row, F.col("copies").cast("int").alias("_copies"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    taken = rows.select(F.struct(*own).alias("_doc"), row).join(copies, row)
+    out = saved(taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*"), "mixture")
+    dropped(rows)
+    return out
