@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_small, saved
+from .common import dropped, joined_small, saved, tasks, with_row
 from .components import components
 from .line_dedup import NO_ID
 from .shingles import mix, shingle_hashes
@@ -35,7 +35,9 @@ SKETCH_BITS = 512
 #: Estimated similarity below the threshold that still goes to the full sets: over five standard deviations.
 SLACK = 0.15
 #: Members of one hub, and of one side of a block of sketches, that a task holds at once.
-BLOCK = 1024
+BLOCK = 512
+#: Rows whose texts one task of Python is dealt.
+EACH = 4 * BLOCK
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -70,6 +72,11 @@ def sketch_similarity(odd_bits: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS * np.log(inside) / (4 * SAMPLES)
 
 
+def alike(both: int, a: int, b: int, percent: int) -> bool:
+    """Whether two sets of a and b members, both of them common, are similar enough, in whole numbers."""
+    return both > 0 and 100 * both >= percent * (a + b - both)
+
+
 def _most_odd(threshold: float) -> int:
     """Largest XOR count whose estimate is still within SLACK of the threshold."""
     z = np.arange(SKETCH_BITS // 2)
@@ -99,7 +106,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(ids, "text").mapInPandas(_signed(words), "doc_id long, n long, ha long, hb long, bands array<long>, sketch binary")
 
 
-def _confirm(words: int, threshold: float):
+def _confirm(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hub, own = None, []  # more than one set if rows share the hub's doc_id
         for pdf in batches:
@@ -113,8 +120,7 @@ def _confirm(words: int, threshold: float):
                 if hub != (a, part):
                     raise ValueError("a hub's own text must come before its members'")
                 for mine in own:
-                    both = len(np.intersect1d(mine, s, assume_unique=True))
-                    if both and both >= threshold * (len(mine) + len(s) - both) - 1e-9:
+                    if alike(len(np.intersect1d(mine, s, assume_unique=True)), len(mine), len(s), percent):
                         out.append((a, b))
                         break
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -122,7 +128,7 @@ def _confirm(words: int, threshold: float):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough. Members stream past their hub; hot hubs are split."""
     hot = saved(pairs.groupBy("a").agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK), "near-hot")
     parts = F.coalesce(F.ceil(F.col("_m") / BLOCK), F.lit(1))
@@ -132,10 +138,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
     held = texts.select(F.col("doc_id").alias("b"), "text")
     return (
         rows.join(held, "b")
-        .repartition("a", "part")
+        .repartition(tasks(pairs.sparkSession, split.count(), EACH), "a", "part")
         .sortWithinPartitions("a", "part", F.col("b") != F.col("a"))
         .select("a", "part", "b", "text")
-        .mapInPandas(_confirm(words, threshold), "a long, b long")
+        .mapInPandas(_confirm(words, percent), "a long, b long")
     )
 
 
@@ -149,15 +155,15 @@ def _likely(most: int):
     return run
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes and odd sketches allow the threshold."""
     a = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6)
-    return sized.select("a", "b", "sa", "sb").mapInPandas(_likely(_most_odd(threshold)), "a long, b long")
+    sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return sized.select("a", "b", "sa", "sb").mapInPandas(_likely(_most_odd(percent / 100)), "a long, b long")
 
 
-def _candidates(pdf: pd.DataFrame, threshold: float, most: int) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(pdf: pd.DataFrame, percent: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, rows of likely partners) in a block: other labels, sizes and sketches that allow the threshold.
 
     A pair that shares several buckets is looked at in the bucket of the first band that it shares, and nowhere else.
@@ -170,19 +176,19 @@ def _candidates(pdf: pd.DataFrame, threshold: float, most: int) -> Iterator[tupl
     cols = rows if (side == 0).all() else np.flatnonzero(side == 2)
     for i in rows:
         js = cols[(label[cols] != label[i]) & ((ids[cols] > ids[i]) | (side[i] == 1))]
-        js = js[np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-6]
+        js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
         js = js[np.bitwise_count(words[js] ^ words[i]).sum(axis=1) <= most]
         js = js[(bands[js] == bands[i]).argmax(axis=1) == band[i]]
         if len(js):
             yield i, js
 
 
-def _open_members(threshold: float):
-    most = _most_odd(threshold)
+def _open_members(percent: int):
+    most = _most_odd(percent / 100)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         taken = np.zeros(len(pdf), bool)
-        for i, js in _candidates(pdf, threshold, most):
+        for i, js in _candidates(pdf, percent, most):
             taken[i] = True
             taken[js] = True
         return pdf.loc[taken, ["key", "doc_id"]]
@@ -190,8 +196,8 @@ def _open_members(threshold: float):
     return run
 
 
-def _open_links(words: int, threshold: float):
-    most = _most_odd(threshold)
+def _open_links(words: int, percent: int):
+    most = _most_odd(percent / 100)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, label, text = (pdf[c].to_numpy() for c in ("doc_id", "label", "text"))
@@ -209,12 +215,11 @@ def _open_links(words: int, threshold: float):
             return sets[i]
 
         out = []
-        for i, js in _candidates(pdf, threshold, most):
+        for i, js in _candidates(pdf, percent, most):
             for j in js:
                 if root(label[i]) == root(label[j]):
                     continue  # linked already, in this block or before
-                both = len(np.intersect1d(own(i), own(j), assume_unique=True))
-                if both and both >= threshold * (len(own(i)) + len(own(j)) - both) - 1e-9:
+                if alike(len(np.intersect1d(own(i), own(j), assume_unique=True)), len(own(i)), len(own(j)), percent):
                     out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
                     up[root(label[i])] = root(label[j])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -230,21 +235,27 @@ def _blocks(active: DataFrame) -> DataFrame:
     return active.withColumn("_at", F.explode(places)).select("*", "_at.x", "_at.y", "_at.side").drop("_at", "_part", "_parts")
 
 
-def links_across(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+def links_across(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between rows of different labels that share a bucket (key, band, doc_id, label).
 
     A first pass over sketches finds the rows with a likely partner of another label; only their texts are sent to the
     second, which compares full sets and returns links that join labels, not all pairs.
     """
+    spark, at = buckets.sparkSession, ("key", "x", "y")
     mixed = buckets.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
     active = saved(buckets.join(mixed, "key", "left_semi").join(nodes, "doc_id"), "near-active")
-    taken = _blocks(active).groupBy("key", "x", "y").applyInPandas(_open_members(threshold), "key long, doc_id long").distinct()
-    held = active.join(saved(taken, "near-open"), ["key", "doc_id"], "left_semi").join(texts, "doc_id")
-    return _blocks(held).groupBy("key", "x", "y").applyInPandas(_open_links(words, threshold), "a long, b long").distinct()
+    dealt = _blocks(active).repartition(tasks(spark, active.count(), EACH), *at)
+    taken = saved(dealt.groupBy(*at).applyInPandas(_open_members(percent), "key long, doc_id long").distinct(), "near-open")
+    held = active.join(taken, ["key", "doc_id"], "left_semi").join(texts, "doc_id")
+    dealt = _blocks(held).repartition(tasks(spark, taken.count(), EACH), *at)
+    out = saved(dealt.groupBy(*at).applyInPandas(_open_links(words, percent), "a long, b long").distinct(), "near-links")
+    dropped(active, taken)
+    return out
 
 
 def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row: components of all links of the threshold or more."""
+    """doc_id, n_shingles, component_id, kept of every row: components of all links of the threshold (in whole hundredths) or more."""
+    percent = round(100 * threshold)
     marks = saved(signed(docs, words), "near-marks")
     linkable = marks.where(f"n > 0 and doc_id <> {NO_ID}")
     classes = linkable.groupBy("ha", "hb", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
@@ -260,13 +271,12 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     involved = buckets.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = saved(texts.join(involved, "doc_id", "left_semi"), "near-texts")
-    slim = nodes.select("doc_id", "n", "sketch")
-    tested = saved(likely(pairs, slim, threshold), "near-tested")
-    links = saved(confirmed(tested, texts, words, threshold), "near-links")
+    tested = saved(likely(pairs, nodes.select("doc_id", "n", "sketch"), percent), "near-tested")
+    links = saved(confirmed(tested, texts, words, percent), "near-links")
     first = components(links)
     members = buckets.select("key", "band", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members = members.select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    extra = saved(links_across(members, nodes.select("doc_id", "n", "sketch", "bands"), texts, words, threshold), "near-links")
+    extra = links_across(members, nodes, texts, words, percent)
     # The texts of rows that share a doc_id belong together: so do the representatives of their classes.
     shared_ids = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("_far"))
     apart = copies.join(shared_ids.where("rep < _far").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
@@ -276,4 +286,25 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     out = out.withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))).join(final, "node", "left")
     real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     component = F.when(real.isNotNull(), F.coalesce("label", "node"))
-    return out.select(real.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(real == component, F.lit(True)).alias("kept"))
+    out = saved(out.select(real.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(real == component, F.lit(True)).alias("kept")), "near-groups")
+    dropped(marks, classes, nodes, copies, shared, buckets, texts, tested, links, extra, first, final)
+    return out
+
+
+def one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, one of each group: the one with the least doc_id, null last.
+
+    Every row is a document of its own here: of repeated rows one stays, rows with a null doc_id are compared like all others, and so are
+    the different texts of rows that share a doc_id. Rows without words all stay.
+    """
+    rows, row = with_row(docs)
+    groups = near_groups(rows.select(F.col(row).alias("doc_id"), "text"), words, threshold).select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
+    sized = groups.groupBy("_group").agg(F.count("*").alias("_m")).where("_m > 1").select("_group")
+    members = joined_small(groups, saved(sized, "near-many"), ["_group"])
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(row).alias("c"))
+    members = saved(members.join(rows.select(row, "doc_id"), row), "near-members")
+    best = saved(members.groupBy("_group").agg(F.min(order)["c"].alias("_best")), "near-best")
+    gone = joined_small(members, best, ["_group"]).where(F.col(row) != F.col("_best")).select(row)
+    out = saved(rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), "near-kept")
+    dropped(rows, members, best)
+    return out
