@@ -6,7 +6,8 @@ states, features of the word and its affixes, transitions) is trained on those t
 exact likelihood. Forward-backward marginals then give each token of any text a probability; a small logistic
 model over their sums turns a document's marginals into its score, and runs of likely tokens are its spans.
 
-A sequence is a run of at most ``SEQUENCE`` tokens of a text. Null and empty texts have no tokens and the score of
+A text is one chain, however long. It is computed in segments of ``SEGMENT`` tokens, many at a time: what a segment does to a message that
+passes through it is a 2 x 2 matrix, so messages are first carried from segment to segment, then through each. Null and empty texts have no tokens and the score of
 no evidence. Null labels and labels without a document teach nothing; repeated labels of a document count once, the larger. With
 no label, or one class only, the score is the smoothed share of ones. Repeated rows are scored alike; an empty table
 gives an empty result. Only doc_id and text are read for a score.
@@ -25,14 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .quality import is_held_out, training_rows
 
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 #: Labelled rows that the model is fitted on at most (those with the least hash of doc_id). Fitting and scores read whole texts.
 MAX_ROWS = 3_000
-SEQUENCE = 64
-BATCH = 2048  # sequences that go through the chain at once
+SEGMENT = 64
+BATCH = 2048  # segments that go through the chain at once
 HASHES = 1 << 18
 CACHE = 1_000_000
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -69,11 +71,22 @@ def marking_parts(texts: list[str], toxic: np.ndarray) -> set[str]:
 
 
 def sequences(values: np.ndarray) -> np.ndarray:
-    """Padded rows (-inf) of at most SEQUENCE values."""
-    rows = max(1, -(-len(values) // SEQUENCE))
-    out = np.full(rows * SEQUENCE, -np.inf)
+    """Padded rows (-inf) of SEGMENT values each, the last with fewer."""
+    rows = max(1, -(-len(values) // SEGMENT))
+    out = np.full(rows * SEGMENT, -np.inf)
     out[: len(values)] = values
-    return out.reshape(rows, SEQUENCE)
+    return out.reshape(rows, SEGMENT)
+
+
+def heads(rows: list[np.ndarray]) -> np.ndarray:
+    """Which rows begin a text, for the rows of several texts one after another."""
+    out = np.zeros(sum(map(len, rows)), bool)
+    out[np.cumsum([0, *map(len, rows)])[:-1]] = True
+    return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
 
 
 class Chain:
@@ -93,34 +106,80 @@ class Chain:
             e = self.kept[word] = float(self.weights[word_features(word)].sum() + self.bias)
         return e
 
-    def marginals(self, scores: np.ndarray, edges: bool = False):
-        """P(state 1) for padded rows of emission scores; -inf marks padding. With edges, expected transitions too."""
-        rows, length = scores.shape
+    def _emissions(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         real = np.isfinite(scores)
-        e = np.where(real, scores, 0.0)
+        em = np.stack([np.ones_like(scores), np.exp(np.clip(np.where(real, scores, 0.0), -30, 30))], axis=2)
+        em[~real] = 1.0
+        return em, real
+
+    def _passage(self, scores: np.ndarray) -> np.ndarray:
+        """What each segment does to a message before its first token's emission: a matrix, up to a factor."""
+        em, real = self._emissions(scores)
+        t = np.exp(self.moves)
+        out = np.einsum("rs,sk->rsk", em[:, 0], np.eye(2))
+        for i in range(1, scores.shape[1]):
+            step = (out @ t) * em[:, i, None, :]
+            out = np.where(real[:, i, None, None], step / step.sum(axis=(1, 2), keepdims=True), out)
+        return out
+
+    def _messages(self, scores: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(forward message into each segment, backward message into its end, expected transitions between segments)."""
+        rows, t = len(scores), np.exp(self.moves)
+        into, back, moved = np.ones((rows, 2)), np.ones((rows, 2)), np.zeros((2, 2))
+        if head.all():
+            return into, back, moved
+        first = np.maximum.accumulate(np.where(head, np.arange(rows), 0))
+        nth = np.arange(rows) - first
+        long = np.flatnonzero((nth > 0) | np.append(nth[1:] > 0, False))
+        passage = np.empty((rows, 2, 2))
+        for at in range(0, len(long), BATCH):
+            passage[long[at : at + BATCH]] = self._passage(scores[long[at : at + BATCH]])
+        order = np.argsort(nth, kind="stable")
+        cuts = np.searchsorted(nth[order], np.arange(1, nth.max() + 2))
+        steps = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]  # the second segments of all texts, the third, ...
+        out = np.ones((rows, 2))
+        for own in steps:
+            before = own - 1
+            out[before] = unit(np.einsum("rs,rsk->rk", into[before], passage[before]))
+            into[own] = unit(out[before] @ t)
+        for own in reversed(steps):
+            back[own - 1] = unit(np.einsum("rsk,rk->rs", passage[own], back[own]) @ t.T)
+        for own in steps:
+            pairs = out[own - 1][:, :, None] * t * np.einsum("rsk,rk->rs", passage[own], back[own])[:, None, :]
+            moved += (pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        return into, back, moved
+
+    def marginals(self, scores: np.ndarray, edges: bool = False, head: np.ndarray | None = None):
+        """P(state 1) for padded rows of emission scores; -inf marks padding. With edges, expected transitions too.
+
+        head marks the rows that begin a text; each row without it continues the one before. None: every row is a text.
+        """
+        head = np.ones(len(scores), bool) if head is None else head
+        into, back, moved = self._messages(scores, head)
+        out = np.empty(scores.shape)
+        for at in range(0, len(scores), BATCH):
+            part = slice(at, at + BATCH)
+            out[part], inside = self._within(scores[part], into[part], back[part], edges)
+            moved = moved + inside
+        return (out, moved) if edges else out
+
+    def _within(self, scores: np.ndarray, into: np.ndarray, back: np.ndarray, edges: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals, and expected transitions, of segments between their messages."""
+        rows, length = scores.shape
+        em, real = self._emissions(scores)
         t = np.exp(self.moves)
         f = np.empty((length, rows, 2))
         b = np.ones((length, rows, 2))
-        em = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], axis=2)
-        em[~real] = 1.0
-        now = em[:, 0] / em[:, 0].sum(axis=1, keepdims=True)
-        f[0] = now
+        f[0] = now = unit(into * em[:, 0])
         for i in range(1, length):
-            step = (now @ t) * em[:, i]
-            now = step / step.sum(axis=1, keepdims=True)
-            f[i] = now
-        back = np.ones((rows, 2))
+            f[i] = now = unit((now @ t) * em[:, i])
+        b[length - 1] = back
         for i in range(length - 1, 0, -1):
-            step = (em[:, i] * back) @ t.T
-            step /= step.sum(axis=1, keepdims=True)
-            # beyond the end of a row nothing is known
-            back = np.where(real[:, i : i + 1], step, 1.0)
-            b[i - 1] = back
-        post = f * b
-        post /= post.sum(axis=2, keepdims=True)
-        p = post[:, :, 1].T
+            # beyond the end of a text nothing is known
+            b[i - 1] = back = np.where(real[:, i : i + 1], unit((em[:, i] * back) @ t.T), 1.0)
+        p = unit(f * b)[:, :, 1].T
         if not edges:
-            return p
+            return p, np.zeros((2, 2))
         pairs = f[:-1, :, :, None] * t[None, None] * (em.transpose(1, 0, 2)[1:] * b[1:])[:, :, None, :]
         pairs /= pairs.sum(axis=(2, 3), keepdims=True)
         return p, (pairs * real.T[1:, :, None, None]).sum(axis=(0, 1))
@@ -141,6 +200,7 @@ class Chain:
             rows_y.append(sequences(y.astype(float)))
         if not rows_w:
             return
+        head = heads(rows_w)
         ids, y = np.concatenate(rows_w), np.concatenate(rows_y)
         real = np.isfinite(ids)
         ids, y = np.where(real, ids, 0).astype(np.int32), np.where(real, y, 0).astype(np.int8)
@@ -148,13 +208,18 @@ class Chain:
         observed = np.zeros((2, 2))
         both = real[:, 1:]
         np.add.at(observed, (y[:, :-1][both].astype(int), y[:, 1:][both].astype(int)), 1)
+        joins = np.flatnonzero(~head)  # all segments before another are full
+        np.add.at(observed, (y[joins - 1, -1].astype(int), y[joins, 0].astype(int)), 1)
+        # rows of a few MB at a time, whole texts
+        starts = np.flatnonzero(head)
+        cuts = np.unique([*starts[np.searchsorted(starts, np.arange(0, starts[-1] + 1, BATCH))], len(ids)])
+        parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
         g_w, g_b, g_m = np.full(HASHES, 1e-8), 1e-8, np.full((2, 2), 1e-8)
         for _ in range(epochs):
             by_word = (self.weights[table] * used).sum(axis=1) + self.bias
             expected, each, total = np.zeros((2, 2)), np.zeros(len(vocabulary)), 0.0
-            for at in range(0, len(ids), BATCH):  # rows of a few MB at a time
-                part = slice(at, at + BATCH)
-                p, moved = self.marginals(np.where(real[part], by_word[ids[part]], -np.inf), edges=True)
+            for part in parts:
+                p, moved = self.marginals(np.where(real[part], by_word[ids[part]], -np.inf), True, head[part])
                 gap = np.where(real[part], y[part] - p, 0)
                 each += np.bincount(ids[part].ravel(), gap.ravel(), len(vocabulary))
                 expected += moved
@@ -241,11 +306,12 @@ class ToxicityModel:
         words = _TOKEN.findall(text)
         if not words:
             return np.empty(0), words
-        p = chain.marginals(sequences(np.array([chain.emission(w) for w in words])))
+        rows = sequences(np.array([chain.emission(w) for w in words]))
+        p = chain.marginals(rows, head=heads([rows]))
         return p.ravel()[: len(words)], words
 
     def batch_marginals(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Marginals of the tokens of each text; the sequences of all texts go through the chain together."""
+        """Marginals of the tokens of each text; the segments of all texts go through the chain together."""
         kept, emission = self.chain.kept, self.chain.emission
         counts, rows = [], []
         for text in texts:
@@ -255,12 +321,11 @@ class ToxicityModel:
                 rows.append(sequences(np.array([kept[w] if w in kept else emission(w) for w in words])))
         if not rows:
             return [np.empty(0) for _ in texts]
-        stacked = np.concatenate(rows)
-        p = np.concatenate([self.chain.marginals(stacked[i : i + BATCH]) for i in range(0, len(stacked), BATCH)]).reshape(-1)
+        p = self.chain.marginals(np.concatenate(rows), head=heads(rows)).reshape(-1)
         out, at = [], 0
         for n in counts:
             out.append(p[at : at + n])
-            at += -(-n // SEQUENCE) * SEQUENCE
+            at += -(-n // SEGMENT) * SEGMENT
         return out
 
     def score(self, marginals: list[np.ndarray]) -> np.ndarray:
@@ -303,4 +368,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, score double, spans array<struct<start:long,end:long,probability:double>>")
     out = out.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "spans")
+    return saved(out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "spans"), "toxicity")
