@@ -2,12 +2,15 @@
 
 import hashlib
 import itertools
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestore.llm import components as CC
@@ -70,6 +73,25 @@ def test_token_counts_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
     assert row["n_edits"] == 2 and row["n_tokens_edited"] == len(encoding.encode_ordinary("zero one end"))
 
 
+def test_kept_trees_take_one_batch_after_another(spark, odd_docs, odd_rows):
+    encoding = TC.Counter(TC.load_ranks()).encoding
+    long = [(1000 + i, "some words stand here, and 42 more. " * 900) for i in range(3)]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(long, "doc_id long, text string"))
+    texts = [[r[0], r[1] or ""] for r in [*odd_rows, *long]]
+    state = TC.saved(TC.kept_trees(docs), "test-trees")
+    batches = [[(1000, 1, 9000, 9005, "others"), (1001, 1, 0, 0, "first "), (40, 2, 3, 5, "xyz")], [(1000, 1, 9002, 9002, "'s"), (1000, 2, 40, 7000, None), (40, 1, 0, 999999, None)]]
+    for edits in batches:
+        for doc_id, _, start, stop, insert in sorted(edits, key=lambda e: e[1]):
+            for row in texts:
+                if row[0] == doc_id:
+                    row[1] = row[1][:start] + (insert or "") + row[1][max(start, stop) :]
+        table = spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, insert string")
+        state = TC.saved(TC.edited(TC.with_edits(state, table)), "test-trees")
+        rows = state.select("doc_id", "text", TC.total("tokens").alias("n"), "n_edits", "n_reencoded").collect()
+        assert Counter((r["doc_id"], r["text"] or "", r["n"]) for r in rows) == Counter((i, t, len(encoding.encode_ordinary(t))) for i, t in texts)
+        assert all(r["n_reencoded"] <= 60 * r["n_edits"] for r in rows)
+
+
 # 2: sharding
 
 
@@ -102,6 +124,32 @@ def test_written_shards(spark, small, tmp_path):
     assert back.count() == small.count() and back.select("shard").distinct().count() == 5
 
 
+def test_written_shards_of_odd_rows(spark, odd_docs, no_docs, odd_rows, tmp_path):
+    folder = SH.write_shards(odd_docs, str(tmp_path / "s"), 5)
+    assert folder == "_shard"  # odd_docs has a column shard of its own
+    files = [str(p) for p in (tmp_path / "s").glob("_shard=*/*.parquet")]
+    back = spark.read.parquet(*files)  # folders that begin with an underscore are read by name
+    assert Counter(map(tuple, back.select(*odd_docs.columns).collect())) == Counter(odd_rows)
+    sizes = [spark.read.parquet(str(p)).count() for p in (tmp_path / "s").glob("_shard=*")]
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+    SH.write_shards(no_docs, str(tmp_path / "none"), 5)
+    assert not list((tmp_path / "none").glob("_shard=*"))
+
+
+def test_bins_hold_about_equal_counts(spark):
+    counts = [("a", 10), ("b", 10), ("c", 10), ("d", 10)]
+    bins = {r["v"]: r["bin"] for r in SH.value_bins(spark.createDataFrame(counts, "v string, _n long"), "v", "bin").collect()}
+    assert bins == {"a": 4, "b": 12, "c": 20, "d": 28}
+    many = [(f"v{i:04}", 1 + i % 3) for i in range(2000)] + [(None, 5)]
+    rows = SH.value_bins(spark.createDataFrame(many, "v string, _n long"), "v", "bin").collect()
+    held = Counter()
+    for r in rows:
+        held[r["bin"]] += dict(many)[r["v"]]
+    assert set(held) == set(range(32)) and max(held.values()) - min(held.values()) <= 6
+    order = [r["bin"] for r in sorted(rows, key=lambda r: (r["v"] is not None, r["v"] or ""))]
+    assert order == sorted(order)
+
+
 # 3: licenses
 
 
@@ -137,6 +185,35 @@ def test_seeds_find_every_place_in_budget():
             assert label in {s[0] for s in LI.fuzzy_spans("aa " + "".join(x) + " bb")}, "".join(x)
 
 
+def test_fuzzy_notices_equal_brute_force():
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j - 1] + (x != y), last[j] + 1, now[-1] + 1))
+            last = now
+        return last[-1]
+
+    r = random.Random(3)
+    assert LI.scan_text("qmit license")[5] == "mit"
+    for phrase, label in (LI.BASE | LI.NOTICES).items():
+        k, digits = LI.edit_budget(phrase), re.sub(r"\D", "", phrase)
+        for _ in range(40):
+            x = list(phrase)
+            for _ in range(r.randrange(k + 2)):
+                at = r.randrange(len(x))
+                x[at : at + r.randrange(2)] = r.choice(["", "q", "s", " "])
+            words = f"{r.choice(['', 'aa', 'zz mit'])} {''.join(x)} {r.choice(['', 'bb', 'y z'])}".split()
+            text = " ".join(words)
+            spans = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+            near = any(abs(len(c) - len(phrase)) <= k and re.sub(r"\D", "", c) == digits and distance(c, phrase) <= k for c in spans)
+            found = [s for s in LI.fuzzy_spans(text) if s[0] == label]
+            assert not near or found, (phrase, text)
+            for _, a, b, edits, _ in found:
+                assert any(distance(text[a:b], p) == edits for p, own in (LI.BASE | LI.NOTICES).items() if own == label)
+
+
 # 4: line dedup
 
 
@@ -144,8 +221,7 @@ def brute_lines(rows, least):
     def key(line):
         return line.strip(" \t\n\x0b\x0c\r").translate(UPPER)
 
-    docs = list({(r[0], r[1] or "") for r in rows})
-    df = Counter(k for _, t in docs for k in {key(x) for x in t.split("\n")} if k)
+    df = Counter(k for r in rows for k in {key(x) for x in (r[1] or "").split("\n")} if k)
     out = []
     for r in rows:
         lines = (r[1] or "").split("\n")
@@ -178,6 +254,34 @@ def test_runs_are_levelled(spark):
     assert runs.unseen(spark.createDataFrame([(2, 3), (9, 9)], "_a long, _b long")).count() == 1
 
 
+def test_runs_are_opened_again_and_never_shuffled(spark, tmp_path):
+    root = f"file://{tmp_path}/runs"
+
+    def batch(i):
+        return spark.range(300).select((F.col("id") + i * 1000).alias("_d"), F.lit(0).alias("_t"), (F.col("id") % (100 + i)).alias("_a"), (F.col("id") % (100 + i) * 7).alias("_b"))
+
+    first = LD.LineRuns(spark, min_docs=8, fanout=3, root=root)
+    first.add(batch(0))
+    first.add(batch(1))
+    first.close()
+    again = LD.LineRuns.open(spark, root)
+    assert again.names() == first.names() and again.version == 2 and again.min_docs == 8
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        own = batch(2).groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+        plan = again.merged(own)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 2 and "Bucketed: true" in plan
+    again.add(batch(2))
+    want = Counter(x % (100 + i) for i in range(3) for x in range(300))
+    assert {r["_a"] for r in again.frequent().collect()} == {a for a, n in want.items() if n >= 8}
+    assert [len(level) for level in LD.LineRuns.open(spark, root).levels] == [0, 1]
+    again.close(delete_files=True)
+    assert not (tmp_path / "runs").exists()
+
+
 # 5: decontamination
 
 
@@ -240,6 +344,73 @@ def test_passages_are_found_at_any_offset():
         assert D.find_items(b"other words 0123 " * 30, index) == []
 
 
+def test_items_equal_full_alignment():
+    """Whole items with insertions, deletions and substitutions around their budget: found if and only if full alignment finds them."""
+
+    def least(item, text):
+        last = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            now = [i]
+            for j, y in enumerate(text, 1):
+                now.append(min(last[j - 1] + (x != y), last[j] + 1, now[-1] + 1))
+            last = now
+        return min(last)
+
+    r = random.Random(1)
+    other = D.plain_bytes("".join(r.choice("abcdefghij klmno") for _ in range(70)))
+    seen = Counter()
+    for _ in range(250):
+        letters = r.choice(["ab", "abcdefghij klmno", "a b"])
+
+        def some(n):
+            return "".join(r.choice(letters) for _ in range(n))
+
+        item = D.plain_bytes(some(r.choice([12, 20, 25, 37, 59, 60, 80, 130])))
+        if len(item) < D.Q:
+            continue
+        x = list(item.decode())
+        for _ in range(r.randrange(D.budget(len(item)) + 3)):
+            at = r.randrange(len(x))
+            x[at : at + r.randrange(2)] = r.choice(["", "a", "z"])
+        text = D.plain_bytes(some(r.randrange(60)) + "".join(x) + some(r.randrange(60)))
+        want = least(item, text)
+        got = [f[3] for f in D.find_items(text, D.Index([(5, item), (6, other)])) if f[0] == 0 and f[4] == 1]
+        assert got == ([want] if want <= D.budget(len(item)) else []), (item, text)
+        seen[bool(got)] += 1
+    assert min(seen.values()) > 20
+
+
+def test_repetitive_texts_take_little():
+    began = time.time()
+    for item, text, whole in ((b"a" * 120, b"a" * 300_000, 1), (b"a" * 60 + b"b" * 60, b"a" * 200_000, None), (b"ab cd " * 300, b"ab cd " * 20_000, 1), (b"a" * 110 + b"b" * 10, b"a" * 100_000, 0)):
+        assert [f[4] for f in D.find_items(text, D.Index([(1, item)]))] == ([] if whole is None else [whole])
+    assert time.time() - began < 20
+
+
+def test_long_texts_are_searched_in_pieces(monkeypatch):
+    rng = np.random.default_rng(8)
+    items = [(i, bytes(rng.choice(list(b"abcdefghij klmno"), int(rng.integers(60, 400))).astype(np.uint8))) for i in range(30)]
+    text = b" filler words 123 ".join(items[int(i)][1][: int(rng.integers(50, 400))] for i in rng.integers(0, 30, 200))
+    whole = D.find_items(text, D.Index(items))
+    monkeypatch.setattr(D, "HITS", 50)
+    monkeypatch.setattr(D, "SPAN", 600)
+    assert whole and [(f[0], f[3], f[4]) for f in D.find_items(text, D.Index(items))] == [(f[0], f[3], f[4]) for f in whole]
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark, monkeypatch):
+    item = "which of these four rivers runs through the largest number of countries in the region"
+    rows = [(None, f"before {item} after"), (None, "clean words"), (1, f"also {item}"), (1, "clean too"), (2, "tiny bit of it"), (3, "a tinybit"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    bench = spark.createDataFrame([(10, item), (None, item), (11, "tiny bit"), (12, None), (13, " \n ")], "item_id long, text string")
+    want = {(i, j) for i, own in ((None, (10, None)), (1, (10, None)), (2, (11,))) for j in own}
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, bench).collect()} == want
+    left = Counter((r["doc_id"], r["text"]) for r in D.clean_documents(docs, bench).collect())
+    assert left == Counter([rows[1], rows[3], *rows[5:]])
+    monkeypatch.setattr(D, "BLOCK_BYTES", 50)  # several passes
+    again = D.clean_documents(docs, bench)
+    assert Counter((r["doc_id"], r["text"]) for r in again.collect()) == left and again.columns == docs.columns
+
+
 # 6 and 10: classifiers
 
 
@@ -286,6 +457,36 @@ def test_chain_marginals_equal_brute_force():
     assert np.allclose(chain.marginals(TX.sequences(e)).ravel()[:4], want)
 
 
+def test_chains_are_whole():
+    """Texts of many segments: marginals and expected transitions as one chain has them."""
+    chain = TX.Chain()
+    chain.moves = np.array([[0.4, -0.9], [-0.7, 1.1]])
+    rng, t = np.random.default_rng(0), np.exp(chain.moves)
+    texts = [rng.normal(size=n) * 2 for n in (1, 63, 64, 65, 128, 500, 10)]
+    rows = [TX.sequences(x) for x in texts]
+    p, moved = chain.marginals(np.concatenate(rows), True, TX.heads(rows))
+    p, at, want = p.ravel(), 0, np.zeros((2, 2))
+    for x in texts:
+        em = np.stack([np.ones(len(x)), np.exp(x)], axis=1)
+        f, b = [em[0]], [np.ones(2)]
+        for i in range(1, len(x)):
+            f.append(TX.unit((f[-1] @ t) * em[i]))
+            b.insert(0, TX.unit(t @ (em[-i] * b[0])))
+        assert np.allclose(TX.unit(np.array(f) * np.array(b))[:, 1], p[at : at + len(x)])
+        at += -(-len(x) // TX.SEGMENT) * TX.SEGMENT
+        for i in range(len(x) - 1):
+            pair = f[i][:, None] * t * (em[i + 1] * b[i + 1])[None]
+            want += pair / pair.sum()
+    assert np.allclose(want, moved)
+
+
+def test_repeated_rows_do_not_enlarge_the_sample(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    rows = Q.training_rows(docs, labels, "quality", F.lit(False), 2).collect()
+    assert len(rows) == 2 and len({r["doc_id"] for r in rows}) == 2
+
+
 def test_toxic_spans(spark):
     docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = {r["doc_id"]: r["spans"] for r in TX.toxicity_scores(docs, known).where("predicted = 1").collect()}
@@ -330,6 +531,33 @@ def test_simhash(odd_docs, no_docs, odd_rows):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_equal_brute_force(spark, odd_docs, odd_rows, small):
+    def fingerprint(text):
+        words = re.findall(WORD, text)
+        terms = [(xxh(b, xxh(a, 42)), 1 if len(a) <= 3 and len(b) <= 3 else 2) for a, b in zip(words, words[1:])] or [(xxh(w, 42), 2) for w in words]
+        return sum(1 << k for k in range(64) if sum(w if h >> k & 1 else -w for h, w in terms) > 0)
+
+    def xxh(x, seed):
+        return xxhash.xxh64_intdigest(x.encode("utf-8"), seed)
+
+    def apart(a, b):
+        return bin(a ^ b).count("1")
+
+    one_row_an_id = {r[0]: r[1] or "" for r in odd_rows if r[0] is not None and r[0] not in (5, 6)}
+    for docs, texts in ((odd_docs.where("doc_id is not null and doc_id not in (5, 6)"), one_row_an_id), (small, {r["doc_id"]: r["text"] or "" for r in small.collect()})):
+        ids = sorted(texts)
+        own = {i: fingerprint(texts[i]) for i in ids}
+        rows = {r["doc_id"]: r for r in SM.edited_fingerprints(docs).collect()}
+        assert set(rows) == set(ids)
+        for i, after in zip(ids, [*ids[1:], ids[0]]):
+            cut = len(texts[i]) // 4
+            edited = fingerprint(texts[i][: len(texts[i]) - cut] + texts[after][:cut])
+            want = (f"{own[i]:016x}", f"{edited:016x}", 1 - apart(own[i], edited) / 64, 1 - apart(own[i], own[after]) / 64)
+            r = rows[i]
+            assert (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) == want, i
+            assert r["n_near"] == (sum(apart(own[i], x) <= 3 for x in own.values()) if i % 50 == 0 else None)
+
+
 def test_radius_search_is_complete(spark):
     rng = np.random.default_rng(9)
     base = rng.integers(-(1 << 63), 1 << 63, 40)
@@ -384,6 +612,23 @@ def test_mix(odd_docs, small, odd_rows, which, no_docs):
     assert MX.mixed(no_docs).count() == 0
 
 
+def test_mixture_takes_rows_for_themselves(spark, odd_docs, odd_rows, no_docs):
+    out = MX.mixture(odd_docs)
+    assert out.columns == odd_docs.columns and MX.mixture(no_docs).count() == 0
+    times, have = Counter(map(tuple, out.collect())), Counter(odd_rows)
+    assert all(n <= 3 * have[row] for row, n in times.items())
+    sizes, taken = Counter(), Counter()
+    for row in odd_rows:
+        sizes[row[3]] += len(WORD.findall(row[1] or ""))
+    for row, n in times.items():
+        taken[row[3]] += n * len(WORD.findall(row[1] or ""))
+    for s, t in brute_targets(sizes).items():
+        biggest = max(len(WORD.findall(r[1] or "")) for r in odd_rows if r[3] == s)
+        assert abs(taken[s] - t) <= max(0.03 * t, 60) or biggest > t / 3, (s, t, taken[s])
+    rows = spark.createDataFrame([(1, "a b c d", "x")] * 30 + [(2, "e f", "y")] * 30, "doc_id long, text string, source string")
+    assert Counter(r["source"] for r in MX.mixture(rows).collect()) == Counter(x=round(180 * 5 / 7 / 4), y=round(180 * 2 / 7 / 2))
+
+
 # 9: near-dedup
 
 
@@ -421,6 +666,25 @@ def test_near_groups(odd_docs, no_docs, odd_rows, words):
     assert ND.near_groups(no_docs).count() == 0
 
 
+def test_one_of_each(spark, odd_docs, odd_rows, no_docs):
+    kept = ND.one_of_each(odd_docs, 5, 0.8)
+    assert kept.columns == odd_docs.columns and ND.one_of_each(no_docs).count() == 0
+    rows = sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0))
+    groups = brute_groups([(n, r[1]) for n, r in enumerate(rows)], 5, 0.8)
+    group = {n: g for (n, _), g in groups.items()}
+    want = Counter(r[0] for n, r in enumerate(rows) if group[n] == n)
+    assert Counter(r["doc_id"] for r in kept.collect()) == want
+    same = spark.createDataFrame([(7, "one two three four five six")] * 3 + [(None, "one two three four five six")] * 2 + [(None, "")] * 2, "doc_id long, text string")
+    assert sorted(map(repr, ND.one_of_each(same).collect())) == sorted(map(repr, [same.first(), *same.where("text = ''").collect()]))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_no_link_is_lost_on_real_tables(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in ND.near_groups(docs, 4).collect()}
+    assert got == {i: c for (i, _), c in brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 0.8).items()}
+
+
 def test_near_groups_of_a_chain_of_copies(spark):
     """Copies with growing changes: neighbours link, far ones do not, hubs alone would not join them."""
     rng = np.random.default_rng(6)
@@ -459,3 +723,12 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in CC.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 41: 40, 50: 40}
     assert CC.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_session_keeps_its_batch_size(spark, odd_docs):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    assert int(before) > 512
+    LI.license_scan(odd_docs).count()
+    ND.near_groups(odd_docs).count()
+    assert spark.conf.get(setting) == before

@@ -40,3 +40,25 @@ def test_run_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_tables(spark, odd_docs, odd_rows, tmp_path):
+    """Nulls, repeated rows, shared ids, clashing columns: every stage keeps the columns and takes only rows it was given."""
+    item = "which of these four rivers runs through the largest number of countries in the region"
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (None, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd_docs.unionByName(spark.createDataFrame([(i, f"x {item} y {i}", *odd_rows[0][2:]) for i in (None, 300, 5)], odd_docs.schema))
+    for name, stage in P.STAGES:
+        given = [tuple(r) for r in docs.collect()]
+        out = stage(spark, docs, str(tmp_path))
+        if name == "sharding":
+            assert out.count() == len(given)
+            break
+        rows = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and set(rows) <= set(given)
+        if name == "minhash_near_dedup":
+            texts = [r[1] for r in rows if (r[1] or "").split()]
+            assert len(texts) == len(set(texts))
+        if name == "benchmark_decontamination":
+            assert Counter(rows) == Counter(r for r in given if item not in (r[1] or ""))
+        docs = P.saved(out, "test-odd")
