@@ -8,12 +8,11 @@ documents; the last returns the place of every kept copy.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestore.llm.common import documents, dropped, saved
 from lodestore.llm.decontamination import clean_documents
-from lodestore.llm.mixing import mixed
-from lodestore.llm.near_dedup import near_groups
+from lodestore.llm.mixing import mixture
+from lodestore.llm.near_dedup import one_of_each
 from lodestore.llm.quality import good_documents
 from lodestore.llm.sharding import hilbert_shards
 
@@ -26,21 +25,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: shingles of five words, similarity of 0.8 or more."""
-    gone = near_groups(docs, words=5, threshold=0.8).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group stays: shingles of five words, similarity of 0.8 or more.
+
+    Every row is a document: of repeated rows one stays, and rows with a null doc_id are compared like all others.
+    """
+    return one_of_each(docs, words=5, threshold=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, or a passage of one, go: each row by its own text, whatever its doc_id."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows that share a doc_id are taken alike."""
-    copies = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Each row as many times as the mix takes it, whatever its doc_id."""
+    return mixture(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         last, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
-        dropped(last)
+        if docs is not last:
+            dropped(last)
     return docs
 
 
