@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestore import on_workers
 
@@ -106,13 +109,32 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs as a scratch table with a number for each row, and that column's name, which no column of docs has: repeated rows can be told apart."""
+    """docs, and the name of a column of longs that tells its rows apart: doc_id if no row lacks it or shares it, else a number.
+
+    Numbered rows are a scratch table, so that they keep their numbers; the column's name is one that no column of docs has.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null").limit(1).count()
+    if not shared:
+        return docs, "doc_id"
     name, known = "_row", {c.lower() for c in docs.columns}
     while name in known:
         name = "_" + name
     return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def on_texts(run: Callable[[list[str | None]], list], kind: T.DataType):
+    """A column function of texts. It takes the texts of an Arrow batch, which is bounded in bytes, a few at a time, whatever the session's batch size."""
+
+    @F.arrow_udf(kind)
+    def each(texts: pa.Array) -> pa.Array:
+        out: list = []
+        for at in range(0, len(texts), BATCH_ROWS):
+            out.extend(run(texts.slice(at, BATCH_ROWS).to_pylist()))
+        return pa.array(out, to_arrow_type(kind))
+
+    return each
+
+
 def tasks(spark: SparkSession, rows: int, each: int) -> int:
     """How many tasks rows are dealt to where Python takes long for few bytes: joining small tasks by their bytes would leave cores idle."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // each))

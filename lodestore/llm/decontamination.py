@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, saved
+from lodestore import on_workers
+
+from .common import dropped, on_texts, saved
 
 Q = 10
 #: Edits allowed for each byte of an item, and the length below which none are.
@@ -384,20 +386,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _holds(held, name: str):
-    @F.pandas_udf("boolean")
-    def run(text: pd.Series) -> pd.Series:
-        index = _kept(name, held)
-        return pd.Series([bool(find_items(plain_bytes(t), index)) for t in text], dtype=bool)
-
-    return run
+    """A column function: whether a text holds an item of a block."""
+    return on_texts(lambda texts: [bool(find_items(plain_bytes(t), _kept(name, held))) for t in texts], T.BooleanType())
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows in whose text no item was found: a filter by row for each block, without a shuffle or a join."""
-    spark, out = docs.sparkSession, docs
+    spark = docs.sparkSession
+    on_workers(spark)
+    out, kept = docs, []
     for block in item_blocks(benchmark):
-        held = _holds(spark.sparkContext.broadcast(block), uuid.uuid4().hex)
-        before, out = out, saved(out.where(~held("text")), "clean")
-        if before is not docs:
-            dropped(before)
+        if out is not docs:  # filters of several blocks in one pass would share workers, which hold one index at a time
+            out = saved(out, "clean")
+            dropped(*kept)
+            kept = [out]
+        out = out.where(~_holds(spark.sparkContext.broadcast(block), uuid.uuid4().hex)("text"))
     return out

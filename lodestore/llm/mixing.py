@@ -96,7 +96,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
 
     Which documents of one (source, size) get the odd copies is settled by a hash of doc_id and text, so reruns agree.
     """
-    carried = [] if row is None else [row]
+    carried = [] if row in (None, "doc_id") else [row]
     sized = docs.select(
         "doc_id", word_count(F.col("text")).alias("size"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().cast("int").alias("_sn"),
         F.xxhash64("doc_id", "text").alias("_tie"), *carried,
@@ -108,7 +108,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     targets = source_targets(sizes.drop("_docs"), weights, max_copies)
     targets = saved(targets.join(sizes.drop("source_size"), ["_s", "_sn"]), "mix-targets")
     copies = rounded_copies(balanced_rates(pairs, targets, max_copies), max_copies)
-    order = ranked(sized, [F.col("_sn"), F.col("_s"), F.col("size"), F.col("_tie"), *map(F.col, carried)], "_rank")
+    order = ranked(sized, [F.col("_sn"), F.col("_s"), F.col("size"), F.col("_tie"), F.col("doc_id"), *map(F.col, carried)], "_rank")
     starts = ranked(pairs, [F.col("_sn"), F.col("_s"), F.col("size")], "_place")
     starts = cumulated(starts)
     plan = starts.join(copies.select("_s", "_sn", "size", "_k"), ["_s", "_sn", "size"], "left").join(targets.drop("_docs"), ["_s", "_sn"])
@@ -125,6 +125,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int
     copies = mixed(rows, weights, max_copies, row).where("copies > 0").select(row, F.col("copies").cast("int").alias("_copies"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     taken = rows.select(F.struct(*own).alias("_doc"), row).join(copies, row)
-    out = saved(taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*"), "mixture")
-    dropped(rows)
+    out = taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")
+    if rows is not docs:
+        out = saved(out, "mixture")
+        dropped(rows)
     return out

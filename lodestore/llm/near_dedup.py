@@ -300,11 +300,14 @@ def one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     rows, row = with_row(docs)
     groups = near_groups(rows.select(F.col(row).alias("doc_id"), "text"), words, threshold).select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
     sized = groups.groupBy("_group").agg(F.count("*").alias("_m")).where("_m > 1").select("_group")
-    members = joined_small(groups, saved(sized, "near-many"), ["_group"])
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(row).alias("c"))
-    members = saved(members.join(rows.select(row, "doc_id"), row), "near-members")
-    best = saved(members.groupBy("_group").agg(F.min(order)["c"].alias("_best")), "near-best")
-    gone = joined_small(members, best, ["_group"]).where(F.col(row) != F.col("_best")).select(row)
-    out = saved(rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), "near-kept")
-    dropped(rows, members, best)
+    members = saved(joined_small(groups, saved(sized, "near-many"), ["_group"]), "near-members")
+    ids = rows.select(F.col(row).alias("_n"), F.col("doc_id").alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_n").alias("c"))
+    best = saved(members.join(ids, F.col(row) == F.col("_n")).groupBy("_group").agg(F.min(order)["c"].alias("_best")), "near-best")
+    gone = saved(joined_small(members, best, ["_group"]).where(F.col(row) != F.col("_best")).select(row), "near-gone")
+    dropped(members, best)
+    out = rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if rows is not docs:
+        out = saved(out, "near-kept")
+        dropped(rows)
     return out

@@ -20,12 +20,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, small_batches
+from lodestore import on_workers
+
+from .common import on_texts, saved
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of doc_id.
 MAX_ROWS = 20_000
@@ -181,16 +182,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, held_out, max
     return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _features(text: pd.Series) -> pd.Series:
-    return pd.Series([text_features(t) for t in text])
+_features = on_texts(lambda texts: list(map(text_features, texts)), T.ArrayType(T.DoubleType()))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AdditiveModel:
     """A model of the quality labels that are not held out; only the sample's numbers come to the driver."""
+    on_workers(docs.sparkSession)
     rows = training_rows(docs, labels, "quality", is_held_out(F.col("doc_id"), FOLDS, 0), max_rows)
-    with small_batches(docs.sparkSession):
-        sample = rows.select("doc_id", "y", _features("text").alias("x")).toPandas()
+    sample = rows.select("doc_id", "y", _features("text").alias("x")).toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
     order = np.lexsort((*x.T, sample["doc_id"].to_numpy()))
     return AdditiveModel().fit(x[order], sample["y"].to_numpy(float)[order])
@@ -198,12 +197,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Addi
 
 def scorer(model: AdditiveModel):
     """A column function: the score of a text column under a model."""
-
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([text_features(t) for t in text]).reshape(-1, len(FEATURES))))
-
-    return scored
+    return on_texts(lambda texts: list(model.score(np.array(list(map(text_features, texts))).reshape(-1, len(FEATURES)))), T.DoubleType())
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -215,4 +209,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 def good_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    return saved(docs.where(scorer(fitted(docs, labels, max_rows))("text") >= THRESHOLD), "good")
+    return docs.where(scorer(fitted(docs, labels, max_rows))("text") >= THRESHOLD)
