@@ -49,6 +49,9 @@ ANTONYMS = (
 UNITS = ("万", "元", "人", "日", "年", "月", "天", "小时", "分钟", "秒", "%", "％", "倍", "次", "个", "台", "家", "公里", "米", "斤", "吨", "度", "层", "版", "期", "号", "点")
 DEDUP_NEGATION_CHARS = "不没非勿无别禁否停拒免莫未休"
 DEDUP_NEGATION_TOKENS = ("取消", "删除", "撤销", "关闭", "停止", "禁止", "拒绝", "无法", "不能", "不会", "不要", "无需", "不得", "不可", "不准", "尚未")
+# Words that deny or correct, in the order in which they are looked for, and limits of the contradiction rules.
+CONTRADICTION_SIGNALS = ("不是", "误判", "纠正", "实为", "推翻", "而非", "≠", "作废", "假阳性", "不应", "不能用", "不适用", "否定", "别用")
+OBJECT_CHARS, OBJECT_LIMIT, SAME_LIMIT = 24, 0.35, 0.85
 # Router words.
 ROUTER_ID = r"[A-Za-z]{2,}[-_][A-Za-z0-9]+|\d{4,}|[\w.-]+\.(?:py|json|yaml|yml|sh|db|md|log|conf|plist|toml|bak)\b"
 ROUTER_FAST = ("cron", "launchd", "brew", "sqlite", "python", "node", "npm", "nginx", "docker", "redis", "kafka", "mysql", "error", "debug", "fix", "api", "sdk", "cli", "yaml", "json")
@@ -78,6 +81,17 @@ class Search:
     quality: tuple = (0.10, 0.03, 0.01)
     fts_scale: float = 300.0
     now: str = NOW
+    router: bool = False
+    gate: bool = False
+    time: bool = False
+    graph: bool = False
+    contradictions: bool = False
+    graph_seeds: int = 30
+    graph_per_seed: int = 3
+    graph_top: int = 15
+    graph_gate: float = 0.35
+    time_top: int = 15
+    time_days: int = 30
 
     @property
     def weight_factor(self) -> float:

@@ -13,11 +13,31 @@ from pyspark.sql import types as T
 ISO_DATE = r"(?<!\d)((?:19|20)\d{2})-(0?[1-9]|1[0-2])-([12]\d|3[01]|0?[1-9])(?![\dT])"
 SLASH_DATE = r"((?:19|20)\d{2})/(0?[1-9]|1[0-2])/([12]\d|3[01]|0?[1-9])(?!\d)"
 CJK_DATE = r"(?<!\d)((?:19|20)\d{2})\s*年\s*(0?[1-9]|1[0-2])\s*月\s*([12]\d|3[01]|0?[1-9])\s*日?"
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-NAMED_DATE = r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+([12]?\d|3[01])(?:st|nd|rd|th)?(?:,?\s*((?:19|20)\d{2}))?\b"
-RELATIVE = {"yesterday": -1, "today": 0, "tomorrow": 1, "昨天": -1, "今天": 0, "明天": 1, "前天": -2}
-SPANS = {"day": 1, "week": 7, "month": 30, "year": 365, "天": 1, "周": 7, "月": 30, "年": 365}
-SIGNAL = r"(?i)\b(19|20)\d{2}\b|(19|20)\d{2}\s*[/\-年]|yesterday|today|tomorrow|\bago\b|昨|今|前天|明天|天前|天后|周前|月前|年前"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+NAMED_DATE = (
+    r"\b((?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?)"
+    r"\s+([12]?\d|3[01])(?:st|nd|rd|th)?(?:,?\s*((?:19|20)\d{2}))?\b"
+)
+SIGNAL = (
+    r"(?i)\b(?:19|20)\d{2}\b|(?:19|20)\d{2}[/\-年]|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\b|"
+    r"昨|今|前天|上周|上个月|去年|前年|天后|天前|周后|周前|月后|月前|年前|次日|"
+    r"yesterday|ago|later|today|last\s+(?:night|week|month|year|tuesday|wednesday|thursday|friday|saturday|sunday|monday)|"
+    r"this\s+(?:morning|afternoon|week|month)|tonight|tomorrow|\d+\s*(?:day|days|week|weeks|month|months|year|years)\b"
+)
+# Spans of time with a number, and which way they go; words for a day, in the order in which they are looked for; days of a unit.
+SPANS = (
+    (r"(?i)(\d+)\s*(day|week|month|year)s?\s+ago", -1),
+    (r"(?i)(?<![a-zA-Z])in\s+(\d+)\s*(day|week|month|year)s?\b", 1),
+    (r"(\d+)\s*(天|周|个月|年)\s*前", -1),
+    (r"(\d+)\s*(天|周|个月|年)\s*(?:后|之后)", 1),
+)
+UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365, "天": 1, "周": 7, "个月": 30, "年": 365}
+BEFORE_WEEKDAY = (
+    (r"(?i)\btoday\b", 0), (r"(?i)\byesterday\b", -1), (r"(?i)\btomorrow\b", 1),
+    (r"(?i)\btonight\b|\bthis\s+morning\b|\bthis\s+afternoon\b", 0), (r"(?i)\blast\s+night\b", -1),
+)
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+AFTER_WEEKDAY = ((r"昨\s*天", -1), (r"前天", -2), (r"去年", -365), (r"上个月", -30), (r"上周", -7), (r"今年", 0))
 KEY_DATA = (
     ("percent", r"\d+(?:\.\d+)?\s*%"),
     ("money", r"\d+(?:\.\d+)?\s*(?:万|亿|元|块|k|K)"),
@@ -27,51 +47,73 @@ KEY_DATA = (
 )
 ENTITY_SUFFIX = r"([\x{4e00}-\x{9fff}A-Za-z0-9_]{2,30}(?:系统|平台|引擎|模型|库|框架|工具|项目))"
 ENTITY_QUOTED = r"[《「『\"“]([\x{4e00}-\x{9fff}A-Za-z0-9_\-]{2,40})[」』\"”》]"
-# Verbs and the relation and confidence that each gives.
+# Verbs of each relation and the confidence that each gives; those that a scan of a text leaves out; words that vote for no relation.
 VERBS = {
-    "拍板定案": ("decides", 0.95), "拍板": ("decides", 0.95), "决定": ("decides", 0.9), "批准": ("decides", 0.9), "提出": ("proposes", 0.9),
-    "建议": ("proposes", 0.85), "推荐": ("proposes", 0.8), "实现": ("implements", 0.9), "落地": ("implements", 0.85), "部署": ("implements", 0.85),
-    "上线": ("implements", 0.85), "修复": ("implements", 0.8), "开发": ("develops", 0.9), "负责": ("develops", 0.85), "设计": ("develops", 0.8),
-    "依赖": ("depends_on", 0.9), "基于": ("depends_on", 0.85), "使用": ("uses", 0.85), "采用": ("uses", 0.85), "复用": ("uses", 0.85),
-    "属于": ("part_of", 0.9), "隶属": ("part_of", 0.85), "包含": ("part_of", 0.8), "冲突": ("conflicts", 0.85), "矛盾": ("conflicts", 0.85),
-    "发生": ("event_occurred", 0.85), "召开": ("event_occurred", 0.85),
-}
+    "decides": (("拍板", 0.95), ("决定", 0.90), ("批准", 0.90), ("否决", 0.90), ("裁定", 0.85), ("指示", 0.85), ("拍板定案", 0.95), ("确认", 0.80), ("定下", 0.85)),
+    "proposes": (("提出", 0.90), ("建议", 0.85), ("提议", 0.85), ("推荐", 0.80)),
+    "implements": (("实现", 0.90), ("落地", 0.85), ("部署", 0.85), ("上线", 0.85), ("发布", 0.80), ("建成", 0.85), ("完成", 0.75), ("修复", 0.80), ("整改", 0.80)),
+    "develops": (("开发", 0.90), ("负责", 0.85), ("创建", 0.85), ("设计", 0.80), ("重构", 0.80), ("编写", 0.75), ("搭建", 0.80)),
+    "depends_on": (("依赖", 0.90), ("基于", 0.85), ("建立在", 0.85), ("依托", 0.80), ("指向", 0.80)),
+    "related_to": (("根因", 0.85), ("相关", 0.80), ("关联", 0.80), ("涉及", 0.80)),
+    "uses": (("使用", 0.85), ("采用", 0.85), ("复用", 0.85), ("调用", 0.80), ("利用", 0.80), ("选用", 0.80)),
+    "part_of": (("属于", 0.90), ("组成部分", 0.90), ("隶属", 0.85), ("包含", 0.80)),
+    "conflicts": (("冲突", 0.85), ("矛盾", 0.85), ("相反", 0.85), ("不一致", 0.80), ("相悖", 0.85)),
+    "event_occurred": (("发生", 0.85), ("出现", 0.75), ("爆发", 0.85), ("实施", 0.75), ("执行", 0.70), ("启动", 0.75), ("进行", 0.65), ("召开", 0.85)),
+}
+UNSCANNED = ("修复", "整改", "指向", "根因", "相关", "关联", "涉及", "组成部分")
+SUBJECT_LEADS = ("已", "并", "不", "需", "应", "要", "将", "再", "可", "须", "都", "还", "就", "且", "则", "才", "也", "请", "建议", "务必", "必须", "应当", "应该", "可以", "能", "会")
+OBJECT_LEADS = ("了", "的", "并", "且", "然后", "同时", "其中", "此外", "但是", "以及", "还有", "需要", "必须", "务必", "需重启", "需", "待", "等")
+OBJECT_ENDS = ("并", "且", "然后", "同时", "其中", "此外", "但是", "以及", "还有")
+CHECKED = ("完成", "通过", "一致", "无误", "OK")  # what is confirmed without being decided
+
+
+def _parts(col: Column, pattern: str, *groups: int) -> list[Column]:
+    return [F.regexp_extract(col, pattern, i) for i in groups]
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
+def _named(col: Column) -> tuple[Column, Column, Column]:
+    """(year, month, day) as texts of the first date with a month's name; the year may be empty."""
+    name, day, year = _parts(col, NAMED_DATE, 1, 2, 3)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.lower(name), 1, 3)).cast("string")
+    return year, month, day
 
 
 def explicit_date(col: Column) -> Column:
     """The first full date of a text, numbers before names; null if none is valid."""
-    def numeric(pattern: str) -> Column:
-        parts = [F.regexp_extract(col, pattern, i) for i in (1, 2, 3)]
-        return F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd")
+    return F.coalesce(*[_day(*_parts(col, p, 1, 2, 3)) for p in (ISO_DATE, SLASH_DATE, CJK_DATE)], _day(*_named(col)))
+
 
-    month = F.lpad(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(col, NAMED_DATE, 1)).cast("string"), 2, "0")
-    named = F.try_to_date(F.concat_ws("-", F.regexp_extract(col, NAMED_DATE, 3), month, F.lpad(F.regexp_extract(col, NAMED_DATE, 2), 2, "0")), "yyyy-MM-dd")
-    return F.coalesce(numeric(ISO_DATE), numeric(SLASH_DATE), numeric(CJK_DATE), named)
+def yearless_date(col: Column, anchor: Column) -> Column:
+    """A month and a day without a year: in the anchor's year, or the one before if the month is later than the anchor's."""
+    year, month, day = _named(col)
+    own = F.year(anchor) - F.when(month.cast("int") > F.month(anchor), 1).otherwise(0)
+    return F.when((year == "") & (day != ""), _day(own.cast("string"), month, day))
 
 
 def relative_date(col: Column, anchor: Column) -> Column:
-    """A day named relative to the anchor: a word such as yesterday, or so many days, weeks, months, years ago or later."""
-    out = F.lit(None).cast("date")
-    for word, days in RELATIVE.items():
-        out = F.coalesce(out, F.when(F.lower(col).contains(word), F.date_add(anchor, days)))
-    n = F.regexp_extract(col, r"(\d+)\s*(?:day|week|month|year)s?\s+(?:ago|later)", 1).try_cast("int")
-    unit, way = (F.regexp_extract(col, r"\d+\s*(day|week|month|year)s?\s+(ago|later)", i) for i in (1, 2))
-    cn = F.regexp_extract(col, r"(\d+)\s*个?(?:天|周|月|年)(?:前|后)", 1).try_cast("int")
-    cn_unit, cn_way = (F.regexp_extract(col, r"\d+\s*个?(天|周|月|年)(前|后)", i) for i in (1, 2))
-    for count, what, which, back in ((n, unit, way, "ago"), (cn, cn_unit, cn_way, "前")):
-        span = F.lit(None).cast("int")
-        for name, days in SPANS.items():
-            span = F.coalesce(span, F.when(what == name, count * days))
-        out = F.coalesce(out, F.date_add(anchor, F.when(which == back, -span).otherwise(span)))
-    return out
+    """A day told from the anchor: a number of days, weeks, months or years, then a word for a day, a weekday, a week, a month or a year."""
+    units = F.create_map(*[F.lit(x) for pair in UNIT_DAYS.items() for x in pair])
+    found = []
+    for pattern, way in SPANS:
+        n, unit = _parts(col, pattern, 1, 2)
+        found.append(n.try_cast("int") * F.try_element_at(units, F.lower(unit)) * way)
+    weekday = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.lower(F.regexp_extract(col, r"(?i)\blast\s+(tuesday|wednesday|thursday|friday|saturday|sunday|monday)", 1))) - 1
+    back = F.pmod(F.weekday(anchor) - weekday, F.lit(7))
+    found += [F.when(col.rlike(pattern), days) for pattern, days in BEFORE_WEEKDAY]
+    found.append(F.when(weekday >= 0, -F.when(back == 0, 7).otherwise(back)))
+    found += [F.when(col.rlike(pattern), days) for pattern, days in AFTER_WEEKDAY]
+    return F.date_add(anchor, F.coalesce(*found).cast("int"))
 
 
 def event_date(col: Column, anchor: Column) -> Column:
-    """(day, confidence) of a text: explicit dates 0.95, relative ones 0.85; texts without a signal are not searched."""
-    explicit, relative = explicit_date(col), relative_date(col, anchor)
-    found = F.struct(F.coalesce(explicit, relative).alias("day"), F.when(explicit.isNotNull(), 0.95).when(relative.isNotNull(), 0.85).alias("confidence"))
-    named = col.rlike(r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)")
-    return F.when(col.rlike(SIGNAL) | named, found)
+    """(day, confidence) of a text: full dates 0.95, those told from the anchor 0.85; texts without a signal are not searched."""
+    full, near = explicit_date(col), F.coalesce(yearless_date(col, anchor), relative_date(col, anchor))
+    found = F.struct(F.coalesce(full, near).alias("day"), F.when(full.isNotNull(), 0.95).when(near.isNotNull(), 0.85).alias("confidence"))
+    return F.when(col.rlike(SIGNAL), found)
 
 
 def entities(col: Column) -> Column:
@@ -82,22 +124,38 @@ def entities(col: Column) -> Column:
 
 
 _TRIPLE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "relation", "object")] + [T.StructField("confidence", T.DoubleType())]))
-_VERB = re.compile("|".join(sorted(VERBS, key=len, reverse=True)))
+_RELATION = {verb: (relation, sure) for relation, own in VERBS.items() for verb, sure in own if verb not in UNSCANNED}
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+
+
+_VERB = re.compile(_any(tuple(_RELATION)))
 _CUT = re.compile(r"[。；！？\n:：;，,）)]")
+_LEADS = re.compile(f"^(?:{_any(SUBJECT_LEADS)})+")
+_OBJECT_LEADS = re.compile(f"^(?:{_any(OBJECT_LEADS)})+")
+_OBJECT_ENDS = re.compile(f"(?<=.)(?:{_any(OBJECT_ENDS)})(?=.)", re.DOTALL)
+_MARKS = re.compile(r"[\s，。；、()【】《》\"'“”‘’：:,.·\-_/]")
 
 
 def scan_triples(text: str | None) -> list[tuple[str, str, str, float]]:
-    """(subject, relation, object, confidence) around each verb; both sides end at the nearest mark."""
-    out = []
+    """(subject, relation, object, confidence) around each verb; both sides end at the nearest mark.
+
+    Left out: a subject that holds a verb itself or is nothing but leading words, an object of one character, one that is its own
+    subject, what was merely found to be complete or passed, and repeats.
+    """
+    out: dict[tuple[str, str, str], float] = {}
     for m in _VERB.finditer(text or ""):
-        subject = _CUT.split(text[: m.start()])[-1].strip(" 、（(【\"")
-        subject = re.sub(r"^(?:已|并|应|要|将|再|须|都|还|就|才|也|请|必须|应该|可以)+", "", subject)
-        tail = re.sub(r"^(?:了|的|并|且)+", "", text[m.end() :])
-        obj = _CUT.split(tail)[0].strip(" 、")
-        relation, confidence = VERBS[m[0]]
-        if 1 <= len(subject) <= 40 and 2 <= len(obj) <= 60:
-            out.append((subject, relation, obj, confidence))
-    return out
+        relation, sure = _RELATION[m[0]]
+        subject = _LEADS.sub("", _CUT.split(text[: m.start()])[-1].strip(" 、（(【\"")).strip(" 、）)】\"")
+        obj = _OBJECT_LEADS.sub("", _CUT.split(text[m.end() :], maxsplit=1)[0].strip(" 、"))
+        obj = _OBJECT_ENDS.split(obj, maxsplit=1)[0].strip(" 、")
+        if not (1 <= len(subject) <= 40 and 2 <= len(obj) <= 60) or _VERB.search(subject) or (m[0] == "确认" and obj.startswith(CHECKED)):
+            continue
+        if _MARKS.sub("", subject).lower() != _MARKS.sub("", obj).lower():
+            out.setdefault((subject, relation, obj), sure)
+    return [(*k, v) for k, v in out.items()]
 
 
 @F.pandas_udf(_TRIPLE)

@@ -17,12 +17,16 @@ def neighbours(seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...] |
     return both.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("seed"), F.col("dst").alias("id")).agg(F.max("weight").alias("weight"))
 
 
-def expanded(seeds: DataFrame, edges: DataFrame, per_seed: int = 3, relations: tuple[str, ...] | None = None) -> DataFrame:
-    """(id, weight, seed): the heaviest few neighbours of each seed, each neighbour once, with its heaviest seed."""
+def heaviest(seeds: DataFrame, edges: DataFrame, per_seed: int, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """(seed, id, weight): the heaviest few neighbours of each seed."""
     w = Window.partitionBy("seed").orderBy(F.desc("weight"), "id")
-    near = neighbours(seeds, edges, relations).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_seed)
-    best = near.groupBy("id").agg(F.max(F.struct("weight", -F.col("seed"))).alias("b"))
-    return best.select("id", F.col("b.weight").alias("weight"), (-F.col("b.col2")).alias("seed"))
+    return neighbours(seeds, edges, relations).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_seed).drop("n")
+
+
+def expanded(seeds: DataFrame, edges: DataFrame, per_seed: int = 3, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, weight, seed): the heaviest few neighbours of each seed, each neighbour once, with its heaviest seed, the least of them. Ids are of any type."""
+    best = heaviest(seeds, edges, per_seed, relations).groupBy("id").agg(F.min(F.struct((-F.col("weight")).alias("w"), "seed")).alias("b"))
+    return best.select("id", (-F.col("b.w")).alias("weight"), F.col("b.seed").alias("seed"))
 
 
 def shared_pairs(links: DataFrame, group: str, member: str) -> DataFrame:

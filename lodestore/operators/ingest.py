@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +67,21 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.9, lead: int = 5) -> Da
     return pairs.withColumn("dice", F.round(X.dice(F.col("ga"), F.col("gb")), 9)).where(F.col("dice") >= threshold)
 
 
+def prefix_pairs(sets: DataFrame, least: Column) -> DataFrame:
+    """(a, b), a < b, of sets (id, ks) that may share ``least`` members (at least 1, a function of n): exact, through the rarest members only.
+
+    Two sets that share as many as each of them asks hold a common one among the n - least + 1 rarest of either: the frequent members, which
+    would make the most pairs, are not joined on.
+    """
+    flat = sets.select("id", F.size("ks").alias("n"), F.explode("ks").alias("t"))
+    known = flat.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    rare = flat.join(known, "t").withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("t"))))
+    # the most frequent come first: the first least - 1 of them are left out
+    prefix = rare.where(F.col("p") >= least).select("id", "t")
+    other = prefix.select(F.col("id").alias("b"), "t")
+    return prefix.withColumnRenamed("id", "a").join(other, "t").where("a < b").select("a", "b").distinct()
+
+
 def duplicates(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(a, b): b repeats the earlier a and no differing pair holds a negation."""
     return similar_pairs(texts, threshold).where(~negation_differs(F.col("ga"), F.col("gb"))).select("a", "b", "dice")
@@ -121,36 +135,6 @@ def conflict_class(a: Column, b: Column, similarity: Column) -> Column:
     return F.when(apart, "independent").when(clash & rules, "conflict_rule_semantic").when(clash, "conflict_summary_conclusion").when(numbers, "conflict_event_fact").otherwise("extension")
 
 
-def greedy_contradictions(rows: DataFrame) -> DataFrame:
-    """Drop the weaker of contradicting rows in rank order, within each query's few results.
-
-    rows: qid, rank0, id, summary, confidence, timestamp, score; a query holds its cut list only (tens of rows), never a group of the corpus.
-    """
-    import difflib
-
-    def near(a: str, b: str) -> float:
-        return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        pdf = pdf.sort_values(["rank0", "id"]).reset_index(drop=True)
-        for i, row in pdf.iterrows():
-            loser = None
-            for j in kept:
-                other = pdf.loc[j]
-                a, b = row["summary"] or "", other["summary"] or ""
-                differ = any(n in a.lower().split() for n in NEGATIONS) != any(n in b.lower().split() for n in NEGATIONS)
-                if differ and near(a, b) >= 0.85:
-                    best = max((i, j), key=lambda k: (pdf.loc[k, "confidence"], pdf.loc[k, "timestamp"], pdf.loc[k, "score"]))
-                    loser = j if best == i else i
-                    break
-            if loser is None or loser != i:
-                kept = [k for k in kept if k != loser] + [i]
-        return pdf.loc[sorted(kept)]
-
-    return rows.groupBy("qid").applyInPandas(run, rows.schema)
-
-
 def frontmatter(texts: DataFrame) -> DataFrame:
     """(path, meta map, body) of whole texts in three layouts: fenced head and body, several documents, plain key lines."""
     head = F.regexp_extract("value", r"(?s)\A---\s*\n(.*?)\n---", 1)
@@ -161,4 +145,4 @@ def frontmatter(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))["v"].alias("v")))).alias("meta"), body.alias("body"))
 
 
-__all__ = ["conflict_candidates", "conflict_class", "conflict_keywords", "duplicates", "first_layer", "frontmatter", "greedy_contradictions", "insertable", "merged", "negation_differs", "promoted", "similar_pairs"]
+__all__ = ["conflict_candidates", "conflict_class", "conflict_keywords", "duplicates", "first_layer", "frontmatter", "insertable", "merged", "negation_differs", "promoted", "similar_pairs"]

@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import on_workers
-from ..config import Search
+from ..config import GRAPH_RELATIONS, ROUTER_FAST, ROUTER_FUZZY, ROUTER_ID, ROUTER_TOOLS, Search
+from ..functions.extract import explicit_date
 from ..functions.lifecycle import grade_of, instant, quality_of
-from ..functions.text import tokens
+from ..functions.text import first_place, tokens
+from .contradictions import greedy_contradictions
+from .graphs import heaviest, within_days
+from .index import TextIndex, postings
 
 #: A batch of queries is broadcast only up to so many rows; beyond, the plain join is left to the optimiser.
 BROADCAST_QUERIES = 50_000
@@ -29,38 +33,31 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_QUERIES) -> DataF
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
-def postings(store: DataFrame) -> DataFrame:
-    """(id, term, tf_note, tf_full, dl): counts in the summary, and in summary and content together."""
-    note, body = tokens(F.col("summary")), tokens(F.col("content"))
-    both = F.concat(F.transform("_note", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))), F.transform("_body", lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))))
-    # lengths are settled before the explode, so that no text is carried along with each term; the outer form keeps the
-    # optimiser from putting a filter on the array's size below it, which would cut every text into terms twice
-    flat = store.select("id", note.alias("_note"), body.alias("_body")).select("id", (F.size("_note") + F.size("_body")).alias("dl"), both.alias("_terms"))
-    flat = flat.select("id", "dl", F.explode_outer("_terms").alias("t")).select("id", "dl", "t.term", "t.n")
-    return flat.groupBy("id", "term", "dl").agg(F.sum("n").alias("tf_note"), F.count("*").alias("tf_full"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def bm25(queries: DataFrame, store: DataFrame) -> DataFrame:
+def bm25(queries: DataFrame, store: DataFrame | TextIndex) -> DataFrame:
     """(qid, id, note, full): BM25 of the summary and of both fields; null where the scope has no hit.
 
-    Only the postings of asked terms are kept before anything is joined; document frequencies and the mean length are
-    aggregates of one row a term and one row in all.
+    With a stored index only the asked terms' postings are read. Without, a store is cut into terms here: for stores that are searched
+    once. Only the postings of asked terms are kept before anything is joined.
     """
     terms = query_terms(queries)
-    asked = checked_broadcast(terms.select("term").distinct())
-    lengths = store.select((F.size(tokens(F.col("summary"))) + F.size(tokens(F.col("content")))).alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    hits = postings(store).join(asked, "term", "left_semi")
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df_full"), F.count(F.when(F.col("tf_note") > 0, 1)).alias("df_note"))
+    distinct = terms.select("term").distinct()
+    if isinstance(store, TextIndex):
+        found = store.hits(distinct).withColumns({"docs": F.lit(store.docs), "avgdl": F.lit(store.avgdl)})
+    else:
+        lengths = store.select((F.size(tokens(F.col("summary"))) + F.size(tokens(F.col("content")))).alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+        hits = postings(store).join(checked_broadcast(distinct), "term", "left_semi")
+        frequency = hits.groupBy("term").agg(F.count("*").alias("df_full"), F.count(F.when(F.col("tf_note") > 0, 1)).alias("df_note"))
+        found = hits.join(frequency, "term").crossJoin(F.broadcast(lengths))  # one row
 
     def weight(tf: str, df: str) -> Column:
         idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col(df) + 0.5) / (F.col(df) + 0.5)))
         return idf * F.col(tf) * 2.2 / (F.col(tf) + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
 
-    scored = hits.join(frequency, "term").crossJoin(F.broadcast(lengths)).join(checked_broadcast(terms), "term")
+    scored = found.join(checked_broadcast(terms), "term")
     sums = scored.groupBy("qid", "id").agg(F.sum(F.when(F.col("tf_note") > 0, weight("tf_note", "df_note"))).alias("note"), F.sum(weight("tf_full", "df_full")).alias("full"))
     return sums.select("qid", "id", F.round("note", 9).alias("note"), F.round("full", 9).alias("full"))
 
@@ -106,18 +103,43 @@ def _query_blocks(query_vectors: DataFrame) -> Iterator[tuple[list, np.ndarray]]
         yield ids, np.array(rows, np.float64)
 
 
-def _best_of_batch(scores: np.ndarray, k: int) -> np.ndarray:
-    """Mask of each column's k largest, and all that tie with the last of them."""
-    if len(scores) <= k:
-        return np.ones(scores.shape, bool)
-    return scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+class Best:
+    """Each query's k best rows of those seen so far, ties by id, in memory that does not grow with the rows."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.kept = (np.empty(0, np.int64), np.empty(0, object), np.empty(0))
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.room = 0, 4 * k * queries + 100_000
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows of scores, a column a query."""
+        if len(scores) > self.k:
+            self.least = np.maximum(self.least, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        row, col = np.nonzero(scores >= self.least)
+        self.more.append((col, ids[row], scores[row, col]))
+        self.held += len(row)
+        if self.held > self.room:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the best rows; the least score that can still be among them rises."""
+        col, ids, score = (np.concatenate(x) for x in zip(self.kept, *self.more, strict=True))
+        order = np.lexsort((ids.astype(str) if ids.dtype == object else ids, -score, col))
+        col, ids, score = col[order], ids[order], score[order]
+        place = np.arange(len(col)) - np.searchsorted(col, col)
+        last = np.flatnonzero(place == self.k - 1)
+        self.least[col[last]] = np.maximum(self.least[col[last]], score[last])
+        top = place < self.k
+        self.kept, self.more, self.held = (col[top], ids[top], score[top]), [], int(top.sum())
+        return self.kept
 
 
 def vectors(query_vectors: DataFrame, entry_vectors: DataFrame, cfg: Search) -> DataFrame:
     """Vector channel (qid, id, score, rank0): exact inner products of a stated query set against all rows.
 
-    Entries stream past a block of queries as matrix products; of each batch only what can still be among a query's
-    candidates is passed on, so the shuffle holds candidates, not pairs.
+    Entries stream past a block of queries as matrix products; a task passes on each query's best candidates once, at its end, so the
+    shuffle holds tasks x queries x candidates rows at most, whatever the session's batch size.
     """
     on_workers(entry_vectors.sparkSession)
     spark, kinds = entry_vectors.sparkSession, dict(query_vectors.dtypes) | dict(entry_vectors.dtypes)
@@ -127,13 +149,14 @@ def vectors(query_vectors: DataFrame, entry_vectors: DataFrame, cfg: Search) ->
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             qids, queries = held.value
+            best = Best(len(qids), cfg.candidates)
             for pdf in batches:
                 pdf = pdf[pdf["vec"].notna()]
-                if not len(pdf):
-                    continue
-                scores = np.round(np.stack(pdf["vec"].to_numpy()).astype(np.float64) @ queries.T, 9) + 0.0
-                row, col = np.nonzero(_best_of_batch(scores, cfg.candidates))
-                yield pd.DataFrame({"qid": qids[col], "id": pdf["id"].to_numpy()[row], "score": scores[row, col]})
+                for at in range(0, len(pdf), 4096):
+                    part = pdf.iloc[at : at + 4096]
+                    best.add(part["id"].to_numpy(), np.round(np.stack(part["vec"].to_numpy()).astype(np.float64) @ queries.T, 9) + 0.0)
+            col, found, score = best.cut()
+            yield pd.DataFrame({"qid": qids[col], "id": found, "score": score})
 
         part = entry_vectors.select("id", "vec").mapInPandas(run, schema)
         scored = part if scored is None else scored.unionByName(part)
@@ -206,22 +229,65 @@ def or_unfiltered(hits: DataFrame, cfg: Search) -> DataFrame:
     return ranked(kept.drop("rank0"), F.coalesce("_first", F.lit(0)), F.col("id")).drop("_ok", "_first", "_n", "_some")
 
 
-def search(queries: DataFrame, store: DataFrame, access: DataFrame, query_vectors: DataFrame | None, entry_vectors: DataFrame | None, cfg: Search) -> DataFrame:
+def graph_channel(seeds: DataFrame, edges: DataFrame, store: DataFrame, cfg: Search) -> DataFrame:
+    """Graph channel (qid, id, score, rank0): the heaviest neighbours of a query's first results that are none of them nor near copies of one.
+
+    Each seed's few heaviest neighbours are settled once for all queries that it serves.
+    """
+    near = heaviest(seeds.select("id").distinct(), edges, cfg.graph_per_seed, GRAPH_RELATIONS)
+    found = seeds.select("qid", F.col("id").alias("seed")).join(near, "seed").groupBy("qid", "id").agg(F.max("weight").alias("score")).where(F.col("score") >= cfg.graph_gate)
+    found = found.join(seeds.select("qid", "id"), ["qid", "id"], "left_anti")
+    mark = store.select("id", F.substring("summary_hash", 1, 8).alias("_mark"))
+    copies = seeds.select("qid", "id").join(mark, "id").where("_mark <> ''").select("qid", "_mark").distinct()
+    found = found.join(mark, "id").join(copies, ["qid", "_mark"], "left_anti")
+    return ranked(found.select("qid", "id", "score"), F.desc("score"), F.col("id"), limit=cfg.graph_top)
+
+
+def time_channel(dated: DataFrame, store: DataFrame, cfg: Search) -> DataFrame:
+    """Time channel (qid, id, score, rank0) of queries (qid, t1): entries whose event date is near.
+
+    The score falls with the days between, so of each day only the first few entries can be among a query's: they are settled before the join.
+    """
+    days = ranked(store.where("event_date is not null").select("id", "event_date"), F.col("id"), limit=cfg.time_top, by="event_date").drop("rank0")
+    near = within_days(dated, days, "t1", "event_date", cfg.time_days)
+    score = F.round(0.05 + 0.85 * F.greatest(F.lit(0.0), 1 - F.abs(F.datediff("event_date", "t1")) / F.lit(float(cfg.time_days))), 9)
+    return ranked(near.select("qid", "id", score.alias("score")), F.desc("score"), F.col("id"), limit=cfg.time_top)
+
+
+def search(
+    queries: DataFrame, store: DataFrame, access: DataFrame, query_vectors: DataFrame | None, entry_vectors: DataFrame | None, cfg: Search, index: TextIndex | None = None, edges: DataFrame | None = None
+) -> DataFrame:
     """The retrieval chain for a batch: one row for each query and rank.
 
     Cascade and vectors are fused and cut; then forgetting, validity and versions, the fall-back for emptied queries, and for queries without
-    any hit the latest entries. Wide columns join after the cut, and grades come from each query's best score.
+    any hit the latest entries. Wide columns join after the cut, and grades come from each query's best score. Settings switch on more
+    of it: the router (queries that it is sure of skip the vectors), the gap gate, the time and graph channels, contradictions.
     """
-    fts = cascade(bm25(queries, store), cfg)
+    fts = cascade(bm25(queries, index if index is not None else store), cfg)
     channels = {"fts": fts}
     if query_vectors is not None:
-        channels["emb"] = vectors(query_vectors, entry_vectors, cfg)
+        asked = query_vectors
+        if cfg.router:
+            kind, _ = route(F.col("text"))
+            asked = asked.join(queries.where(kind == "dual").select("qid"), "qid", "left_semi")
+        emb = vectors(asked, entry_vectors, cfg)
+        channels["emb"] = gap_gate(emb).drop("keep") if cfg.gate else emb
+    if cfg.time:
+        channels["time"] = time_channel(queries.select("qid", explicit_date(F.col("text")).alias("t1")).where("t1 is not null"), store, cfg)
+    if cfg.graph and edges is not None:
+        channels["graph"] = graph_channel(fused(channels, store, cfg, cfg.graph_seeds).select("qid", "id"), edges, store, cfg)
     hits = fused(channels, store, cfg)
-    single_fts = (F.col("n_channels") == 1) & (F.col("only") == "fts")
-    hits = hits.withColumn("mode", F.when(single_fts, "fts_only").when(F.col("n_channels") == 1, "embed_only").otherwise("dual_rrf")).drop("n_channels", "only")
+    alone = F.create_map(*[F.lit(x) for pair in (("fts", "fts_only"), ("emb", "embed_only"), ("time", "time_only"), ("graph", "graph_only")) for x in pair])
+    hits = hits.withColumn("mode", F.when(F.col("n_channels") == 1, alone[F.col("only")]).otherwise("dual_rrf")).drop("n_channels", "only")
+    for name, label in (("time", "_time4th"), ("graph", "_graph")):
+        if name in channels:
+            used = channels[name].select("qid").distinct().withColumn("_used", F.lit(label))
+            hits = hits.join(used, "qid", "left").withColumn("mode", F.when(F.col("mode").endswith("_only"), F.col("mode")).otherwise(F.concat("mode", F.coalesce("_used", F.lit(""))))).drop("_used")
     hits = forgotten(hits, store, access, cfg)
-    wide = hits.join(store.select("id", "summary", "summary_hash", "timestamp", "deprecated", "expires_at", "type"), "id")
+    wide = hits.join(store.select("id", "summary", "summary_hash", "timestamp", "deprecated", "expires_at", "type", *(["content", "confidence"] if cfg.contradictions else [])), "id")
     kept = or_unfiltered(wide, cfg)
+    if cfg.contradictions:
+        kept = ranked(greedy_contradictions(kept), F.col("rank0"), F.col("id"))
     fields = ["id", "score", "mode", "summary", "type", "rank0"]
     row = F.struct(*fields)
     latest = store.orderBy(F.desc("timestamp"), "id").limit(cfg.top_k)  # top_k rows come to one task
@@ -243,3 +309,17 @@ def graded(hits: DataFrame, cfg: Search) -> DataFrame:
     fallback = F.col("mode") == "time_desc"
     out = hits.withColumn("_norm", F.round(scale, 9))
     return out.withColumn("quality", F.when(fallback, "weak").otherwise(quality_of(best, cfg))).withColumn("grade", grade_of(best, fallback, cfg)).withColumn("weak_match", fallback | (F.col("_norm") < cfg.quality[1])).drop("_norm")
+
+
+def route(text: Column) -> tuple[Column, Column]:
+    """(mode, confidence) of a query text by the earliest strong and fuzzy words."""
+    q = F.trim(F.coalesce(text, F.lit("")))
+    found = F.regexp_extract(q, f"({ROUTER_ID})", 1)
+    anchor = found != ""
+    fast = first_place(q, ROUTER_FAST)
+    anchored = anchor | fast.isNotNull()
+    places = F.array_compact(F.array(F.when(anchor, F.call_function("locate", found, q) - 1), fast, F.when(anchored, first_place(q, ROUTER_TOOLS))))
+    strong, fuzzy = F.array_min(places), first_place(q, ROUTER_FUZZY)
+    mode = F.when(q == "", "dual").when(~q.rlike("[A-Za-z0-9]"), "fts").when(strong.isNotNull() & (fuzzy.isNull() | (strong < fuzzy)), "fts").when(fuzzy.isNotNull(), "dual").otherwise("dual")
+    sure = F.when(q == "", 0.5).when(~q.rlike("[A-Za-z0-9]"), 0.8).when(strong.isNotNull() & (fuzzy.isNull() | (strong < fuzzy)), 0.9).when(fuzzy.isNotNull(), 0.85).otherwise(0.5)
+    return mode, sure

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import Search
 from ..operators import retrieval as R
+from ..operators.containment import holding
 from ..registry import query
-from .common import STORE, bench_queries, entry_vectors, query_vectors, store, table
+from .common import STORE, bench_queries, entry_vectors, query_vectors, store, table, text_index
 from .retrieval import BENCH_QUERIES, FTS, VECTORS
 
 RESULTS = "res AS (SELECT o_custkey AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank0 FROM orders QUALIFY rank0 < 5), gold AS (SELECT o_custkey AS qid, o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0)"
@@ -46,20 +47,20 @@ def e4(spark, d):
     return metrics(*_results(spark, d)).agg(F.count("*").alias("n"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(rate, 6).alias("hit_rate"), (rate < 0.5).alias("alert"), F.round(F.count_if(neg & F.col("hit")) / F.count_if(neg), 6).alias("answered_negatives"))
 
 
-@query("e5_z10_bank_judge", "WITH h AS (SELECT item_id, text, substr(text, 1, 12) AS gt FROM benchmark) SELECT h.item_id, count(d.doc_id) AS docs, CASE WHEN count(d.doc_id) > 0 THEN 'hit' ELSE 'refuse' END AS verdict FROM h LEFT JOIN documents d ON contains(d.text, h.gt) GROUP BY h.item_id")
+@query("e5_z10_bank_judge", "WITH h AS (SELECT item_id, text AS gt FROM benchmark) SELECT h.item_id, count(d.doc_id) AS docs, CASE WHEN count(d.doc_id) > 0 THEN 'hit' ELSE 'refuse' END AS verdict FROM h LEFT JOIN documents d ON contains(d.text, h.gt) GROUP BY h.item_id")
 def e5(spark, d):
-    return bank_judge(table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 12).alias("gt")), table(spark, d, "documents").select("doc_id", "text"))
+    return bank_judge(table(spark, d, "benchmark").select("item_id", F.col("text").alias("gt")), table(spark, d, "documents").select("doc_id", "text"))
 
 
 def bank_judge(bank, corpus):
-    """How many texts hold each case's expected string: a stated set of cases against all texts, its count checked before it is broadcast."""
-    found = corpus.join(R.checked_broadcast(bank), F.contains("text", "gt")).groupBy("item_id").agg(F.count("*").alias("docs"))
+    """How many texts hold each case's expected string, whole: a stated set of cases against all texts, in one pass."""
+    found = holding(corpus, "doc_id", "text", bank, "item_id", "gt").groupBy("item_id").agg(F.count("*").alias("docs"))
     return bank.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.when(F.col("docs") > 0, "hit").otherwise("refuse").alias("verdict"))
 
 
-@query("e6_coverage", "WITH h AS (SELECT item_id, substr(text, 1, 12) AS gt FROM benchmark), c AS (SELECT h.item_id, bool_or(d.doc_id IS NOT NULL) AS ok FROM h LEFT JOIN documents d ON contains(d.text, h.gt) GROUP BY 1) SELECT count(*) AS cases, count(*) FILTER (ok) AS covered, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS coverage, count(*) FILTER (ok) / count(*)::DOUBLE >= 0.9 AS passed FROM c")
+@query("e6_coverage", "WITH h AS (SELECT item_id, text AS gt FROM benchmark), c AS (SELECT h.item_id, bool_or(d.doc_id IS NOT NULL) AS ok FROM h LEFT JOIN documents d ON contains(d.text, h.gt) GROUP BY 1) SELECT count(*) AS cases, count(*) FILTER (ok) AS covered, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS coverage, count(*) FILTER (ok) / count(*)::DOUBLE >= 0.9 AS passed FROM c")
 def e6(spark, d):
-    j = bank_judge(table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 12).alias("gt")), table(spark, d, "documents").select("doc_id", "text"))
+    j = bank_judge(table(spark, d, "benchmark").select("item_id", F.col("text").alias("gt")), table(spark, d, "documents").select("doc_id", "text"))
     ok = F.count_if(F.col("verdict") == "hit")
     return j.agg(F.count("*").alias("cases"), ok.alias("covered"), F.round(ok / F.count("*"), 6).alias("coverage"), (ok / F.count("*") >= 0.9).alias("passed"))
 
@@ -80,13 +81,13 @@ def weight_grid(fts, emb, golden, grid=tuple(GRID), rrf_k=60):
     return asked.join(hits, ["g", "qid"], "left").groupBy("g", "wf", "we").agg(F.round(F.avg(F.coalesce("gain", F.lit(0.0))), 6).alias("mean_gain"), F.count("*").alias("queries"))
 
 
-@query("e7_grid_search", f"WITH {STORE}, {BENCH_QUERIES}, {FTS}, {VECTORS}, gold AS (SELECT item_id AS qid, concat('m', lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))), grid AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(GRID))}) t(g, wf, we)), parts AS (SELECT qid, id, rank0, 'f' AS c FROM fts UNION ALL SELECT qid, id, rank0, 'e' FROM emb), e AS (SELECT g, qid, id, round(sum(1.0::DOUBLE / (60 + rank0 / CASE WHEN c = 'f' THEN wf ELSE we END + 1)), 9) AS s FROM parts, grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY g, qid ORDER BY s DESC, id) - 1 AS rank0 FROM e QUALIFY rank0 < 5), h AS (SELECT g, qid, sum(1.0::DOUBLE / (rank0 + 2)) AS gain FROM r JOIN gold USING (qid, id) GROUP BY ALL), a AS (SELECT DISTINCT qid, g, wf, we FROM gold, grid) SELECT a.g, a.wf, a.we, round(avg(coalesce(gain, 0)), 6) AS mean_gain, count(*) AS queries FROM a LEFT JOIN h ON a.g = h.g AND a.qid = h.qid GROUP BY ALL")
+@query("e7_grid_search", f"WITH {STORE}, {BENCH_QUERIES}, {FTS}, {VECTORS}, gold AS (SELECT item_id AS qid, concat('m', lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), grid AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(GRID))}) t(g, wf, we)), parts AS (SELECT qid, id, rank0, 'f' AS c FROM fts UNION ALL SELECT qid, id, rank0, 'e' FROM emb), e AS (SELECT g, qid, id, round(sum(1.0::DOUBLE / (60 + rank0 / CASE WHEN c = 'f' THEN wf ELSE we END + 1)), 9) AS s FROM parts, grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY g, qid ORDER BY s DESC, id) - 1 AS rank0 FROM e QUALIFY rank0 < 5), h AS (SELECT g, qid, sum(1.0::DOUBLE / (rank0 + 2)) AS gain FROM r JOIN gold USING (qid, id) GROUP BY ALL), a AS (SELECT DISTINCT qid, g, wf, we FROM gold, grid) SELECT a.g, a.wf, a.we, round(avg(coalesce(gain, 0)), 6) AS mean_gain, count(*) AS queries FROM a LEFT JOIN h ON a.g = h.g AND a.qid = h.qid GROUP BY ALL")
 def e7(spark, d):
     cfg, s = Search(), store(spark, d)
-    fts = R.cascade(R.bm25(bench_queries(spark, d), s), cfg)
+    fts = R.cascade(R.bm25(bench_queries(spark, d), text_index(spark, d)), cfg)
     emb = R.vectors(query_vectors(spark, d), entry_vectors(spark, d), cfg)
-    bank = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("gt"))
-    gold = s.select("id", "content").join(R.checked_broadcast(bank), F.contains("content", "gt")).select("qid", "id")
+    bank = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("gt"))
+    gold = holding(s, "id", "content", bank, "qid", "gt")
     return weight_grid(fts, emb, gold)
 
 

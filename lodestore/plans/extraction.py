@@ -24,7 +24,7 @@ def x35(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(F.sort_array(X.entities(F.col("html"))), ",").alias("names"))
 
 
-@query("x36_p17_triples")
+@query("x36_p17_triples", "SELECT p_partkey, p_brand || '系统' AS subject, 'depends_on' AS relation, p_name AS object, 0.9::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, '团队', 'develops', p_brand || '模块', 0.85::DOUBLE FROM part")
 def x36(spark, d):
     """Relations of sentences made from the parts table; pseudo relations never pass."""
     text = F.concat(F.col("p_brand"), F.lit("系统依赖"), F.col("p_name"), F.lit("。团队负责"), F.col("p_brand"), F.lit("模块"))

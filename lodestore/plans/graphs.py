@@ -81,10 +81,11 @@ def j15(spark, d):
     return x.join(y, "prefix").where("agent_a < agent_b").select("agent_a", "agent_b", "prefix", F.round((F.col("ca") + F.col("cb")) / 2, 6).alias("confidence"))
 
 
-@query("j16_common_queries", "SELECT DISTINCT a.text FROM (SELECT lower(substr(text, 1, 4)) AS text FROM benchmark) a JOIN (SELECT lower(substr(text, 1, 4)) AS text FROM conversations) b USING (text)")
+@query("j16_common_queries", "SELECT DISTINCT a.text FROM (SELECT lower(text) AS text FROM documents WHERE source = 'src0') a JOIN (SELECT lower(text) AS text FROM documents WHERE source <> 'src0') b USING (text)")
 def j16(spark, d):
-    t = F.lower(F.substring("text", 1, 4)).alias("text")
-    return table(spark, d, "benchmark").select(t).distinct().join(table(spark, d, "conversations").select(t), "text", "left_semi")
+    """Texts that two banks share, whole: the documents of one source and those of all others."""
+    t, docs = F.lower("text").alias("text"), table(spark, d, "documents")
+    return docs.where("source = 'src0'").select(t).distinct().join(docs.where("source <> 'src0'").select(t), "text", "left_semi")
 
 
 @query("p13_w4_alias_merge", "WITH e AS (SELECT p_partkey AS entity, regexp_replace(lower(p_name), '\\s+', '', 'g') AS name, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL), r AS (SELECT *, first_value(entity) OVER (PARTITION BY name ORDER BY n DESC, entity) AS keeper FROM e) SELECT entity, keeper, n FROM r WHERE entity <> keeper")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import ROUTER_FAST, ROUTER_FUZZY, ROUTER_ID, ROUTER_TOOLS, Search
-from ..functions.text import contains_any, first_place
+from ..config import ROUTER_FAST, Search
+from ..functions.text import contains_any
 from ..operators import retrieval as R
+from ..operators.retrieval import route
 from ..registry import query
-from .common import ACCESS, BENCH_QUERIES, NOW, STORE, access_log, bench_queries, entry_vectors, query_vectors, store, table
+from .common import ACCESS, BENCH_QUERIES, ENTRY_EDGES, NOW, STORE, access_log, bench_queries, entry_edges, entry_vectors, query_vectors, store, table, text_index
 
 CFG = Search()
 
@@ -46,12 +49,12 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, score DESC,
 
 @query("r1_bm25", f"WITH {STORE}, {BENCH_QUERIES}, {INDEX} SELECT qid, id, note, \"full\" AS full_score FROM bm")
 def r1(spark, d):
-    return R.bm25(bench_queries(spark, d), store(spark, d)).withColumnRenamed("full", "full_score")
+    return R.bm25(bench_queries(spark, d), text_index(spark, d)).withColumnRenamed("full", "full_score")
 
 
 @query("r2_cascade", f"WITH {STORE}, {BENCH_QUERIES}, {FTS} SELECT * FROM fts")
 def r2(spark, d):
-    return R.cascade(R.bm25(bench_queries(spark, d), store(spark, d)), CFG)
+    return R.cascade(R.bm25(bench_queries(spark, d), text_index(spark, d)), CFG)
 
 
 @query("r3_vectors", f"WITH {VECTORS} SELECT qid, id, round(score, 6) AS score, rank0 FROM emb")
@@ -72,7 +75,7 @@ def r4(spark, d):
 @query("r5_w1_rrf", f"WITH {STORE}, {BENCH_QUERIES}, {FTS}, {VECTORS}, {FUSED} SELECT qid, id, score, rank0, n_channels FROM fused")
 def r5(spark, d):
     s = store(spark, d)
-    channels = {"fts": R.cascade(R.bm25(bench_queries(spark, d), s), CFG), "emb": R.vectors(query_vectors(spark, d), entry_vectors(spark, d), CFG)}
+    channels = {"fts": R.cascade(R.bm25(bench_queries(spark, d), text_index(spark, d)), CFG), "emb": R.vectors(query_vectors(spark, d), entry_vectors(spark, d), CFG)}
     return R.fused(channels, s, CFG).select("qid", "id", "score", "rank0", "n_channels")
 
 
@@ -97,7 +100,39 @@ SELECT qid, rank0 AS rank, id, score, mode, type, CASE WHEN length(summary) > 50
 
 @query("r23_search", SEARCH)
 def r23(spark, d):
-    return R.search(bench_queries(spark, d), store(spark, d), access_log(spark, d), query_vectors(spark, d), entry_vectors(spark, d), CFG)
+    return R.search(bench_queries(spark, d), store(spark, d), access_log(spark, d), query_vectors(spark, d), entry_vectors(spark, d), CFG, text_index(spark, d))
+
+
+GRAPH = """
+first AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, score DESC, id) AS n FROM scored) WHERE n <= 30),
+bothways AS (SELECT id1 AS src, id2 AS dst, weight FROM edges UNION ALL SELECT id2, id1, weight FROM edges),
+heavy AS (SELECT src, dst, max(weight) AS weight FROM bothways GROUP BY src, dst),
+nearest AS (SELECT * FROM heavy QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 3),
+reached AS (SELECT f.qid, dst AS id, max(weight) AS score FROM first f JOIN nearest ON src = f.id GROUP BY ALL HAVING max(weight) >= 0.35),
+copies AS (SELECT DISTINCT qid, substr(summary_hash, 1, 8) AS mark FROM first JOIN store USING (id)),
+others AS (SELECT r.* FROM reached r JOIN store s USING (id) ANTI JOIN first f ON f.qid = r.qid AND f.id = r.id ANTI JOIN copies c ON c.qid = r.qid AND c.mark = substr(s.summary_hash, 1, 8)),
+graph AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank0 FROM others QUALIFY rank0 < 15),
+gparts AS (SELECT * FROM parts UNION ALL SELECT qid, id, score, rank0, 'graph', 1.0::DOUBLE / (60 + rank0 + 1) FROM graph),
+ganswered AS (SELECT qid, count(DISTINCT channel) AS n_channels, min(channel) AS only_one, bool_or(channel = 'graph') AS reached FROM gparts GROUP BY qid),
+gsums AS (SELECT qid, id, sum(part) AS rrf, max(score) AS raw, min(rank0) AS own_rank FROM gparts GROUP BY qid, id),
+gscored AS (SELECT qid, id, CASE WHEN n_channels = 1 THEN raw ELSE round(rrf * (1 + 0.3::DOUBLE * coalesce(nullif(confidence, 0), 0.5::DOUBLE)), 9) END AS score,
+  CASE WHEN n_channels = 1 THEN own_rank ELSE 0 END AS o, n_channels, only_one, reached FROM gsums JOIN ganswered USING (qid) JOIN store USING (id)),
+gfused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, score DESC, id) - 1 AS rank0 FROM gscored QUALIFY rank0 < 5)"""
+WIDER = SEARCH.replace("emb AS (SELECT *, row_number()", "allemb AS (SELECT *, row_number()").replace(
+    FUSED,
+    """
+g AS (SELECT *, first_value(score) OVER w - coalesce(nth_value(score, 10) OVER w, last_value(score) OVER w) AS gap10, first_value(score) OVER w - coalesce(nth_value(score, 5) OVER w, last_value(score) OVER w) AS gap5
+  FROM allemb WINDOW w AS (PARTITION BY qid ORDER BY rank0 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+emb AS (SELECT qid, id, score, rank0 FROM g WHERE rank0 < CASE WHEN gap10 < 0.02 THEN 3 WHEN gap5 < 0.05 THEN 5 ELSE 10 END),"""
+    + FUSED + f", {ENTRY_EDGES}," + GRAPH,
+).replace("ELSE 'dual_rrf' END AS mode", "WHEN reached THEN 'dual_rrf_graph' ELSE 'dual_rrf' END AS mode").replace("FROM fused f JOIN store s", "FROM gfused f JOIN store s")
+
+
+@query("r6_r22_r23_wider_search", WIDER)
+def r23_wider(spark, d):
+    """The search with its gap gate and its graph channel on."""
+    cfg = replace(CFG, gate=True, graph=True)
+    return R.search(bench_queries(spark, d), store(spark, d), access_log(spark, d), query_vectors(spark, d), entry_vectors(spark, d), cfg, text_index(spark, d), entry_edges(spark, d))
 
 
 @query("r11_forget", f"WITH {STORE}, {ACCESS}, hits AS (SELECT event_id % 40 AS qid, entry_id AS id, round(sum(value), 9) AS score FROM (SELECT *, concat('m', lpad(CAST(user_id AS VARCHAR), 8, '0')) AS entry_id FROM events) GROUP BY ALL), active AS (SELECT DISTINCT entry_id AS id FROM access WHERE accessed_at >= TIMESTAMP '2026-06-03 00:00:00' AND scene = 'purchase') SELECT qid, h.id, CASE WHEN a.id IS NULL AND s.ts < epoch(TIMESTAMP '2026-08-02 00:00:00') THEN round(score * 0.6::DOUBLE, 9) ELSE score END AS score FROM hits h JOIN store s USING (id) LEFT JOIN active a USING (id)")
@@ -118,11 +153,7 @@ def r12(spark, d):
 @query("r10_time_channel", f"WITH {STORE}, q AS (SELECT item_id AS qid, make_timestamp((1767225600 + item_id * 432000) * 1000000)::DATE AS t1 FROM benchmark), s AS (SELECT qid, id, round(0.05::DOUBLE + 0.85::DOUBLE * greatest(0.0, 1 - abs(event_date - t1) / 30.0::DOUBLE), 9) AS score FROM q, store WHERE event_date IS NOT NULL AND abs(event_date - t1) <= 30) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank0 FROM s QUALIFY rank0 < 15")
 def r10(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.timestamp_seconds(F.col("item_id") * 432000 + 1767225600).cast("date").alias("t1"))
-    from ..operators.graphs import within_days
-
-    near = within_days(q, store(spark, d).where("event_date is not null").select("id", "event_date"), "t1", "event_date", 30)
-    score = F.round(0.05 + 0.85 * F.greatest(F.lit(0.0), 1 - F.abs(F.datediff("event_date", "t1")) / F.lit(30.0)), 9)
-    return R.ranked(near.select("qid", "id", score.alias("score")), F.desc("score"), F.col("id"), limit=15)
+    return R.time_channel(q, store(spark, d), CFG)
 
 
 @query("r19_x31_x32_grades", "WITH s AS (SELECT event_id, value / 1000 AS score, event_type FROM events) SELECT event_id, CASE WHEN score >= 0.10 THEN 'high' WHEN score >= 0.03 THEN 'medium' WHEN score >= 0.01 THEN 'low' ELSE 'weak' END AS quality, CASE WHEN event_type = 'error' THEN 'weak' WHEN score >= 0.10 THEN 'strong' WHEN score >= 0.03 THEN 'medium' ELSE 'weak' END AS grade, CASE WHEN score >= 0.25 THEN 'strong' WHEN score >= 0.05 THEN 'medium' WHEN score >= 0.01 THEN 'low' ELSE 'weak' END AS judge FROM s")
@@ -144,20 +175,6 @@ def r20(spark, d):
     return f.select("qid", verdict.alias("verdict"), (F.col("unknown") > 0).alias("unknown_source"), (F.col("conf") < 0.8).alias("low_confidence"))
 
 
-def route(text):
-    """(mode, confidence) of a query text by the earliest strong and fuzzy words."""
-    q = F.trim(F.coalesce(text, F.lit("")))
-    found = F.regexp_extract(q, f"({ROUTER_ID})", 1)
-    anchor = found != ""
-    fast = first_place(q, ROUTER_FAST)
-    anchored = anchor | fast.isNotNull()
-    places = F.array_compact(F.array(F.when(anchor, F.call_function("locate", found, q) - 1), fast, F.when(anchored, first_place(q, ROUTER_TOOLS))))
-    strong, fuzzy = F.array_min(places), first_place(q, ROUTER_FUZZY)
-    mode = F.when(q == "", "dual").when(~q.rlike("[A-Za-z0-9]"), "fts").when(strong.isNotNull() & (fuzzy.isNull() | (strong < fuzzy)), "fts").when(fuzzy.isNotNull(), "dual").otherwise("dual")
-    sure = F.when(q == "", 0.5).when(~q.rlike("[A-Za-z0-9]"), 0.8).when(strong.isNotNull() & (fuzzy.isNull() | (strong < fuzzy)), 0.9).when(fuzzy.isNotNull(), 0.85).otherwise(0.5)
-    return mode, sure
-
-
 @query("r25_router", "WITH q AS (SELECT page_id, trim(url) AS q FROM pages), p AS (SELECT *, regexp_extract(q, '([A-Za-z]{2,}[-_][A-Za-z0-9]+|\\d{4,}|[\\w.-]+\\.(?:py|json|yaml|yml|sh|db|md|log|conf|plist|toml|bak)\\b)', 1) AS f, list_min(list_filter(list_transform([" + ", ".join(f"'{w}'" for w in ROUTER_FAST) + "], lambda w: strpos(q, w)), lambda x: x > 0)) AS s FROM q) SELECT page_id, CASE WHEN f <> '' OR s IS NOT NULL THEN 'fts' ELSE 'dual' END AS mode, CASE WHEN f <> '' OR s IS NOT NULL THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS sure FROM p")
 def r25(spark, d):
     mode, sure = route(F.col("url"))
@@ -212,7 +229,7 @@ def r18(spark, d):
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     b = table(spark, d, "benchmark")
     hops = b.select(F.col("item_id").alias("qid"), F.posexplode(F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "))).alias("hop", "text"))
-    return multi_hop(hops, store(spark, d), 5)
+    return multi_hop(hops, text_index(spark, d), 5)
 
 
 def multi_hop(hops, entries, top_k, pool=30):
@@ -225,7 +242,7 @@ def multi_hop(hops, entries, top_k, pool=30):
 @query("f14_r26_instruction_tail", f"WITH {STORE}, {BENCH_QUERIES}, {INDEX}, h AS (SELECT b.qid, b.id, \"full\" AS score, (s.type = 'instruction' AND confidence > 0.9) AS tail, (contains(q.text, 'the') OR contains(q.text, 'for')) AS hint FROM bm b JOIN store s USING (id) JOIN queries q ON q.qid = b.qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN hint AND tail THEN 1 ELSE 0 END, score DESC, id) - 1 AS rank0, sum(CASE WHEN hint AND tail THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS extra, sum(CASE WHEN hint AND tail THEN 0 ELSE 1 END) OVER (PARTITION BY qid) AS plain FROM h) SELECT qid, id, score, rank0 FROM r WHERE rank0 < 5 + extra")
 def f14(spark, d):
     q, s = bench_queries(spark, d), store(spark, d)
-    h = R.bm25(q, s).join(s.select("id", "type", "confidence"), "id").join(q, "qid")
+    h = R.bm25(q, text_index(spark, d)).join(s.select("id", "type", "confidence"), "id").join(q, "qid")
     tail = contains_any(F.col("text"), ("the", "for")) & (F.col("type") == "instruction") & (F.col("confidence") > 0.9)
     out = R.ranked(h.withColumn("tail", tail.cast("int")), F.col("tail"), F.desc("full"), F.col("id"))
     out = out.withColumn("extra", F.sum("tail").over(Window.partitionBy("qid")))

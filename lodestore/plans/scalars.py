@@ -61,9 +61,9 @@ def snippet(text, at, length, radius=40):
     return F.when(at >= 0, F.substring(text, low + 1, at + length + radius - low))
 
 
-@query("x11_x12_normal", "SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^\\p{L}\\p{N}_]+', '', 'g') AS normal, regexp_replace(substr(text, 1, 60), '\\s+', '', 'g') AS name FROM documents")
+@query("x11_x12_normal", "SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') AS normal, regexp_replace(text, '\\s+', '', 'g') AS name FROM documents")
 def x11(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normal_text(F.substring("text", 1, 200)).alias("normal"), X.normal_name(F.substring("text", 1, 60)).alias("name"))
+    return table(spark, d, "documents").select("doc_id", X.normal_text(F.col("text")).alias("normal"), X.normal_name(F.col("text")).alias("name"))
 
 
 PAIRS = "pairs AS (SELECT a.item_id AS i, b.item_id AS j, a.text AS a, b.text AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"

@@ -18,10 +18,10 @@ def s8(spark, d):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("j.k").alias("k"))
 
 
-@query("s9_s10_s17_frontmatter", "SELECT doc_id, source AS agent, CAST(doc_id % 10 AS VARCHAR) AS importance, substr(text, 1, 50) AS body FROM documents WHERE doc_id % 2 = 0")
+@query("s9_s10_s17_frontmatter", "SELECT doc_id, source AS agent, CAST(doc_id % 10 AS VARCHAR) AS importance, text AS body FROM documents")
 def s9(spark, d):
-    value = F.concat(F.lit("---\nagent: "), F.col("source"), F.lit("\nimportance: \""), (F.col("doc_id") % 10).cast("string"), F.lit("\"\n---\n"), F.substring("text", 1, 50))
-    texts = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("path"), value.alias("value"))
+    value = F.concat(F.lit("---\nagent: "), F.col("source"), F.lit("\nimportance: \""), (F.col("doc_id") % 10).cast("string"), F.lit("\"\n---\n"), F.col("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), value.alias("value"))
     return frontmatter(texts).select(F.col("path").cast("long").alias("doc_id"), F.col("meta")["agent"].alias("agent"), F.col("meta")["importance"].alias("importance"), "body")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestore.config import VALID_TYPES, Search
+from lodestore.config import SEMANTIC_RELATIONS, VALID_TYPES, Search
 from lodestore.functions import extract as E
 from lodestore.functions import lifecycle as L
 from lodestore.functions import text as X
@@ -144,12 +144,20 @@ def test_dates(spark):
     assert day("3 days ago, in 2026") == ("2026-09-07", 0.85)
     assert day("2天前发生") == ("2026-09-08", 0.85)
     assert day("nothing") is None
+    assert day("decomposition. 2 of them in 2026") == ("None", None)
+    want = {"on Sept 3rd": "2026-09-03", "Dec 24 was cold": "2025-12-24", "met last tuesday": "2026-09-08", "last Thursday": "2026-09-03", "in 2 weeks": "2026-09-24", "5 months ago": "2026-04-13", "3 个月前": "2026-06-12", "2周后": "2026-09-24", "上周": "2026-09-03", "上个月": "2026-08-11", "去年": "2025-09-10", "tonight": "2026-09-10", "last night": "2026-09-09", "前天": "2026-09-08"}
+    assert {t: day(t) for t in want} == {t: (d, 0.85) for t, d in want.items()}
+    assert day("March 5, 2024, a week ago") == ("2024-03-05", 0.95)
 
 
 def test_extraction(spark):
     assert E.scan_triples("检索模块依赖向量库，很快。") == [("检索模块", "depends_on", "向量库", 0.9)]
     assert E.key_tokens("26.7% 与 500万，2026-08-26 通过 42") == [("percent", "26.7%"), ("money", "500万"), ("date", "2026-08-26"), ("conclusion", "通过"), ("number", "42")]
     assert one(spark, E.entities(lit("《长期记忆》和检索引擎")))[0][0] == "长期记忆"
+    assert sum(map(len, E.VERBS.values())) == 61 and set(E.VERBS) == set(SEMANTIC_RELATIONS)
+    assert E.scan_triples("团队已决定采用新框架，并且启动迁移") == [("团队已", "decides", "采用新框架", 0.9)]
+    assert E.scan_triples("小组确认完成部署。系统使用系统") == []
+    assert E.scan_triples("缓存层复用连接池以及线程池") == [("缓存层", "uses", "连接池", 0.85)]
     assert E.scan_triples(None) == [] and E.key_tokens(None) == []
 
 
@@ -168,6 +176,89 @@ def test_fusion_is_symmetric_in_channels(spark):
     assert alone == [("a", 3.0), ("b", 2.0)]
 
 
+def test_stored_index_answers_like_the_store(spark, tmp_path):
+    from lodestore.operators.index import TextIndex
+
+    texts = [("a", "the red house", "a house by the sea"), ("b", None, "red red wine"), ("c", "sea", ""), ("d", "", None), ("e", "文字 text", "more text, Text")]
+    store = spark.createDataFrame(texts, "id string, summary string, content string")
+    index = TextIndex.build(store, f"file://{tmp_path}/index")
+    queries = spark.createDataFrame([(1, "red house"), (2, "text 文字 sea"), (3, "nowhere"), (4, "")], "qid long, text string")
+    found = R.bm25(queries, TextIndex.open(spark, index.root))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.bm25(queries, store).collect())) and index.docs == 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(lower(coalesce(summary" not in plan and "tf_full" in plan
+    empty = TextIndex.build(store.limit(0), f"file://{tmp_path}/none")
+    assert R.bm25(queries, empty).count() == 0
+
+
+def test_vector_tasks_pass_on_their_best_only(spark):
+    r = random.Random(4)
+    vecs = [(f"m{i:04}", [float(r.randrange(3)) for _ in range(4)]) for i in range(3000)]  # many ties
+    entries = spark.createDataFrame(vecs, "id string, vec array<float>").repartition(3)
+    asked = spark.createDataFrame([(q, [float(r.randrange(3)) for _ in range(4)]) for q in range(5)], "qid long, qvec array<float>")
+    cfg = Search(candidates=7)
+    out = R.vectors(asked, entries, cfg)
+    got = {(x["qid"], x["rank0"]): x["id"] for x in out.collect()}
+    for q, v in asked.collect():
+        want = sorted(vecs, key=lambda e: (-sum(a * b for a, b in zip(v, e[1], strict=True)), e[0]))[:7]
+        assert [got[q, n] for n in range(7)] == [e[0] for e in want]
+    best = R.Best(5, 7)
+    for at in range(0, 3000, 500):
+        part = vecs[at : at + 500]
+        import numpy as np
+
+        best.add(np.array([e[0] for e in part], object), np.array([e[1] for e in part]) @ np.array([list(v) for _, v in asked.collect()]).T)
+    assert len(best.cut()[0]) == 5 * 7
+
+
+def test_search_switches(spark):
+    from lodestore.operators.contradictions import contradict, greedy_contradictions, losers
+
+    rows = [
+        {"id": "a", "summary": "the port of the gateway is 8080 for all", "content": "", "summary_hash": "aaaaaaaa1111", "confidence": 0.9, "timestamp": "2026", "score": 1.0},
+        {"id": "b", "summary": "the port of the gateway 不是 that: choose nine thousand", "content": "", "summary_hash": "aaaaaaaa2222", "confidence": 0.5, "timestamp": "2026", "score": 0.9},
+        {"id": "c", "summary": "quite another matter", "content": "", "summary_hash": "cccccccc", "confidence": 0.1, "timestamp": "2026", "score": 0.8},
+    ]
+    assert contradict(rows[0], rows[1]) and not contradict(rows[0], rows[2]) and losers(rows) == {1} and losers(rows[::-1]) == {1}
+    assert losers([rows[0], rows[0] | {"id": "d"}]) == set()  # both say the same
+    df = spark.createDataFrame([(7, n, *r.values(), int(r["id"] == "c")) for n, r in enumerate(rows)], "qid int, rank0 int, id string, summary string, content string, summary_hash string, confidence double, timestamp string, score double, deprecated int")
+    assert [r["id"] for r in greedy_contradictions(df).collect()] == ["a"]
+    from lodestore.plans.common import access_log, bench_queries, entry_edges, entry_vectors, query_vectors, store
+
+    d = "/root/testdata/sf0.001"
+    q = bench_queries(spark, d).unionByName(spark.createDataFrame([(99_999, "what was on 2026-03-05"), (99_998, "error in config-42 now")], "qid long, text string"))
+    for switches in ({"time": True}, {"router": True}, {"contradictions": True}, {"router": True, "gate": True, "time": True, "graph": True, "contradictions": True}):
+        out = R.search(q, store(spark, d), access_log(spark, d), query_vectors(spark, d), entry_vectors(spark, d), Search(**switches), None, entry_edges(spark, d)).collect()
+        by = {x["qid"] for x in out}
+        assert by == {r["qid"] for r in q.collect()} and all(sum(x["qid"] == i for x in out) <= 5 for i in by)
+        if switches.get("time"):
+            assert {x["mode"] for x in out if x["qid"] == 99_999} & {"time_only", "dual_rrf_time4th", "dual_rrf_time4th_graph"}
+
+
+def test_containment(spark):
+    from lodestore.operators.containment import holding
+
+    texts = spark.createDataFrame([(1, "one two"), (2, "two three"), (3, None), (4, "")], "id long, text string")
+    strings = spark.createDataFrame([("x", "two"), ("y", ""), ("z", None), ("w", "two"), ("v", "four")], "k string, s string")
+    assert {tuple(r) for r in holding(texts, "id", "text", strings, "k", "s").collect()} == {("x", 1), ("x", 2), ("w", 1), ("w", 2), ("y", 1), ("y", 2), ("y", 4)}
+
+
+def test_prefix_pairs_are_complete(spark):
+    r = random.Random(2)
+    sets = [(i, sorted({min(r.randrange(20), r.randrange(20)) for _ in range(r.randrange(1, 9))})) for i in range(60)]
+    df = spark.createDataFrame(sets, "id int, ks array<int>")
+    got = {tuple(x) for x in I.prefix_pairs(df, F.greatest(F.lit(1), F.ceil(0.5 * F.col("n")))).collect()}
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and 2 * len({*x} & {*y}) >= max(len(x), len(y))}
+    every = {(a, b) for a, x in sets for b, y in sets if a < b and {*x} & {*y}}
+    assert want <= got < every
+
+
+def test_neighbours_of_named_entries(spark):
+    edges = spark.createDataFrame([("a", "b", "same_agent", 0.5), ("c", "b", "same_agent", 0.5), ("d", "c", "same_agent", 0.1)], "id1 string, id2 string, relation string, weight double")
+    seeds = spark.createDataFrame([("c",), ("a",)], "id string")
+    assert {tuple(r) for r in G.expanded(seeds, edges).collect()} == {("b", 0.5, "a"), ("d", 0.1, "c")}
+
+
 def test_neighbours_and_plan(spark):
     edges = spark.createDataFrame([(1, 2, "same_agent", 0.5), (3, 1, "same_agent", 0.9), (2, 4, "same_type", 1.0)], "id1 int, id2 int, relation string, weight double")
     seeds = spark.createDataFrame([(1,)], "id int")
