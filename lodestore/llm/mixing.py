@@ -22,8 +22,10 @@ from .common import cumulated, dropped, joined_small, ranked, saved, with_row, w
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-STEPS = 24  # Newton steps, safeguarded by bisection
-STEPS_A_TABLE = 6  # steps between two written tables
+STEPS = 48  # Newton steps at most, safeguarded by doubling up to a bracket and halving it
+FAR = 2000.0  # no multiplier lies beyond
+STEPS_A_TABLE = 4  # steps between two written tables, after which they end if all sources are settled
+SETTLED = 1e-7  # share of a target that may be missed before copies are rounded
 
 
 def word_count(text: Column) -> Column:
@@ -56,11 +58,12 @@ def balanced_rates(pairs: DataFrame, targets: DataFrame, max_copies: int = MAX_C
     """(_s, _sn, multiplier) that solve the dual for pairs (_s, _sn, size, _n)."""
     base = -math.log(max_copies - 1.0)  # rate 1 at multiplier 0
     table = saved(pairs.join(targets, ["_s", "_sn"]).where("size > 0").withColumn("_x", F.col("size") * F.col("_docs") / F.col("source_size")), "mix-pairs")
-    state = targets.select("_s", "_sn", F.lit(0.0).alias("_m"), F.lit(-2000.0).alias("_lo"), F.lit(2000.0).alias("_hi"))
+    full = F.col("target") >= F.col("source_size") * max_copies * (1 - 1e-9)
+    state = targets.select("_s", "_sn", F.lit(0.0).alias("_m"), F.lit(-FAR).alias("_lo"), F.lit(FAR).alias("_hi"), F.lit(0.0).alias("_off"))
     for step in range(STEPS):
         rate = max_copies / (1 + F.exp(-(F.lit(base) + F.col("_m") * F.col("_x"))))
         slope = (
-            table.join(state, ["_s", "_sn"])
+            table.join(state.drop("_off"), ["_s", "_sn"])
             .withColumn("_r", rate)
             .groupBy("_s", "_sn", "_m", "_lo", "_hi", "target", "source_size", "_docs")
             .agg(F.sum(F.col("_r") * F.col("_n") * F.col("size")).alias("_g"), F.sum(F.col("_r") * (1 - F.col("_r") / max_copies) * F.col("_n") * F.col("size") * F.col("_x")).alias("_h"))
@@ -68,10 +71,13 @@ def balanced_rates(pairs: DataFrame, targets: DataFrame, max_copies: int = MAX_C
         over = F.col("_g") > F.col("target")
         slope = slope.withColumn("_hi", F.when(over, F.col("_m")).otherwise(F.col("_hi"))).withColumn("_lo", F.when(over, F.col("_lo")).otherwise(F.col("_m")))
         jump = F.col("_m") - (F.col("_g") - F.col("target")) / F.when(F.col("_h") > 1e-9, F.col("_h"))
-        state = slope.withColumn("_j", jump).select("_s", "_sn", F.when((F.col("_j") > F.col("_lo")) & (F.col("_j") < F.col("_hi")), F.col("_j")).otherwise((F.col("_lo") + F.col("_hi")) / 2).alias("_m"), "_lo", "_hi")
+        inside = (F.col("_j") > F.col("_lo")) & (F.col("_j") < F.col("_hi"))
+        wide = F.when(F.col("_hi") >= FAR, F.least(F.lit(FAR), 2 * F.abs("_lo") + 1)).when(F.col("_lo") <= -FAR, F.greatest(F.lit(-FAR), -2 * F.abs("_hi") - 1)).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+        state = slope.withColumn("_j", jump).select("_s", "_sn", F.when(inside, F.col("_j")).otherwise(wide).alias("_m"), "_lo", "_hi", F.when(full, 0.0).otherwise(F.abs(F.col("_g") - F.col("target")) / F.greatest("target", F.lit(1.0))).alias("_off"))
         if step % STEPS_A_TABLE == STEPS_A_TABLE - 1:
             state = saved(state, "mix-state")
-    full = F.col("target") >= F.col("source_size") * max_copies * (1 - 1e-9)
+            if (state.agg(F.max("_off")).first()[0] or 0.0) < SETTLED:  # of the multipliers before the last step
+                break
     solved = F.when(full, F.lit(float(max_copies))).otherwise(max_copies / (1 + F.exp(-(F.lit(base) + F.col("_m") * F.col("_x")))))
     return table.join(state, ["_s", "_sn"]).select("_s", "_sn", "size", "_n", "target", solved.alias("rate"))
 
