@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import ANTONYMS, DEDUP_NEGATION_CHARS, DEDUP_NEGATION_TOKENS, NEGATIONS, RULE_WORDS, STOP_CHARS, STOP_WORDS, UNITS, VALID_TYPES
 from ..functions import text as X
+from ..scratch import dropped, saved
 
 
 def insertable(items: DataFrame, existing: DataFrame) -> DataFrame:
@@ -87,6 +88,27 @@ def duplicates(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     return similar_pairs(texts, threshold).where(~negation_differs(F.col("ga"), F.col("gb"))).select("a", "b", "dice")
 
 
+def accepted(texts: DataFrame, threshold: float = 0.9, min_len: int = 8) -> DataFrame:
+    """(id, accepted, duplicate_of) in order of id: a text is refused if it repeats an earlier *accepted* one, so a copy of a refused text may pass.
+
+    Texts shorter than min_len are accepted and compared with none. Every round settles the texts whose earlier likes are all settled; only texts with a
+    like take part, and as many rounds run as the longest chain of likes is long.
+    """
+    long = texts.where(F.length(X.normal_text(F.col("text"))) >= min_len)
+    pairs = saved(duplicates(long, threshold).select("a", "b"), "guard-pairs")
+    state = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.lit(None).cast("boolean").alias("ok")), "guard-state")
+    while state.where("ok is null").limit(1).count():
+        before = pairs.join(state.select(F.col("id").alias("a"), F.col("ok").alias("before")), "a")
+        seen = before.groupBy(F.col("b").alias("id")).agg(F.bool_or("before").alias("some"), F.count_if(F.col("before").isNull()).alias("open"))
+        now = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.col("some"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        old, state = state, saved(state.join(seen, "id", "left").select("id", now.alias("ok")), "guard-state")
+        dropped(old)
+    kept = state.where("ok").select(F.col("id").alias("a"))
+    first = pairs.join(kept, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("duplicate_of"))
+    out = texts.select("id").join(state, "id", "left").join(first, "id", "left")
+    return out.select("id", F.coalesce("ok", F.lit(True)).alias("accepted"), "duplicate_of")
+
+
 def conflict_keywords(col: Column) -> Column:
     """Up to three pairs of CJK characters and the two longest words of Latin letters, none of them stop words: what a conflict is looked for by.
 
@@ -145,4 +167,4 @@ def frontmatter(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))["v"].alias("v")))).alias("meta"), body.alias("body"))
 
 
-__all__ = ["conflict_candidates", "conflict_class", "conflict_keywords", "duplicates", "first_layer", "frontmatter", "insertable", "merged", "negation_differs", "promoted", "similar_pairs"]
+__all__ = ["accepted", "conflict_candidates", "conflict_class", "conflict_keywords", "duplicates", "first_layer", "frontmatter", "insertable", "merged", "negation_differs", "prefix_pairs", "promoted", "similar_pairs"]

@@ -266,10 +266,9 @@ def search(
     fts = cascade(bm25(queries, index if index is not None else store), cfg)
     channels = {"fts": fts}
     if query_vectors is not None:
-        asked = query_vectors
-        if cfg.router:
-            kind, _ = route(F.col("text"))
-            asked = asked.join(queries.where(kind == "dual").select("qid"), "qid", "left_semi")
+        kind, _ = route(F.col("text"))
+        deep = queries.where(kind == "dual") if cfg.router else queries
+        asked = query_vectors.join(deep.select("qid"), "qid", "left_semi")
         emb = vectors(asked, entry_vectors, cfg)
         channels["emb"] = gap_gate(emb).drop("keep") if cfg.gate else emb
     if cfg.time:

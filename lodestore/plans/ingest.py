@@ -67,6 +67,12 @@ def p6b(spark, d):
     return I.duplicates(_notes(spark, d))
 
 
+@query("p6_guard")
+def p6c(spark, d):
+    """Which summaries the guard lets in, one after another, and what the others repeat."""
+    return I.accepted(store(spark, d).select("id", F.col("summary").alias("text")))
+
+
 @query("p7_x17_conflicts")
 def p7(spark, d):
     """Each note against the newest five notes that hold any of its keywords: class of the pair."""

@@ -81,6 +81,31 @@ def test_similarity_dedup(spark):
     assert ("a", "b") in found and ("c", "d") not in found and not any("e" in p for p in found)
 
 
+def test_guard_accepts_in_order(spark):
+    r = random.Random(9)
+    base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80))
+    texts = [(0, base)]
+    for i in range(1, 25):  # each a little further from the first: copies of refused texts pass again
+        x = list(texts[-1][1])
+        for at in r.sample(range(80), 2):
+            x[at] = r.choice("0123456789")
+        texts.append((i, "".join(x)))
+    texts += [(30, "tiny"), (31, "tiny"), (32, base), (33, None), (34, "")]
+
+    def dice(a, b):
+        x, y = ({t[i : i + 2] for i in range(len(t) - 1)} for t in (a, b))
+        return 2 * len(x & y) / (len(x) + len(y))
+
+    kept, want = [], {}
+    for i, t in texts:
+        like = [k for k in kept if len(t or "") >= 8 and len(texts_by[k]) >= 8 and dice(t, texts_by[k]) >= 0.9] if (texts_by := {j: u or "" for j, u in texts}) else []
+        want[i] = (not like, min(like, default=None))
+        if not like:
+            kept.append(i)
+    got = {x["id"]: (x["accepted"], x["duplicate_of"]) for x in I.accepted(spark.createDataFrame(texts, "id int, text string")).collect()}
+    assert got == want and sum(ok for ok, _ in want.values()) > 4
+
+
 def test_duplicates_are_judged_on_whole_notes(spark, tmp_path):
     opening = "The quarterly report on warehouse automation was published today by"
     r = random.Random(1)
