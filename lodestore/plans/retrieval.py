@@ -214,7 +214,7 @@ def r29(spark, d):
     c = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("cid"), F.lower(F.substring("n_name", 1, 3)).alias("pref"), F.lower("r_name").alias("alt"))
     head = F.substring("term", 1, 1)
     level = F.when(F.col("pref") == F.col("term"), 0).when(F.col("alt") == F.col("term"), 1).when(F.contains("pref", head), 2).when(F.contains("alt", head), 3)
-    m = q.crossJoin(F.broadcast(c)).select("qid", "cid", level.alias("level")).where("level is not null")  # a fixed dimension of 25 concepts
+    m = q.crossJoin(R.checked_broadcast(c)).select("qid", "cid", level.alias("level")).where("level is not null")
     return R.ranked(m, F.col("level"), F.col("cid"), limit=10, name="n").withColumn("n", F.col("n") + 1)
 
 
