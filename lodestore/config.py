@@ -50,6 +50,7 @@ UNITS = ("万", "元", "人", "日", "年", "月", "天", "小时", "分钟", "
 DEDUP_NEGATION_CHARS = "不没非勿无别禁否停拒免莫未休"
 DEDUP_NEGATION_TOKENS = ("取消", "删除", "撤销", "关闭", "停止", "禁止", "拒绝", "无法", "不能", "不会", "不要", "无需", "不得", "不可", "不准", "尚未")
 # Words that deny or correct, in the order in which they are looked for, and limits of the contradiction rules.
+INSTRUCTION_HINTS = ("规则", "流程", "模式", "步骤", "必须", "禁止", "任何", "先", "SOP", "规范", "纪律", "铁律", "要求", "建议", "如何", "要不要", "该不该", "怎么")
 CONTRADICTION_SIGNALS = ("不是", "误判", "纠正", "实为", "推翻", "而非", "≠", "作废", "假阳性", "不应", "不能用", "不适用", "否定", "别用")
 OBJECT_CHARS, OBJECT_LIMIT, SAME_LIMIT = 24, 0.35, 0.85
 # Router words.
@@ -86,6 +87,7 @@ class Search:
     time: bool = False
     graph: bool = False
     contradictions: bool = False
+    instructions: bool = False
     graph_seeds: int = 30
     graph_per_seed: int = 3
     graph_top: int = 15

@@ -110,6 +110,11 @@ def contains_any(col: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def used(expected: Column, actual: Column) -> Column:
+    """Whether what an entry was told for stands in what was made of it, whatever the case; an empty expectation is met, a null one is not known."""
+    return F.contains(F.lower(or_empty(actual)), F.lower(expected))
+
+
 def count_of(col: Column, words: tuple[str, ...]) -> Column:
     """How many of the words stand in the text."""
     return F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0), lambda n, w: n + F.when(F.contains(col, w), 1).otherwise(0))

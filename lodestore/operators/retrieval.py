@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import on_workers
-from ..config import GRAPH_RELATIONS, ROUTER_FAST, ROUTER_FUZZY, ROUTER_ID, ROUTER_TOOLS, Search
+from ..config import GRAPH_RELATIONS, INSTRUCTION_HINTS, ROUTER_FAST, ROUTER_FUZZY, ROUTER_ID, ROUTER_TOOLS, Search
 from ..functions.extract import explicit_date
 from ..functions.lifecycle import grade_of, instant, quality_of
-from ..functions.text import first_place, tokens
+from ..functions.text import contains_any, first_place, tokens
 from .contradictions import greedy_contradictions
 from .graphs import heaviest, within_days
 from .index import TextIndex, postings
@@ -254,6 +254,14 @@ def time_channel(dated: DataFrame, store: DataFrame, cfg: Search) -> DataFrame:
     return ranked(near.select("qid", "id", score.alias("score")), F.desc("score"), F.col("id"), limit=cfg.time_top)
 
 
+def instruction_tail(hits: DataFrame, *order: Column, top_k: int, hints: tuple[str, ...] = INSTRUCTION_HINTS) -> DataFrame:
+    """Hits (qid, text of the query, type, confidence, ...) with a rank0: where a query asks for rules, sure instructions go behind all others and the cut
+    grows by their number. Other queries' hits keep their order and cut."""
+    tail = contains_any(F.coalesce("text", F.lit("")), hints) & (F.col("type") == "instruction") & (F.col("confidence") > 0.9)
+    out = ranked(hits.withColumn("_tail", F.coalesce(tail, F.lit(False)).cast("int")), F.col("_tail"), *order)
+    return out.withColumn("_extra", F.sum("_tail").over(Window.partitionBy("qid"))).where(F.col("rank0") < F.col("_extra") + top_k).drop("_tail", "_extra")
+
+
 def search(
     queries: DataFrame, store: DataFrame, access: DataFrame, query_vectors: DataFrame | None, entry_vectors: DataFrame | None, cfg: Search, index: TextIndex | None = None, edges: DataFrame | None = None
 ) -> DataFrame:
@@ -261,7 +269,7 @@ def search(
 
     Cascade and vectors are fused and cut; then forgetting, validity and versions, the fall-back for emptied queries, and for queries without
     any hit the latest entries. Wide columns join after the cut, and grades come from each query's best score. Settings switch on more
-    of it: the router (queries that it is sure of skip the vectors), the gap gate, the time and graph channels, contradictions.
+    of it: the router (queries that it is sure of skip the vectors), the gap gate, the time and graph channels, contradictions, instructions behind the rest.
     """
     fts = cascade(bm25(queries, index if index is not None else store), cfg)
     channels = {"fts": fts}
@@ -275,7 +283,11 @@ def search(
         channels["time"] = time_channel(queries.select("qid", explicit_date(F.col("text")).alias("t1")).where("t1 is not null"), store, cfg)
     if cfg.graph and edges is not None:
         channels["graph"] = graph_channel(fused(channels, store, cfg, cfg.graph_seeds).select("qid", "id"), edges, store, cfg)
-    hits = fused(channels, store, cfg)
+    if cfg.instructions:
+        every = fused(channels, store, cfg, len(channels) * (cfg.candidates + cfg.backfill)).join(queries.select("qid", "text"), "qid")
+        hits = instruction_tail(every.join(store.select("id", "type", "confidence"), "id").withColumnRenamed("rank0", "_r"), F.col("_r"), top_k=cfg.top_k).drop("_r", "text", "type", "confidence")
+    else:
+        hits = fused(channels, store, cfg)
     alone = F.create_map(*[F.lit(x) for pair in (("fts", "fts_only"), ("emb", "embed_only"), ("time", "time_only"), ("graph", "graph_only")) for x in pair])
     hits = hits.withColumn("mode", F.when(F.col("n_channels") == 1, alone[F.col("only")]).otherwise("dual_rrf")).drop("n_channels", "only")
     for name, label in (("time", "_time4th"), ("graph", "_graph")):

@@ -243,7 +243,5 @@ def multi_hop(hops, entries, top_k, pool=30):
 def f14(spark, d):
     q, s = bench_queries(spark, d), store(spark, d)
     h = R.bm25(q, text_index(spark, d)).join(s.select("id", "type", "confidence"), "id").join(q, "qid")
-    tail = contains_any(F.col("text"), ("the", "for")) & (F.col("type") == "instruction") & (F.col("confidence") > 0.9)
-    out = R.ranked(h.withColumn("tail", tail.cast("int")), F.col("tail"), F.desc("full"), F.col("id"))
-    out = out.withColumn("extra", F.sum("tail").over(Window.partitionBy("qid")))
-    return out.where(F.col("rank0") < F.col("extra") + 5).select("qid", "id", F.col("full").alias("score"), "rank0")
+    # the small tables' words stand in for the hints, which are Chinese
+    return R.instruction_tail(h, F.desc("full"), F.col("id"), top_k=5, hints=("the", "for")).select("qid", "id", F.col("full").alias("score"), "rank0")

@@ -82,6 +82,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(path: str) -> bool:
+    """Whether there is such a file or folder."""
+    system, where = _folder(path)
+    return system.exists(where)
+
+
 def state_of(path: str) -> tuple[int, int]:
     """Bytes of a file or folder and when it was last changed: tells whether what was made from it still holds."""
     system, where = _folder(path)
