@@ -247,7 +247,8 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
         low, high, named = np.full((positives, n), np.nan), np.full((positives, n), np.nan), []
         for r in best:
             j, a, p = r["rank"] - 1, r["slot"], r["score"]
-            low[j, a], high[j, a] = -(-least_share * p // 100), most_share * p // 100
+            low[j, a] = -(-least_share * p // 100)
+            high[j, a] = np.inf if p == LONGS.max else most_share * p // 100  # scores held at the end of the range lie beyond it
             named.append((j * n + a, int(block["ids"][a]), None if r["vec_id"] == NO_ID else r["vec_id"], p))
         windows = F.broadcast(spark.createDataFrame(named, "slot long, anchor_id long, positive_id long, positive_score long"))
         found = _searched(table, centres, block, low, high, False, negatives).join(windows, "slot")
