@@ -17,6 +17,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ NOTICES = {
 }
 #: One edit for so many characters of a notice; two at most if it holds digits, which must stand unchanged: they tell versions apart.
 CHARS_AN_EDIT = 7
+_BASE = {phrase: re.compile(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))") for phrase in BASE}
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -87,6 +89,17 @@ def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return [(edits, a, b) for a, b, edits in taken]
 
 
+def _digits(piece: str) -> str:
+    return "".join(c for c in piece if c.isdigit())
+
+
+@lru_cache(1 << 14)
+def _match(pattern, piece: str) -> tuple[int, int, str] | None:
+    """(edits, length, digits) of the best match at a piece's start: notices repeat, within a text and across texts."""
+    m = pattern.match(piece)
+    return (sum(m.fuzzy_counts), m.end(), _digits(m[0])) if m else None
+
+
 def fuzzy_spans(words: str) -> list[tuple[str, int, int, int, float]]:
     """(label, first character, end, edits, score) of notices in a text of words joined by one space."""
     starts: dict[tuple[str, str], dict[int, tuple]] = {}
@@ -98,24 +111,36 @@ def fuzzy_spans(words: str) -> list[tuple[str, int, int, int, float]]:
                     starts.setdefault((phrase, label), {})[start] = (k, pattern)
     out = set()
     for (phrase, label), own in starts.items():
-        digits, found = [c for c in phrase if c.isdigit()], []
+        digits, found = _digits(phrase), []
         for start, (k, pattern) in own.items():
             # one character more than the longest match, for the look ahead
-            m = pattern.match(words, start, min(len(words), start + len(phrase) + k + 1))
-            if m and [c for c in m[0] if c.isdigit()] == digits:
-                found.append((sum(m.fuzzy_counts), start, m.end()))
+            m = _match(pattern, words[start : start + len(phrase) + k + 1])
+            if m and m[2] == digits:
+                found.append((m[0], start, start + m[1]))
         out.update((label, a, b, edits, 1 - edits / len(phrase)) for edits, a, b in apart(found))
     return sorted(out)
 
 
-def base_places(words: str) -> dict[str, list[int]]:
+class Places:
+    """Numbers of words by the character that they start at: spaces are found once, at the first question."""
+
+    def __init__(self, words: str):
+        self.words, self.spaces = words, None
+
+    def __call__(self, at: int) -> int:
+        if self.spaces is None:
+            self.spaces = np.flatnonzero(np.frombuffer(self.words.encode("utf-32-le", "surrogatepass"), np.uint32) == 32).tolist()
+        return bisect_left(self.spaces, at)
+
+
+def base_places(words: str, number: Places | None = None) -> dict[str, list[int]]:
     """Word numbers at which each base phrase starts."""
-    padded, out = f" {words} ", {}
-    for phrase in BASE:
-        at = padded.find(f" {phrase} ")
-        while at >= 0:
-            out.setdefault(phrase, []).append(padded.count(" ", 0, at + 1) - 1)
-            at = padded.find(f" {phrase} ", at + 1)
+    number, out = number or Places(words), {}
+    for phrase, pattern in _BASE.items():
+        if phrase in words:
+            found = [number(m.start()) for m in pattern.finditer(words)]
+            if found:
+                out[phrase] = found
     return out
 
 
@@ -123,12 +148,13 @@ def scan_text(text: str | None) -> tuple:
     """The row of one text: n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
     words = b" ".join(found).decode("utf-8", "surrogatepass")
-    places = base_places(words)
+    number = Places(words)
+    places = base_places(words, number)
     starts = [at for own in places.values() for at in own]
     base = {BASE[phrase] for phrase in places}
     fuzzy = fuzzy_spans(words)
     score = max([1.0 if starts else 0.0, *(s[4] for s in fuzzy)])
-    spans = [(label, words.count(" ", 0, a), words.count(" ", 0, b) + 1, edits) for label, a, b, edits, _ in fuzzy]
+    spans = [(label, number(a), number(b) + 1, edits) for label, a, b, edits, _ in fuzzy]
     return len(found), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s[0] for s in fuzzy})), score, spans
 
 

@@ -732,3 +732,41 @@ def test_the_session_keeps_its_batch_size(spark, odd_docs):
     LI.license_scan(odd_docs).count()
     ND.near_groups(odd_docs).count()
     assert spark.conf.get(setting) == before
+
+
+@pytest.mark.parametrize("notice", ["mit license ", "gnu general public license ", "cc by nc 4 0 ", "apache license, version 2.0\n", "license "])
+def test_a_long_text_of_notices_is_scanned_in_one_pass(notice):
+    n = 1_000_000 // len(notice)
+    began = time.time()
+    row = LI.scan_text(notice * n)
+    assert time.time() - began < 10
+    words = len(WORD.findall(notice.replace(",", "").replace(".", " ")))
+    assert row[0] == n * words and row[1] == (0 if notice == "license " else n)
+    assert row[1] == 0 or (row[2], row[3]) == (0, (n - 1) * words)
+
+
+def test_levels_are_merged_without_exchange(spark):
+    runs = LD.LineRuns(spark, 3, fanout=2)
+    rows = [(d, 0, line, line) for d in range(40) for line in range(d % 7)]
+    for batch in range(4):
+        own = spark.createDataFrame([r for r in rows if r[0] % 4 == batch], "_d long, _t long, _a long, _b long")
+        runs.add(own)
+    names = runs.names()
+    assert len(names) == 1 and {(r["_a"], r["_n"] >= 3) for r in runs.rows(names).collect()} == {(line, True) for line in range(6)}
+    a = runs._write(spark.createDataFrame([(1, 1, 1), (2, 2, 2)], "_a long, _b long, _n long"))
+    b = runs._write(spark.createDataFrame([(2, 2, 5), (3, 3, 1)], "_a long, _b long, _n long"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = runs._united([a, b])
+        assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, merged.collect())) == [(1, 1, 1), (2, 2, 5), (3, 3, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        runs.close(delete_files=True)
+
+
+def test_blocks_of_long_texts_hold_fewer_rows(spark):
+    active = spark.createDataFrame([(1, i, ND.BLOCK_SHINGLES // 2) for i in range(8)] + [(2, 100 + i, 10) for i in range(8)], "key long, doc_id long, n long")
+    dealt = ND._blocks(active).groupBy("key").agg(F.count_distinct("x", "y").alias("pairs")).collect()
+    pairs = {r["key"]: r["pairs"] for r in dealt}
+    assert pairs[2] == 1 and pairs[1] > 1
