@@ -140,6 +140,13 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             delete(f"{self.root}/{name}")
 
+    def _united(self, names: list[str]) -> DataFrame:
+        """The rows of some runs, merged bucket by bucket: full outer joins of tables that are bucketed alike exchange nothing."""
+        first, *rest = (self.spark.table(name).select("_a", "_b", "_n") for name in names)
+        for run in rest:
+            first = first.join(run.withColumnRenamed("_n", "_run"), ["_a", "_b"], "full_outer").select("_a", "_b", F.greatest("_n", "_run").alias("_n"))
+        return first
+
     def _compact(self) -> list[str]:
         """Merge full levels; the runs that no longer stand."""
         old: list[str] = []
@@ -148,7 +155,7 @@ class LineRuns:
             if len(full) >= self.fanout:
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[depth + 1].append(self._write(self.rows(full).groupBy("_a", "_b").agg(F.max("_n").alias("_n"))))
+                self.levels[depth + 1].append(self._write(self._united(full)))
                 self.levels[depth] = []
                 old += full
         return old
