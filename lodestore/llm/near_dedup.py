@@ -36,6 +36,8 @@ SKETCH_BITS = 512
 SLACK = 0.15
 #: Members of one hub, and of one side of a block of sketches, that a task holds at once.
 BLOCK = 512
+#: Shingles of one side of a block, so that a block of very long texts holds fewer rows.
+BLOCK_SHINGLES = 1 << 19
 #: Rows whose texts one task of Python is dealt.
 EACH = 4 * BLOCK
 
@@ -228,8 +230,8 @@ def _open_links(words: int, percent: int):
 
 
 def _blocks(active: DataFrame) -> DataFrame:
-    """Rows of buckets dealt into pairs of blocks (x, y), so that no task holds more than two blocks."""
-    parts = active.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
+    """Rows of buckets dealt into pairs of blocks (x, y), so that no group holds more than two blocks, bounded in rows and in shingles."""
+    parts = active.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("_parts"))
     active = active.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
     places = F.expr("transform(sequence(0, _parts - 1), p -> struct(least(p, _part) as x, greatest(p, _part) as y, case when p = _part then 0 when _part < p then 1 else 2 end as side))")
     return active.withColumn("_at", F.explode(places)).select("*", "_at.x", "_at.y", "_at.side").drop("_at", "_part", "_parts")
