@@ -37,16 +37,15 @@ class Engine:
     def search_memories(self, texts: list[str] | DataFrame, mode: str = "auto", top_k: int = 5, track: str | None = None, types: str | None = None, **switches: bool) -> DataFrame:
         """Results of one or many query texts. The track is applied before scoring, the types after the cut.
 
-        switches: router, gate, time, graph, contradictions. A stored index is read unless a track cuts the store.
+        switches: router, gate, time, graph, contradictions. A stored index knows the tracks, and reads the lists of the asked one.
         """
         cfg = Search(top_k=top_k, **switches)
-        index = self.index if track is None else None
         queries = texts if isinstance(texts, DataFrame) else self.spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
         store = self.store if track is None else self.store.where(F.col("memory_track") == track)
         access = self.access if self.access is not None else self.spark.createDataFrame([], "entry_id string, scene string, accessed_at timestamp")
         vectors = self.query_vectors is not None and mode in ("auto", "dual", "embed")
         entry_vectors = self.entry_vectors.join(store.select("id"), "id", "left_semi") if vectors and track is not None else self.entry_vectors
-        out = R.search(queries, store, access, self.query_vectors if vectors else None, entry_vectors if vectors else None, cfg, index, self.edges)
+        out = R.search(queries, store, access, self.query_vectors if vectors else None, entry_vectors if vectors else None, cfg, self.index, self.edges, track)
         return out if types is None else out.where(F.col("type").isin(*[t.strip() for t in types.split(",")]))
 
     def expand_entry(self, ids: list[str], tier: str = "expand") -> DataFrame:

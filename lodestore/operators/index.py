@@ -1,83 +1,301 @@
-"""A stored inverted index: postings, document frequencies and lengths, written once and read by every search."""
+"""A stored inverted index in segments: postings in blocks with score bounds, kept up by additions and removals.
+
+A segment holds the postings of one batch of entries three times over: as rows by entry (what a removal must take off the counts), as blocks by
+term, and as lists. A list is what one term has of one track in one class of weight; it knows its number of postings and the largest
+weight in it, so a search can tell without opening a list whether it can still matter. In a list, postings are dealt to slots by a hash of the entry's id, a block
+a slot: a single entry's posting is looked up by (term, slot).
+
+Removals are tombstones beside the segments, with the counts that they take away. No text is read again, neither by them nor by a merge: segments of like size
+are merged once there are ``fanout`` of them. A manifest names the segments that count.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..scratch import delete
+from ..versions import Versions
 
-#: Folders that postings are dealt to by their term.
+#: Folders that blocks are dealt to by their term.
 BUCKETS = 64
 #: Asked terms up to this number are told to the scan, which then opens their folders only and skips row groups without them.
 TOLD = 2_000
+#: Entries of a segment for each slot: a block holds at most about so many postings.
+SLOT_ENTRIES = 512
+#: Classes of weight for each unit of weight (weights lie below 2.2).
+CLASSES = 4
+#: Tombstones up to this number are broadcast.
+FEW_GONE = 100_000
+
+_POSTING = "struct<id:{id},dl:int,tf_note:long,tf_full:long>"
+
+
+def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """BM25's part of a term without its rarity: grows with tf, falls with dl."""
+    return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+
+
+def rarity(docs: Column, df: Column) -> Column:
+    return F.greatest(F.lit(1e-6), F.log((docs - df + 0.5) / (df + 0.5)))
 
 
 def postings(store: DataFrame) -> DataFrame:
-    """(id, term, tf_note, tf_full, dl): counts in the summary, and in summary and content together."""
+    """(id, track, term, tf_note, tf_full, dl): counts in the summary, and in summary and content together. An entry without terms has one row with a null term."""
     note, body = tokens(F.col("summary")), tokens(F.col("content"))
     both = F.concat(F.transform("_note", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))), F.transform("_body", lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))))
+    track = F.coalesce(F.col("memory_track"), F.lit("")) if "memory_track" in store.columns else F.lit("")
     # lengths are settled before the explode, so that no text is carried along with each term; the outer form keeps the
     # optimiser from putting a filter on the array's size below it, which would cut every text into terms twice
-    flat = store.select("id", note.alias("_note"), body.alias("_body")).select("id", (F.size("_note") + F.size("_body")).alias("dl"), both.alias("_terms"))
-    flat = flat.select("id", "dl", F.explode_outer("_terms").alias("t")).select("id", "dl", "t.term", "t.n")
-    return flat.groupBy("id", "term", "dl").agg(F.sum("n").alias("tf_note"), F.count("*").alias("tf_full"))
+    flat = store.select("id", track.alias("track"), note.alias("_note"), body.alias("_body")).select("id", "track", (F.size("_note") + F.size("_body")).alias("dl"), both.alias("_terms"))
+    flat = flat.select("id", "track", "dl", F.explode_outer("_terms").alias("t")).select("id", "track", "dl", "t.term", "t.n")
+    return flat.groupBy("id", "track", "term", "dl").agg(F.sum("n").alias("tf_note"), F.count("*").alias("tf_full"))
 
 
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def slot(id_: Column, slots: Column) -> Column:
+    return F.pmod(F.hash(id_), slots).cast("int")
+
+
 @dataclass
 class TextIndex:
-    """Postings in folders by bucket, sorted by term, with df beside them; docs and avgdl of the whole store."""
+    """The segments under a folder, as one state of the manifest has them. A search works on the state that it opened."""
 
     spark: SparkSession
     root: str
-    docs: int
-    avgdl: float | None
+    version: int = 0
     id_type: str = "string"
+    #: number -> {entries and dl by track, slots, avgdl when written, tier}
+    segments: dict[int, dict] = field(default_factory=dict)
+    #: [{name, after, entries and dl by track}]: ids removed from segments of a number up to ``after``
+    gone: list[dict] = field(default_factory=list)
 
     @classmethod
     def build(cls, store: DataFrame, root: str) -> TextIndex:
-        """Cut a store into terms once. Ranges of (bucket, term, id) are dealt evenly, so a term that every entry holds is many files."""
-        out = cls(store.sparkSession, root, 0, None, dict(store.dtypes)["id"])
-        own = postings(store).withColumn("bucket", bucket(F.col("term")))
-        order = [F.col(c) for c in ("bucket", "term", "id")]
-        own.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{root}/postings")
-        table = out._table("postings")
-        df = table.where("term is not null").groupBy("bucket", "term").agg(F.count("*").alias("df_full"), F.count(F.when(F.col("tf_note") > 0, 1)).alias("df_note"))
-        df.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
-        # an entry without terms has one row with a null term, so every entry counts
-        table.select("id", "dl").distinct().agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), F.lit(out.id_type).alias("id_type")).write.parquet(f"{root}/lengths")
-        return cls.open(out.spark, root)
+        """An index of one segment. Ranges of (bucket, term, slot) are dealt evenly, so a term that every entry holds is many files."""
+        out = cls(store.sparkSession, root, id_type=dict(store.dtypes)["id"])
+        return out.add(store)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> TextIndex:
-        row = spark.read.parquet(f"{root}/lengths").first()
-        return cls(spark, root, row["docs"], row["avgdl"], row["id_type"])
-
-    def _table(self, name: str) -> DataFrame:
-        columns = {"postings": f"id {self.id_type}, term string, dl int, tf_note long, tf_full long, bucket int", "terms": "term string, df_full long, df_note long, bucket int"}
-        return self.spark.read.schema(columns[name]).parquet(f"{self.root}/{name}")
-
-    def _asked(self, table: str, terms: DataFrame, few: list[str] | None) -> DataFrame:
-        rows = self._table(table).where("term is not null")
-        if few is None:
-            return rows.join(terms.select("term", bucket(F.col("term")).alias("bucket")), ["bucket", "term"], "left_semi")
-        return rows.where(F.col("bucket").isin(self._buckets(few)) & F.col("term").isin(few))
-
-    def _buckets(self, few: list[str]) -> list[int]:
-        rows = self.spark.createDataFrame([(t,) for t in few], "term string").select(bucket(F.col("term")).alias("b")).distinct()
-        return sorted(r["b"] for r in rows.collect())
-
-    def hits(self, terms: DataFrame) -> DataFrame:
-        """(id, term, tf_note, tf_full, dl, df_full, df_note) of distinct asked terms: no text of the store is read."""
-        few = [r["term"] for r in terms.limit(TOLD + 1).collect()]
-        few = sorted(few) if len(few) <= TOLD else None
-        frequency = self._asked("terms", terms, few).select("term", "df_full", "df_note")
-        if few is not None:
-            frequency = F.broadcast(frequency)  # TOLD rows at most
-        return self._asked("postings", terms, few).drop("bucket").join(frequency, "term")
+        version, state = Versions(spark, root).last()
+        if state is None:
+            raise FileNotFoundError(f"no index under {root}")
+        return cls(spark, root, version, state["id_type"], {int(k): v for k, v in state["segments"].items()}, state["gone"])
+
+    # --- keeping it up
+
+    def add(self, entries: DataFrame, fanout: int = 4) -> TextIndex:
+        """The index with a batch of new entries. Only their texts are cut into terms; ids that the index holds already must be removed before."""
+        number = max([0, *self.segments]) + 1
+        name = self._name(number)
+        postings(entries).sortWithinPartitions("id").write.parquet(f"{self.root}/entries/{name}")
+        told = self._written(name, self._entries([name]))
+        return self._put(self.segments | {number: told}, self.gone).merged(fanout)
+
+    def remove(self, ids: DataFrame) -> TextIndex:
+        """The index without the entries of some ids. Their postings, not their texts, tell what the counts lose."""
+        if not self.segments:
+            return self
+        name = uuid.uuid4().hex[:12]
+        own = self._live(self._entries()).join(ids.select("id").distinct(), "id", "left_semi")
+        own.write.parquet(f"{self.root}/gone/{name}")
+        lost = self._removed(name)
+        sums = self._counted(lost)
+        if not sums["entries"]:
+            delete(f"{self.root}/gone/{name}")
+            return self
+        self._by_term(lost).write.parquet(f"{self.root}/lost/{name}")
+        return self._put(self.segments, [*self.gone, sums | {"name": name, "after": max(self.segments)}])
+
+    def merged(self, fanout: int = 4) -> TextIndex:
+        """Segments of one tier (sizes within a factor of ``fanout``) as one, once there are ``fanout`` of them, without what was removed; tombstones that no segment needs go."""
+        tiers: dict[int, list[int]] = {}
+        for number, told in self.segments.items():
+            tiers.setdefault(told["tier"], []).append(number)
+        full = next((own for _, own in sorted(tiers.items()) if len(own) >= fanout), None)
+        return self if full is None else self.united(full).merged(fanout)
+
+    def united(self, numbers: list[int]) -> TextIndex:
+        """Some segments as one."""
+        number = max(self.segments) + 1
+        name = self._name(number)
+        rows = self._live(self._entries([self.segments[n]["name"] for n in numbers]))
+        rows.drop("segment").repartition("id").sortWithinPartitions("id").write.parquet(f"{self.root}/entries/{name}")
+        told = self._written(name, self._entries([name]))
+        told["tier"] = 1 + max(self.segments[n]["tier"] for n in numbers)
+        kept = {n: s for n, s in self.segments.items() if n not in numbers}
+        if not kept:
+            return self._put({number: told}, [])
+        # what was removed from segments that are merged now is no longer in any count: only losses of the others stay
+        lost = []
+        for g in self.gone:
+            if not any(n <= g["after"] for n in kept):
+                continue
+            rest = self._removed(g["name"]).where(F.col("segment").isin(*kept))
+            name = uuid.uuid4().hex[:12]
+            rest.write.parquet(f"{self.root}/gone/{name}")
+            rest = self._removed(name)
+            sums = self._counted(rest)
+            if sums["entries"]:
+                self._by_term(rest).write.parquet(f"{self.root}/lost/{name}")
+                lost.append(sums | {"name": name, "after": g["after"]})
+        return self._put(kept | {number: told}, lost)
+
+    def swept(self) -> None:
+        """Delete files that this state does not name: for when no search works on an older one."""
+        from ..scratch import exists, listed
+
+        named = {"entries": {s["name"] for s in self.segments.values()}, "blocks": {f"segment={s['name']}" for s in self.segments.values()}, "lists": {f"segment={s['name']}" for s in self.segments.values()}}
+        named |= {"gone": {g["name"] for g in self.gone}, "lost": {g["name"] for g in self.gone}}
+        for kind, own in named.items():
+            for name in listed(f"{self.root}/{kind}") if exists(f"{self.root}/{kind}") else []:
+                if name not in own:
+                    delete(f"{self.root}/{kind}/{name}")
+
+    def _name(self, number: int) -> str:
+        return f"{number:06d}-{uuid.uuid4().hex[:8]}"  # two writers of one number do not meet
+
+    def _put(self, segments: dict[int, dict], gone: list[dict]) -> TextIndex:
+        version = Versions(self.spark, self.root).commit(self.version, {"id_type": self.id_type, "segments": segments, "gone": gone})
+        return TextIndex(self.spark, self.root, version, self.id_type, segments, gone)
+
+    def _written(self, name: str, entries: DataFrame) -> dict:
+        """Blocks and lists of a segment whose rows by entry are written."""
+        told = self._counted(entries)
+        docs, dl = sum(told["entries"].values()), sum(told["dl"].values())
+        told |= {"name": name, "slots": max(1, -(-docs // SLOT_ENTRIES)), "avgdl": dl / docs if dl else 1.0, "tier": 0}
+        avgdl = F.lit(float(told["avgdl"]))
+        full = weight(F.col("tf_full"), F.col("dl"), avgdl)
+        rows = entries.where("term is not null").withColumns({"cls": F.floor(full * CLASSES).cast("int"), "slot": slot(F.col("id"), F.lit(told["slots"])), "bucket": bucket(F.col("term"))})
+        posting = F.struct("id", F.col("dl").cast("int").alias("dl"), "tf_note", "tf_full")
+        note, body = F.when(F.col("tf_note") > 0, weight(F.col("tf_note"), F.col("dl"), avgdl)), F.when(F.col("tf_note") == 0, full)
+        blocks = rows.groupBy("bucket", "term", "track", "cls", "slot").agg(F.collect_list(posting).alias("postings"), F.count("*").alias("n"), F.count_if(F.col("tf_note") > 0).alias("n_note"), F.max(body).alias("top_body"), F.max(note).alias("top_note"))
+        order = [F.col(c) for c in ("bucket", "term", "cls", "slot", "track")]
+        blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.root}/blocks/segment={name}")
+        made = self.spark.read.schema("bucket int, term string, track string, cls int, n long, n_note long, top_body double, top_note double").parquet(f"{self.root}/blocks/segment={name}")
+        lists = made.groupBy("bucket", "term", "track", "cls").agg(F.sum("n").alias("n"), F.sum("n_note").alias("n_note"), F.max("top_body").alias("top_body"), F.max("top_note").alias("top_note"))
+        lists.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/lists/segment={name}")
+        return told
+
+    @staticmethod
+    def _counted(entries: DataFrame) -> dict:
+        rows = entries.select("id", "track", "dl").distinct().groupBy("track").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()  # a row a track
+        return {"entries": {r["track"]: r["n"] for r in rows}, "dl": {r["track"]: r["dl"] for r in rows}}
+
+    @staticmethod
+    def _by_term(entries: DataFrame) -> DataFrame:
+        return entries.where("term is not null").groupBy(bucket(F.col("term")).alias("bucket"), "term", "track").agg(F.count("*").alias("n"), F.count_if(F.col("tf_note") > 0).alias("n_note"))
+
+    # --- reading it
+
+    def _columns(self, kind: str) -> str:
+        return {
+            "entries": f"id {self.id_type}, track string, term string, dl int, tf_note long, tf_full long",
+            "blocks": f"segment string, bucket int, term string, track string, cls int, slot int, postings array<{_POSTING.format(id=self.id_type)}>",
+            "lists": "segment string, bucket int, term string, track string, cls int, n long, n_note long, top_body double, top_note double",
+            "lost": "bucket int, term string, track string, n long, n_note long",
+        }[kind]
+
+    def _entries(self, names: list[str] | None = None) -> DataFrame:
+        """Rows by entry with their segment's number."""
+        out = None
+        for name in names if names is not None else [s["name"] for s in self.segments.values()]:
+            part = self.spark.read.schema(self._columns("entries")).parquet(f"{self.root}/entries/{name}").withColumn("segment", F.lit(int(name.split("-")[0])))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _removed(self, name: str) -> DataFrame:
+        """Rows by entry that a removal took out, with the number of the segment that they stand in."""
+        return self.spark.read.schema(self._columns("entries") + ", segment int").parquet(f"{self.root}/gone/{name}")
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows (id, segment as a number) that no tombstone takes away."""
+        if not self.gone:
+            return rows
+        out = None
+        for g in self.gone:
+            part = self._removed(g["name"]).select("id", F.lit(g["after"]).alias("_after"))
+            out = part if out is None else out.unionByName(part)
+        dead = out.groupBy("id").agg(F.max("_after").alias("_after"))
+        if sum(sum(g["entries"].values()) for g in self.gone) <= FEW_GONE:
+            dead = F.broadcast(dead)
+        return rows.join(dead, "id", "left").where(F.col("_after").isNull() | (F.col("segment") > F.col("_after"))).drop("_after")
+
+    def _stats(self, track: str | None) -> tuple[int, float | None]:
+        """(entries, mean length) of all tracks or one."""
+        total = lambda kind, told: sum(v for k, v in told[kind].items() if track is None or k == track)
+        docs, dl = (sum(total(kind, s) for s in self.segments.values()) - sum(total(kind, g) for g in self.gone) for kind in ("entries", "dl"))
+        return docs, dl / docs if docs else None
+
+    @property
+    def docs(self) -> int:
+        return self._stats(None)[0]
+
+    @property
+    def avgdl(self) -> float | None:
+        return self._stats(None)[1]
+
+    def asked(self, terms: DataFrame) -> DataFrame | list[tuple[str, int]]:
+        """Distinct asked terms as a scan can use them: told by value if few, else as a table."""
+        own = terms.select("term", bucket(F.col("term")).alias("bucket")).distinct()
+        few = [(r["term"], r["bucket"]) for r in own.limit(TOLD + 1).collect()]
+        return sorted(few) if len(few) <= TOLD else own
+
+    def _scan(self, kind: str, asked: DataFrame | list, track: str | None) -> DataFrame:
+        names = [s["name"] for s in self.segments.values()]
+        rows = self.spark.read.schema(self._columns(kind)).option("basePath", f"{self.root}/{kind}").parquet(*[f"{self.root}/{kind}/segment={n}" for n in names]) if names else self.spark.createDataFrame([], self._columns(kind))
+        rows = rows if track is None else rows.where(F.col("track") == track)
+        if isinstance(asked, list):
+            return rows.where(F.col("bucket").isin(sorted({b for _, b in asked})) & F.col("term").isin([t for t, _ in asked]))
+        return rows.join(asked, ["bucket", "term"], "left_semi")
+
+    def lists(self, asked: DataFrame | list, track: str | None = None) -> DataFrame:
+        """(term, cls, n, n_note, df_full, df_note, top_body, top_note): the lists of asked terms, over all segments. Tops bound what a posting adds to a score: to that of the
+        summary, or to that of both fields where the summary lacks the term."""
+        docs, avgdl = self._stats(track)
+        # weights were bounded under the mean length of their day: a mean that has grown since by a factor raises none by more than that factor
+        grown = F.create_map(*[F.lit(x) for s in self.segments.values() for x in (s["name"], max(1.0, (avgdl or 1.0) / s["avgdl"]))]) if self.segments else None
+        rows = self._scan("lists", asked, track)
+        if grown is not None:
+            rows = rows.withColumns({c: F.col(c) * grown[F.col("segment")] for c in ("top_body", "top_note")})
+        lists = rows.groupBy("term", "cls").agg(F.sum("n").alias("n"), F.sum("n_note").alias("n_note"), F.max("top_body").alias("top_body"), F.max("top_note").alias("top_note"))
+        counts = rows.groupBy("term").agg(F.sum("n").alias("df_full"), F.sum("n_note").alias("df_note"))
+        lost = None
+        for g in self.gone:
+            part = self.spark.read.schema(self._columns("lost")).parquet(f"{self.root}/lost/{g['name']}")
+            lost = part if lost is None else lost.unionByName(part)
+        if lost is not None:
+            lost = lost if track is None else lost.where(F.col("track") == track)
+            less = lost.groupBy("term").agg(F.sum("n").alias("_f"), F.sum("n_note").alias("_n"))
+            counts = counts.join(less, "term", "left").select("term", (F.col("df_full") - F.coalesce("_f", F.lit(0))).alias("df_full"), (F.col("df_note") - F.coalesce("_n", F.lit(0))).alias("df_note"))
+        full, note = rarity(F.lit(docs), F.col("df_full")), rarity(F.lit(docs), F.col("df_note"))
+        return lists.join(counts, "term").select("term", "cls", "n", "n_note", "df_full", "df_note", F.coalesce(F.col("top_body") * full, F.lit(0.0)).alias("top_body"), F.coalesce(F.col("top_note") * note, F.lit(0.0)).alias("top_note"))
+
+    def blocks(self, asked: DataFrame | list, track: str | None = None) -> DataFrame:
+        """(segment as a number, term, cls, slot, postings) of asked terms."""
+        return self._scan("blocks", asked, track).select(F.split("segment", "-")[0].cast("int").alias("segment"), "term", "cls", "slot", "postings")
+
+    def opened(self, blocks: DataFrame) -> DataFrame:
+        """Postings of blocks as rows, without those of removed entries."""
+        return self._live(blocks.withColumn("p", F.explode("postings")).drop("postings").select("*", "p.*").drop("p"))
+
+    def slots(self, segment: Column) -> Column:
+        """The number of slots of a segment."""
+        return F.create_map(*[F.lit(x) for n, s in self.segments.items() for x in (n, s["slots"])])[segment]
+
+    def hits(self, terms: DataFrame, track: str | None = None) -> DataFrame:
+        """(id, term, tf_note, tf_full, dl, df_full, df_note, docs, avgdl) of asked terms: every posting, and no text."""
+        docs, avgdl = self._stats(track)
+        asked = self.asked(terms)
+        counts = self.lists(asked, track).select("term", "df_full", "df_note").distinct()
+        counts = F.broadcast(counts) if isinstance(asked, list) else counts  # TOLD rows at most
+        out = self.opened(self.blocks(asked, track)).select("id", "term", "tf_note", "tf_full", "dl").join(counts, "term")
+        return out.withColumns({"docs": F.lit(docs), "avgdl": F.lit(avgdl)})

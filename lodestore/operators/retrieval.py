@@ -18,14 +18,19 @@ from ..config import GRAPH_RELATIONS, INSTRUCTION_HINTS, ROUTER_FAST, ROUTER_FUZ
 from ..functions.extract import explicit_date
 from ..functions.lifecycle import grade_of, instant, quality_of
 from ..functions.text import contains_any, first_place, tokens
+from ..scratch import saved
 from .contradictions import greedy_contradictions
 from .graphs import heaviest, within_days
-from .index import TextIndex, postings
+from .index import TextIndex, postings, rarity, slot, weight
 
 #: A batch of queries is broadcast only up to so many rows; beyond, the plain join is left to the optimiser.
 BROADCAST_QUERIES = 50_000
 #: Query vectors sent to the executors at once; more are taken in blocks, each a pass over the entries.
 QUERY_BLOCK = 4096
+#: Postings that a query reads, lists of greatest bounds first, before it asks what else can matter.
+FIRST = 50_000
+#: Scores are rounded to nine places and summed in any order: what lies this little below a floor still counts.
+BELOW = 1e-6
 
 
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
@@ -37,8 +42,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def bm25(queries: DataFrame, store: DataFrame | TextIndex) -> DataFrame:
-    """(qid, id, note, full): BM25 of the summary and of both fields; null where the scope has no hit.
+def _parts(found: DataFrame) -> DataFrame:
+    """Summed scores (qid, id, note, full, and other keys) of postings with their term's frequencies; not rounded."""
+
+    def part(tf: str, df: str) -> Column:
+        return rarity(F.col("docs"), F.col(df)) * weight(F.col(tf), F.col("dl"), F.col("avgdl"))
+
+    keys = [c for c in ("qid", "id", "segment") if c in found.columns]
+    return found.groupBy(*keys).agg(F.sum(F.when(F.col("tf_note") > 0, part("tf_note", "df_note"))).alias("note"), F.sum(part("tf_full", "df_full")).alias("full"))
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("qid", "id", F.round("note", 9).alias("note"), F.round("full", 9).alias("full"))
+
+
+def bm25(queries: DataFrame, store: DataFrame | TextIndex, track: str | None = None) -> DataFrame:
+    """(qid, id, note, full): BM25 of the summary and of both fields; null where the scope has no hit. Every entry that holds an asked term is scored.
 
     With a stored index only the asked terms' postings are read. Without, a store is cut into terms here: for stores that are searched
     once. Only the postings of asked terms are kept before anything is joined.
@@ -46,20 +65,93 @@ def bm25(queries: DataFrame, store: DataFrame | TextIndex) -> DataFrame:
     terms = query_terms(queries)
     distinct = terms.select("term").distinct()
     if isinstance(store, TextIndex):
-        found = store.hits(distinct).withColumns({"docs": F.lit(store.docs), "avgdl": F.lit(store.avgdl)})
+        found = store.hits(distinct, track)
     else:
+        store = store if track is None else store.where(F.col("memory_track") == track)
         lengths = store.select((F.size(tokens(F.col("summary"))) + F.size(tokens(F.col("content")))).alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
         hits = postings(store).join(checked_broadcast(distinct), "term", "left_semi")
         frequency = hits.groupBy("term").agg(F.count("*").alias("df_full"), F.count(F.when(F.col("tf_note") > 0, 1)).alias("df_note"))
         found = hits.join(frequency, "term").crossJoin(F.broadcast(lengths))  # one row
+    return _rounded(_parts(found.join(checked_broadcast(terms), "term")))
 
-    def weight(tf: str, df: str) -> Column:
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col(df) + 0.5) / (F.col(df) + 0.5)))
-        return idf * F.col(tf) * 2.2 / (F.col(tf) + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
 
-    scored = found.join(checked_broadcast(terms), "term")
-    sums = scored.groupBy("qid", "id").agg(F.sum(F.when(F.col("tf_note") > 0, weight("tf_note", "df_note"))).alias("note"), F.sum(weight("tf_full", "df_full")).alias("full"))
-    return sums.select("qid", "id", F.round("note", 9).alias("note"), F.round("full", 9).alias("full"))
+def best_bm25(queries: DataFrame, index: TextIndex, cfg: Search, track: str | None = None, first: int = FIRST) -> DataFrame:
+    """(qid, id, note, full) as :func:`bm25` has them, but only of entries that the cascade can still take.
+
+    Each query first reads its lists of greatest bounds, ``first`` postings of summaries and as many of contents. Most queries are answered by that: nothing else is left to read. For the others the
+    entries found are scored in full; the score of the last one that the cascade would take is a floor. A list can then be passed over if no entry of it
+    reaches the floor even with the greatest weights of all other terms, and a term altogether if it reaches none together with all lesser terms: frequent words
+    are looked up for the entries that remain, a block for each, and never read through.
+    """
+    spark = queries.sparkSession
+    terms = query_terms(queries)
+    asked = index.asked(terms.select("term"))
+    docs, avgdl = index._stats(track)
+    lists = checked_broadcast(index.lists(asked, track))
+    by = Window.partitionBy("qid")
+    ahead = lambda top, n: F.coalesce(F.sum(n).over(by.orderBy(F.desc(top), "term", "cls").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) < first
+    wanted = terms.join(lists, "term").withColumn("_bare", F.col("n") - F.col("n_note"))
+    wanted = wanted.withColumn("first", ((F.col("n_note") > 0) & ahead("top_note", "n_note")) | ((F.col("_bare") > 0) & ahead("top_body", "_bare")))
+    wanted = saved(wanted, "asked-lists")
+    corpus = {"docs": F.lit(docs), "avgdl": F.lit(avgdl)}
+
+    def read(chosen: DataFrame) -> DataFrame:
+        """Summed parts of some lists' postings."""
+        chosen = chosen.select("qid", "term", "cls", "df_full", "df_note")
+        return _parts(index.opened(index.blocks(asked, track).join(checked_broadcast(chosen), ["term", "cls"])).withColumns(corpus))
+
+    begun = read(wanted.where("first"))
+    more = wanted.where("not first").select("qid").distinct()
+    if not wanted.where("not first").limit(1).count():
+        return _rounded(begun)
+    more = saved(more, "asked-more")
+    begun = saved(begun.join(checked_broadcast(more).withColumn("_more", F.lit(True)), "qid", "left"), "first-scores")
+
+    def looked_up(entries: DataFrame) -> DataFrame:
+        """Full scores of (qid, id, segment), a block a term and entry."""
+        words = wanted.select("qid", "term", "df_full", "df_note").distinct()
+        asked_for = entries.select("qid", "id", "segment").join(checked_broadcast(words), "qid").withColumn("slot", slot(F.col("id"), index.slots(F.col("segment"))))
+        found = index.blocks(asked, track).join(asked_for, ["segment", "term", "slot"])
+        own = F.filter("postings", lambda p: p["id"] == F.col("id"))
+        return _parts(found.withColumn("p", F.explode(own)).select("qid", "id", "term", "df_full", "df_note", "p.tf_note", "p.tf_full", "p.dl").withColumns(corpus))
+
+    open_ = begun.where("_more").drop("_more")
+    most, bare = 2 * cfg.candidates, F.col("note").isNull()
+    place = F.row_number().over(Window.partitionBy("qid", bare).orderBy(F.desc(F.coalesce("note", "full")), "id"))
+    known = saved(looked_up(open_.withColumn("_n", place).where(F.col("_n") <= most)), "known-scores")
+    floors = floor_scores(known, cfg)
+    # each term's bounds, least first: a term whose bound and all lesser ones stay below the floor finds nothing of its own
+    tops = wanted.groupBy("qid", "term").agg(F.max("top_body").alias("body"), F.max("top_note").alias("note"))
+    up = lambda c: F.sum(c).over(by.orderBy(c, "term").rowsBetween(Window.unboundedPreceding, 0))
+    tops = tops.join(checked_broadcast(more), "qid", "left_semi").withColumns({"up_body": up("body"), "up_note": up("note"), "all_body": F.sum("body").over(by), "all_note": F.sum("note").over(by)})
+    judged = wanted.join(tops, ["qid", "term"]).join(floors, "qid", "left")
+    needed, scopes = F.lit(False), {"note": "note", "body": "full"}
+    for scope in scopes:
+        floor = F.coalesce(f"floor_{scope}", F.lit(0.0)) - BELOW
+        needed = needed | ((F.col(f"top_{scope}") > 0) & (F.col(f"up_{scope}") >= floor) & (F.col(f"all_{scope}") - F.col(scope) + F.col(f"top_{scope}") >= floor))
+    judged = saved(judged.withColumn("needed", needed), "judged-lists")
+    rest = judged.groupBy("qid", "term").agg(*[F.max(F.when(~F.col("needed"), F.col(f"top_{c}"))).alias(c) for c in scopes])
+    rest = rest.groupBy("qid").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"rest_{c}") for c in scopes])
+    found = read(judged.where("needed")).join(checked_broadcast(rest), "qid").join(floors, "qid", "left")
+    reach = lambda scope, own: F.coalesce(F.col(own), F.lit(0.0)) + F.col(f"rest_{scope}") >= F.coalesce(f"floor_{scope}", F.lit(0.0)) - BELOW
+    final = looked_up(found.where(reach("note", "note") | (F.col("note").isNull() & reach("body", "full"))))
+    return saved(_rounded(begun.where("_more is null")).unionByName(_rounded(final)), "best-scores")
+
+
+def floor_scores(known: DataFrame, cfg: Search) -> DataFrame:
+    """(qid, floor_note, floor_body): what an entry must reach at least to be taken by the cascade, told by fully scored entries of the query.
+
+    Entries with a note score are ranked by it; the others only count where the cascade fills up from them. 0 where too few are known, infinite where none is asked for.
+    """
+    by = Window.partitionBy("qid")
+    stats = known.withColumns({"n_note": F.count("note").over(by), "best": F.max("note").over(by)})
+    stats = stats.withColumns({"_n": F.row_number().over(by.orderBy(F.desc_nulls_last("note"))), "_f": F.row_number().over(Window.partitionBy("qid", F.col("note").isNull()).orderBy(F.desc("full")))})
+    closed = (F.col("n_note") >= cfg.top_k) & (F.col("best") >= cfg.note_score)
+    most = F.when(F.col("n_note") > 0, cfg.backfill).otherwise(cfg.candidates)
+    return stats.groupBy("qid").agg(
+        F.coalesce(F.max(F.when((F.col("_n") == cfg.candidates), F.col("note"))), F.lit(0.0)).alias("floor_note"),
+        F.when(F.bool_or(closed), F.lit(float("inf"))).otherwise(F.coalesce(F.max(F.when(F.col("note").isNull() & (F.col("_f") == most), F.col("full"))), F.lit(0.0))).alias("floor_body"),
+    )
 
 
 def ranked(df: DataFrame, *order: Column, limit: int | None = None, by: str = "qid", name: str = "rank0") -> DataFrame:
@@ -80,10 +172,11 @@ def cascade(scores: DataFrame, cfg: Search) -> DataFrame:
     note = F.col("note").isNotNull()
     short = (F.col("n_note") < cfg.top_k) | (F.col("best") < cfg.note_score)
     staged = stats.withColumn("stage", F.when(note, 0).otherwise(1)).withColumn("score", F.coalesce("note", "full"))
-    staged = ranked(staged.withColumn("_in", F.row_number().over(Window.partitionBy("qid", "stage").orderBy(F.desc("score"), "id"))), F.col("stage"), F.desc("score"), F.col("id"))
+    staged = staged.withColumn("_in", F.row_number().over(Window.partitionBy("qid", "stage").orderBy(F.desc("score"), "id")))
     most = F.when(F.col("stage") == 0, cfg.candidates).when(F.col("n_note") == 0, cfg.candidates).when(short, cfg.backfill).otherwise(0)
     label = F.when(F.col("n_note") == 0, "ep_backfill_empty").when(short, "ep_backfill").otherwise("note_only")
-    return staged.where(F.col("_in") <= most).select("qid", "id", "score", "rank0", label.alias("label"))
+    # ranks are places in the channel's own list, after its cuts
+    return ranked(staged.where(F.col("_in") <= most), F.col("stage"), F.desc("score"), F.col("id")).select("qid", "id", "score", "rank0", label.alias("label"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -263,15 +356,16 @@ def instruction_tail(hits: DataFrame, *order: Column, top_k: int, hints: tuple[s
 
 
 def search(
-    queries: DataFrame, store: DataFrame, access: DataFrame, query_vectors: DataFrame | None, entry_vectors: DataFrame | None, cfg: Search, index: TextIndex | None = None, edges: DataFrame | None = None
+    queries: DataFrame, store: DataFrame, access: DataFrame, query_vectors: DataFrame | None, entry_vectors: DataFrame | None, cfg: Search, index: TextIndex | None = None, edges: DataFrame | None = None, track: str | None = None
 ) -> DataFrame:
     """The retrieval chain for a batch: one row for each query and rank.
 
     Cascade and vectors are fused and cut; then forgetting, validity and versions, the fall-back for emptied queries, and for queries without
     any hit the latest entries. Wide columns join after the cut, and grades come from each query's best score. Settings switch on more
     of it: the router (queries that it is sure of skip the vectors), the gap gate, the time and graph channels, contradictions, instructions behind the rest.
+    A track, which the store is cut to already, tells the index which lists to read.
     """
-    fts = cascade(bm25(queries, index if index is not None else store), cfg)
+    fts = cascade(best_bm25(queries, index, cfg, track) if index is not None else bm25(queries, store), cfg)
     channels = {"fts": fts}
     if query_vectors is not None:
         kind, _ = route(F.col("text"))
@@ -281,6 +375,8 @@ def search(
         channels["emb"] = gap_gate(emb).drop("keep") if cfg.gate else emb
     if cfg.time:
         channels["time"] = time_channel(queries.select("qid", explicit_date(F.col("text")).alias("t1")).where("t1 is not null"), store, cfg)
+    if (cfg.graph and edges is not None) or cfg.instructions:
+        channels = {name: saved(channel, f"channel-{name}") for name, channel in channels.items()}  # each is read more than once
     if cfg.graph and edges is not None:
         channels["graph"] = graph_channel(fused(channels, store, cfg, cfg.graph_seeds).select("qid", "id"), edges, store, cfg)
     if cfg.instructions:

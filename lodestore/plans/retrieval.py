@@ -30,8 +30,8 @@ bm AS (SELECT qid, id,
   FROM hits JOIN freq USING (term) JOIN qterms USING (term), stats GROUP BY qid, id)"""
 FTS = INDEX + """,
 staged AS (SELECT *, count(note) OVER (PARTITION BY qid) AS n_note, max(note) OVER (PARTITION BY qid) AS best, CASE WHEN note IS NOT NULL THEN 0 ELSE 1 END AS stage, coalesce(note, "full") AS score FROM bm),
-placed AS (SELECT *, row_number() OVER (PARTITION BY qid, stage ORDER BY score DESC, id) AS inn, row_number() OVER (PARTITION BY qid ORDER BY stage, score DESC, id) - 1 AS rank0 FROM staged),
-fts AS (SELECT qid, id, score, rank0, CASE WHEN n_note = 0 THEN 'ep_backfill_empty' WHEN n_note < 5 OR best < 8.0 THEN 'ep_backfill' ELSE 'note_only' END AS label
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid, stage ORDER BY score DESC, id) AS inn FROM staged),
+fts AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY stage, score DESC, id) - 1 AS rank0, CASE WHEN n_note = 0 THEN 'ep_backfill_empty' WHEN n_note < 5 OR best < 8.0 THEN 'ep_backfill' ELSE 'note_only' END AS label
   FROM placed WHERE inn <= CASE WHEN stage = 0 OR n_note = 0 THEN 200 WHEN n_note < 5 OR best < 8.0 THEN 40 ELSE 0 END)"""
 VECTORS = """
 qv AS (SELECT item_id AS qid, embedding AS qvec FROM benchmark JOIN embeddings ON vec_id = item_id),
@@ -54,7 +54,13 @@ def r1(spark, d):
 
 @query("r2_cascade", f"WITH {STORE}, {BENCH_QUERIES}, {FTS} SELECT * FROM fts")
 def r2(spark, d):
-    return R.cascade(R.bm25(bench_queries(spark, d), text_index(spark, d)), CFG)
+    return R.cascade(R.best_bm25(bench_queries(spark, d), text_index(spark, d), CFG), CFG)
+
+
+@query("r2_t1_pruned_cascade", f"WITH {STORE}, {BENCH_QUERIES}, {FTS} SELECT * FROM fts")
+def r2_pruned(spark, d):
+    """The cascade where hardly anything is read ahead: lists are passed over by their bounds, frequent words looked up."""
+    return R.cascade(R.best_bm25(bench_queries(spark, d), text_index(spark, d), CFG, first=50), CFG)
 
 
 @query("r3_vectors", f"WITH {VECTORS} SELECT qid, id, round(score, 6) AS score, rank0 FROM emb")
@@ -75,7 +81,7 @@ def r4(spark, d):
 @query("r5_w1_rrf", f"WITH {STORE}, {BENCH_QUERIES}, {FTS}, {VECTORS}, {FUSED} SELECT qid, id, score, rank0, n_channels FROM fused")
 def r5(spark, d):
     s = store(spark, d)
-    channels = {"fts": R.cascade(R.bm25(bench_queries(spark, d), text_index(spark, d)), CFG), "emb": R.vectors(query_vectors(spark, d), entry_vectors(spark, d), CFG)}
+    channels = {"fts": R.cascade(R.best_bm25(bench_queries(spark, d), text_index(spark, d), CFG), CFG), "emb": R.vectors(query_vectors(spark, d), entry_vectors(spark, d), CFG)}
     return R.fused(channels, s, CFG).select("qid", "id", "score", "rank0", "n_channels")
 
 
