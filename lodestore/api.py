@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from .config import CONFLICT_SUBTYPES, CONFLICT_TYPES, SEMANTIC_RELATIONS, VALID
 from .functions.extract import entities, key_data, verified
 from .operators import retrieval as R
 from .operators.graphs import expanded
+from .operators.cache import ResultCache, channel_tag
 from .operators.index import TextIndex
+from .operators.vectors import VectorIndex
 
 #: Tools by name, as a client lists them.
 TOOLS = ("search_memories", "expand_entry", "entity_knowledge", "entity_extract", "concept_query", "ontology_explore", "hard_delete_memory")
@@ -26,10 +29,12 @@ class Engine:
     store: DataFrame
     access: DataFrame | None = None
     query_vectors: DataFrame | None = None
-    entry_vectors: DataFrame | None = None
+    entry_vectors: DataFrame | VectorIndex | None = None
     edges: DataFrame | None = None
     concepts: DataFrame | None = None
     index: TextIndex | None = None
+    cache: ResultCache | None = None
+    now: str | None = None
 
     def __post_init__(self) -> None:
         on_workers(self.spark)
@@ -37,15 +42,24 @@ class Engine:
     def search_memories(self, texts: list[str] | DataFrame, mode: str = "auto", top_k: int = 5, track: str | None = None, types: str | None = None, **switches: bool) -> DataFrame:
         """Results of one or many query texts. The track is applied before scoring, the types after the cut.
 
-        switches: router, gate, time, graph, contradictions. A stored index knows the tracks, and reads the lists of the asked one.
+        switches: router, gate, time, graph, contradictions. A stored index knows the tracks, and reads the lists of the asked one. With a cache, what was
+        asked of this version of the index a little while ago is not searched again.
         """
         cfg = Search(top_k=top_k, **switches)
         queries = texts if isinstance(texts, DataFrame) else self.spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
         store = self.store if track is None else self.store.where(F.col("memory_track") == track)
         access = self.access if self.access is not None else self.spark.createDataFrame([], "entry_id string, scene string, accessed_at timestamp")
         vectors = self.query_vectors is not None and mode in ("auto", "dual", "embed")
-        entry_vectors = self.entry_vectors.join(store.select("id"), "id", "left_semi") if vectors and track is not None else self.entry_vectors
-        out = R.search(queries, store, access, self.query_vectors if vectors else None, entry_vectors if vectors else None, cfg, self.index, self.edges, track)
+        entry_vectors = self.entry_vectors.join(store.select("id"), "id", "left_semi") if vectors and track is not None and isinstance(self.entry_vectors, DataFrame) else self.entry_vectors
+
+        def run(asked: DataFrame) -> DataFrame:
+            return R.search(asked, store, access, self.query_vectors if vectors else None, entry_vectors if vectors else None, cfg, self.index, self.edges, track)
+
+        if self.cache is not None and self.index is not None:
+            now = self.now or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+            out = self.cache.search(queries, run, channel_tag(cfg, mode=mode, track=track), f"{self.index.root}@{self.index.version}", now)
+        else:
+            out = run(queries)
         return out if types is None else out.where(F.col("type").isin(*[t.strip() for t in types.split(",")]))
 
     def expand_entry(self, ids: list[str], tier: str = "expand") -> DataFrame:

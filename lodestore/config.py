@@ -94,6 +94,7 @@ class Search:
     graph_gate: float = 0.35
     time_top: int = 15
     time_days: int = 30
+    probes: int = 0  # cells of a vector index to open; 0: as many as it measured to be needed
 
     @property
     def weight_factor(self) -> float:

@@ -21,6 +21,7 @@ from ..functions.text import contains_any, first_place, tokens
 from ..scratch import saved
 from .contradictions import greedy_contradictions
 from .graphs import heaviest, within_days
+from .vectors import VectorIndex
 from .index import TextIndex, postings, rarity, slot, weight
 
 #: A batch of queries is broadcast only up to so many rows; beyond, the plain join is left to the optimiser.
@@ -356,7 +357,7 @@ def instruction_tail(hits: DataFrame, *order: Column, top_k: int, hints: tuple[s
 
 
 def search(
-    queries: DataFrame, store: DataFrame, access: DataFrame, query_vectors: DataFrame | None, entry_vectors: DataFrame | None, cfg: Search, index: TextIndex | None = None, edges: DataFrame | None = None, track: str | None = None
+    queries: DataFrame, store: DataFrame, access: DataFrame, query_vectors: DataFrame | None, entry_vectors: DataFrame | VectorIndex | None, cfg: Search, index: TextIndex | None = None, edges: DataFrame | None = None, track: str | None = None
 ) -> DataFrame:
     """The retrieval chain for a batch: one row for each query and rank.
 
@@ -371,7 +372,7 @@ def search(
         kind, _ = route(F.col("text"))
         deep = queries.where(kind == "dual") if cfg.router else queries
         asked = query_vectors.join(deep.select("qid"), "qid", "left_semi")
-        emb = vectors(asked, entry_vectors, cfg)
+        emb = entry_vectors.search(asked, cfg.candidates, cfg.probes) if isinstance(entry_vectors, VectorIndex) else vectors(asked, entry_vectors, cfg)
         channels["emb"] = gap_gate(emb).drop("keep") if cfg.gate else emb
     if cfg.time:
         channels["time"] = time_channel(queries.select("qid", explicit_date(F.col("text")).alias("t1")).where("t1 is not null"), store, cfg)
