@@ -178,8 +178,8 @@ class VectorIndex:
 
 #: Bands of the self-join and signed projections of each: a pair at 0.80 is missed with a probability below 3e-5, one at 0.90 below 1e-12.
 BANDS, BITS = 160, 12
-#: Rows of one side of a block.
-BLOCK = 1024
+#: Rows of one side of a block, and of a group of small buckets.
+BLOCK, GROUP = 1024, 4096
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
@@ -212,20 +212,32 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     dealt = rows.select("id", "vec", F.posexplode("keys").alias("band", "key")).join(sizes, ["band", "key"])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     places = F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) as x, greatest(p, part) as y, p = part as own))")
-    dealt = dealt.withColumn("at", F.explode(places)).select("id", "vec", "band", "key", "part", "at.x", "at.y")
+    dealt = dealt.withColumn("at", F.explode(places)).select("id", "vec", "band", "key", "part", "parts", "at.x", "at.y")
+    # small buckets of a band are compared many to a group, a large one in groups of its own
+    several = -(-rows.count() // GROUP)
+    dealt = dealt.withColumn("group", F.when(F.col("parts") > 1, F.col("key")).otherwise(-1 - F.pmod("key", F.lit(several))))
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, part = np.stack(pdf["vec"].to_numpy()), pdf["id"].to_numpy(), pdf["part"].to_numpy()
-        cosine = np.round(x @ x.T, 6)
-        fits = cosine >= threshold
-        if pdf["x"].iloc[0] != pdf["y"].iloc[0]:
-            fits &= part[:, None] != part
-        i, j = np.nonzero(fits & (ids[:, None] < ids[None, :]))
+        pdf = pdf.sort_values("key", kind="stable")
+        x, ids, part, key = np.stack(pdf["vec"].to_numpy()), pdf["id"].to_numpy(), pdf["part"].to_numpy(), pdf["key"].to_numpy()
+        across, left, right = pdf["x"].iloc[0] != pdf["y"].iloc[0], [], []
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            own = x[start:stop]
+            fits = np.round(own @ own.T, 6) >= threshold
+            if across:
+                fits &= part[start:stop, None] != part[start:stop]
+            i, j = np.nonzero(np.triu(fits, 1))
+            left.append(start + i)
+            right.append(start + j)
+        i, j = np.concatenate(left), np.concatenate(right)
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
         if len(i):
             rows, at = np.unique(np.r_[i, j], return_inverse=True)
             keys = band_keys(x[rows])
             first = (keys[at[: len(i)]] == keys[at[len(i) :]]).argmax(axis=1) == pdf["band"].iloc[0]
             i, j = i[first], j[first]
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "cosine": cosine[i, j]})
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "cosine": np.round(np.einsum("ij,ij->i", x[i], x[j]), 6)})
 
-    return dealt.groupBy("band", "key", "x", "y").applyInPandas(compared, f"a {kind}, b {kind}, cosine double")
+    return dealt.groupBy("band", "group", "x", "y").applyInPandas(compared, f"a {kind}, b {kind}, cosine double")
