@@ -88,6 +88,9 @@ class Search:
     graph: bool = False
     contradictions: bool = False
     instructions: bool = False
+    rerank: bool = False
+    rerank_pool: int = 20
+    soft_line: float = 4.6329  # below this best score of the words alone, a routed query is asked in full
     graph_seeds: int = 30
     graph_per_seed: int = 3
     graph_top: int = 15

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -133,29 +134,115 @@ def _any(words: tuple[str, ...]) -> str:
 
 _VERB = re.compile(_any(tuple(_RELATION)))
 _CUT = re.compile(r"[。；！？\n:：;，,）)]")
-_LEADS = re.compile(f"^(?:{_any(SUBJECT_LEADS)})+")
-_OBJECT_LEADS = re.compile(f"^(?:{_any(OBJECT_LEADS)})+")
+_LEADS = re.compile(f"(?:{_any(SUBJECT_LEADS)})+")
+_OBJECT_LEADS = re.compile(f"(?:{_any(OBJECT_LEADS)})+")
 _OBJECT_ENDS = re.compile(f"(?<=.)(?:{_any(OBJECT_ENDS)})(?=.)", re.DOTALL)
 _MARKS = re.compile(r"[\s，。；、()【】《》\"'“”‘’：:,.·\-_/]")
+_BEFORE, _AROUND, _BESIDE = frozenset(" 、（(【\""), frozenset(" 、）)】\""), " 、"
+# What tells of an event, at or before its verb; beginnings of a subject that are no names.
+EVENT_SIGNAL = r"(?:19|20)\d{2}|发生|出现|爆发|召开|上线|发布|启动|完成|通过"
+NO_SUBJECT = r"\d{1,4}(?:\s|:|$)|\d{2}:\d{2}"
+_SIGNAL, _NO_SUBJECT = re.compile(EVENT_SIGNAL), re.compile(NO_SUBJECT)
+#: Characters of a subject and an object at most, and of the piece in which an object must end: an object behind more leading words than that is none.
+SUBJECT, OBJECT, PIECE = 40, 60, 400
 
 
-def scan_triples(text: str | None) -> list[tuple[str, str, str, float]]:
+@dataclass(frozen=True)
+class Rules:
+    """What a deployment knows of its own names: (pattern, name or group) for subjects and objects, the first that is found counts, and phrases
+    (pattern, relation, subject, object) without a verb, where a number is a group and a text stands for itself."""
+
+    subjects: tuple[tuple[str, str | int], ...] = ()
+    objects: tuple[tuple[str, str | int], ...] = ()
+    phrases: tuple[tuple[str, str, str | int, str | int], ...] = ()
+
+
+def _called(name: str, rules: tuple[tuple[str, str | int], ...]) -> str:
+    for pattern, to in rules:
+        m = re.search(pattern, name)
+        if m:
+            return m[to] if isinstance(to, int) else re.sub(pattern, to, name)
+    return name
+
+
+def _plain(subject: str, obj: str) -> bool:
+    """Whether both can be names: no times or numbers, chains of steps or brackets."""
+    return bool(subject) and len(obj) >= 2 and not _NO_SUBJECT.match(subject) and "→" not in subject and "->" not in subject and not obj.startswith(("（", "("))
+
+
+def _key(name: str) -> str:
+    return _MARKS.sub("", name).lower()
+
+
+def _clauses(text: str):
+    """(start, end, first verb, verbs) of each clause that holds verbs: the marks and the verbs of a text are each found once."""
+    verbs, at = list(_VERB.finditer(text)), 0
+    start = 0
+    for cut in [*(m.start() for m in _CUT.finditer(text)), len(text)]:
+        first = at
+        while at < len(verbs) and verbs[at].start() < cut:
+            at += 1
+        if at > first:
+            yield start, cut, verbs[first:at]
+        start = cut + 1
+
+
+def _subject_start(text: str, start: int, end: int) -> int:
+    """Where a clause's subject begins, behind opening marks and leading words."""
+    for skip in (_BEFORE, None, _AROUND):
+        if skip is None:
+            m = _LEADS.match(text, start, end)
+            start = m.end() if m else start
+        else:
+            while start < end and text[start] in skip:
+                start += 1
+    return start
+
+
+def _object(piece: str) -> str:
+    piece = piece.strip(_BESIDE)
+    m = _OBJECT_LEADS.match(piece)
+    return _OBJECT_ENDS.split(piece[m.end() :] if m else piece, maxsplit=1)[0].strip(_BESIDE)
+
+
+def scan_triples(text: str | None, rules: Rules = Rules()) -> list[tuple[str, str, str, float]]:
     """(subject, relation, object, confidence) around each verb; both sides end at the nearest mark.
 
     Left out: a subject that holds a verb itself or is nothing but leading words, an object of one character, one that is its own
-    subject, what was merely found to be complete or passed, and repeats.
+    subject, what was merely found to be complete or passed, events that nothing tells of before, names that are times, chains or brackets, and repeats.
+    A text is read once, however many verbs a clause has.
     """
-    out: dict[tuple[str, str, str], float] = {}
-    for m in _VERB.finditer(text or ""):
-        relation, sure = _RELATION[m[0]]
-        subject = _LEADS.sub("", _CUT.split(text[: m.start()])[-1].strip(" 、（(【\"")).strip(" 、）)】\"")
-        obj = _OBJECT_LEADS.sub("", _CUT.split(text[m.end() :], maxsplit=1)[0].strip(" 、"))
-        obj = _OBJECT_ENDS.split(obj, maxsplit=1)[0].strip(" 、")
-        if not (1 <= len(subject) <= 40 and 2 <= len(obj) <= 60) or _VERB.search(subject) or (m[0] == "确认" and obj.startswith(CHECKED)):
-            continue
-        if _MARKS.sub("", subject).lower() != _MARKS.sub("", obj).lower():
-            out.setdefault((subject, relation, obj), sure)
-    return [(*k, v) for k, v in out.items()]
+    text, out, known = text or "", [], set()
+    told = _SIGNAL.search(text)
+    since = told.end() if told else len(text) + 1
+
+    def put(subject: str, relation: str, obj: str, sure: float) -> None:
+        subject, obj = _called(subject, rules.subjects), _called(obj, rules.objects)
+        if (key := (relation, _key(subject), _key(obj))) not in known:
+            known.add(key)
+            out.append((subject, relation, obj, sure))
+
+    for start, stop, verbs in _clauses(text):
+        begin = _subject_start(text, start, verbs[-1].start())
+        for m in verbs:
+            relation, sure = _RELATION[m[0]]
+            end = m.start()
+            while end > begin and (text[end - 1] in _AROUND or text[end - 1] in _BEFORE):
+                end -= 1
+            if not 0 < end - begin <= SUBJECT:
+                continue
+            subject, obj = text[begin:end], _object(text[m.end() : min(stop, m.end() + PIECE)])
+            if len(obj) > OBJECT or not _plain(subject, obj) or _VERB.search(subject) or (m[0] == "确认" and obj.startswith(CHECKED)):
+                continue
+            if _key(subject) == _key(obj) or (relation == "event_occurred" and since > m.end()):
+                continue
+            put(subject, relation, obj, sure)
+    for pattern, relation, who, what in rules.phrases:
+        for m in re.finditer(pattern, text):
+            subject, obj = ((m[x] if isinstance(x, int) else x).strip("，、：:()【】") for x in (who, what))
+            if _plain(subject, obj):
+                put(subject, relation, obj, 0.85)
+    return out
 
 
 @F.pandas_udf(_TRIPLE)
@@ -165,18 +252,20 @@ def triples(col: pd.Series) -> pd.Series:
 
 
 _KEYS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
-_KEY_PATTERNS = [(kind, re.compile(p)) for kind, p in KEY_DATA]
+# a number is tried from its first digit only, and never given back digit by digit
+_KEY_PATTERNS = [(kind, re.compile(p.replace(r"\d+(?:\.\d+)?\s*", r"(?<!\d)\d++(?:\.\d++)?\s*+"))) for kind, p in KEY_DATA]
 
 
 def key_tokens(text: str | None) -> list[tuple[str, str]]:
     """Percentages, amounts, dates, numbers and conclusions, none inside another."""
-    taken: list[tuple[int, int]] = []
-    out = []
+    text = text or ""
+    taken, out = bytearray(len(text)), []
     for kind, pattern in _KEY_PATTERNS:
-        for m in pattern.finditer(text or ""):
-            if not any(m.start() < b and a < m.end() for a, b in taken):
-                taken.append(m.span())
-                out.append((m.start(), kind, m[0].strip()))
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\x01" * (b - a)
+                out.append((a, kind, m[0].strip()))
     return [(kind, value) for _, kind, value in sorted(out)]
 
 

@@ -94,6 +94,17 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What :func:`ratio` of two texts cannot exceed: matching blocks take each character of both at most as often as both hold it. Stays in the JVM, so that pairs which
+    fall short never reach a Python worker."""
+    own = F.array_distinct(F.split(or_empty(a), ""))
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(own, F.lit(0), lambda s, c: s + F.least(times(a, c), times(b, c)))
+    lengths = F.length(a) + F.length(b)
+    short = 2 * F.least(F.length(a), F.length(b)) / lengths
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.least(short, 2 * common / lengths))
+
+
 def topic_grams(col: Column, stop: tuple[str, ...]) -> Column:
     """CJK character pairs and words of Latin letters."""
     text = F.lower(half_width(col))

@@ -29,11 +29,24 @@ def expanded(seeds: DataFrame, edges: DataFrame, per_seed: int = 3, relations: t
     return best.select("id", (-F.col("b.w")).alias("weight"), F.col("b.seed").alias("seed"))
 
 
+#: Members of one side of a block of a group: a larger group is joined block by block, in as many tasks.
+BLOCK = 512
+
+
 def shared_pairs(links: DataFrame, group: str, member: str) -> DataFrame:
-    """(a, b, n) members a < b that share n groups."""
-    left = links.select(F.col(group).alias("_g"), F.col(member).alias("a")).distinct()
-    right = left.withColumnRenamed("a", "b")
-    return left.join(right, "_g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n) members a < b that share n groups.
+
+    Groups of one member make no pair and go before the join. A group of more than BLOCK members is cut into blocks by a hash of the member, and each pair of
+    blocks is a key of its own: no key holds more than two blocks, whatever the group's size, and no pair is lost or met twice.
+    """
+    own = links.select(F.col(group).alias("_g"), F.col(member).alias("m")).where("_g is not null and m is not null").distinct()
+    sizes = own.groupBy("_g").agg(F.count("*").alias("_n")).where("_n > 1").select("_g", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_parts"))
+    dealt = own.join(sizes, "_g").withColumn("_p", F.pmod(F.xxhash64("m"), F.col("_parts")).cast("int"))
+    at = F.expr("transform(sequence(0, _parts - 1), q -> struct(least(q, _p) as x, greatest(q, _p) as y))")
+    dealt = dealt.withColumn("_at", F.explode(at)).select("_g", "_at.x", "_at.y", "_p", "m")
+    left, right = dealt.withColumnsRenamed({"m": "a", "_p": "_pa"}), dealt.withColumnsRenamed({"m": "b", "_p": "_pb"})
+    pairs = left.join(right, ["_g", "x", "y"]).where("a < b and (x = y or _pa <> _pb)")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def within_seconds(a: DataFrame, b: DataFrame, key: str, at_a: str, at_b: str, seconds: int) -> DataFrame:

@@ -109,6 +109,16 @@ def accepted(texts: DataFrame, threshold: float = 0.9, min_len: int = 8) -> Data
     return out.select("id", F.coalesce("ok", F.lit(True)).alias("accepted"), "duplicate_of")
 
 
+def accepted_against(texts: DataFrame, stored: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """:func:`accepted` for a batch that comes to texts which are there already: those are all accepted, and refuse what repeats them."""
+    pairs = saved(duplicates(stored.select("id", "text").unionByName(texts.select("id", "text")), threshold).select("a", "b"), "guard-all")
+    old = stored.select(F.col("id").alias("a"))
+    other = pairs.join(texts.select(F.col("id").alias("b")), "b", "left_semi").join(old, "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("_of"))
+    own = texts.join(other, "id", "left")
+    rest = accepted(own.where("_of is null").select("id", "text"), threshold)
+    return own.select("id", F.col("_of")).join(rest, "id", "left").select("id", (F.col("_of").isNull() & F.coalesce("accepted", F.lit(True))).alias("accepted"), F.coalesce("_of", "duplicate_of").alias("duplicate_of"))
+
+
 def conflict_keywords(col: Column) -> Column:
     """Up to three pairs of CJK characters and the two longest words of Latin letters, none of them stop words: what a conflict is looked for by.
 
@@ -130,8 +140,10 @@ def conflict_candidates(notes: DataFrame, limit: int = 5) -> DataFrame:
     runs = F.regexp_extract_all(F.lower(X.half_width(F.col("summary"))), F.lit(r"([\x{4e00}-\x{9fff}]{2,}|[a-z0-9]{2,})"), 1)
     run = notes.select("id", "timestamp", F.explode(F.array_distinct(runs)).alias("r"))
     at = run.select("id", "timestamp", "r", F.explode(F.sequence(F.lit(1), F.length("r") - 1)).alias("i"))
-    most = F.when(F.col("r").rlike("[a-z0-9]"), F.length("r") - F.col("i") + 1).otherwise(F.lit(2))
-    held = at.select("id", "timestamp", F.explode(F.transform(F.sequence(F.lit(2), most), lambda n: F.substring("r", F.col("i"), n))).alias("k")).distinct()
+    # only pieces as long as some keyword can be one: the lengths of words are few, however long a run is
+    lengths = sorted(r["n"] for r in words.select(F.length("k").alias("n")).distinct().collect())
+    fit = F.filter(F.array(*[F.lit(n) for n in lengths or [2]]), lambda n: (n <= F.length("r") - F.col("i") + 1) & ((n == 2) | F.col("r").rlike("[a-z0-9]")))
+    held = at.select("id", "timestamp", F.explode(F.transform(fit, lambda n: F.substring("r", F.col("i"), n))).alias("k")).distinct()
     w = Window.partitionBy("k").orderBy(F.desc("timestamp"), "id")
     newest = held.join(words.select("k").distinct(), "k", "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit + 1)
     pairs = words.join(newest.select("k", F.col("id").alias("other"), F.col("timestamp").alias("t2")), "k").where("id <> other").select("id", "other", "t2").distinct()
@@ -167,4 +179,4 @@ def frontmatter(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))["v"].alias("v")))).alias("meta"), body.alias("body"))
 
 
-__all__ = ["accepted", "conflict_candidates", "conflict_class", "conflict_keywords", "duplicates", "first_layer", "frontmatter", "insertable", "merged", "negation_differs", "prefix_pairs", "promoted", "similar_pairs"]
+__all__ = ["accepted", "accepted_against", "conflict_candidates", "conflict_class", "conflict_keywords", "duplicates", "first_layer", "frontmatter", "insertable", "merged", "negation_differs", "prefix_pairs", "promoted", "similar_pairs"]

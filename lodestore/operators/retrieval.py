@@ -17,7 +17,7 @@ from .. import on_workers
 from ..config import GRAPH_RELATIONS, INSTRUCTION_HINTS, ROUTER_FAST, ROUTER_FUZZY, ROUTER_ID, ROUTER_TOOLS, Search
 from ..functions.extract import explicit_date
 from ..functions.lifecycle import grade_of, instant, quality_of
-from ..functions.text import contains_any, first_place, tokens
+from ..functions.text import contains_any, first_place, overlap, tokens
 from ..scratch import saved
 from .contradictions import greedy_contradictions
 from .graphs import heaviest, within_days
@@ -363,14 +363,19 @@ def search(
 
     Cascade and vectors are fused and cut; then forgetting, validity and versions, the fall-back for emptied queries, and for queries without
     any hit the latest entries. Wide columns join after the cut, and grades come from each query's best score. Settings switch on more
-    of it: the router (queries that it is sure of skip the vectors), the gap gate, the time and graph channels, contradictions, instructions behind the rest.
+    of it: the router (queries that it is sure of skip the vectors), the gap gate, the time and graph channels, contradictions, instructions behind the rest, a second ranking by shared words.
     A track, which the store is cut to already, tells the index which lists to read.
     """
     fts = cascade(best_bm25(queries, index, cfg, track) if index is not None else bm25(queries, store), cfg)
     channels = {"fts": fts}
     if query_vectors is not None:
-        kind, _ = route(F.col("text"))
-        deep = queries.where(kind == "dual") if cfg.router else queries
+        deep = queries
+        if cfg.router:
+            # a query that the router is sure of goes without vectors, if what the words alone find is good enough
+            channels["fts"] = fts = saved(fts, "channel-fts")
+            good = fts.groupBy("qid").agg(F.max("score").alias("_best")).where(F.col("_best") >= cfg.soft_line)
+            kind, _ = route(F.col("text"))
+            deep = queries.join(queries.where(kind != "dual").join(good, "qid", "left_semi").select("qid"), "qid", "left_anti")
         asked = query_vectors.join(deep.select("qid"), "qid", "left_semi")
         emb = entry_vectors.search(asked, cfg.candidates, cfg.probes) if isinstance(entry_vectors, VectorIndex) else vectors(asked, entry_vectors, cfg)
         channels["emb"] = gap_gate(emb).drop("keep") if cfg.gate else emb
@@ -384,7 +389,7 @@ def search(
         every = fused(channels, store, cfg, len(channels) * (cfg.candidates + cfg.backfill)).join(queries.select("qid", "text"), "qid")
         hits = instruction_tail(every.join(store.select("id", "type", "confidence"), "id").withColumnRenamed("rank0", "_r"), F.col("_r"), top_k=cfg.top_k).drop("_r", "text", "type", "confidence")
     else:
-        hits = fused(channels, store, cfg)
+        hits = fused(channels, store, cfg, cfg.rerank_pool if cfg.rerank else None)
     alone = F.create_map(*[F.lit(x) for pair in (("fts", "fts_only"), ("emb", "embed_only"), ("time", "time_only"), ("graph", "graph_only")) for x in pair])
     hits = hits.withColumn("mode", F.when(F.col("n_channels") == 1, alone[F.col("only")]).otherwise("dual_rrf")).drop("n_channels", "only")
     for name, label in (("time", "_time4th"), ("graph", "_graph")):
@@ -396,6 +401,8 @@ def search(
     kept = or_unfiltered(wide, cfg)
     if cfg.contradictions:
         kept = ranked(greedy_contradictions(kept), F.col("rank0"), F.col("id"))
+    if cfg.rerank:
+        kept = reranked(kept, queries, cfg.top_k)
     fields = ["id", "score", "mode", "summary", "type", "rank0"]
     row = F.struct(*fields)
     latest = store.orderBy(F.desc("timestamp"), "id").limit(cfg.top_k)  # top_k rows come to one task
@@ -406,13 +413,21 @@ def search(
     return graded(kept, cfg).select("qid", F.col("rank0").alias("rank"), "id", "score", "mode", "type", compact(F.col("summary")).alias("summary"), "quality", "grade", "weak_match")
 
 
+def reranked(hits: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """A query's hits by the share of words that question and summary have in common, then as they stood; the first top_k stay, and their mode tells."""
+    asked = queries.select("qid", F.array_distinct(tokens(F.col("text"))).alias("_asked"))
+    shared = F.round(overlap(F.col("_asked"), F.array_distinct(tokens(F.col("summary")))), 6)
+    placed = hits.join(asked, "qid").withColumn("_shared", shared).withColumnRenamed("rank0", "_r")
+    return ranked(placed, F.desc("_shared"), F.col("_r"), F.col("id"), limit=top_k).withColumn("mode", F.concat("mode", F.lit("_rerank"))).drop("_asked", "_shared", "_r")
+
+
 def compact(summary: Column) -> Column:
     return F.when(F.length(summary) > 50, F.concat(F.substring(summary, 1, 50), F.lit("…"))).otherwise(summary)
 
 
 def graded(hits: DataFrame, cfg: Search) -> DataFrame:
     """quality and grade of each query, and weak_match of each row, on one scale for all modes."""
-    scale = F.when(F.col("mode") == "fts_only", F.col("score") / cfg.fts_scale).otherwise(F.col("score")) * cfg.weight_factor
+    scale = F.when(F.col("mode").startswith("fts_only"), F.col("score") / cfg.fts_scale).otherwise(F.col("score")) * cfg.weight_factor
     best = F.max("_norm").over(Window.partitionBy("qid"))
     fallback = F.col("mode") == "time_desc"
     out = hits.withColumn("_norm", F.round(scale, 9))

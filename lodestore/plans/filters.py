@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ASSET_TYPES, BANNED_SUMMARIES, CONTENT_TYPES, DENIED_URLS, STOCK_PHRASES, TRACKS, VALID_TYPES
 from ..functions.lifecycle import instant
-from ..functions.text import contains_any, ratio
+from ..functions.text import contains_any, ratio, ratio_bound
 from ..operators.retrieval import is_valid
 from ..registry import query
 from .common import NOW, STORE, store, table
@@ -109,7 +109,8 @@ def ingest_flags(incoming, known):
     low = (F.length("summary") < 15) | ((F.coalesce("content", F.lit("")) == "") & F.lower("summary").isin(*STOCK_PHRASES))
     left = incoming.withColumn("_p", F.substring("summary_hash", 1, 8))
     right = known.select(F.substring("summary_hash", 1, 8).alias("_p"), F.col("id").alias("_of"), F.col("summary").alias("_s"))
-    near = left.join(right, "_p").where(ratio("summary", "_s") >= 0.85).groupBy("id").agg(F.min("_of").alias("redundant_of"))
+    likely = left.join(right, "_p").where(ratio_bound(F.col("summary"), F.col("_s")) >= 0.85)
+    near = likely.where(ratio("summary", "_s") >= 0.85).groupBy("id").agg(F.min("_of").alias("redundant_of"))
     out = incoming.join(near, "id", "left")
     return out.select("id", F.when(low, "low_value").when(F.col("redundant_of").isNotNull(), "redundant").otherwise("").alias("state"), F.when(~low, F.col("redundant_of")).alias("redundant_of"))
 
