@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -76,6 +76,7 @@ class TextIndex:
     segments: dict[int, dict] = field(default_factory=dict)
     #: [{name, after, entries and dl by track}]: ids removed from segments of a number up to ``after``
     gone: list[dict] = field(default_factory=list)
+    _listed: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def build(cls, store: DataFrame, root: str) -> TextIndex:
@@ -182,7 +183,8 @@ class TextIndex:
         blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.root}/blocks/segment={name}")
         made = self.spark.read.schema("bucket int, term string, track string, cls int, n long, n_note long, top_body double, top_note double").parquet(f"{self.root}/blocks/segment={name}")
         lists = made.groupBy("bucket", "term", "track", "cls").agg(F.sum("n").alias("n"), F.sum("n_note").alias("n_note"), F.max("top_body").alias("top_body"), F.max("top_note").alias("top_note"))
-        lists.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/lists/segment={name}")
+        # lists are few and small: they stand in order in one table, whose row groups tell what terms they hold
+        lists.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.parquet(f"{self.root}/lists/segment={name}")
         return told
 
     @staticmethod
@@ -249,9 +251,16 @@ class TextIndex:
         few = [(r["term"], r["bucket"]) for r in own.limit(TOLD + 1).collect()]
         return sorted(few) if len(few) <= TOLD else own
 
+    def _files(self, kind: str) -> DataFrame:
+        """All files of a kind. They never change under one state, so their folders are listed once, not at every search."""
+        if kind not in self._listed:
+            names = [s["name"] for s in self.segments.values()]
+            reader = self.spark.read.schema(self._columns(kind)).option("basePath", f"{self.root}/{kind}")
+            self._listed[kind] = reader.parquet(*[f"{self.root}/{kind}/segment={n}" for n in names]) if names else self.spark.createDataFrame([], self._columns(kind))
+        return self._listed[kind]
+
     def _scan(self, kind: str, asked: DataFrame | list, track: str | None) -> DataFrame:
-        names = [s["name"] for s in self.segments.values()]
-        rows = self.spark.read.schema(self._columns(kind)).option("basePath", f"{self.root}/{kind}").parquet(*[f"{self.root}/{kind}/segment={n}" for n in names]) if names else self.spark.createDataFrame([], self._columns(kind))
+        rows = self._files(kind)
         rows = rows if track is None else rows.where(F.col("track") == track)
         if isinstance(asked, list):
             return rows.where(F.col("bucket").isin(sorted({b for _, b in asked})) & F.col("term").isin([t for t, _ in asked]))
@@ -266,8 +275,10 @@ class TextIndex:
         rows = self._scan("lists", asked, track)
         if grown is not None:
             rows = rows.withColumns({c: F.col(c) * grown[F.col("segment")] for c in ("top_body", "top_note")})
-        lists = rows.groupBy("term", "cls").agg(F.sum("n").alias("n"), F.sum("n_note").alias("n_note"), F.max("top_body").alias("top_body"), F.max("top_note").alias("top_note"))
-        counts = rows.groupBy("term").agg(F.sum("n").alias("df_full"), F.sum("n_note").alias("df_note"))
+        # dealt by term once: neither the sums of a list nor those of a term need another shuffle
+        lists = rows.repartition("term").groupBy("term", "cls").agg(F.sum("n").alias("n"), F.sum("n_note").alias("n_note"), F.max("top_body").alias("top_body"), F.max("top_note").alias("top_note"))
+        by = Window.partitionBy("term")
+        lists = lists.withColumns({"df_full": F.sum("n").over(by), "df_note": F.sum("n_note").over(by)})
         lost = None
         for g in self.gone:
             part = self.spark.read.schema(self._columns("lost")).parquet(f"{self.root}/lost/{g['name']}")
@@ -275,9 +286,10 @@ class TextIndex:
         if lost is not None:
             lost = lost if track is None else lost.where(F.col("track") == track)
             less = lost.groupBy("term").agg(F.sum("n").alias("_f"), F.sum("n_note").alias("_n"))
-            counts = counts.join(less, "term", "left").select("term", (F.col("df_full") - F.coalesce("_f", F.lit(0))).alias("df_full"), (F.col("df_note") - F.coalesce("_n", F.lit(0))).alias("df_note"))
+            less_of = lambda c, by_: (F.col(c) - F.coalesce(by_, F.lit(0))).alias(c)
+            lists = lists.join(less, "term", "left").select("term", "cls", "n", "n_note", "top_body", "top_note", less_of("df_full", "_f"), less_of("df_note", "_n"))
         full, note = rarity(F.lit(docs), F.col("df_full")), rarity(F.lit(docs), F.col("df_note"))
-        return lists.join(counts, "term").select("term", "cls", "n", "n_note", "df_full", "df_note", F.coalesce(F.col("top_body") * full, F.lit(0.0)).alias("top_body"), F.coalesce(F.col("top_note") * note, F.lit(0.0)).alias("top_note"))
+        return lists.select("term", "cls", "n", "n_note", "df_full", "df_note", F.coalesce(F.col("top_body") * full, F.lit(0.0)).alias("top_body"), F.coalesce(F.col("top_note") * note, F.lit(0.0)).alias("top_note"))
 
     def blocks(self, asked: DataFrame | list, track: str | None = None) -> DataFrame:
         """(segment as a number, term, cls, slot, postings) of asked terms."""

@@ -32,6 +32,8 @@ QUERY_BLOCK = 4096
 FIRST = 50_000
 #: Scores are rounded to nine places and summed in any order: what lies this little below a floor still counts.
 BELOW = 1e-6
+#: Lists of all queries of a batch up to this number are told to the plan by value.
+TOLD_LISTS = 20_000
 
 
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
@@ -88,24 +90,30 @@ def best_bm25(queries: DataFrame, index: TextIndex, cfg: Search, track: str | No
     terms = query_terms(queries)
     asked = index.asked(terms.select("term"))
     docs, avgdl = index._stats(track)
-    lists = checked_broadcast(index.lists(asked, track))
+    lists = index.lists(asked, track)
     by = Window.partitionBy("qid")
     ahead = lambda top, n: F.coalesce(F.sum(n).over(by.orderBy(F.desc(top), "term", "cls").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) < first
     wanted = terms.join(lists, "term").withColumn("_bare", F.col("n") - F.col("n_note"))
     wanted = wanted.withColumn("first", ((F.col("n_note") > 0) & ahead("top_note", "n_note")) | ((F.col("_bare") > 0) & ahead("top_body", "_bare")))
-    wanted = saved(wanted, "asked-lists")
+    told = wanted.limit(TOLD_LISTS + 1).collect()
+    if len(told) <= TOLD_LISTS:  # few lists: the driver knows them, and they are sent along with the plan
+        kept, small = spark.createDataFrame(told, wanted.schema), F.broadcast
+        rest_of_lists = [r for r in told if not r["first"]]
+    else:
+        kept, small = saved(wanted, "asked-lists"), checked_broadcast
+        rest_of_lists = kept.where("not first").limit(1).collect()
+    wanted = kept
     corpus = {"docs": F.lit(docs), "avgdl": F.lit(avgdl)}
 
     def read(chosen: DataFrame) -> DataFrame:
         """Summed parts of some lists' postings."""
         chosen = chosen.select("qid", "term", "cls", "df_full", "df_note")
-        return _parts(index.opened(index.blocks(asked, track).join(checked_broadcast(chosen), ["term", "cls"])).withColumns(corpus))
+        return _parts(index.opened(index.blocks(asked, track).join(small(chosen), ["term", "cls"])).withColumns(corpus))
 
     begun = read(wanted.where("first"))
-    more = wanted.where("not first").select("qid").distinct()
-    if not wanted.where("not first").limit(1).count():
+    if not rest_of_lists:
         return _rounded(begun)
-    more = saved(more, "asked-more")
+    more = saved(wanted.where("not first").select("qid").distinct(), "asked-more")
     begun = saved(begun.join(checked_broadcast(more).withColumn("_more", F.lit(True)), "qid", "left"), "first-scores")
 
     def looked_up(entries: DataFrame) -> DataFrame:
@@ -186,8 +194,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def _query_blocks(query_vectors: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """(qids, matrix) of a stated query set in blocks small enough to send to every executor."""
-    ids, rows = [], []
-    for r in query_vectors.select("qid", "qvec").where("qid is not null and qvec is not null").toLocalIterator():
+    ids, rows, asked = [], [], query_vectors.select("qid", "qvec").where("qid is not null and qvec is not null")
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    for r in few if len(few) <= QUERY_BLOCK else asked.toLocalIterator():  # most batches are one block, and so one job
         ids.append(r["qid"])
         rows.append(r["qvec"])
         if len(ids) == QUERY_BLOCK:
