@@ -251,6 +251,27 @@ def triples(col: pd.Series) -> pd.Series:
     return col.map(scan_triples)
 
 
+# Days and months in a question, in figures or words.
+ASKED_DAY = r"(?<!\d)((?:19|20)\d{2})\s*[-/年.]\s*(\d{1,2})\s*[-/月.]\s*(\d{1,2})\s*日?"
+ASKED_MONTH = r"(?<!\d)((?:19|20)\d{2})\s*[-/年.]\s*(\d{1,2})\s*月?(?!\s*[-/年.]?\s*\d)"
+
+
+def asked_window(col: Column) -> tuple[Column, Column]:
+    """(first, last) ISO day that a question names; months, by their first day, only where it names no day. Months and days that do not exist do not count, years lie between 1970 and 2100."""
+
+    def named(pattern: str, groups: int) -> Column:
+        parts = [F.regexp_extract_all(col, F.lit(pattern), g) for g in range(1, groups + 1)]
+        rows = F.arrays_zip(*[p.alias(c) for p, c in zip(parts, "ymd", strict=False)])
+        year, month = (lambda r: r["y"].cast("int")), (lambda r: r["m"].cast("int"))
+        day = (lambda r: r["d"].cast("int")) if groups == 3 else (lambda r: F.lit(1))
+        real = F.filter(rows, lambda r: year(r).between(1970, 2100) & month(r).between(1, 12) & day(r).between(1, 31))
+        return F.transform(real, lambda r: F.format_string("%04d-%02d-%02d", year(r), month(r), day(r)))
+
+    days, months = named(ASKED_DAY, 3), named(ASKED_MONTH, 2)
+    found = F.when(F.size(days) > 0, days).otherwise(months)
+    return F.array_min(found), F.array_max(found)
+
+
 _KEYS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
 # a number is tried from its first digit only, and never given back digit by digit
 _KEY_PATTERNS = [(kind, re.compile(p.replace(r"\d+(?:\.\d+)?\s*", r"(?<!\d)\d++(?:\.\d++)?\s*+"))) for kind, p in KEY_DATA]

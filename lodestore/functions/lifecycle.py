@@ -113,3 +113,30 @@ def quality_of(score: Column, cfg: Search) -> Column:
 def grade_of(score: Column, fallback: Column, cfg: Search) -> Column:
     high, medium, _ = cfg.quality
     return F.when(fallback, "weak").when(score >= high, "strong").when(score >= medium, "medium").otherwise("weak")
+
+
+def stability_axis(verified: Column, labelled: Column, expires_at: Column, distilled_at: Column, now: Column) -> Column:
+    """How settled an entry is, 0 to 1: a quarter each for its verification, who labelled it, whether it has expired, and how lately it was distilled."""
+    v, g = F.lower(F.trim(F.coalesce(verified, F.lit("")))), F.lower(F.trim(F.coalesce(labelled, F.lit(""))))
+    proof = F.when(v == "verified", 1.0).when(v == "pending", 0.5).otherwise(0.3)
+    label = F.when(g.isin("", "none", "missing", "l3_missing"), 0.3).when(g == "auto", 0.5).otherwise(1.0)
+    end, age = epoch(expires_at), epoch(now) - epoch(distilled_at)
+    alive = F.when(F.coalesce(expires_at, F.lit("")) == "", 0.7).when(end.isNull(), 0.5).when(end > epoch(now), 1.0).otherwise(0.1)
+    fresh = F.when(age.isNull(), 0.5).when(age <= 86400, 1.0).when(age <= 7 * 86400, 0.8).when(age <= 30 * 86400, 0.6).otherwise(0.4)
+    return 0.25 * proof + 0.25 * label + 0.25 * alive + 0.25 * fresh
+
+
+def peak_anchor(hours: Column, people: Column, systems: Column, forced: Column) -> Column:
+    """1 for an event of weight: longer than two hours, more than three people, two systems or more, or asked to be remembered."""
+    signs = (hours > 2, people > 3, systems >= 2, forced)
+    return F.greatest(*[F.coalesce(c.cast("int"), F.lit(0)) for c in signs])
+
+
+def end_anchor(completed_at: Column, milestone: Column, done: Column) -> Column:
+    """1 where something came to its end: completed, a milestone, or a task done."""
+    return ((F.coalesce(completed_at, F.lit("")) != "") | F.coalesce(milestone, F.lit(False)) | F.coalesce(done, F.lit(False))).cast("int")
+
+
+def dual_axis_score(confidence: Column, complexity: Column, stability: Column, peak: Column, end: Column) -> Column:
+    """Importance by confidence, anchors and both axes, 10 at most."""
+    return F.least(F.lit(10.0), confidence_base(confidence) + peak + end + complexity + stability)

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ANTONYMS, DEDUP_NEGATION_CHARS, DEDUP_NEGATION_TOKENS, NEGATIONS, RULE_WORDS, STOP_CHARS, STOP_WORDS, UNITS, VALID_TYPES
+from ..config import ANTONYMS, BANNED_RELATIONS, DEDUP_NEGATION_CHARS, DEDUP_NEGATION_TOKENS, NEGATIONS, RULE_WORDS, SEMANTIC_RELATIONS, STOP_CHARS, STOP_WORDS, UNITS, VALID_TYPES
+from ..functions import extract as E
 from ..functions import text as X
 from ..scratch import dropped, saved
 
@@ -169,6 +170,28 @@ def conflict_class(a: Column, b: Column, similarity: Column) -> Column:
     return F.when(apart, "independent").when(clash & rules, "conflict_rule_semantic").when(clash, "conflict_summary_conclusion").when(numbers, "conflict_event_fact").otherwise("extension")
 
 
+def conflict_marks(classed: DataFrame) -> DataFrame:
+    """(id, conflict_type, others) from pairs (id, other, class): an entry's gravest class, the rules' before the conclusions' before the facts', and all entries that it holds against it."""
+    order = F.array(F.lit("conflict_rule_semantic"), F.lit("conflict_summary_conclusion"), F.lit("conflict_event_fact"))
+    bad = classed.where(F.col("class").startswith("conflict_")).withColumn("_o", F.array_position(order, F.col("class")))
+    return bad.groupBy("id").agg(F.min_by("class", "_o").alias("conflict_type"), F.sort_array(F.collect_set("other")).alias("others"))
+
+
+def traced_relations(entries: DataFrame, rules: E.Rules = E.Rules()) -> DataFrame:
+    """Entries with a relations column of JSON for those that had none yet: what the rules find in content and summary, an empty list where they find nothing, so that no later run looks again."""
+    scan = F.udf(lambda text: E.scan_triples(text, rules), "array<struct<subject:string,relation:string,object:string,confidence:double>>", useArrow=True)
+    todo = (F.coalesce("relations", F.lit("")).isin("", "null")) & (F.coalesce("id", F.lit("")) != "")
+    open_ = entries.where(todo).withColumn("relations", F.to_json(F.coalesce(scan(F.concat_ws("\n", "content", "summary")), F.array().cast("array<struct<subject:string,relation:string,object:string,confidence:double>>"))))
+    return entries.where(~todo).unionByName(open_)
+
+
+def relation_edges(entries: DataFrame) -> DataFrame:
+    """(id1, id2, relation, weight, n) of all traced relations that may stand in the graph: the surest of each, and in how many entries it is told."""
+    each = entries.select("id", F.explode(F.from_json("relations", "array<struct<subject:string,relation:string,object:string,confidence:double>>")).alias("r")).select("id", "r.*")
+    ok = each.where(F.col("relation").isin(*SEMANTIC_RELATIONS) & ~F.col("relation").isin(*BANNED_RELATIONS))
+    return ok.groupBy(F.col("subject").alias("id1"), F.col("object").alias("id2"), "relation").agg(F.max("confidence").alias("weight"), F.count_distinct("id").alias("n"))
+
+
 def frontmatter(texts: DataFrame) -> DataFrame:
     """(path, meta map, body) of whole texts in three layouts: fenced head and body, several documents, plain key lines."""
     head = F.regexp_extract("value", r"(?s)\A---\s*\n(.*?)\n---", 1)
@@ -179,4 +202,4 @@ def frontmatter(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))["v"].alias("v")))).alias("meta"), body.alias("body"))
 
 
-__all__ = ["accepted", "accepted_against", "conflict_candidates", "conflict_class", "conflict_keywords", "duplicates", "first_layer", "frontmatter", "insertable", "merged", "negation_differs", "prefix_pairs", "promoted", "similar_pairs"]
+__all__ = ["accepted", "accepted_against", "conflict_candidates", "conflict_class", "conflict_keywords", "conflict_marks", "duplicates", "first_layer", "frontmatter", "insertable", "merged", "negation_differs", "prefix_pairs", "promoted", "relation_edges", "similar_pairs", "traced_relations"]

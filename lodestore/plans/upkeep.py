@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import NOW, Search
+from ..functions import extract as X
+from ..functions import lifecycle as LC
 from ..functions.text import used
 from ..operators import distill as D
 from ..operators import retrieval as R
@@ -17,6 +19,7 @@ from ..sources import scanners as SC
 from .common import STORE, bench_queries, entry_vectors, query_vectors, store, table, text_index
 from .evaluation import GRID, METRICS, _results, metrics
 from .retrieval import BENCH_QUERIES, FTS, VECTORS
+from .scalars import TYPE_CASE
 
 CURRENT, BASELINE = GRID.index((1.5, 0.7)), GRID.index((1.0, 1.0))
 TUNED = f"""WITH {STORE}, {BENCH_QUERIES}, {FTS}, {VECTORS},
@@ -218,3 +221,41 @@ def config_documents(spark, d):
 def models(spark, d):
     """Documents and scripts of a folder of models."""
     return SC.models(_tree(spark, d), "/tree/docs").select("type", "name", "source_ref")
+
+
+AXES = f"""WITH {STORE}, c AS (SELECT doc_id, unnest(string_split(substr(summary, 1, 500), '')) AS ch FROM store), k AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY ALL), h AS (SELECT doc_id, sum(n) AS len, count(*) AS kinds FROM k GROUP BY doc_id),
+e AS (SELECT k.doc_id, CASE WHEN any_value(kinds) > 1 THEN -sum((n / len::DOUBLE) * log2(n / len::DOUBLE)) / log2(least(any_value(len), any_value(kinds))::DOUBLE) ELSE 0 END AS entropy FROM k JOIN h ON h.doc_id = k.doc_id GROUP BY k.doc_id),
+a AS (SELECT id, confidence, 0.4::DOUBLE * coalesce(entropy, 0) + 0.3::DOUBLE * least(1.0, log2(1.0 + length(summary)) / log2(501.0)) + 0.3::DOUBLE * {TYPE_CASE} AS c,
+ 0.25::DOUBLE * CASE s.doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.3 END + 0.25::DOUBLE * CASE s.doc_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.3 END + 0.25::DOUBLE * CASE WHEN expires_at = '' THEN 0.7 WHEN expires_at > '{NOW}' THEN 1.0 ELSE 0.1 END
+ + 0.25::DOUBLE * CASE WHEN 1788220800 - ts <= 86400 THEN 1.0 WHEN 1788220800 - ts <= 604800 THEN 0.8 WHEN 1788220800 - ts <= 2592000 THEN 0.6 ELSE 0.4 END AS s,
+ CASE WHEN importance > 8 OR s.doc_id % 11 > 8 THEN 1 ELSE 0 END AS peak, CASE WHEN g1_check_passed = 1 THEN 1 ELSE 0 END AS fin FROM store s LEFT JOIN e USING (doc_id))
+SELECT id, round(c, 6) AS complexity, round(s, 6) AS stability, peak, fin, round(least(10.0, CASE WHEN confidence >= 0.9 THEN 8 WHEN confidence >= 0.7 THEN 6 WHEN confidence >= 0.5 THEN 4 ELSE 2 END + peak + fin + c + s), 6) AS score FROM a"""
+
+
+@query("x25_x26_whole_axes", AXES)
+def whole_axes(spark, d):
+    """Both axes with all their terms, the anchors and the score."""
+    i = F.col("doc_id")
+    proof = F.when(i % 3 == 0, "verified").when(i % 3 == 1, "pending")
+    label = F.when(i % 4 == 0, "auto").when(i % 4 == 1, "reviewer").when(i % 4 == 2, "l3_missing")
+    c = LC.complexity_axis(F.col("summary"), F.col("type"))
+    s = LC.stability_axis(proof, label, F.col("expires_at"), F.col("timestamp"), F.lit(NOW))
+    peak = LC.peak_anchor(F.col("importance") - 6, F.lit(None).cast("int"), F.when(i % 11 > 8, 2), F.lit(None).cast("boolean"))
+    end = LC.end_anchor(F.lit(""), F.lit(None).cast("boolean"), F.col("g1_check_passed") == 1)
+    score = LC.dual_axis_score(F.col("confidence"), c, s, peak, end)
+    return store(spark, d).select("id", F.round(c, 6).alias("complexity"), F.round(s, 6).alias("stability"), peak.alias("peak"), end.alias("fin"), F.round(score, 6).alias("score"))
+
+
+@query("x5_asked_window", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(least(o_orderdate, o_orderdate + INTERVAL (o_custkey % 50 - 25) DAY), '%Y-%m-%d') END AS t1, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(greatest(o_orderdate, o_orderdate + INTERVAL (o_custkey % 50 - 25) DAY), '%Y-%m-%d') END AS t2 FROM orders")
+def asked_window(spark, d):
+    """Days and months of questions: one day, a month, two days in either order, none."""
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 4
+    other = F.date_add(day, (F.col("o_custkey") % 50 - 25).cast("int"))
+    text = (
+        F.when(k == 0, F.concat(F.lit("what came on "), F.date_format(day, "yyyy/M/d"), F.lit(" of it")))
+        .when(k == 1, F.concat(F.date_format(day, "yyyy"), F.lit("年"), F.date_format(day, "M"), F.lit("月 的订单")))
+        .when(k == 2, F.concat(F.lit("从 "), F.date_format(day, "yyyy-MM-dd"), F.lit(" 到 "), F.date_format(other, "yyyy年M月d日")))
+        .otherwise(F.concat(F.lit("order 12345-67 of "), F.col("o_custkey").cast("string"), F.lit(" in 1869-13")))
+    )
+    t1, t2 = X.asked_window(text)
+    return table(spark, d, "orders").select("o_orderkey", t1.alias("t1"), t2.alias("t2"))

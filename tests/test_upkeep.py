@@ -153,3 +153,26 @@ def test_conflict_candidates_of_long_runs(spark):
     notes = spark.createDataFrame(rows, "id string, summary string, timestamp string")
     pairs = {tuple(r) for r in I.conflict_candidates(notes).collect()}
     assert {("n0", "n1"), ("n0", "n2"), ("n3", "n4"), ("n4", "n3")} <= pairs and ("n2", "n3") not in pairs
+
+
+def test_windows_of_questions(spark):
+    from lodestore.functions import extract as E
+
+    cases = [("2026-08-01", "2026-08-01", "2026-08-01"), ("2026年8月", "2026-08-01", "2026-08-01"), ("2026-08 和 2026/7", "2026-07-01", "2026-08-01"), ("2026.12.31 到 2025年1月2日, 2024-05", "2025-01-02", "2026-12-31"), ("2026-13-01", None, None), ("2026年13月", None, None), ("1900-01-01", None, None), ("", None, None), (None, None, None), ("x12026-08-01", None, None)]
+    t1, t2 = E.asked_window(F.col("q"))
+    got = spark.createDataFrame([(c[0],) for c in cases], "q string").select(t1.alias("a"), t2.alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [c[1:] for c in cases]
+
+
+def test_relations_are_traced_once_and_become_edges(spark):
+    rows = [("e1", "检索模块依赖向量库", "", None), ("e2", "检索模块依赖向量库，很快", None, ""), ("e3", "nothing here", "", None), ("e4", "缓存使用内存", "", '[{"subject":"甲","relation":"uses","object":"乙丙","confidence":0.5}]'), ("", "缓存使用内存", "", None), ("e5", "x", "", "[]")]
+    out = I.traced_relations(spark.createDataFrame(rows, "id string, content string, summary string, relations string"))
+    told = {r["id"]: r["relations"] for r in out.collect()}
+    assert told["e3"] == "[]" and told["e5"] == "[]" and told[""] is None and "依赖" not in told["e1"] and "向量库" in told["e1"]
+    assert sorted(map(tuple, I.relation_edges(out).collect())) == [("检索模块", "向量库", "depends_on", 0.9, 2), ("甲", "乙丙", "uses", 0.5, 1)]
+
+
+def test_the_gravest_conflict_marks_an_entry(spark):
+    pairs = [("a", "b", "conflict_event_fact"), ("a", "c", "conflict_rule_semantic"), ("a", "d", "extension"), ("b", "a", "conflict_event_fact"), ("c", "d", "independent")]
+    out = I.conflict_marks(spark.createDataFrame(pairs, "id string, other string, class string")).collect()
+    assert {(r["id"], r["conflict_type"], tuple(r["others"])) for r in out} == {("a", "conflict_rule_semantic", ("b", "c")), ("b", "conflict_event_fact", ("a",))}
