@@ -101,7 +101,7 @@ def repeats(a, b):
 
 def test_every_query_is_tested():
     ours = {n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(("op", "pipeline"))}
-    assert ours == {"x10_x14_ratio", "f8_ingest_filter", "p6_x19_duplicates", "p6_guard", "p7_x17_conflicts", "r13_contradictions", "x7_x9_r21_verify"}
+    assert ours == {"x10_x14_ratio", "f8_ingest_filter", "p6_x19_duplicates", "p6_guard", "p7_x17_conflicts", "r13_contradictions", "x7_x9_r21_verify", "r3_k6_approximate", "p11_p24_distill_run"}
 
 
 def test_ratio(spark, small):
@@ -236,3 +236,38 @@ def test_verified_key_data(spark, small, notes):
         want.append((n["id"], len(found), sum(v in f"{text}\n{n['summary'] or ''}" for v in told), len(told)))
     assert rows(spark, small, "x7_x9_r21_verify", "id", "n_keys", "passed", "total") == sorted(want, key=repr)
     assert max(k for _, k, _, _ in want) >= 3
+
+
+def test_approximate_vectors(spark):
+    """At least nine tenths of the exact top for each question, with exact scores."""
+    import numpy as np
+
+    table = pq.read_table(f"{SMALL}/embeddings.parquet").to_pylist()
+    vecs = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in table}
+    found = {}
+    for r in entry.queries()["r3_k6_approximate"](spark, SMALL).collect():
+        found.setdefault(r["qid"], {})[int(r["id"][1:])] = r["score"]
+    asked = [r["item_id"] for r in pq.read_table(f"{SMALL}/benchmark.parquet").to_pylist() if r["item_id"] in vecs]
+    hits = total = 0
+    for q in asked:
+        exact = {i: float(vecs[q] @ v) for i, v in vecs.items()}
+        top = sorted(exact, key=lambda i: (-round(exact[i], 9), i))[:200]
+        assert all(abs(exact[i] - s) < 1e-6 for i, s in found[q].items())
+        hits, total = hits + len(found[q].keys() & set(top)), total + len(top)
+    assert hits >= 0.9 * total > 0
+
+
+def test_distill_run(spark, small, notes):
+    """One run over the derived store: patterns and decay in plain loops; every distilled text is that of a stored entry, so the guard refuses it."""
+    ran = rows(spark, small, "p11_p24_distill_run", "step", "id", "what")
+    top = sorted((n for n in notes if n["confidence"] > 0.6), key=lambda n: (-n["confidence"], n["id"]))[:500]
+    agents = {}
+    for n in top:
+        agents.setdefault(n["source_agent"], []).append(n)
+    agents = {a: own for a, own in agents.items() if len(own) >= 3}
+    assert [(i, w) for step, i, w in ran if step == "pattern"] == sorted((a, str(len(own))) for a, own in agents.items())
+    said = [w for step, _, w in ran if step == "store"]
+    assert len(said) == len(agents) > 0 and set(said) <= {"duplicate", "stored"}
+    old = sorted((n for n in notes if n["updated_at"] < "2026-08-02T00:00:00Z" and n["half_life"] != "permanent"), key=lambda n: (n["importance"], n["id"]))[:20]
+    want = [(n["id"], f"{max(0.1, n['confidence'] - 0.1):.2f}/{max(1, n['importance'] - 1)}") for n in old]
+    assert [(i, w) for step, i, w in ran if step == "decay"] == sorted(want)
