@@ -46,6 +46,7 @@ KEY_DATA = (
     ("number", r"\d+(?:\.\d+)?"),
     ("conclusion", r"(?:通过|失败|成功|完成|修复|解决|根因|原因|上线|部署|拒绝|回滚|禁止|必须|不得|允许|PASS|FAIL|approved|rejected)"),
 )
+ENTITY_TOLD = r"([\x{4e00}-\x{9fff}A-Za-z0-9_\-]{2,40}（(?:系统|项目|模型|平台|方案|工具|库|模块)）)"
 ENTITY_SUFFIX = r"([\x{4e00}-\x{9fff}A-Za-z0-9_]{2,30}(?:系统|平台|引擎|模型|库|框架|工具|项目))"
 ENTITY_QUOTED = r"[《「『\"“]([\x{4e00}-\x{9fff}A-Za-z0-9_\-]{2,40})[」』\"”》]"
 # Verbs of each relation and the confidence that each gives; those that a scan of a text leaves out; words that vote for no relation.
@@ -118,10 +119,11 @@ def event_date(col: Column, anchor: Column) -> Column:
 
 
 def entities(col: Column) -> Column:
-    """Names in quotation or book-title marks, and names with a known suffix, 2 to 60 characters, once each."""
+    """Names that brackets tell the kind of, names in quotation or book-title marks, and names with a known suffix, 2 to 60 characters, once each."""
+    told = F.regexp_extract_all(col, F.lit(ENTITY_TOLD), 1)
     quoted = F.regexp_extract_all(col, F.lit(ENTITY_QUOTED), 1)
     suffixed = F.regexp_extract_all(col, F.lit(ENTITY_SUFFIX), 1)
-    return F.array_distinct(F.filter(F.concat(quoted, suffixed), lambda n: F.length(n).between(2, 60)))
+    return F.array_distinct(F.filter(F.concat(told, quoted, suffixed), lambda n: F.length(n).between(2, 60)))
 
 
 _TRIPLE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "relation", "object")] + [T.StructField("confidence", T.DoubleType())]))
@@ -272,6 +274,46 @@ def asked_window(col: Column) -> tuple[Column, Column]:
     return F.array_min(found), F.array_max(found)
 
 
+def name_key(col: Column) -> Column:
+    """A name without white space, marks and cases, for tests of equality and containment."""
+    return F.lower(F.regexp_replace(F.coalesce(col, F.lit("")), r"[\s，。；、()【】《》\"'“”‘’：:,.·\-_/]", ""))
+
+
+# Words of a question, what joins its subjects, marks around them; words of an evaluated question that say nothing.
+QUESTION = r"为什么|怎么|如何|区别|差异|选哪个|哪个好|选什么|选一个|要不要|该不该|会不会|是否|值得|带来什么|有什么影响|有什么问题|失效|对比|还是|好还是"
+SUBJECTS = r"[和与或、，,／/]|vs\.?|还是|跟|及"
+AROUND = " 的了吗呢吧啊：:，,。.!！?？"
+EMPTY_WORDS = (
+    "帮我", "请", "的", "了", "是", "怎么", "什么", "多少", "吗", "呢", "哪个", "写", "做", "推荐", "翻译", "一首", "一部", "一个", "一条", "给我", "成", "今天",
+    "明天", "最近", "一下", "如何", "为什么", "要不要", "该不该", "先", "还是", "用", "在", "有", "到", "从", "和", "与", "或", "中", "上", "下", "时",
+)
+
+
+def _bare(col: Column) -> Column:
+    return F.regexp_replace(col, rf"^[{AROUND}]+|[{AROUND}]+\z", "")
+
+
+def question_subjects(col: Column) -> Column:
+    """Distinct subjects of a question, sorted: runs of Latin letters and digits, and what else stands between the words that join, without leading question words; two characters at least."""
+    text = F.coalesce(col, F.lit(""))
+    latin = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9+#.\-]*|\d+(?:\.\d+)?)"), 1)
+    rest = F.transform(F.split(text, SUBJECTS), lambda s: _bare(F.regexp_replace(_bare(F.regexp_replace(s, f"^(?:{QUESTION})+", "")), r"[A-Za-z0-9+#.\-]", "")))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(latin, rest), lambda s: F.length(s) >= 2)))
+
+
+def question_complexity(col: Column, concepts: Column | int = 0) -> Column:
+    """(level, entities, question): a question is complex with two subjects or concepts and a word that asks, or with three."""
+    n = F.size(question_subjects(col)) + concepts
+    asks = F.coalesce(col, F.lit("")).rlike(QUESTION)
+    level = F.when(((n >= 2) & asks) | (n >= 3), "complex").otherwise("simple")
+    return F.struct(level.alias("level"), n.cast("long").alias("entities"), asks.alias("question"))
+
+
+def content_words(col: Column) -> Column:
+    """Runs of two CJK or three Latin letters and more, in order, without words that say nothing."""
+    return F.filter(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"([\x{4e00}-\x{9fff}]{2,}|[A-Za-z]{3,})"), 1), lambda w: ~w.isin(*EMPTY_WORDS))
+
+
 _KEYS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
 # a number is tried from its first digit only, and never given back digit by digit
 _KEY_PATTERNS = [(kind, re.compile(p.replace(r"\d+(?:\.\d+)?\s*", r"(?<!\d)\d++(?:\.\d++)?\s*+"))) for kind, p in KEY_DATA]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import on_workers
 from ..config import GRAPH_RELATIONS, INSTRUCTION_HINTS, ROUTER_FAST, ROUTER_FUZZY, ROUTER_ID, ROUTER_TOOLS, Search
-from ..functions.extract import explicit_date
+from ..functions.extract import asked_window, explicit_date
 from ..functions.lifecycle import grade_of, instant, quality_of
 from ..functions.text import contains_any, first_place, overlap, tokens
 from ..scratch import saved
@@ -357,6 +357,25 @@ def time_channel(dated: DataFrame, store: DataFrame, cfg: Search) -> DataFrame:
     return ranked(near.select("qid", "id", score.alias("score")), F.desc("score"), F.col("id"), limit=cfg.time_top)
 
 
+def window_channel(asked: DataFrame, store: DataFrame, cfg: Search) -> DataFrame:
+    """Time channel (qid, id, score, rank0) of questions (qid, text, t1, t2) that name days: the latest entries of the window, by their distance from its first day and the
+    share of the question's words that they hold.
+
+    Of each day only the first few entries can be among a window's, so they are settled once; a window meets its days by equality, and texts are read for what remains.
+    Days that do not exist name no window.
+    """
+    w = asked.select("qid", "text", F.try_to_date("t1").alias("_first"), F.try_to_date("t2").alias("_last")).where("_first <= _last")
+    days = ranked(store.where("event_date is not null").select("id", "event_date"), F.col("id"), limit=cfg.time_top, by="event_date").drop("rank0")
+    each = w.select("qid", "_first", "_last", F.explode(F.sequence("_first", "_last")).alias("event_date")).join(days, "event_date")
+    top = ranked(each, F.desc("event_date"), F.col("id"), limit=cfg.time_top).drop("rank0")
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([\x{4e00}-\x{9fff}]{2,}|[\p{L}\p{N}_]+)"), 1))
+    whole = F.concat(F.coalesce("summary", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+    wide = top.join(w.select("qid", words.alias("_words")), "qid").join(store.select("id", whole.alias("_whole")), "id")
+    held = F.size(F.filter("_words", lambda t: F.contains(F.col("_whole"), t))) / F.greatest(F.size("_words"), F.lit(1))
+    near = F.greatest(F.lit(0.0), 1 - F.datediff("event_date", "_first") / F.greatest(F.datediff("_last", "_first"), F.lit(1)))
+    return ranked(wide.select("qid", "id", F.round(0.05 + 0.85 * near + 0.10 * held, 9).alias("score")), F.desc("score"), F.col("id"))
+
+
 def instruction_tail(hits: DataFrame, *order: Column, top_k: int, hints: tuple[str, ...] = INSTRUCTION_HINTS) -> DataFrame:
     """Hits (qid, text of the query, type, confidence, ...) with a rank0: where a query asks for rules, sure instructions go behind all others and the cut
     grows by their number. Other queries' hits keep their order and cut."""
@@ -389,7 +408,12 @@ def search(
         emb = entry_vectors.search(asked, cfg.candidates, cfg.probes) if isinstance(entry_vectors, VectorIndex) else vectors(asked, entry_vectors, cfg)
         channels["emb"] = gap_gate(emb).drop("keep") if cfg.gate else emb
     if cfg.time:
-        channels["time"] = time_channel(queries.select("qid", explicit_date(F.col("text")).alias("t1")).where("t1 is not null"), store, cfg)
+        # a question of one day looks around it, one of several days into the window that they span
+        first, last = asked_window(F.col("text"))
+        dated = queries.select("qid", "text", first.alias("t1"), last.alias("t2"), explicit_date(F.col("text")).alias("day"))
+        wide = F.coalesce(F.col("t1") < F.col("t2"), F.lit(False))
+        around = time_channel(dated.where(~wide & F.col("day").isNotNull()).select("qid", F.col("day").alias("t1")), store, cfg)
+        channels["time"] = around.unionByName(window_channel(dated.where(wide), store, cfg))
     if (cfg.graph and edges is not None) or cfg.instructions:
         channels = {name: saved(channel, f"channel-{name}") for name, channel in channels.items()}  # each is read more than once
     if cfg.graph and edges is not None:

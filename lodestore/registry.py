@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import aggregates, evaluation, extraction, filters, graphs, ingest, knowledge, lifecycle, ranking, retrieval, scalars, sources, streams, upkeep  # noqa: F401
+    from .plans import aggregates, checks, evaluation, extraction, filters, graphs, ingest, knowledge, lifecycle, ranking, retrieval, scalars, sources, streams, upkeep  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
