@@ -12,6 +12,11 @@ from . import ingest as I
 
 # Confidence above which an entry counts, how many entries are looked at, how many a pattern needs and refers to; entries of one run of decay.
 SURE, LOOKED_AT, LEAST, REFERENCES, STALE = 0.6, 500, 3, 5, 20
+# Kinds of curated knowledge by type, insights for all others; least confidence and importance; sources whose entries stay below; a word that asks for review.
+CURATED = {"lesson": "avoid", "decision": "principles", "preference": "patterns", "pattern": "patterns", "insight": "insights", "fact": "methods", "correction": "avoid"}
+CURATED_SURE, CURATED_IMPORTANT = 0.6, 3
+SELF_MEDIA = ("blog", "weibo", "zhihu", "medium", "自媒体", "博客")
+DOUBT = "拿不准"
 
 
 def patterns(store: DataFrame) -> DataFrame:
@@ -79,3 +84,40 @@ def promotion(second: DataFrame, third: DataFrame, now: str) -> DataFrame:
     clash = F.when(F.col("into").isNull(), "independent").when(F.array_contains("_types", F.col("type")), "extension").otherwise("conflict")
     audit = F.to_json(F.struct(F.lit(now).alias("at"), op.alias("op"), F.col("reason")))
     return j.select("id", op.alias("op"), F.coalesce("into", "id").alias("into"), "reason", expiry(F.col("type"), F.lit(now)).alias("expires_at"), day.alias("event_date"), clash.alias("conflict_type"), audit.alias("audit"))
+
+
+def industries(col: Column) -> Column:
+    """The industries of an entry: a JSON list of texts, or one name without brackets and quotation marks; empty for none."""
+    raw = F.trim(F.coalesce(col, F.lit("")))
+    one = F.array(F.regexp_replace(raw, r"""^[\[\] "']+|[\[\] "']+\z""", ""))
+    listed = F.when(raw.rlike(r"""^\[\s*"[^"\\]*"(?:\s*,\s*"[^"\\]*")*\s*\]\z"""), F.from_json(raw, "array<string>"))
+    return F.when(raw == "", F.array().cast("array<string>")).otherwise(F.coalesce(listed, one))
+
+
+def curation(entries: DataFrame, held: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(id, target, kind, tags, review, state, duplicate_of) of the third layer's entries that are sure and important enough to be curated.
+
+    An entry with an industry goes to that of its first one (others are tags; entries of self-made media stay below and have no row), one without to its kind. What a target
+    holds (id, target, text) comes first, then new entries by importance, confidence and id: one that is there by its id is held, one that repeats the summary
+    and content of what its own target has by then is a duplicate, others are stored.
+    """
+    names = industries(F.col("industry"))
+    kinds = F.create_map(*[F.lit(x) for pair in CURATED.items() for x in pair])
+    c = entries.where((F.col("confidence") >= CURATED_SURE) & (F.col("importance") >= CURATED_IMPORTANT)).withColumn("_in", names)
+    c = c.where((F.size("_in") == 0) | ~F.lower(F.coalesce("source_ref", F.lit(""))).rlike("|".join(SELF_MEDIA)))
+    kind = F.coalesce(F.try_element_at(kinds, "type"), F.lit("insights"))
+    target = F.when(F.size("_in") > 0, F.concat(F.lit("industry/"), F.trim(F.get("_in", F.lit(0))))).otherwise(kind)
+    text = F.concat(F.coalesce("summary", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    # the guard goes by this: what is held, then the most important, then the surest
+    turn = F.concat(F.lit("1"), F.format_string("%05d%08d", 99_999 - F.col("importance").cast("int"), (99_999_999 - F.round(F.col("confidence") * 1e6)).cast("int")), F.col("id"))
+    tags = F.when(F.size("_in") > 1, F.array_join("_in", ", ")).otherwise("")
+    review = (F.size("_in") > 0) & F.coalesce(F.col("summary"), F.lit("")).contains(DOUBT)
+    c = c.select("id", target.alias("target"), kind.alias("kind"), tags.alias("tags"), review.alias("review"), text.alias("text"), turn.alias("_turn"))
+    known = held.select("id", "target").distinct().withColumn("_held", F.lit(True))
+    c = c.join(known, ["id", "target"], "left")
+    there = held.select(F.concat(F.lit("0"), "id").alias("id"), "target", "text")
+    judged = I.accepted_against(c.where("_held is null").select(F.col("_turn").alias("id"), "target", "text"), there, threshold, "target").select(F.col("id").alias("_turn"), "accepted", F.col("duplicate_of").alias("_of"))
+    out = c.join(judged, "_turn", "left")
+    state = F.when(F.col("_held"), "held").when(F.col("accepted"), "stored").otherwise("duplicate")
+    of = F.when(F.col("_of").startswith("0"), F.substring("_of", 2, 1 << 20)).otherwise(F.substring("_of", 15, 1 << 20))
+    return out.select("id", "target", "kind", "tags", "review", state.alias("state"), of.alias("duplicate_of"))

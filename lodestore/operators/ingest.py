@@ -89,14 +89,22 @@ def duplicates(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     return similar_pairs(texts, threshold).where(~negation_differs(F.col("ga"), F.col("gb"))).select("a", "b", "dice")
 
 
-def accepted(texts: DataFrame, threshold: float = 0.9, min_len: int = 8) -> DataFrame:
+def _inside(pairs: DataFrame, texts: DataFrame, by: str | None) -> DataFrame:
+    """The pairs of texts that share a value of ``by``; all without one."""
+    if by is None:
+        return pairs
+    a, b = texts.select(F.col("id").alias("a"), F.col(by).alias("_by")), texts.select(F.col("id").alias("b"), F.col(by).alias("_by"))
+    return pairs.join(a, "a").join(b, ["b", "_by"]).drop("_by")
+
+
+def accepted(texts: DataFrame, threshold: float = 0.9, min_len: int = 8, by: str | None = None) -> DataFrame:
     """(id, accepted, duplicate_of) in order of id: a text is refused if it repeats an earlier *accepted* one, so a copy of a refused text may pass.
 
-    Texts shorter than min_len are accepted and compared with none. Every round settles the texts whose earlier likes are all settled; only texts with a
+    Texts of different values of ``by`` do not repeat each other. Texts shorter than min_len are accepted and compared with none. Every round settles the texts whose earlier likes are all settled; only texts with a
     like take part, and as many rounds run as the longest chain of likes is long.
     """
     long = texts.where(F.length(X.normal_text(F.col("text"))) >= min_len)
-    pairs = saved(duplicates(long, threshold).select("a", "b"), "guard-pairs")
+    pairs = saved(_inside(duplicates(long, threshold).select("a", "b"), texts, by), "guard-pairs")
     state = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.lit(None).cast("boolean").alias("ok")), "guard-state")
     while state.where("ok is null").limit(1).count():
         before = pairs.join(state.select(F.col("id").alias("a"), F.col("ok").alias("before")), "a")
@@ -110,13 +118,15 @@ def accepted(texts: DataFrame, threshold: float = 0.9, min_len: int = 8) -> Data
     return out.select("id", F.coalesce("ok", F.lit(True)).alias("accepted"), "duplicate_of")
 
 
-def accepted_against(texts: DataFrame, stored: DataFrame, threshold: float = 0.9) -> DataFrame:
+def accepted_against(texts: DataFrame, stored: DataFrame, threshold: float = 0.9, by: str | None = None) -> DataFrame:
     """:func:`accepted` for a batch that comes to texts which are there already: those are all accepted, and refuse what repeats them."""
-    pairs = saved(duplicates(stored.select("id", "text").unionByName(texts.select("id", "text")), threshold).select("a", "b"), "guard-all")
+    columns = ["id", "text", *([by] if by else [])]
+    both = stored.select(*columns).unionByName(texts.select(*columns))
+    pairs = saved(_inside(duplicates(both, threshold).select("a", "b"), both, by), "guard-all")
     old = stored.select(F.col("id").alias("a"))
     other = pairs.join(texts.select(F.col("id").alias("b")), "b", "left_semi").join(old, "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("_of"))
     own = texts.join(other, "id", "left")
-    rest = accepted(own.where("_of is null").select("id", "text"), threshold)
+    rest = accepted(own.where("_of is null").select(*columns), threshold, by=by)
     return own.select("id", F.col("_of")).join(rest, "id", "left").select("id", (F.col("_of").isNull() & F.coalesce("accepted", F.lit(True))).alias("accepted"), F.coalesce("_of", "duplicate_of").alias("duplicate_of"))
 
 

@@ -8,6 +8,7 @@ from ..functions import extract as X
 from ..functions.text import overlap, tokens
 from ..operators import answers as W
 from ..operators import archive as A
+from ..operators import distill as D
 from ..operators import embedding as E
 from ..operators import retrieval as R
 from ..operators.containment import holding
@@ -205,3 +206,12 @@ def federated(spark, d):
         "files": pages.select(F.col("page_id").alias("item"), F.col("html").alias("text"), F.col("url").alias("name"), (-F.col("page_id")).alias("newest")),
     }
     return P.federated_hits(terms.select(F.col("text").alias("qid"), "text"), sources, 10)
+
+
+@query("p3_p6_whole_curation")
+def curation(spark, d):
+    """The store's entries; every eleventh stands in one target already."""
+    s = store(spark, d)
+    whole = F.concat(F.coalesce("summary", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    held = s.where("doc_id % 11 = 0").select("id", F.lit("industry/AI").alias("target"), whole.alias("text"))
+    return D.curation(s, held)

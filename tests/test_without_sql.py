@@ -101,7 +101,7 @@ def repeats(a, b):
 
 def test_every_query_is_tested():
     ours = {n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(("op", "pipeline"))}
-    assert ours == {"x10_x14_ratio", "f8_ingest_filter", "p6_x19_duplicates", "p6_guard", "p7_x17_conflicts", "r13_contradictions", "x7_x9_r21_verify", "r3_k6_approximate", "p11_p24_distill_run"}
+    assert ours == {"x10_x14_ratio", "f8_ingest_filter", "p6_x19_duplicates", "p6_guard", "p7_x17_conflicts", "r13_contradictions", "x7_x9_r21_verify", "r3_k6_approximate", "p11_p24_distill_run", "p3_p6_whole_curation"}
 
 
 def test_ratio(spark, small):
@@ -142,6 +142,59 @@ def test_guard(spark, small, notes):
     assert any(not ok for _, ok, _ in want)
 
 
+def test_curation(spark, small, notes):
+    """Every entry in the order of the run, each target with a list of its own."""
+    whole = {n["id"]: f"{n['summary'] or ''}\n{n['content'] or ''}" for n in notes}
+    held = {"industry/AI": [(n["id"], whole[n["id"]]) for n in notes if n["doc_id"] % 11 == 0]}
+    kinds, want = {"lesson": "avoid", "decision": "principles", "insight": "insights", "fact": "methods", "correction": "avoid"}, []
+    for n in sorted(notes, key=lambda n: (-n["importance"], -n["confidence"], n["id"])):
+        if n["confidence"] < 0.6 or n["importance"] < 3:
+            continue
+        raw, kind = n["industry"], kinds.get(n["type"], "insights")
+        target = f"industry/{raw.strip('[] ' + chr(34) + chr(39))}" if raw else kind
+        there = held.setdefault(target, [])
+        if n["id"] in {i for i, _ in there}:
+            want.append((n["id"], target, kind, "", False, "held", None))
+            continue
+        long = len(normal(whole[n["id"]])) >= 8
+        like = [i for i, t in there if len(normal(t)) >= 8 and repeats(t, whole[n["id"]])] if long else []
+        want.append((n["id"], target, kind, "", False, "duplicate" if like else "stored", like[0] if like else None))
+        if not like:
+            there.append((n["id"], whole[n["id"]]))
+    got = rows(spark, small, "p3_p6_whole_curation", "id", "target", "kind", "tags", "review", "state", "duplicate_of")
+    assert got == sorted(want, key=repr)
+    assert {w[5] for w in want} >= {"held", "stored"}
+
+
+def test_curation_of_planted_entries(spark):
+    from lodestore.operators.distill import curation
+
+    text = "the gateway keeps three copies of each block of the table it is told about"
+    entries = [
+        ("a", "fact", text, 0.9, 5, '["AI", "finance"]', "src/1"),
+        ("b", "fact", text + "!", 0.9, 5, "AI", "src/1"),  # repeats a
+        ("c", "fact", text, 0.9, 5, "", "src/1"),  # another target
+        ("d", "fact", text, 0.9, 9, "energy", "http://BLOG.x"),  # stays below
+        ("e", "decision", "拿不准：是否迁移数据库到新的集群上去", 0.6, 3, "[energy]", None),
+        ("f", "decision", text, 0.59, 9, "", ""),
+        ("g", "other", text + "?", 0.95, 5, None, "medium"),  # without an industry, any source will do
+        ("h", "insight", None, 0.9, 4, "", ""),
+        ("i", "fact", text, 0.9, 9, "AI", ""),  # held
+    ]
+    e = spark.createDataFrame(entries, "id string, type string, summary string, confidence double, importance int, industry string, source_ref string").selectExpr("*", "cast(null as string) as content")
+    held = spark.createDataFrame([("i", "industry/AI", "something else altogether")], "id string, target string, text string")
+    got = {r["id"]: tuple(r)[1:] for r in curation(e, held).collect()}
+    assert got == {
+        "a": ("industry/AI", "methods", "AI, finance", False, "stored", None),
+        "b": ("industry/AI", "methods", "", False, "duplicate", "a"),
+        "c": ("methods", "methods", "", False, "stored", None),
+        "e": ("industry/energy", "principles", "", True, "stored", None),
+        "g": ("insights", "insights", "", False, "stored", None),
+        "h": ("insights", "insights", "", False, "stored", None),
+        "i": ("industry/AI", "methods", "", False, "held", None),
+    }
+
+
 def sought(summary):
     text = half_width(summary).lower()
     pairs = sorted(g for g in grams(re.sub(r"[^一-鿿]", "", text), 2) if len(g) == 2 and not set(g) & set(C.STOP_CHARS))
