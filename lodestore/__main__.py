@@ -1,4 +1,4 @@
-"""Command line: python -m lodestore {search,expand,timeline} STORE.parquet ARGUMENTS."""
+"""Command line: python -m lodestore {search,expand,timeline,verify} STORE.parquet ARGUMENTS."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import sys
 def main(argv: list[str] | None = None) -> int:
     """Exit code 0 with results, 2 without, 3 for a store that can't be read."""
     parser = argparse.ArgumentParser(prog="lodestore", description=__doc__)
-    parser.add_argument("command", choices=("search", "expand", "timeline"))
+    parser.add_argument("command", choices=("search", "expand", "timeline", "verify"))
     parser.add_argument("store")
     parser.add_argument("arguments", nargs="+")
     parser.add_argument("--top-k", type=int, default=5)
@@ -30,6 +30,8 @@ def main(argv: list[str] | None = None) -> int:
         out = engine.search_memories([" ".join(args.arguments)], mode="fts", top_k=args.top_k).orderBy("rank")
     elif args.command == "expand":
         out = engine.expand_entry(args.arguments)
+    elif args.command == "verify":
+        out = engine.verify_search([" ".join(args.arguments)], mode="fts", top_k=args.top_k).orderBy("id")
     else:
         out = engine.timeline(args.arguments[0], args.arguments[-1])
     rows = out.toJSON().take(1000)

@@ -12,6 +12,7 @@ from . import on_workers
 from .config import CONFLICT_SUBTYPES, CONFLICT_TYPES, SEMANTIC_RELATIONS, VALID_TYPES, Search
 from .functions.extract import entities, key_data, verified
 from .operators import retrieval as R
+from .operators.answers import answer_verdicts, checked_answers, enforced
 from .operators.graphs import expanded
 from .operators.cache import ResultCache, channel_tag
 from .operators.index import TextIndex
@@ -62,6 +63,21 @@ class Engine:
             out = run(queries)
         return out if types is None else out.where(F.col("type").isin(*[t.strip() for t in types.split(",")]))
 
+    def checked_search(self, texts: list[str] | DataFrame, known_agents: tuple[str, ...] = (), enforce: bool = False, top_k: int = 5, **settings) -> DataFrame:
+        """Results with the rules' action and reasons of their query; enforced, refused queries lose theirs. Settings are those of :meth:`search_memories`."""
+        queries = texts if isinstance(texts, DataFrame) else self.spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
+        found = self.search_memories(queries, top_k=top_k, **settings).withColumnRenamed("rank", "rank0")
+        hits = found.join(self.store.select("id", "source_agent", "confidence"), "id").withColumn("evidence", F.lit(None).cast("double"))
+        said = checked_answers(queries, hits, Search(top_k=top_k), known_agents)
+        kept = enforced(hits, said) if enforce else hits.withColumn("low_confidence", F.lit(False))
+        return kept.join(said.select("qid", "action", "reasons"), "qid").withColumnRenamed("rank0", "rank").drop("evidence")
+
+    def verify_search(self, texts: list[str] | DataFrame, top_k: int = 5, **settings) -> DataFrame:
+        """For questions with figures: which of them stand in the entries found, with the places."""
+        queries = texts if isinstance(texts, DataFrame) else self.spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
+        asked = queries.where(F.size(key_data("text")) > 0)
+        return answer_verdicts(asked, self.search_memories(asked, top_k=top_k, **settings), self.store)
+
     def expand_entry(self, ids: list[str], tier: str = "expand") -> DataFrame:
         """Entries by id; ids that do not exist come back with an error."""
         asked = self.spark.createDataFrame([(i,) for i in ids], "id string")

@@ -215,3 +215,39 @@ def curation(spark, d):
     whole = F.concat(F.coalesce("summary", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
     held = s.where("doc_id % 11 = 0").select("id", F.lit("industry/AI").alias("target"), whole.alias("text"))
     return D.curation(s, held)
+
+
+@query("x9_answer_verdicts", "SELECT o_orderkey AS qid, o_orderkey AS id, CAST(2 + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS passed, CAST(4 AS INT) AS total, o_orderkey % 6 = 0 AS passed_all, 'money:' || o_custkey || '元,date:' || strftime(o_orderdate, '%Y-%m-%d') || ',conclusion:完成,percent:' || (10 + o_orderkey % 90) || '%' AS tokens FROM orders")
+def answer_verdicts(spark, d):
+    """Questions with an amount, a day, a conclusion and a share, and entries that tell the day, every second the amount, every third the share."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    day, money, share = F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.col("o_custkey").cast("string"), F.lit("元")), F.concat((10 + k % 90).cast("string"), F.lit("%"))
+    q = o.select(k.alias("qid"), F.concat(F.lit("订单 "), money, F.lit("，于 "), day, F.lit(" 完成，占 "), share).alias("text"))
+    s = o.select(k.alias("id"), F.when(k % 2 == 0, money).otherwise("x").alias("summary"), F.concat(day, F.when(k % 3 == 0, F.concat(F.lit(" "), share)).otherwise("")).alias("content"))
+    out = W.answer_verdicts(q, o.select(k.alias("qid"), k.alias("id")), s)
+    told = F.transform("evidence", lambda e: F.concat(e["type"], F.lit(":"), e["token"]))
+    return out.select("qid", "id", "passed", "total", "passed_all", F.array_join(told, ",").alias("tokens"))
+
+
+def _relation_hits(spark, d):
+    """Parts' sentences and what should be found in them: nothing where a sentence has no verb, and by mistake in some others; a relation of another kind in some."""
+    k = F.col("p_partkey")
+    told = F.concat(F.col("p_brand"), F.lit("系统依赖"), F.col("p_name"), F.lit("。团队负责"), F.col("p_brand"), F.lit("模块"))
+    p = table(spark, d, "part")
+    found = p.select(k.alias("id"), F.explode(X.triples(F.when(k % 5 == 0, F.concat(F.lit("文字 "), "p_name")).otherwise(told))).alias("t")).select("id", "t.subject", "t.relation", "t.object")
+    none = (k % 5 == 0) | (k % 11 == 0)
+    want = p.select(k.alias("id"), F.concat(F.upper("p_brand"), F.lit("-系统")).alias("subject"), F.when(~none, F.when(k % 7 == 0, "uses").otherwise("DEPENDS_ON")).alias("relation"), F.substring_index("p_name", " ", 1).alias("object"))
+    return W.relation_hits(found, want)
+
+
+RELATION_HITS = "SELECT p_partkey AS id, p_partkey % 5 = 0 OR (p_partkey % 11 <> 0 AND p_partkey % 7 <> 0) AS hit FROM part"
+
+
+@query("e13_relation_hits", RELATION_HITS)
+def relation_hits(spark, d):
+    return _relation_hits(spark, d)
+
+
+@query("e13_relation_gate", f"WITH h AS ({RELATION_HITS}) SELECT count(*) AS total, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*)::DOUBLE, 4) AS accuracy, round(count(*) FILTER (hit) / count(*)::DOUBLE, 4) >= 0.8 AS passed FROM h")
+def relation_gate(spark, d):
+    return W.relation_accuracy(_relation_hits(spark, d))

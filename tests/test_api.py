@@ -44,9 +44,27 @@ def test_look_ups(spark):
     assert tuple(e.verify(claim).first()) == ("m00000001", 0, 2)
 
 
+def test_answers_are_checked_and_verified(spark):
+    rows = [("a", "rate of the gateway", "the rate is 37% of all", "src1", 0.9), ("b", "port of the gateway", "8080 and more", "src9", 0.3)]
+    s = spark.createDataFrame(rows, "id string, summary string, content string, source_agent string, confidence double").selectExpr(
+        "*", "'fact' as type", "id as summary_hash", "'2026-08-30T00:00:00Z' as timestamp", "'2026-08-30T00:00:00Z' as created_at", "0 as deprecated", "'' as expires_at", "cast(null as date) as event_date"
+    )
+    e = Engine(spark, s)
+    free = e.checked_search(["rate of the gateway", "zzzz"], known_agents=("src1",)).collect()
+    assert {r["qid"]: r["action"] for r in free} == {0: "skipped", 1: "refuse"} and {r["id"] for r in free if r["qid"] == 1} == {"a", "b"}
+    kept = e.checked_search(["rate of the gateway", "zzzz"], known_agents=("src1",), enforce=True).collect()
+    assert {r["qid"] for r in kept} == {0}
+    got = {r["id"]: (r["passed"], r["total"]) for r in e.verify_search(["is the rate of the gateway 37%", "no figures of the gateway"]).collect()}
+    assert got == {"a": (1, 1), "b": (0, 1)}
+
+
 def test_command_line(spark, tmp_path, capsys):
     store(spark, SMALL).write.parquet(str(tmp_path / "s.parquet"))
     assert main(["search", str(tmp_path / "s.parquet"), "the", "--top-k", "2"]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 2
     assert main(["timeline", str(tmp_path / "s.parquet"), "1999", "1999"]) == 2
+    capsys.readouterr()
+    assert main(["verify", str(tmp_path / "s.parquet"), "the", "99.5%"]) == 0
+    assert all('"total": 1' in line for line in capsys.readouterr().out.splitlines())
+    assert main(["verify", str(tmp_path / "s.parquet"), "the"]) == 2
     assert main(["expand", str(tmp_path / "missing"), "x"]) == 3
