@@ -50,14 +50,15 @@ def negation_differs(a: Column, b: Column) -> Column:
     return F.exists(only, lambda t: X.contains_any(t, tuple(marks)))
 
 
-def similar_pairs(texts: DataFrame, threshold: float = 0.9, lead: int = 5) -> DataFrame:
+def similar_pairs(texts: DataFrame, threshold: float = 0.9, lead: int = 5, by: str | None = None) -> DataFrame:
     """(a, b, ga, gb, dice) of texts whose character-pair Dice reaches the threshold: exact, through an inverted index.
 
     A set of n pairs meets a partner in at least o = t * n / (2 - t) of them. So the n - o + k rarest pairs of both sets hold k common
-    ones (k: lead, or o if that is less): only those are indexed, and only partners with so many go on to the full sets.
+    ones (k: lead, or o if that is less): only those are indexed, and only partners with so many go on to the full sets. Texts of different values of ``by`` have no pair in common, so they never meet.
     """
-    grams = texts.select("id", X.ngrams(X.normal_text(F.col("text")), 2).alias("g")).where("size(g) > 0")
-    flat = grams.select("id", F.size("g").alias("n"), F.explode("g").alias("t"))
+    grams = texts.select("id", *([by] if by else []), X.ngrams(X.normal_text(F.col("text")), 2).alias("g")).where("size(g) > 0")
+    flat = grams.select("id", F.size("g").alias("n"), F.explode("g").alias("t"), *([by] if by else []))
+    flat = flat.withColumn("t", F.concat_ws("\u0001", "t", F.coalesce(by, F.lit("")))).drop(by) if by else flat
     rare = flat.join(flat.groupBy("t").agg(F.count("*").alias("df")), "t")
     least = F.ceil(F.col("n") * threshold / (2 - threshold) - 1e-9)
     rare = rare.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))).withColumn("k", F.least(F.lit(lead), least))
@@ -84,17 +85,9 @@ def prefix_pairs(sets: DataFrame, least: Column) -> DataFrame:
     return prefix.withColumnRenamed("id", "a").join(other, "t").where("a < b").select("a", "b").distinct()
 
 
-def duplicates(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
+def duplicates(texts: DataFrame, threshold: float = 0.9, by: str | None = None) -> DataFrame:
     """(a, b): b repeats the earlier a and no differing pair holds a negation."""
-    return similar_pairs(texts, threshold).where(~negation_differs(F.col("ga"), F.col("gb"))).select("a", "b", "dice")
-
-
-def _inside(pairs: DataFrame, texts: DataFrame, by: str | None) -> DataFrame:
-    """The pairs of texts that share a value of ``by``; all without one."""
-    if by is None:
-        return pairs
-    a, b = texts.select(F.col("id").alias("a"), F.col(by).alias("_by")), texts.select(F.col("id").alias("b"), F.col(by).alias("_by"))
-    return pairs.join(a, "a").join(b, ["b", "_by"]).drop("_by")
+    return similar_pairs(texts, threshold, by=by).where(~negation_differs(F.col("ga"), F.col("gb"))).select("a", "b", "dice")
 
 
 def accepted(texts: DataFrame, threshold: float = 0.9, min_len: int = 8, by: str | None = None) -> DataFrame:
@@ -104,7 +97,7 @@ def accepted(texts: DataFrame, threshold: float = 0.9, min_len: int = 8, by: str
     like take part, and as many rounds run as the longest chain of likes is long.
     """
     long = texts.where(F.length(X.normal_text(F.col("text"))) >= min_len)
-    pairs = saved(_inside(duplicates(long, threshold).select("a", "b"), texts, by), "guard-pairs")
+    pairs = saved(duplicates(long, threshold, by).select("a", "b"), "guard-pairs")
     state = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.lit(None).cast("boolean").alias("ok")), "guard-state")
     while state.where("ok is null").limit(1).count():
         before = pairs.join(state.select(F.col("id").alias("a"), F.col("ok").alias("before")), "a")
@@ -122,7 +115,7 @@ def accepted_against(texts: DataFrame, stored: DataFrame, threshold: float = 0.9
     """:func:`accepted` for a batch that comes to texts which are there already: those are all accepted, and refuse what repeats them."""
     columns = ["id", "text", *([by] if by else [])]
     both = stored.select(*columns).unionByName(texts.select(*columns))
-    pairs = saved(_inside(duplicates(both, threshold).select("a", "b"), both, by), "guard-all")
+    pairs = saved(duplicates(both, threshold, by).select("a", "b"), "guard-all")
     old = stored.select(F.col("id").alias("a"))
     other = pairs.join(texts.select(F.col("id").alias("b")), "b", "left_semi").join(old, "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("_of"))
     own = texts.join(other, "id", "left")
