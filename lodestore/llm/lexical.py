@@ -123,7 +123,9 @@ class Heaps:
         """Sums sorted by item."""
         may = (score > 0) & (score >= self.least[item])
         item, ids, score = item[may], ids[may], score[may]
-        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.empty(0, int)
+        if not len(item):  # every sum of the piece is below its item's k-th
+            return
+        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(item)], strict=True):
             i, own, docs = int(item[a]), score[a:b], ids[a:b]
             if b - a > 4 * self.k:  # what is below the k-th of this run alone needs no heap

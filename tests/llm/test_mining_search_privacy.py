@@ -234,6 +234,16 @@ def test_search_equals_brute_force(spark, odd_docs, odd_rows, no_docs, monkeypat
     assert LX.ranked_search(no_docs, asked).count() == 0 and LX.ranked_search(odd_docs, asked.limit(0)).count() == 0
 
 
+def test_pieces_that_reach_no_heap_are_passed_over(spark, odd_docs, odd_rows, monkeypatch):
+    heaps = LX.Heaps(1, 1)
+    heaps.take(np.array([0]), np.array([7]), np.array([50]))
+    heaps.take(np.array([0, 0]), np.array([8, 9]), np.array([3, 4]))  # both below the best so far
+    assert heaps.heaps == [[(50, -7)]]
+    asked = spark.createDataFrame([(1, "brick amber1")], "item_id long, text string")
+    monkeypatch.setattr(LX, "ENTRIES", 1)  # a document a piece: most are below the first one's score
+    assert Counter(map(tuple, LX.ranked_search(odd_docs.coalesce(1), asked, 1).collect())) == plain_search([r[:2] for r in odd_rows], [(1, "brick amber1")], 1)
+
+
 def test_radix_order_sorts():
     rng = np.random.default_rng(1)
     for top in (1, 1 << 15, 1 << 20, 1 << 40, 1 << 62):
