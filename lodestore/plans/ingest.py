@@ -106,6 +106,6 @@ def p12(spark, d):
 @query("r13_contradictions")
 def r13(spark, d):
     s = store(spark, d)
-    hits = R.ranked(R.bm25(bench_queries(spark, d), text_index(spark, d)), F.desc("full"), F.col("id"), limit=10)
-    rows = hits.join(s.select("id", "summary", "content", "summary_hash", "confidence", "timestamp", "deprecated"), "id").drop("note").withColumnRenamed("full", "score")
+    hits = R.ranked(R.top_bm25(bench_queries(spark, d), text_index(spark, d), 10), F.desc("full"), F.col("id"), limit=10)
+    rows = hits.join(s.select("id", "summary", "content", "summary_hash", "confidence", "timestamp", "deprecated"), "id").withColumnRenamed("full", "score")
     return greedy_contradictions(rows).select("qid", "rank0", "id")

@@ -150,7 +150,7 @@ def concept_hops(spark, d):
     c, links, _ = _concepts(spark, d)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lower("text").alias("text"))
     hops = C.hop_queries(q, c, links, 2).select((F.col("qid") * 3 + F.col("hop")).alias("qid"), "text")
-    found = R.bm25(hops, text_index(spark, d)).groupBy(F.expr("qid div 3").alias("qid"), "id").agg(F.round(F.max("full"), 6).alias("score"))
+    found = R.top_bm25(hops, text_index(spark, d), 5, places=6).groupBy(F.expr("qid div 3").alias("qid"), "id").agg(F.max("full").alias("score"))
     return R.ranked(found, F.desc("score"), F.col("id"), limit=5)
 
 
