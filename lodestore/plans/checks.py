@@ -172,7 +172,9 @@ def backfilled(spark, d):
     def embed(texts):
         return [v if len(t) % 2 == 0 else v[:100] for t, v in zip(texts, E.hashed(texts), strict=True)]
 
-    have = entry_vectors(spark, d).where(F.substring("id", -1, 1).isin("0", "2", "4", "6", "8"))
+    # by the vector's number: an id holds its first eight digits only
+    even = table(spark, d, "embeddings").where("vec_id % 2 = 0")
+    have = even.select(F.concat(F.lit("m"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("id"))
     out = E.embedded(E.missing(store(spark, d), have), embed)
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return out.select("id", "source", F.size("vec").alias("dims"), (F.abs(norm - 1) < 1e-3).alias("unit"))

@@ -70,3 +70,22 @@ def test_a_second_ranking_by_shared_words(spark, asked):
     shared = lambda i: round(len(words(whole[i]) & {"the", "and", "of"}) / max(len(words(whole[i])), 3), 6)
     want = [i for i, _ in sorted(pool, key=lambda x: (-shared(x[0]), x[1], x[0]))[:5]]
     assert [r["id"] for r in sorted((r for r in again if r["qid"] == 1), key=lambda r: r["rank"])] == want
+
+
+def test_entries_with_vectors_go_by_whole_numbers(spark, tmp_path):
+    """Numbers of more than eight digits: the last digit of an id is not that of its vector."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    docs = [{"doc_id": i, "text": f"entry number {i}", "lang": "en", "source": "s"} for i in (1, 2, 123456780, 987654321)]
+    pq.write_table(pa.Table.from_pylist(docs), tmp_path / "documents.parquet")
+    pq.write_table(pa.Table.from_pylist([{"vec_id": i, "embedding": [1.0, 0.0], "label": 0} for i in (2, 123456781, 987654321, 987654330)]), tmp_path / "embeddings.parquet")
+    with duckdb.connect() as duck:
+        for name in ("documents", "embeddings"):
+            duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+        want = sorted(duck.execute(entry.oracle_sql()["k7_z18_backfilled"]).fetchall())
+    got = sorted(map(tuple, entry.queries()["k7_z18_backfilled"](spark, str(tmp_path)).select("id", "source", "dims", "unit").collect()))
+    assert got == want and {w[0] for w in want} == {"m00000001", "m12345678", "m98765432"}
