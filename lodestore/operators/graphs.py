@@ -31,22 +31,57 @@ def expanded(seeds: DataFrame, edges: DataFrame, per_seed: int = 3, relations: t
 
 #: Members of one side of a block of a group: a larger group is joined block by block, in as many tasks.
 BLOCK = 512
+#: Rows that a task is dealt, pairs that it counts, and tasks at most: more input makes more tasks, not larger ones.
+ROWS, PAIRS, TASKS = 250_000, 250_000, 4_000
+
+
+def in_tasks(n: int, each: int) -> int:
+    return max(1, min(TASKS, -(-n // each)))
+
+
+def dealt_blocks(rows: DataFrame, n: int, group: str, member: str, block: int) -> tuple[DataFrame, int]:
+    """Rows, n of them, with (_parts, _p): into how many blocks their group is cut, by a hash of the member, and which is theirs; and how many pairs the groups make. Groups of one row go."""
+    rows = rows.repartition(in_tasks(n, ROWS), group)  # for the sizes and for the join
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1")
+    pairs = sizes.agg(F.sum(F.expr("_n * (_n - 1) div 2"))).first()[0] or 0
+    dealt = rows.join(sizes.select(group, F.ceil(F.col("_n") / block).cast("int").alias("_parts")), group)
+    return dealt.withColumn("_p", F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")), pairs
+
+
+def meeting(dealt: DataFrame) -> DataFrame:
+    """Dealt rows once for each pair of blocks (_x <= _y) of their group in which their own is one of the two."""
+    at = F.expr("transform(sequence(0, _parts - 1), q -> struct(least(q, _p) as _x, greatest(q, _p) as _y))")
+    return dealt.withColumn("_at", F.explode(at)).select("*", "_at.*").drop("_at", "_parts")
 
 
 def shared_pairs(links: DataFrame, group: str, member: str) -> DataFrame:
     """(a, b, n) members a < b that share n groups.
 
     Groups of one member make no pair and go before the join. A group of more than BLOCK members is cut into blocks by a hash of the member, and each pair of
-    blocks is a key of its own: no key holds more than two blocks, whatever the group's size, and no pair is lost or met twice.
+    blocks is a key of its own: no key holds more than two blocks, whatever the group's size, and no pair is lost or met twice. A block's own pairs are
+    told from one row that lists it, and pairs are dealt to as many tasks as their number asks.
     """
-    own = links.select(F.col(group).alias("_g"), F.col(member).alias("m")).where("_g is not null and m is not null").distinct()
-    sizes = own.groupBy("_g").agg(F.count("*").alias("_n")).where("_n > 1").select("_g", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_parts"))
-    dealt = own.join(sizes, "_g").withColumn("_p", F.pmod(F.xxhash64("m"), F.col("_parts")).cast("int"))
-    at = F.expr("transform(sequence(0, _parts - 1), q -> struct(least(q, _p) as x, greatest(q, _p) as y))")
-    dealt = dealt.withColumn("_at", F.explode(at)).select("_g", "_at.x", "_at.y", "_p", "m")
-    left, right = dealt.withColumnsRenamed({"m": "a", "_p": "_pa"}), dealt.withColumnsRenamed({"m": "b", "_p": "_pb"})
-    pairs = left.join(right, ["_g", "x", "y"]).where("a < b and (x = y or _pa <> _pb)")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    own = links.select(F.col(group).alias("_g"), F.col(member).alias("m")).where("_g is not null and m is not null")
+    n = own.count()
+    own = own.repartition(in_tasks(n, ROWS), "_g")
+    sizes = own.groupBy("_g").agg(F.count("*").alias("_n"))  # repeated links count too: a bound
+    pairs, large = sizes.agg(F.coalesce(F.sum(F.expr("_n * (_n - 1) div 2")), F.lit(0)), F.count_if(F.col("_n") > BLOCK)).first()
+    tasks = in_tasks(pairs, PAIRS)
+    rest, listed = own, None
+    if large:
+        big = sizes.where(F.col("_n") > BLOCK).select("_g")
+        rest = own.join(big, "_g", "left_anti")
+        dealt, _ = dealt_blocks(own.join(big, "_g", "left_semi").distinct(), n, "_g", "m", BLOCK)
+        listed = dealt.repartition(tasks, "_g", "_p").groupBy("_g", "_parts", "_p").agg(F.collect_list("m").alias("ms"))
+    lists = rest.groupBy("_g").agg(F.collect_set("m").alias("ms")).select("ms")
+    lists = (lists if listed is None else lists.unionByName(listed.select("ms"))).where(F.size("ms") > 1).select(F.sort_array("ms").alias("ms"))
+    out = lists.select("ms", F.posexplode("ms").alias("_i", "a")).select("a", F.explode(F.slice("ms", F.col("_i") + 2, F.size("ms"))).alias("b"))
+    if listed is not None:
+        blocks = meeting(listed.where("_parts > 1")).where("_x < _y").repartition(tasks, "_g", "_x", "_y")
+        left, right = blocks.where("_p = _x").withColumnRenamed("ms", "ma"), blocks.where("_p = _y").select("_g", "_x", "_y", F.col("ms").alias("mb"))
+        across = left.join(right, ["_g", "_x", "_y"]).select(F.explode("ma").alias("a"), "mb").select("a", F.explode("mb").alias("b"))
+        out = out.unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return out.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def within_seconds(a: DataFrame, b: DataFrame, key: str, at_a: str, at_b: str, seconds: int) -> DataFrame:
