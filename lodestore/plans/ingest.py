@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.lifecycle import curated_score
 from ..operators import ingest as I
 from ..operators import retrieval as R
+from ..operators.conflicts import conflict_scan
 from ..operators.contradictions import greedy_contradictions
 from ..registry import query
 from .common import STORE, bench_queries, store, table, text_index
@@ -88,14 +89,7 @@ def p7(spark, d):
 def p8(spark, d):
     runs = F.regexp_extract_all(F.lower("summary"), F.lit("([a-z0-9]+)"), 1)
     k = store(spark, d).select("id", "type", "source_agent", "timestamp", F.array_distinct(F.filter(runs, lambda w: F.length(w) > 4)).alias("ks"))
-    # a score of 0.5, of which one type gives 0.15, takes 0.35 of the larger set: what each set asks by its own size is never more
-    p = I.prefix_pairs(k.select("id", "ks"), F.greatest(F.lit(1), F.ceil(0.35 * F.col("n") - 1e-9)))
-    x = k.select(F.col("id").alias("a"), F.col("ks").alias("ka"), F.col("type").alias("ta"), F.col("source_agent").alias("sa"), F.col("timestamp").alias("za"))
-    y = k.select(F.col("id").alias("b"), F.col("ks").alias("kb"), F.col("type").alias("tb"), F.col("source_agent").alias("sb"), F.col("timestamp").alias("zb"))
-    score = X.overlap(F.col("ka"), F.col("kb")) + F.when(F.col("ta") == F.col("tb"), 0.15).otherwise(0.0)
-    newer = F.when(F.col("za") >= F.col("zb"), F.col("a")).otherwise(F.col("b"))
-    j = p.join(x, "a").join(y, "b").withColumn("score", score).where("score >= 0.5")
-    return j.select("a", "b", F.round("score", 6).alias("score"), F.when(F.col("sa") == F.col("sb"), newer).otherwise("arbitrate").alias("verdict"))
+    return conflict_scan(k)
 
 
 @query("p12_injection", "SELECT item_id, contains(lower(text), 'the') AS found FROM benchmark")
