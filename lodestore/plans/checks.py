@@ -13,6 +13,7 @@ from ..operators import embedding as E
 from ..operators import retrieval as R
 from ..operators.containment import holding
 from ..registry import query
+from ..scratch import saved
 from ..sources import reports as P
 from .common import NOW, STORE, bench_queries, entry_vectors, query_vectors, store, table, text_index
 from .retrieval import BENCH_QUERIES, CFG, FTS, FUSED, INDEX, VECTORS, multi_hop
@@ -50,7 +51,7 @@ def checked(spark, d):
 
 @query("r20_enforced", ANSWERS + " SELECT h.qid, id, rank0, action = 'mark' AND confidence < 0.8 AS low_confidence FROM h JOIN c USING (qid) WHERE action <> 'refuse'")
 def enforced(spark, d):
-    hits = _answers(spark, d)
+    hits = saved(_answers(spark, d), "answers")  # read for the rules and for what they leave
     return W.enforced(hits, W.checked_answers(bench_queries(spark, d), hits, CFG, KNOWN)).select("qid", "id", "rank0", "low_confidence")
 
 

@@ -235,3 +235,22 @@ def test_search_looks_into_a_window_of_several_days(spark):
     out = R.search(q, s, access, None, None, Search(time=True)).collect()
     assert [r["id"] for r in sorted(out, key=lambda r: r["rank"]) if r["qid"] == 0] == ["m10", "m11", "m12"]
     assert [r["id"] for r in sorted(out, key=lambda r: r["rank"]) if r["qid"] == 1][0] == "m20"
+
+
+def test_fused_channels_are_shuffled_before_they_are_grouped(spark):
+    """Channels that each stand by query are not taken to stand so together: read twice in a plan, the adaptive planner split them differently, and one of them was not seen."""
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(q, f"m{i}", float(i)) for q in range(3) for i in range(5)], "qid long, id string, score double")
+        channels = {name: R.ranked(rows.repartition(3), F.desc("score"), F.col("id"), limit=4) for name in ("fts", "emb")}
+        store = spark.createDataFrame([(f"m{i}", 0.5) for i in range(5)], "id string, confidence double")
+        found = R.fused(channels, store, Search())
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    union = next(i for i, line in enumerate(lines) if "Union" in line)
+    assert "HashAggregate" in lines[union - 1] and "Exchange hashpartitioning(qid" in lines[union - 2]
+    assert len(got) == 12 and {r["n_channels"] for r in got} == {2}
