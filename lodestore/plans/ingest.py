@@ -78,9 +78,10 @@ def p6c(spark, d):
 def p7(spark, d):
     """Each note against the newest five notes that hold any of its keywords: class of the pair."""
     s = store(spark, d).select("id", "summary", "timestamp")
-    other = s.select(F.col("id").alias("other"), F.col("summary").alias("b"))
-    pairs = I.conflict_candidates(s).join(s, "id").join(other, "other")
-    sim = F.greatest(X.ratio("summary", "b"), X.jaccard(X.ngrams(X.normal_text(F.col("summary")), 3), X.ngrams(X.normal_text(F.col("b")), 3)))
+    plain = s.withColumn("plain", X.normal_text(F.col("summary")))  # once a note, not once a pair
+    other = plain.select(F.col("id").alias("other"), F.col("summary").alias("b"), F.col("plain").alias("plain_b"))
+    pairs = I.conflict_candidates(s).join(plain, "id").join(other, "other")
+    sim = F.greatest(X.ratio("summary", "b"), X.likeness("plain", "plain_b"))
     scored = pairs.withColumn("similarity", F.round(sim, 6))
     return scored.select("id", "other", "similarity", I.conflict_class(F.col("summary"), F.col("b"), F.col("similarity")).alias("class"))
 
